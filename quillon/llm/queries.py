@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import dedup, language, mixing, packing, sharding, simhash, tokenids
+from quillon.llm import attribution, dedup, language, mixing, packing, pii, quality, sharding, simhash, tokenids
 from quillon.llm.common import documents
 
 
+def op1_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(documents(spark, sf_dir, "doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -18,6 +22,10 @@ def op3_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(documents(spark, sf_dir, "doc_id", "text")).drop("row")
 
 
+def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op5_patched_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_files(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -30,6 +38,10 @@ def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(documents(spark, sf_dir, "doc_id", "text", "source"))
 
 
+def op8_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.section_tokens(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -39,7 +51,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_prefix_shards, op3_tree_merge_dedup, op5_patched_token_blocks, op6_naive_bayes_language, op7_mixture, op9_golay_simhash, op10_best_fit_packing)
+    f.__name__: f
+    for f in (
+        op1_risk_controlled_rules,
+        op2_prefix_shards,
+        op3_tree_merge_dedup,
+        op4_boosted_pii,
+        op5_patched_token_blocks,
+        op6_naive_bayes_language,
+        op7_mixture,
+        op8_section_tokens,
+        op9_golay_simhash,
+        op10_best_fit_packing,
+    )
 }
 
 ORACLES: dict[str, str] = {
