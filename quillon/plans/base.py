@@ -14,7 +14,7 @@ ORACLES: dict[str, str] = {}
 #: Views, in SQL that Spark and DuckDB both read; {name} is a table or another view.
 VIEWS = {
     "v_prices": "SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS close FROM {orders} GROUP BY 1, 2",
-    "v_prices_short": "SELECT user_id AS series, CAST(ts AS DATE) AS d, max_by(value, struct_pack_ts) AS close FROM (SELECT user_id, ts, value, CAST(ts AS STRING) || lpad(CAST(event_id AS STRING), 12, '0') AS struct_pack_ts FROM {events}) GROUP BY 1, 2",
+    "v_prices_short": "SELECT user_id AS series, CAST(ts AS DATE) AS d, max_by(value, at) AS close FROM (SELECT user_id, ts, value, CAST(ts AS STRING) || lpad(CAST(event_id AS STRING), 12, '0') AS at FROM {events}) GROUP BY 1, 2",
     "v_steps": """SELECT ticker, horizon, t, predicted_prob, predicted_return, actual_return, CASE WHEN actual_return > 0 THEN 1 ELSE 0 END AS y, realized_price,
         cur * (1 + predicted_return - 2 * tax) AS ci_lower, cur * (1 + predicted_return + 2 * tax) AS ci_upper, confidence,
         CASE WHEN predicted_return > 0.025 THEN 'BUY' WHEN predicted_return < -0.025 THEN 'SELL' ELSE 'HOLD' END AS recommendation,
@@ -28,7 +28,6 @@ VIEWS = {
     "v_ladder": "SELECT asset, price, 1 - (CAST(row_number() OVER (PARTITION BY asset ORDER BY price) AS DOUBLE) - 0.5D) / count(*) OVER (PARTITION BY asset) AS probability FROM (SELECT DISTINCT p_brand AS asset, p_retailprice AS price FROM {part})",
     "v_docs": "SELECT doc_id, text, lang, source FROM {documents}",
 }
-_DUCK = {"CAST(ts AS STRING)": "CAST(ts AS VARCHAR)"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +36,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return found.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in found.dtypes])
     text = VIEWS[name]
-    return spark.sql(text, **{x: view(spark, sf_dir, x) for x in re.findall(r"\{(\w+)\}", text)})
+    return spark.sql(text, **{x: view(spark, sf_dir, x) for x in re.findall(r"\{([a-z]\w*)\}", text)})
 
 
 def duck(text: str) -> str:
@@ -46,11 +45,11 @@ def duck(text: str) -> str:
 
     def add(name: str) -> str:
         if name in VIEWS and name not in parts:
-            body = re.sub(r"\{(\w+)\}", lambda m: add(m[1]), VIEWS[name])
+            body = re.sub(r"\{([a-z]\w*)\}", lambda m: add(m[1]), VIEWS[name])
             parts[name] = re.sub(r"(?<=\d)D\b", "::DOUBLE", body).replace("AS STRING", "AS VARCHAR")
         return name
 
-    body = re.sub(r"\{(\w+)\}", lambda m: add(m[1]), text)
+    body = re.sub(r"\{([a-z]\w*)\}", lambda m: add(m[1]), text)
     head = ", ".join(f"{k} AS ({v})" for k, v in parts.items())
     if not head:
         return body
