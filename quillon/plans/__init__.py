@@ -1,4 +1,4 @@
 """Queries over the test tables, with their SQL."""
 
-from quillon.plans import join_queries, market_queries, scoring_queries, series_queries  # noqa: F401
+from quillon.plans import join_queries, market_queries, scoring_queries, series_queries, text_queries  # noqa: F401
 from quillon.plans.base import ORACLES, QUERIES  # noqa: F401
