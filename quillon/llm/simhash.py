@@ -18,6 +18,8 @@ RADIUS = 3
 SEED = 42
 #: Fingerprints with one key that are compared with each other directly; larger groups go the other exact way.
 DIRECT = 2048
+#: Parts of a node's edges in a round of contraction.
+SALTS = 64
 LINKS = "a long, b long, hot boolean"
 _FOLD = str.maketrans(common.UPPER, common.LOWER)
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -84,27 +86,29 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y) <= RADIUS
 
 
-def _forest(fp: np.ndarray, node: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what the pairs within RADIUS connect, at most one fewer than rows: flood fill, row by row."""
+def _stars(fp: np.ndarray, node: np.ndarray) -> list[tuple[int, int]]:
+    """What pairs within RADIUS connect, as links of every node to the smallest of its part: flood fill, row by row."""
     open_ = np.ones(len(fp), bool)
     out = []
     for start in range(len(fp)):
         if not open_[start]:
             continue
         open_[start] = False
-        stack = [start]
+        part, stack = [start], [start]
         while stack:
-            x = stack.pop()
             rest = np.flatnonzero(open_)
-            found = rest[_near(fp[rest], fp[x])]
+            found = rest[_near(fp[rest], fp[stack.pop()])]
             open_[found] = False
             stack += found.tolist()
-            out += [(int(node[x]), int(y)) for y in node[found].tolist()]
+            part += found.tolist()
+        least = int(node[part].min())
+        out += [(least, x) for x in node[part].tolist() if x != least]
     return out
 
 
 def bucket_links(keys: DataFrame) -> DataFrame:
-    """Verified links inside groups of one key; members of groups above DIRECT are passed on as hot instead.
+    """Links that connect what verified pairs inside groups of one key connect; members of groups above DIRECT are
+    passed on as hot instead.
 
     Rows arrive sorted by key and stream through; no group is held beyond DIRECT rows.
     """
@@ -123,7 +127,7 @@ def bucket_links(keys: DataFrame) -> DataFrame:
             two = first[size == 2]
             two = two[_near(fp[two], fp[two + 1])]
             yield out(node[two], node[two + 1], False)
-            links = [x for a, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True) if n <= DIRECT for x in _forest(fp[a : a + n], node[a : a + n])]
+            links = [x for a, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True) if n <= DIRECT for x in _stars(fp[a : a + n], node[a : a + n])]
             yield out(np.array([x for x, _ in links], np.int64), np.array([x for _, x in links], np.int64), False)
             for a, n in zip(first[size > DIRECT].tolist(), size[size > DIRECT].tolist(), strict=True):
                 yield out(fp[a : a + n].view(np.int64), node[a : a + n], True)
@@ -171,27 +175,35 @@ def hot_links(fps: DataFrame) -> DataFrame:
     return near.select("a", F.explode("all").alias("b")).where("a <> b").distinct()
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with m, the smallest v of u. A hub's edges lie in SALTS parts and never meet in one task."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    part = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    low = part.groupBy("u").agg(F.min("m").alias("m"))
+    return salted.join(part.select("u", "salt").join(low.hint("merge"), "u").hint("merge"), ["u", "salt"]).drop("salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b), for every node with a link.
 
-    Alternates two rounds of star contraction until nothing changes; every round is written out.
+    Alternates two rounds of star contraction until all parts are stars; every round is written out.
     """
     edges = common.materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
+    while not _are_stars(edges):
         # large star: neighbours above a node go to its smallest neighbour or itself
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         # small star: neighbours below a node, and the node, go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(low.hint("merge"), "u")
-        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        met = _with_least(large)
+        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = common.materialize(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        seen = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u has one v and no v is a u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("centre")).union(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("centre")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("centre").alias("centre")).where("up + centre > 1").isEmpty()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
