@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillon.functions.mathcols import clamp, logit, normal_cdf, probit, sigmoid
@@ -113,18 +113,21 @@ def asset_forecast(markets: DataFrame, other: DataFrame | None = None, horizon:
     return rows.select("asset", "markets", "forecast", "sigma", (c("forecast") - 1.96 * c("sigma")).alias("low"), (c("forecast") + 1.96 * c("sigma")).alias("high"), score.alias("score"), grade(score).alias("grade"))
 
 
-_LADDER = Window.partitionBy("asset").orderBy("price")
+
+def _ladder() -> WindowSpec:
+    return Window.partitionBy("asset").orderBy("price")
+
 
 
 def ladder_is_clean(ladder: DataFrame, tol: float = 0.05) -> DataFrame:
     """Two or more levels, distinct prices, and no upward step of the probability above tol."""
-    rows = ladder.withColumn("up", c("probability") - F.lag("probability").over(_LADDER))
+    rows = ladder.withColumn("up", c("probability") - F.lag("probability").over(_ladder()))
     return rows.groupBy("asset").agg(F.count(F.lit(1)).alias("levels"), ((F.count(F.lit(1)) >= 2) & (F.countDistinct("price") == F.count(F.lit(1))) & (F.coalesce(F.max("up"), F.lit(0.0)) <= tol)).alias("clean"))
 
 
 def ladder_forecast(ladder: DataFrame) -> DataFrame:
     """Mean and deviation from bucket masses at midpoints; the open ends sit half a mean stride outside."""
-    rows = ladder.withColumns({"next_p": F.lead("probability").over(_LADDER), "next_price": F.lead("price").over(_LADDER), "i": F.row_number().over(_LADDER), "n": F.count(F.lit(1)).over(Window.partitionBy("asset"))})
+    rows = ladder.withColumns({"next_p": F.lead("probability").over(_ladder()), "next_price": F.lead("price").over(_ladder()), "i": F.row_number().over(_ladder()), "n": F.count(F.lit(1)).over(Window.partitionBy("asset"))})
     span = Window.partitionBy("asset")
     stride = (F.max("price").over(span) - F.min("price").over(span)) / F.greatest(c("n") - 1, F.lit(1))
     rows = rows.withColumn("stride", stride)
@@ -152,7 +155,7 @@ def survival_at(ladder: DataFrame, points: DataFrame) -> DataFrame:
 
 def price_at_probability(ladder: DataFrame, levels: tuple[float, ...] = (0.5, 0.3, 0.9, 0.2, 0.8)) -> DataFrame:
     """Price at which the ladder crosses each probability, interpolated inside the bracketing step."""
-    rows = ladder.withColumns({"p1": F.lead("probability").over(_LADDER), "x1": F.lead("price").over(_LADDER)}).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    rows = ladder.withColumns({"p1": F.lead("probability").over(_ladder()), "x1": F.lead("price").over(_ladder())}).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
     met = rows.where((c("probability") >= c("level")) & (c("p1") < c("level")))
     at = c("price") + (c("x1") - c("price")) * (c("probability") - c("level")) / (c("probability") - c("p1"))
     return met.groupBy("asset", "level").agg(F.min(at).alias("price"))
@@ -186,7 +189,7 @@ def spike_flags(snapshots: DataFrame, jump: float = 0.08, volume: float = 100_00
     return snapshots.select("event_id", "market_id", F.coalesce((F.abs(move) > jump) & (c("volume24h") < volume), F.lit(False)).alias("spike"))
 
 
-def _ago(hours: int) -> Window:
+def _ago(hours: int) -> WindowSpec:
     return Window.partitionBy("market_id").orderBy(F.unix_micros("captured_at")).rangeBetween(-hours * 3_600_000_000, 0)
 
 

@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillon.functions.mathcols import clamp, normal_cdf
 
 STATES = ("bull", "bear", "sideways")
-_TIME = Window.partitionBy("series").orderBy("d")
-_ALL = Window.partitionBy("series")
 
 
-def _back(n: int, end: int = 0) -> Window:
-    return _TIME.rowsBetween(-n, end)
+def _all() -> WindowSpec:
+    return Window.partitionBy("series")
+
+
+def _time() -> WindowSpec:
+    return _all().orderBy("d")
+
+
+def _back(n: int, end: int = 0) -> WindowSpec:
+    return _time().rowsBetween(-n, end)
 
 
 def simple_returns(prices: DataFrame) -> DataFrame:
     """(p - previous p) / previous p; the first row of a series has none and is left out."""
-    before = F.lag("close").over(_TIME)
+    before = F.lag("close").over(_time())
     return prices.withColumn("r", (F.col("close") - before) / before).where("r is not null").select("series", "d", "r")
 
 
 def log_returns(prices: DataFrame) -> DataFrame:
-    return prices.withColumn("lr", F.log(F.col("close") / F.lag("close").over(_TIME))).where("lr is not null").select("series", "d", "lr")
+    return prices.withColumn("lr", F.log(F.col("close") / F.lag("close").over(_time()))).where("lr is not null").select("series", "d", "lr")
 
 
 def volatility(r: Column, periods: int = 252) -> Column:
@@ -38,14 +44,14 @@ def sharpe(r: Column, rf: float = 0.05, periods: int = 252) -> Column:
 
 def tail_risk(returns: DataFrame, level: float = 0.95) -> DataFrame:
     """Historical value at risk (minus the k-th smallest return, k = max(1, round((1 - level) n))) and expected shortfall (minus the mean of the k smallest)."""
-    n = F.count(F.lit(1)).over(_ALL)
+    n = F.count(F.lit(1)).over(_all())
     k = F.greatest(F.lit(1), F.floor((1 - level) * n + 0.5))
-    ranked = returns.withColumn("k", k).withColumn("i", F.row_number().over(_ALL.orderBy("r", "d"))).where("i <= k")
+    ranked = returns.withColumn("k", k).withColumn("i", F.row_number().over(_all().orderBy("r", "d"))).where("i <= k")
     return ranked.groupBy("series").agg((-F.max("r")).alias("var"), (-F.avg("r")).alias("shortfall"))
 
 
 def max_drawdown(prices: DataFrame) -> DataFrame:
-    peak = F.max("close").over(_TIME.rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max("close").over(_time().rowsBetween(Window.unboundedPreceding, 0))
     return prices.withColumn("dd", (peak - F.col("close")) / peak).groupBy("series").agg(F.max("dd").alias("max_drawdown"))
 
 
@@ -86,16 +92,16 @@ def rolling_z(prices: DataFrame, window: int = 90, direction: int = 1) -> DataFr
 
 
 def change_over(prices: DataFrame, rows: int = 20) -> DataFrame:
-    base = F.lag("close", rows).over(_TIME)
+    base = F.lag("close", rows).over(_time())
     return prices.select("series", "d", F.when(base != 0, F.col("close") / base - 1).alias("change"))
 
 
 def momentum(prices: DataFrame, lookback: int = 20) -> DataFrame:
     """Annualised velocity, half-window acceleration and the R2 of a line through the log prices."""
     half, lp = lookback // 2, F.log("close")
-    numbered = prices.withColumns({"lp": lp, "i": F.row_number().over(_TIME).cast("double")})
-    v = (F.col("lp") - F.lag("lp", lookback).over(_TIME)) / lookback * 252
-    late, early = F.col("lp") - F.lag("lp", half).over(_TIME), F.lag("lp", half).over(_TIME) - F.lag("lp", 2 * half).over(_TIME)
+    numbered = prices.withColumns({"lp": lp, "i": F.row_number().over(_time()).cast("double")})
+    v = (F.col("lp") - F.lag("lp", lookback).over(_time())) / lookback * 252
+    late, early = F.col("lp") - F.lag("lp", half).over(_time()), F.lag("lp", half).over(_time()) - F.lag("lp", 2 * half).over(_time())
     r2 = F.regr_r2("lp", "i").over(_back(lookback))
     return numbered.select("series", "d", v.alias("velocity"), ((late - early) / half).alias("acceleration"), r2.alias("r2")).where("velocity is not null")
 
@@ -103,8 +109,8 @@ def momentum(prices: DataFrame, lookback: int = 20) -> DataFrame:
 def ensemble_signal(prices: DataFrame) -> DataFrame:
     """Mean reversion, trend and volatility votes over windows of 20 and 5 rows; the direction that two of three share."""
     ma20, sd20, ma5 = F.avg("close").over(_back(19)), F.stddev_pop("close").over(_back(19)), F.avg("close").over(_back(4))
-    r = F.col("close") / F.lag("close").over(_TIME) - 1
-    rows = prices.withColumns({"r": r, "n": F.row_number().over(_TIME), "z": F.when(sd20 > 1e-12, (F.col("close") - ma20) / sd20).otherwise(0.0), "trend": ma5 / ma20 - 1})
+    r = F.col("close") / F.lag("close").over(_time()) - 1
+    rows = prices.withColumns({"r": r, "n": F.row_number().over(_time()), "z": F.when(sd20 > 1e-12, (F.col("close") - ma20) / sd20).otherwise(0.0), "trend": ma5 / ma20 - 1})
     ratio = F.stddev_pop("r").over(_back(4)) / F.stddev_pop("r").over(_back(19))
     rows = rows.withColumn("vol_ratio", F.coalesce(ratio, F.lit(1.0)))
     votes = -F.signum(F.when(F.abs("z") > 1, F.col("z")).otherwise(0.0)) + F.signum("trend") + F.when(F.col("vol_ratio") < 1, F.signum("trend")).otherwise(0.0)
@@ -113,7 +119,7 @@ def ensemble_signal(prices: DataFrame) -> DataFrame:
 
 def adaptive_threshold(returns: DataFrame, share: float = 0.5, least: float = 0.001) -> DataFrame:
     """max(least, share times the upper median of absolute returns); upper median: place floor(n/2) + 1."""
-    by_size = returns.withColumn("i", F.row_number().over(_ALL.orderBy(F.abs("r"), "d"))).withColumn("n", F.count(F.lit(1)).over(_ALL))
+    by_size = returns.withColumn("i", F.row_number().over(_all().orderBy(F.abs("r"), "d"))).withColumn("n", F.count(F.lit(1)).over(_all()))
     return by_size.where("i = floor(n / 2) + 1").select("series", F.greatest(F.lit(least), share * F.abs("r")).alias("threshold"))
 
 
@@ -135,12 +141,12 @@ def transition_matrix(states: DataFrame, decay: float = 1.0, min_obs: int = 30)
 
     Series with fewer than min_obs states get 0.6 on the diagonal and 0.2 elsewhere.
     """
-    age = F.row_number().over(_ALL.orderBy(F.desc("d"))) - 1
-    moves = states.select("series", F.col("state").alias("state_to"), F.lag("state").over(_TIME).alias("state_from"), age.alias("age"), F.count(F.lit(1)).over(_ALL).alias("n"))
+    age = F.row_number().over(_all().orderBy(F.desc("d"))) - 1
+    moves = states.select("series", F.col("state").alias("state_to"), F.lag("state").over(_time()).alias("state_from"), age.alias("age"), F.count(F.lit(1)).over(_all()).alias("n"))
     moves = moves.withColumn("weight", F.when(F.col("state_from").isNotNull(), F.pow(F.lit(decay), "age")).otherwise(0.0))
     moves = moves.withColumn("state_from", F.coalesce("state_from", "state_to"))
     counts = _with_all_states(moves.groupBy("series", "state_from", "state_to").agg(F.sum("weight").alias("weight"), F.max("n").alias("own")), "series")
-    n = F.max("own").over(_ALL)
+    n = F.max("own").over(_all())
     mass = F.coalesce("weight", F.lit(0.0)) + F.greatest(F.lit(0.01), 5 / n)
     rows = counts.select("series", "state_from", "state_to", mass.alias("mass"), n.alias("n"))
     p = F.col("mass") / F.sum("mass").over(Window.partitionBy("series", "state_from"))
@@ -205,8 +211,8 @@ def state_counts(states: DataFrame, sparse_below: int = 5) -> DataFrame:
 
 def regime_run_length(states: DataFrame) -> DataFrame:
     """Length of the run of equal states that ends a series."""
-    flagged = states.withColumn("change", F.coalesce((F.col("state") != F.lag("state").over(_TIME)).cast("int"), F.lit(0)))
-    islands = flagged.withColumn("island", F.sum("change").over(_TIME)).groupBy("series", "island").agg(F.count(F.lit(1)).alias("run"), F.max("state").alias("state"))
+    flagged = states.withColumn("change", F.coalesce((F.col("state") != F.lag("state").over(_time())).cast("int"), F.lit(0)))
+    islands = flagged.withColumn("island", F.sum("change").over(_time())).groupBy("series", "island").agg(F.count(F.lit(1)).alias("run"), F.max("state").alias("state"))
     return islands.groupBy("series").agg(F.max_by("state", "island").alias("state"), F.max_by("run", "island").alias("run"))
 
 
@@ -229,7 +235,7 @@ def regime_stats(states: DataFrame, least: int = 5, cap: float = 0.004) -> DataF
 
 def regime_up_rates(states: DataFrame, horizon: int = 5) -> DataFrame:
     """Share of rows in each state after which the next `horizon` log returns sum above zero; 0.5 where there is none."""
-    ahead = _TIME.rowsBetween(1, horizon)
+    ahead = _time().rowsBetween(1, horizon)
     rows = states.withColumns({"s": F.sum(F.log1p("r")).over(ahead), "k": F.count("r").over(ahead)}).where(F.col("k") == horizon)
     rates = rows.groupBy("series", "state").agg(F.avg((F.col("s") > 0).cast("double")).alias("u"))
     every = states.select("series").distinct().withColumn("state", F.explode(F.array(*map(F.lit, STATES))))
@@ -238,7 +244,7 @@ def regime_up_rates(states: DataFrame, horizon: int = 5) -> DataFrame:
 
 def structural_break(states: DataFrame, threshold: float = 0.05, least: int = 36) -> DataFrame:
     """Squared Frobenius distance between the transition matrices of the two halves of a series."""
-    n, i = F.count(F.lit(1)).over(_ALL), F.row_number().over(_TIME)
+    n, i = F.count(F.lit(1)).over(_all()), F.row_number().over(_time())
     halves = states.withColumns({"n": n, "i": i}).where(F.col("n") >= least)
     first = transition_matrix(halves.where("i <= floor(n / 2)").select("series", "d", "state"), min_obs=1).withColumnRenamed("p", "a")
     second = transition_matrix(halves.where("i > floor(n / 2)").select("series", "d", "state"), min_obs=1).withColumnRenamed("p", "b")
@@ -248,7 +254,7 @@ def structural_break(states: DataFrame, threshold: float = 0.05, least: int = 36
 
 def transition_gof(states: DataFrame, matrix: DataFrame) -> DataFrame:
     """Chi-square of observed transitions against the matrix (rows of 5 or more, cells with 1 or more expected), with a Wilson-Hilferty p."""
-    moves = states.select("series", F.lag("state").over(_TIME).alias("state_from"), F.col("state").alias("state_to")).where("state_from is not null")
+    moves = states.select("series", F.lag("state").over(_time()).alias("state_from"), F.col("state").alias("state_to")).where("state_from is not null")
     seen = moves.groupBy("series", "state_from", "state_to").agg(F.count(F.lit(1)).alias("o"))
     cells = matrix.join(seen, ["series", "state_from", "state_to"], "left").withColumn("o", F.coalesce("o", F.lit(0)))
     cells = cells.withColumn("row", F.sum("o").over(Window.partitionBy("series", "state_from"))).withColumn("e", F.col("row") * F.col("p")).where("row >= 5 and e >= 1")
@@ -278,7 +284,7 @@ def garch(returns: DataFrame, horizon: int = 10, alpha: float = 0.10, beta: floa
 
 def jump_days(prices: DataFrame, k: float = 3.0) -> DataFrame:
     """Days whose log return lies beyond k deviations: count, mean and deviation."""
-    lr = log_returns(prices).withColumn("sd", F.stddev_samp("lr").over(_ALL)).withColumn("m", F.avg("lr").over(_ALL))
+    lr = log_returns(prices).withColumn("sd", F.stddev_samp("lr").over(_all())).withColumn("m", F.avg("lr").over(_all()))
     hit = F.abs(F.col("lr") - F.col("m")) > k * F.col("sd")
     return lr.groupBy("series").agg(F.count_if(hit).alias("jumps"), F.avg(F.when(hit, F.col("lr"))).alias("mean_jump"), F.stddev_pop(F.when(hit, F.col("lr"))).alias("sd_jump"))
 
@@ -288,7 +294,7 @@ def ks_distance(returns: DataFrame, split: Column) -> DataFrame:
     rows = returns.select("series", "r", split.cast("int").alias("s"))
     by_value = rows.groupBy("series", "r").agg(F.sum("s").alias("a"), F.sum(1 - F.col("s")).alias("b"))
     run = Window.partitionBy("series").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    gaps = by_value.withColumn("gap", F.abs(F.sum("a").over(run) / F.sum("a").over(_ALL) - F.sum("b").over(run) / F.sum("b").over(_ALL)))
+    gaps = by_value.withColumn("gap", F.abs(F.sum("a").over(run) / F.sum("a").over(_all()) - F.sum("b").over(run) / F.sum("b").over(_all())))
     return gaps.groupBy("series").agg(F.max("gap").alias("ks"))
 
 
@@ -302,7 +308,7 @@ def drift_points(returns: DataFrame, recent: int = 50, reference: int = 50, alph
     Each row is dealt to the splits whose windows hold it, so the join is an equi-join and the fan-out is bounded.
     """
     limit = KS_CRITICAL[alpha] * ((recent + reference) / (recent * reference)) ** 0.5
-    rows = returns.withColumns({"i": F.row_number().over(_TIME), "n": F.count(F.lit(1)).over(_ALL)})
+    rows = returns.withColumns({"i": F.row_number().over(_time()), "n": F.count(F.lit(1)).over(_all())})
     low = F.greatest(F.ceil((F.col("i") - recent) / stride), F.lit(-(-reference // stride)))
     high = F.least(F.floor((F.col("i") + reference - 1) / stride), F.floor((F.col("n") - recent) / stride))
     dealt = rows.where(low <= high).withColumn("step", F.explode(F.sequence(low, high))).withColumn("split", F.col("step") * stride)
@@ -314,7 +320,7 @@ def drift_points(returns: DataFrame, recent: int = 50, reference: int = 50, alph
 def drift_trim(returns: DataFrame, least: int = 60, **kw) -> DataFrame:
     """Rows after the detected change point, at least `least` of them."""
     points = drift_points(returns, **kw)
-    n, back = F.count(F.lit(1)).over(_ALL), F.row_number().over(_ALL.orderBy(F.desc("d")))
+    n, back = F.count(F.lit(1)).over(_all()), F.row_number().over(_all().orderBy(F.desc("d")))
     rows = returns.withColumns({"n": n, "back": back}).join(points, "series", "left")
     keep = F.when(F.col("split").isNull(), F.col("n")).otherwise(F.greatest(F.lit(least), F.col("n") - F.col("split")))
     return rows.where(F.col("back") <= keep).select("series", "d", "r")
@@ -322,13 +328,13 @@ def drift_trim(returns: DataFrame, least: int = 60, **kw) -> DataFrame:
 
 def first_convergence(prob: DataFrame, eps: float = 0.05) -> DataFrame:
     """First row of each series at which the probability passes 1 - eps (yes) or eps (no)."""
-    hit = prob.withColumn("i", F.row_number().over(_TIME) - 1).where((F.col("p") > 1 - eps) | (F.col("p") < eps))
+    hit = prob.withColumn("i", F.row_number().over(_time()) - 1).where((F.col("p") > 1 - eps) | (F.col("p") < eps))
     return hit.groupBy("series").agg(F.min("i").alias("first"), F.min_by(F.when(F.col("p") > 1 - eps, "yes").otherwise("no"), "i").alias("side"))
 
 
 def segment_windows(returns: DataFrame, size: int = 48, stride: int = 24) -> DataFrame:
     """Hopping windows by row number, with a final window over the tail if the last full one ends before it."""
-    rows = returns.withColumns({"i": F.row_number().over(_TIME) - 1, "n": F.count(F.lit(1)).over(_ALL)}).where(F.col("n") >= size)
+    rows = returns.withColumns({"i": F.row_number().over(_time()) - 1, "n": F.count(F.lit(1)).over(_all())}).where(F.col("n") >= size)
     last = F.floor((F.col("n") - size) / stride)
     low, high = F.greatest(F.ceil((F.col("i") - size + 1) / stride), F.lit(0)), F.least(F.floor(F.col("i") / stride), last)
     hops = rows.where(low <= high).select("series", "d", "r", F.explode(F.sequence(low, high)).alias("w"))
