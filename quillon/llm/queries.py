@@ -66,7 +66,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+
+
+def _crc_table() -> list[int]:
+    """The byte table of CRC-32, from its polynomial."""
+    out = []
+    for b in range(256):
+        for _ in range(8):
+            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+        out.append(b)
+    return out
+
+
+_GRID = ", ".join(f"('{r}', {i}, {v}::DOUBLE)" for r, g in quality.GRIDS.items() for i, v in enumerate(g))
+_RULES = list(quality.GRIDS)
+_P = quality.ALPHA / len(_RULES)
+
 ORACLES: dict[str, str] = {
+    "op1_risk_controlled_rules": rf"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT rid, [x FOR x IN regexp_split_to_array(text, '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM d),
+        tri AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM w, unnest(range(1, len(w) - 1)) u(i)),
+        dup AS (SELECT rid, i FROM tri QUALIFY count(*) OVER (PARTITION BY rid, t) > 1),
+        cov AS (SELECT rid, count(DISTINCT p) AS n FROM dup, unnest([i, i + 1, i + 2]) u(p) GROUP BY 1),
+        li AS (SELECT rid, count(*) AS n, count(DISTINCT l) AS nd FROM (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+        f AS (SELECT d.rid, d.doc_id, d.lang, len(w.w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+            coalesce(li.n - li.nd, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(li.n, 0)::BIGINT AS n_lines FROM d JOIN w USING (rid) LEFT JOIN cov USING (rid) LEFT JOIN li USING (rid)),
+        g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / greatest(word_chars, 1) AS symbol_share, n_dup_lines / greatest(n_lines, 1) AS dup_line_share, n_repeat_words / greatest(n_words, 1) AS repeat_share FROM f),
+        lb AS (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1),
+        h0 AS (SELECT g.*, lb.good FROM g JOIN lb USING (doc_id) WHERE NOT base_failed),
+        top AS (SELECT lang FROM (SELECT lang, row_number() OVER (ORDER BY count(*) DESC, lang NULLS FIRST) AS r FROM h0 WHERE good GROUP BY 1) WHERE r <= {quality.STRATA} AND lang IS NOT NULL),
+        h AS (SELECT top.lang AS stratum, good, symbol_share, dup_line_share, repeat_share FROM h0 LEFT JOIN top ON h0.lang = top.lang),
+        v AS (SELECT stratum, good, unnest(['symbol_share', 'dup_line_share', 'repeat_share']) AS rule, unnest([symbol_share, dup_line_share, repeat_share]) AS value FROM h),
+        k AS (SELECT stratum, v.rule, step, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad, count(*) FILTER (good AND value > cutoff) AS k, count(*) FILTER (NOT good AND value > cutoff) AS k_bad FROM v JOIN (VALUES {_GRID}) q(rule, step, cutoff) ON q.rule = v.rule GROUP BY ALL),
+        p AS (SELECT *, CASE WHEN k > n * {_P} THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_P}) + (n - j) * ln(1 - {_P}))) FROM range(0, k + 1) r(j)) END AS pv, (SELECT count(DISTINCT coalesce(stratum, chr(0))) FROM h) AS strata FROM k),
+        t AS (SELECT *, sum((pv > {quality.DELTA} / (strata * {len(_RULES)}))::INT) OVER (PARTITION BY stratum, rule ORDER BY step) AS failed FROM p),
+        c AS (SELECT stratum, rule, max_by(cutoff, step) AS cutoff FROM t WHERE failed = 0 AND n_bad > 0 AND k_bad * (n + 1) >= {quality.LIFT} * (k + 1) * n_bad GROUP BY ALL),
+        cw AS (SELECT stratum, {", ".join(f"max(cutoff) FILTER (rule = '{r}') AS {r}_cutoff" for r in _RULES)} FROM c GROUP BY 1)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(f"NOT coalesce({r} > {r}_cutoff, false)" for r in _RULES)} AS kept,
+            {", ".join(_RULES)}, {", ".join(f"{r}_cutoff" for r in _RULES)} FROM g LEFT JOIN top ON g.lang = top.lang LEFT JOIN cw ON cw.stratum IS NOT DISTINCT FROM top.lang""",
+    "op2_prefix_shards": f"""
+        WITH t AS (SELECT {_crc_table()}::BIGINT[] AS t), b AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+        c AS (SELECT doc_id, strlen(text)::BIGINT + 8 AS size, xor(list_reduce([4294967295] || [('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(encode(text)), '..')], lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b CROSS JOIN t),
+        s AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM c),
+        h AS (SELECT *, least(23, (2 * before + size) * 24 // (2 * total))::INT AS shard FROM s)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, NULL::INT AS grown_shard FROM h""",
     "op3_tree_merge_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -76,7 +120,7 @@ ORACLES: dict[str, str] = {
         s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w FROM d GROUP BY source),
         o AS (SELECT *, 2.0::DOUBLE * source_size / w AS stop, sum(2.0::DOUBLE * source_size) OVER a - 2.0::DOUBLE * source_size AS held, sum(w) OVER () - (sum(w) OVER a - w) AS open, sum(source_size) OVER () AS total
               FROM s WINDOW a AS (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
-        l AS (SELECT min((1.5::DOUBLE * total - held) / open) AS level FROM o WHERE (1.5::DOUBLE * total - held) / open <= stop),
+        l AS (SELECT (1.5::DOUBLE * total - held) / open AS level FROM o WHERE (1.5::DOUBLE * total - held) / open <= stop ORDER BY stop, source NULLS LAST LIMIT 1),
         t AS (SELECT source, source_size, least(w * level, 2.0::DOUBLE * source_size) AS target FROM s, l),
         r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + (('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE < rate - floor(rate))::BIGINT) AS taken FROM r""",

@@ -23,9 +23,9 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
     )
     rows = common.with_prefix(rows, [F.col("doc_id"), F.col("size"), F.col("text_crc32")], F.col("size"), "shard-sizes")
-    # in 128-bit decimals: the product of a corpus' bytes and the shard count may pass 2^63
-    middle = (2 * F.col("_before") + F.col("size")).cast("decimal(38,0)") * shards
-    rows = rows.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle / (2 * F.col("_total")))).cast("int"))
+    # in decimals, whose integer division is exact: the product of a corpus' bytes and the shard count may pass 2^63
+    cut = F.expr(f"cast(2 * _before + size as decimal(38,0)) * {int(shards)} div cast(2 * _total as decimal(38,0))")
+    rows = rows.withColumn("shard", F.least(F.lit(shards - 1).cast("long"), cut).cast("int"))
     rows = common.materialize(rows, "shards")
     firsts = rows.groupBy("shard").agg(F.min("_index").alias("_first")).withColumnRenamed("shard", "_s")  # `shards` rows
     out = rows.join(F.broadcast(firsts), F.col("shard") == F.col("_s"))
