@@ -161,3 +161,32 @@ def segment_moments(windows: DataFrame) -> DataFrame:
     rows = windows.withColumns({f"x{k}": F.lag("r", k).over(time) for k in (1, 2, 3)}).where("x3 is not null").withColumn("x0", F.lit(1.0))
     xs = ["x0", "x1", "x2", "x3"]
     return rows.groupBy("series", "w").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c(a) * c(b)).alias(f"s_{a}{b}") for i, a in enumerate(xs) for b in xs[i:]], *[F.sum(c(a) * c("r")).alias(f"s_{a}y") for a in xs])
+
+
+def reversal_probability(z_forecast: DataFrame, market_p: Column | None = None) -> DataFrame:
+    """Mass of easing by state (LOW from MODERATE; LOW or MODERATE from higher), blended .4 / .6 with .95 of a market's p."""
+    eased = F.when(c("state") == "LOW", 0.0).when(c("state") == "MODERATE", c("LOW")).otherwise(c("LOW") + c("MODERATE"))
+    out = eased if market_p is None else F.when(market_p.isNull(), eased).otherwise(clamp(0.4 * eased + 0.6 * 0.95 * market_p, 0, 1))
+    return z_forecast.select("series", out.alias("p"))
+
+
+def base_rate_floor(base_rate: Column, centre: Column, crypto_short: Column, multiplier: float = 1.0, floor: float = 0.35) -> tuple[Column, Column]:
+    """(margin, floor of the up probability): the margin grows from .05 to .10 with the base rate."""
+    m = F.when(crypto_short, multiplier).otherwise(1.0)
+    margin = F.greatest(0.05 * m, F.least(0.10 * m, 0.05 * m + (base_rate - 0.5) * 0.2 * m))
+    return margin, F.greatest(F.when(crypto_short, floor).otherwise(0.35), centre - margin)
+
+
+def soft_regime(mixture: DataFrame) -> DataFrame:
+    """Normalised entropy of a regime mixture, with its confidence multiplier and interval scale."""
+    part = lambda s: F.when(c(s) > 1e-12, -c(s) * F.log(s)).otherwise(0.0)
+    e = F.least(F.lit(1.0), (part("bull") + part("bear") + part("sideways")) / F.log(F.lit(3.0)))
+    return mixture.select("series", e.alias("entropy"), F.greatest(F.lit(0.65), 1 - 0.35 * e).alias("confidence"), (1 + 0.35 * e).alias("ci_scale"))
+
+
+def blend_mixtures(a: DataFrame, b: DataFrame, weight: float) -> DataFrame:
+    w = min(1.0, max(0.0, weight))
+    met = a.join(b.select("series", *[c(s).alias(f"_{s}") for s in S.STATES]), "series")
+    mixed = {s: (1 - w) * c(s) + w * c(f"_{s}") for s in S.STATES}
+    total = mixed["bull"] + mixed["bear"] + mixed["sideways"]
+    return met.select("series", *[F.when(total > 0, m / total).otherwise(c(s)).alias(s) for s, m in mixed.items()])

@@ -14,7 +14,7 @@ ORACLES: dict[str, str] = {}
 #: Views, in SQL that Spark and DuckDB both read; {name} is a table or another view.
 VIEWS = {
     "v_prices": "SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS close FROM {orders} GROUP BY 1, 2",
-    "v_prices_short": "SELECT user_id AS series, CAST(ts AS DATE) AS d, max_by(value, at) AS close FROM (SELECT user_id, ts, value, CAST(ts AS STRING) || lpad(CAST(event_id AS STRING), 12, '0') AS at FROM {events}) GROUP BY 1, 2",
+    "v_prices_short": "SELECT user_id AS series, CAST(ts AS DATE) AS d, max_by(value, moment) AS close FROM (SELECT user_id, ts, value, CAST(ts AS STRING) || lpad(CAST(event_id AS STRING), 12, '0') AS moment FROM {events}) GROUP BY 1, 2",
     "v_steps": """SELECT ticker, horizon, t, predicted_prob, predicted_return, actual_return, CASE WHEN actual_return > 0 THEN 1 ELSE 0 END AS y, realized_price,
         cur * (1 + predicted_return - 2 * tax) AS ci_lower, cur * (1 + predicted_return + 2 * tax) AS ci_upper, confidence,
         CASE WHEN predicted_return > 0.025 THEN 'BUY' WHEN predicted_return < -0.025 THEN 'SELL' ELSE 'HOLD' END AS recommendation,

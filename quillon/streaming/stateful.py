@@ -163,3 +163,52 @@ def incremental_index(batch: DataFrame, index_path: str) -> None:
             raise
         known = None
     (new if known is None else new.join(known, "hash", "left_anti")).write.mode("append").parquet(index_path)
+
+
+def adaptive_conformal(steps: DataFrame, target: float = 0.9, rate: float = 0.05, multiplier: float = 1.5, cooloff: int = 0) -> DataFrame:
+    """Final radius and coverage with a break mode: after a flag or a volatility shock the rate rises for `cooloff` rows.
+
+    A shock is realised volatility at or above `multiplier` times its moving average (until one exists, the residual's).
+    """
+    def step(a: Column, x: Column) -> Column:
+        baseline = F.coalesce(a.vol, a.res)
+        hit = x.is_break | F.coalesce((x.rv > 0) & (x.rv >= baseline * multiplier), F.lit(False))
+        broken = hit | (a.cool > 0)
+        miss = (x.residual > a.q).cast("double")
+        q = F.greatest(F.lit(0.0), a.q + F.when(broken, rate * multiplier).otherwise(rate) * (miss - (1 - target)))
+        cool = F.when(hit, F.lit(cooloff)).when(a.cool > 0, a.cool - 1).otherwise(a.cool)
+        res = F.when(a.res.isNull(), x.residual).otherwise(0.95 * a.res + 0.05 * x.residual)
+        vol = F.when(x.rv <= 0, a.vol).when(a.vol.isNull(), x.rv).otherwise(0.9 * a.vol + 0.1 * x.rv)
+        return F.struct(q.alias("q"), cool.alias("cool"), res.alias("res"), vol.alias("vol"), (a.hit + 1 - miss).alias("hit"), (a.broken + broken.cast("int")).alias("broken"), (a.n + 1.0).alias("n"))
+
+    none = F.lit(None).cast("double")
+    zero = F.struct(F.lit(0.1).alias("q"), F.lit(0).alias("cool"), none.alias("res"), none.alias("vol"), F.lit(0.0).alias("hit"), F.lit(0).alias("broken"), F.lit(0.0).alias("n"))
+    out = ordered_fold(steps, ["ticker", "horizon"], ["t"], ["residual", "rv", "is_break"], zero, step, lambda a: F.struct(a.q.alias("radius"), (a.hit / a.n).alias("coverage"), a.broken.alias("breaks")))
+    return out.select("ticker", "horizon", "state.*")
+
+
+class EntropyZ(StatefulProcessor):
+    """Streaming z-scores against a key's last 60 earlier values, which are its state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("values", "v array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
+        held = list(self.state.get()[0]) if self.state.exists() else []
+        for frame in rows:
+            frame, out = frame.sort_values(["d"]), []
+            for x in frame["x"]:
+                s = pd.Series(held)
+                sd = s.std(ddof=0) if len(held) >= 5 else 0.0
+                out.append((float(x) - s.mean()) / sd if sd > 1e-12 else 0.0)
+                held = (held + [float(x)])[-60:]
+            yield pd.DataFrame({"series": key[0], "d": frame["d"].to_numpy(), "z": out})
+        self.state.update((held,))
+
+    def close(self) -> None:
+        pass
+
+
+def rolling_entropy_z_stream(values: DataFrame) -> DataFrame:
+    """(series, d, x) to z, the streaming twin of series.entropy_z; needs the RocksDB state store."""
+    return values.groupBy("series").transformWithStateInPandas(EntropyZ(), "series string, d date, z double", "Append", "None")
