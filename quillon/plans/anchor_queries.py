@@ -32,7 +32,8 @@ query("mkt_34_nudge_row", "v_prices", sql=f"""WITH {_S}, {_STATES}, {_matrix()},
     lambda p: (lambda s: N.nudge_row(S.transition_matrix(s), s.groupBy("series").agg(F.max_by("state", "d").alias("state")), W.start_state_mixture(s), 4, 60.0))(_states(p)))
 query("mkt_43_two_pass_platt", "v_steps")(lambda s: L.two_pass_platt(s.select("regime", c("predicted_prob").alias("p"), "y"), iterations=15))
 query("mkt_44_freeze_selection", "v_markets", sql="SELECT asset AS bundle_id, count(*) AS n, min(market_id) AS first FROM {v_markets} WHERE market_id % 3 = 0 GROUP BY 1")(lambda m: N.freeze_selection(m.select("market_id", "probability"), m.where("market_id % 3 = 0").groupBy(c("asset").alias("bundle_id")).agg(F.collect_list("market_id").alias("ids"))).select("bundle_id", "n", F.get("markets", F.lit(0)).market_id.alias("first")))
-query("agg_11_mixture_crps", "v_ladder", sql="""WITH y AS (SELECT asset, 1003.3::DOUBLE AS y FROM {v_ladder} GROUP BY 1), n AS (SELECT asset, price, 1 - probability AS f FROM {v_ladder} UNION ALL SELECT l.asset, y, max_by(1 - probability, price) FILTER (price <= y) + (min_by(1 - probability, price) FILTER (price > y) - max_by(1 - probability, price) FILTER (price <= y)) * (y - max(price) FILTER (price <= y)) / (min(price) FILTER (price > y) - max(price) FILTER (price <= y)) FROM {v_ladder} l JOIN y ON l.asset = y.asset GROUP BY l.asset, y),
+query("agg_11_mixture_crps", "v_ladder", sql="""WITH k AS (SELECT asset, max(price) FILTER (price <= 1003.3::DOUBLE) AS x0, max_by(1 - probability, price) FILTER (price <= 1003.3::DOUBLE) AS f0, min(price) FILTER (price > 1003.3::DOUBLE) AS x1, min_by(1 - probability, price) FILTER (price > 1003.3::DOUBLE) AS f1 FROM {v_ladder} GROUP BY 1),
+    n AS (SELECT asset, price, 1 - probability AS f FROM {v_ladder} UNION ALL SELECT asset, 1003.3::DOUBLE, CASE WHEN x0 IS NULL THEN f1 WHEN x1 IS NULL THEN f0 ELSE f0 + (f1 - f0) * (1003.3::DOUBLE - x0) / (x1 - x0) END FROM k),
     g AS (SELECT asset, price, (f - (price >= 1003.3::DOUBLE)::INT) ** 2 AS g FROM n), h AS (SELECT asset, 0.5 * (g + lead(g) OVER w) * (lead(price) OVER w - price) AS a FROM g WINDOW w AS (PARTITION BY asset ORDER BY price)) SELECT asset, round(sum(a), 6) AS crps FROM h GROUP BY 1""")(
     lambda x: N.mixture_crps(x.select("asset").distinct().withColumn("y", F.lit(1003.3)), x.select("asset", "price", c("probability").alias("survival")), "asset").withColumn("crps", F.round("crps", 6)))
 query("agg_12_tail_weighted_mixture_crps", "v_ladder")(
