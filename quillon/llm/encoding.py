@@ -19,7 +19,7 @@ import regex
 from tokenizers import Tokenizer, models
 
 #: Most words kept by one worker.
-WORDS = 1_000_000
+WORDS = 300_000
 _ready: dict[str, Callable] = {}
 
 

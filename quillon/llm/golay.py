@@ -27,8 +27,11 @@ def decoder() -> np.ndarray:
     every = np.concatenate(errors)
     error = np.zeros(2048, np.uint32)
     error[_remainder(every)] = every
-    words = np.arange(1 << 23, dtype=np.uint32)
-    return ((words ^ error[_remainder(words)]) >> np.uint32(11)).astype(np.uint16)
+    table = np.empty(1 << 23, np.uint16)
+    for start in range(0, len(table), 1 << 19):  # in parts, so that a worker never holds large temporaries
+        words = np.arange(start, start + (1 << 19), dtype=np.uint32)
+        table[start : start + len(words)] = (words ^ error[_remainder(words)]) >> np.uint32(11)
+    return table
 
 
 def keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
