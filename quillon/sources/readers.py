@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 c = F.col
 SNAPSHOT = "marketId string, question string, probability double, volume24h double, endDate string, capturedAt string, bid double, ask double"
+# fixed values: the field names of the recorded files
 MARKET = "struct<marketId:string,assetId:string,question:string,probability:double,volume24h:double,endDate:string,semantics:string,extractedPriceLevels:array<double>>"
 BUNDLE = f"capturedAt string, ticker string, horizonDays int, currentPrice double, polymarket struct<selectedMarketIds:array<string>,selectedMarkets:array<{MARKET}>>, warnings array<string>, labels struct<forecast:struct<realizedPrice:double,realizedReturn:double,actualBinary:int,labeledAt:string>,semantic:array<struct<marketId:string,semantics:string,outcome:string,labeledAt:string>>>"
 
