@@ -11,9 +11,11 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, pre_tokenizers
 
-from quillon.llm.encoding import WORDS, chunks, tokenizer_path
+from quillon.llm.encoding import chunks, tokenizer_path
 
 RULES = ("first", "last", "most")
+#: Most pieces kept by one worker.
+PIECES = 1_000_000
 SECTIONS = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long, n_doc_tokens long"
 #: The splitting pattern that byte-level tokenizers name only by a flag; a fixed value.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -27,7 +29,7 @@ class _Spans(dict):
         self.encode = tokenizer.encode
 
     def __missing__(self, piece: str) -> tuple[bytes, bytes]:
-        if len(self) >= WORDS:
+        if len(self) >= PIECES:
             self.clear()
         spans = np.array(self.encode(piece, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
         found = spans[:, 0].tobytes(), spans[:, 1].tobytes()
