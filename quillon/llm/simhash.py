@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillon.llm import common, golay
 from quillon.llm.encoding import chunks
@@ -48,15 +49,16 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every row; null text: no words."""
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the kept columns and fingerprint (as a signed long) of every row; null text: no words."""
+    kept = docs.select("doc_id", *keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x) for _, texts in chunks(batch) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in ("doc_id", *keep)], pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", *keep, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return kept.mapInArrow(run, StructType([*kept.schema.fields[:-1], StructField("fp", LongType())]))
 
 
 def key_rows(fps: DataFrame) -> DataFrame:
@@ -175,10 +177,10 @@ def hot_links(fps: DataFrame) -> DataFrame:
     return near.select("a", F.explode("all").alias("b")).where("a <> b").distinct()
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with m, the smallest v of u. A hub's edges lie in SALTS parts and never meet in one task."""
+def _with_least(edges: DataFrame, value: str = "v") -> DataFrame:
+    """Edges (u, v) with m, the smallest value of u. A hub's edges lie in SALTS parts and never meet in one task."""
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    part = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    part = salted.groupBy("u", "salt").agg(F.min(value).alias("m"))
     low = part.groupBy("u").agg(F.min("m").alias("m"))
     return salted.join(part.select("u", "salt").join(low.hint("merge"), "u").hint("merge"), ["u", "salt"]).drop("salt")
 
@@ -206,22 +208,33 @@ def _are_stars(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("centre").alias("centre")).where("up + centre > 1").isEmpty()
 
 
+def parts(docs: DataFrame, *keep: str) -> DataFrame:
+    """One row per document: doc_id, the kept columns, fp, part and component_id.
+
+    Nodes of the graph are the distinct fingerprints themselves, whatever the doc_ids of their rows: part is the
+    smallest fingerprint of the component, component_id the smallest doc_id in it (null if none has one).
+    """
+    rows = common.materialize(fingerprints(docs, *keep), "fingerprints")
+    fps = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    found = common.materialize(bucket_links(key_rows(fps.select("fp", F.col("fp").alias("node")))), "links")
+    links = found.where("not hot").select("a", "b")
+    hot = found.where("hot").select(F.col("a").alias("fp"), F.col("b").alias("node")).distinct()
+    if not hot.isEmpty():
+        links = links.union(hot_links(hot))
+    met = components(links).join(fps.withColumnRenamed("fp", "node").hint("merge"), "node")
+    met = common.materialize(met.select(F.col("component").alias("u"), F.col("node").alias("v"), "least"), "parts")
+    linked = _with_least(met, "least").select(F.col("v").alias("fp"), F.col("u").alias("part"), "m")
+    joined = fps.join(linked.hint("merge"), "fp", "left").select("fp", F.coalesce("part", "fp").alias("part"), F.when(F.col("part").isNull(), F.col("least")).otherwise(F.col("m")).alias("component_id"))
+    return rows.join(joined.hint("merge"), "fp", "left").select("doc_id", *keep, "fp", "part", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     Fingerprints link at three or fewer differing bits; the component is the smallest doc_id reachable. Links are
     searched between distinct fingerprints, so copies cost nothing, and rows of one text never meet in one task. Null or
     blank texts have fingerprint 0 and are linked like any other. Null doc_ids keep their row and count as larger than
-    all others (null component only if no other member has a doc_id). No documents: an empty result.
+    all others (null component only if no other member has a doc_id). Rows without a doc_id, or with the same one, are
+    linked by their texts only. No documents: an empty result.
     """
-    rows = common.materialize(fingerprints(docs), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(2**63 - 1)).alias("node"))
-    fps = common.materialize(distinct, "distinct-fingerprints")
-    found = common.materialize(bucket_links(key_rows(fps)), "links")
-    links = found.where("not hot").select("a", "b")
-    hot = found.where("hot").select(F.col("a").alias("fp"), F.col("b").alias("node")).distinct()
-    if not hot.isEmpty():
-        links = links.union(hot_links(hot))
-    joined = fps.join(components(links).hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = rows.join(joined.hint("merge"), "fp", "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component_id") < 2**63 - 1, F.col("component_id")).alias("component_id"))
+    return parts(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -428,6 +428,28 @@ def test_links_of_planted_fingerprints(spark, monkeypatch, direct):
     assert {n: got.get(n, n) for n in want} == want
 
 
+def test_near_duplicates_without_ids(spark):
+    """Rows without a doc_id, and texts of one doc_id, are nodes of their own."""
+    x, y = (" ".join(f"{p}{i}" for i in range(40)) for p in "xy")
+    found = spark.createDataFrame([(7, x), (None, x), (9, y), (None, y), (None, "p q r s"), (4, "some text here"), (4, "other words there")], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"]) for r in rows(simhash.near_duplicates(found)))
+    assert got == Counter([(7, 7), (None, 7), (9, 9), (None, 9), (None, None), (4, 4), (4, 4)])
+    loose = spark.createDataFrame([(None, "a b c d"), (None, "e f g h"), (7, x), (9, y)], "doc_id long, text string")
+    near = loose.union(spark.createDataFrame([(None, _within(x)), (None, _within(y))], "doc_id long, text string"))
+    got = Counter((r["doc_id"], r["component_id"]) for r in rows(simhash.near_duplicates(near)))
+    assert got == Counter([(None, None), (None, None), (7, 7), (None, 7), (9, 9), (None, 9)])
+
+
+def _within(text):
+    """Another text within three bits of the given one."""
+    words = text.split(" ")
+    for k in range(len(words)):
+        other = " ".join([*words[:k], words[k], *words[k:]])
+        if 0 < (brute_fingerprint(other) ^ brute_fingerprint(text)).bit_count() <= 3:
+            return other
+    raise AssertionError
+
+
 # 10: packing
 
 

@@ -47,5 +47,13 @@ def test_odd_rows(spark, odd, nothing, sf_dir):
         assert rows.count() >= 0
 
 
+def test_near_dedup_without_ids(spark, sf_dir):
+    """Unrelated texts without a doc_id stay, and so do two texts of one doc_id."""
+    rows = [(None, "a b c d"), (None, "e f g h"), (4, "some text here"), (4, "other words there"), (5, "i j k l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(rows)
+
+
 def test_crc_of_ids_is_unsigned():
     assert zlib.crc32(b"\xff" * 9) >= 0
