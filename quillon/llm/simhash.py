@@ -26,21 +26,27 @@ _FOLD = str.maketrans(common.UPPER, common.LOWER)
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """64-bit SimHash of the word shingles of a whole text, repeats included; no words: 0."""
+def shingle_hashes(text: str, words: int = WORDS) -> list[int]:
+    """64-bit hashes of the word shingles of a whole text, repeats included; a text of fewer words is one shingle."""
     # bytes of UTF-8 characters beyond ASCII are never white space or A-Z, so both can be handled as bytes
     joined = text.encode().translate(_SPACES).lower().split(b" ")
     found = [x for x in joined if x]
     if not found:
-        return 0
+        return []
+    line = b" ".join(found)
     if len(found) <= words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(found), SEED)]
-    else:
-        line = b" ".join(found)
-        ends = np.cumsum([len(x) + 1 for x in found]) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(line, SEED)]
+    ends = np.cumsum([len(x) + 1 for x in found]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a:b], SEED) for a, b in zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """64-bit SimHash of the word shingles of a whole text, repeats included; no words: 0."""
+    hashes = shingle_hashes(text, words)
+    if not hashes:
+        return 0
     n = len(hashes)
     ones = np.zeros(64, np.int64)
     digits = np.array(hashes, "<u8").view(np.uint8).reshape(n, 8)

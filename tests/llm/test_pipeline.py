@@ -4,7 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from tests.llm.test_operators import brute_components, brute_fingerprint, fold
+from tests.llm.test_operators import WORD, brute_components, brute_fingerprint, fold
 
 
 def test_stages(spark, docs, sf_dir):
@@ -47,6 +47,30 @@ def test_odd_rows(spark, odd, nothing, sf_dir):
         assert rows.count() >= 0
 
 
+def test_near_dedup_equals_brute_jaccard(spark, docs, sf_dir):
+    """What stays is the smallest doc_id of each component of all pairs with a Jaccard similarity of 0.8."""
+    sets, at = {}, defaultdict(list)
+    for r in docs.select("doc_id", "text").collect():
+        words = WORD.findall(fold(r["text"]))
+        sets[r["doc_id"]] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sorted(sets):
+        for j, both in Counter(j for x in sets[i] for j in at[x]).items():
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+        for x in sets[i]:
+            at[x].append(i)
+    got = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
+    assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == sorted({root(i) for i in sets})
+
+
 def test_near_dedup_without_ids(spark, sf_dir):
     """Unrelated texts without a doc_id stay, and so do two texts of one doc_id."""
     rows = [(None, "a b c d"), (None, "e f g h"), (4, "some text here"), (4, "other words there"), (5, "i j k l")]
