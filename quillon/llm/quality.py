@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,6 @@ ALPHA = 0.02
 DELTA = 0.1
 #: A cutoff is used only if it rejects bad documents at least so many times as often as good ones.
 LIFT = 3.0
-#: Strata of their own: the languages with the most labelled good documents; the rest share one.
-STRATA = 64
 #: Candidate cutoffs of each rule from lenient to strict; a document above the chosen one is rejected.
 GRIDS = {
     "symbol_share": (2.0, 1.0, 0.5, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03),
@@ -97,19 +97,27 @@ def shares() -> dict[str, Column]:
     }
 
 
+def _stirling(z: Column) -> Column:
+    """log z! less Stirling's formula, for z above 0."""
+    small = F.log(F.factorial(F.least(z, F.lit(15)).cast("int")).cast("double")) - (z + 0.5) * F.log(z) + z - 0.5 * math.log(2 * math.pi)
+    return F.when(z <= 15, small).otherwise((1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * z * z)) / (z * z)) / (z * z)) / z)
+
+
 def at_most(k: Column, n: Column, p: float) -> Column:
-    """P(Binomial(n, p) <= k), exactly, by the recurrence of its terms; 1 when k/n is above p anyway.
+    """P(Binomial(n, p) <= k), exact to double precision; 1 when k/n is above p anyway.
 
-    The largest term is 1 and the sum is scaled by it, so that nothing underflows.
+    The term at k comes from Loader's saddle-point form. The sum is scaled by it, so that nothing underflows, and runs
+    downwards from k: some standard deviations on, terms no longer count, so the work does not grow with k.
     """
-    ratio = lambda j: (n - j + 1) / j * (p / (1 - p))  # noqa: E731  term j over term j - 1
-    # downwards from term k: each is smaller than the last while k <= n p
-    step = lambda a, j: F.struct((a.term / ratio(j)).alias("term"), (a.sum + a.term / ratio(j)).alias("sum"))
-    down = F.sequence(k, F.lit(1).cast("long"), F.lit(-1).cast("long"))
+    ratio = lambda j: j / (n - j + 1) * ((1 - p) / p)  # noqa: E731  term j - 1 over term j
+    # each term is smaller than the last while k <= n p
+    step = lambda a, j: F.struct((a.term * ratio(j)).alias("term"), (a.sum + a.term * ratio(j)).alias("sum"))
+    least = F.greatest(F.lit(1).cast("long"), k - (40 + 12 * F.sqrt(n * p)).cast("long"))
+    down = F.sequence(k, least, F.lit(-1).cast("long"))
     tail = F.when(k == 0, F.lit(1.0)).otherwise(F.aggregate(down, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")), step, lambda a: a.sum))
-    # log of term k: n log(1 - p) plus the logs of the ratios up to k
-    up = F.sequence(F.lit(1).cast("long"), k)
-    log = n * F.log(F.lit(1 - p)) + F.when(k == 0, F.lit(0.0)).otherwise(F.aggregate(up, F.lit(0.0), lambda a, j: a + F.log(ratio(j))))
+    off = lambda x, mean: x * F.log(x / mean) + mean - x
+    term = _stirling(n) - _stirling(k) - _stirling(n - k) - off(k, n * p) - off(n - k, n * (1 - p)) + 0.5 * F.log(n / (2 * math.pi * k * (n - k)))
+    log = F.when(k == 0, n * math.log1p(-p)).otherwise(term)
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(log + F.log(tail))))
 
 
@@ -146,8 +154,8 @@ def cutoffs(holdout: DataFrame, alpha: float = ALPHA, delta: float = DELTA, grid
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, kept, and the shares and cutoffs behind the verdict.
 
-    docs (doc_id, text, lang), labels (doc_id, quality). Strata are languages, null its own; the STRATA ones with the
-    most labelled good documents stand alone, all others share one (named null). Good means that some label of the
+    docs (doc_id, text, lang), labels (doc_id, quality). Every language is a stratum, null too; a stratum without enough
+    labelled good documents has no cutoff and rejects nothing. Good means that some label of the
     doc_id has quality 1; only good documents that pass the base rules are holdouts. Null or empty text: all counts 0,
     base_failed. Null shares do not occur. Repeated rows and doc_ids: each row gets its own verdict. No labels: no rule
     rejects. No documents: an empty result. Clashing or extra columns are ignored.
@@ -156,22 +164,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counted = counted.withColumn("base_failed", failed)
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_labelled")).agg((F.max("quality") == 1).alias("good"))
-    holdout = counted.where("not base_failed").join(known.hint("merge"), F.col("doc_id") == F.col("_labelled")).select("lang", "good", *GRIDS)
+    holdout = counted.where("not base_failed").join(known.hint("merge"), F.col("doc_id") == F.col("_labelled")).select(F.col("lang").alias("stratum"), "good", *GRIDS)
     holdout = common.materialize(holdout, "quality-holdout")
-    most = Window.orderBy(F.desc("count"), "lang")
-    largest = holdout.where("good").groupBy("lang").count().withColumn("r", F.row_number().over(most)).where(F.col("r") <= STRATA).select("lang")
-    largest = common.materialize(largest.where("lang is not null").select(F.col("lang").alias("_lang")), "strata")  # at most STRATA rows
-    rules = cutoffs(_stratify(holdout, largest))
+    rules = cutoffs(holdout)
     wide = rules.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{r}_cutoff") for r in GRIDS])
-    wide = common.materialize(wide.withColumnRenamed("stratum", "_s"), "cutoffs")  # at most STRATA + 1 rows
-    out = _stratify(counted, largest).join(F.broadcast(wide), F.col("stratum").eqNullSafe(F.col("_s")), "left")
+    wide = common.materialize(wide.withColumnRenamed("stratum", "_s"), "cutoffs")
+    out = common.lookup(counted, wide, F.col("lang").eqNullSafe(F.col("_s")), wide.count())
     rejects = [F.coalesce(F.col(r) > F.col(f"{r}_cutoff"), F.lit(False)) for r in GRIDS]
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~(rejects[0] | rejects[1] | rejects[2])).alias("kept"),
         *GRIDS, *[f"{r}_cutoff" for r in GRIDS],
     )
-
-
-def _stratify(rows: DataFrame, largest: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(largest), F.col("lang") == F.col("_lang"), "left").withColumnRenamed("_lang", "stratum")

@@ -95,8 +95,7 @@ ORACLES: dict[str, str] = {
         g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / greatest(word_chars, 1) AS symbol_share, n_dup_lines / greatest(n_lines, 1) AS dup_line_share, n_repeat_words / greatest(n_words, 1) AS repeat_share FROM f),
         lb AS (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1),
         h0 AS (SELECT g.*, lb.good FROM g JOIN lb USING (doc_id) WHERE NOT base_failed),
-        top AS (SELECT lang FROM (SELECT lang, row_number() OVER (ORDER BY count(*) DESC, lang NULLS FIRST) AS r FROM h0 WHERE good GROUP BY 1) WHERE r <= {quality.STRATA} AND lang IS NOT NULL),
-        h AS (SELECT top.lang AS stratum, good, symbol_share, dup_line_share, repeat_share FROM h0 LEFT JOIN top ON h0.lang = top.lang),
+        h AS (SELECT lang AS stratum, good, symbol_share, dup_line_share, repeat_share FROM h0),
         v AS (SELECT stratum, good, unnest(['symbol_share', 'dup_line_share', 'repeat_share']) AS rule, unnest([symbol_share, dup_line_share, repeat_share]) AS value FROM h),
         k AS (SELECT stratum, v.rule, step, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad, count(*) FILTER (good AND value > cutoff) AS k, count(*) FILTER (NOT good AND value > cutoff) AS k_bad FROM v JOIN (VALUES {_GRID}) q(rule, step, cutoff) ON q.rule = v.rule GROUP BY ALL),
         p AS (SELECT *, CASE WHEN k > n * {_P} THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_P}) + (n - j) * ln(1 - {_P}))) FROM range(0, k + 1) r(j)) END AS pv, (SELECT count(DISTINCT coalesce(stratum, chr(0))) FROM h) AS strata FROM k),
@@ -104,7 +103,7 @@ ORACLES: dict[str, str] = {
         c AS (SELECT stratum, rule, max_by(cutoff, step) AS cutoff FROM t WHERE failed = 0 AND n_bad > 0 AND k_bad * (n + 1) >= {quality.LIFT} * (k + 1) * n_bad GROUP BY ALL),
         cw AS (SELECT stratum, {", ".join(f"max(cutoff) FILTER (rule = '{r}') AS {r}_cutoff" for r in _RULES)} FROM c GROUP BY 1)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(f"NOT coalesce({r} > {r}_cutoff, false)" for r in _RULES)} AS kept,
-            {", ".join(_RULES)}, {", ".join(f"{r}_cutoff" for r in _RULES)} FROM g LEFT JOIN top ON g.lang = top.lang LEFT JOIN cw ON cw.stratum IS NOT DISTINCT FROM top.lang""",
+            {", ".join(_RULES)}, {", ".join(f"{r}_cutoff" for r in _RULES)} FROM g LEFT JOIN cw ON cw.stratum IS NOT DISTINCT FROM g.lang""",
     "op2_prefix_shards": f"""
         WITH t AS (SELECT {_crc_table()}::BIGINT[] AS t), b AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
         c AS (SELECT doc_id, strlen(text)::BIGINT + 8 AS size, xor(list_reduce([4294967295] || [('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(encode(text)), '..')], lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b CROSS JOIN t),
