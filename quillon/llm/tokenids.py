@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,42 +110,68 @@ def read_image(image: bytes) -> tuple[list[int | None], np.ndarray, memoryview]:
     return [x if k else None for x, k in zip(names.tolist(), known.tolist(), strict=True)], sizes.astype(np.int64), memoryview(image)[4 + 17 * n :]
 
 
+def cuts(docs: DataFrame, n: int) -> list[tuple[bool, int, int]]:
+    """First rows (has a doc_id, doc_id, tie) of n ranges of near equal counts, in ascending order; at most n - 1 tuples.
+
+    Ranges are cut between ties too, so that rows of one doc_id, or without any, are dealt among several.
+    """
+    dealt = docs.select("doc_id", "tie").repartitionByRange(n, "doc_id", "tie").withColumn("part", F.spark_partition_id())
+    firsts = dealt.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tie")).alias("first"))
+    return sorted((r["first"]["known"], r["first"]["id"], r["first"]["tie"]) for r in firsts.collect())[1:]
+
+
 def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1) -> None:
     """Encode whole texts (null: empty) and write the images under path, in ascending doc_id order (nulls first).
 
-    Each range partition encodes and writes its own documents; `first_id` counts within the partition.
+    Documents are encoded where they are read; only their ids travel, to the range of their doc_id, which writes them.
+    `first_id` counts within the range.
     """
+    n = common.partitions(docs.sparkSession)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    bounds = cuts(rows, n)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, part, image, before = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        run = encoder(tokenizer)
+        for batch in batches:
+            names, ties = batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist()
+            for at, texts in chunks(batch):
+                ids, ends = run(texts)
+                if end_id is not None:
+                    ids, ends = np.insert(ids, ends[1:], np.uint32(end_id)), ends + np.arange(len(ends))
+                # two bytes an id where they do
+                kind = "<u2" if ids.max(initial=0) < 1 << 16 else "<u4"
+                raw = pa.py_buffer(ids.astype(kind))
+                own = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends.astype("<i8") * int(kind[2])), raw]).cast(pa.binary())
+                to = [bisect_right(bounds, (i is not None, i or 0, t)) for i, t in zip(names[at : at + len(texts)], ties[at : at + len(texts)], strict=True)]
+                cut = slice(at, at + len(texts))
+                yield pa.RecordBatch.from_arrays([pa.array(names[cut], pa.int64()), pa.array(ties[cut], pa.int64()), pa.array(to, pa.int32()), pa.array([int(kind[2])] * len(texts), pa.int32()), own], names=["doc_id", "tie", "part", "wide", "ids"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, image, before = TaskContext.get().partitionId(), 0, 0
         names: list = []
-        sizes: list[int] = []
         held: list[np.ndarray] = []
+        size = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal image, before, names, sizes, held
-            ids = np.concatenate(held)
-            row = {"part": [part], "image": [image], "first_id": [before], "n_docs": [len(sizes)], "n_ids": [len(ids)], "payload": [image_of(names, sizes, ids)]}
-            image, before, names, sizes, held = image + 1, before + len(ids), [], [], []
+            nonlocal image, before, names, held, size
+            payload = image_of(names, [len(x) for x in held], np.concatenate(held))
+            row = {"part": [part], "image": [image], "first_id": [before], "n_docs": [len(names)], "n_ids": [size], "payload": [payload]}
+            image, before, names, held, size = image + 1, before + size, [], [], 0
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("image", pa.int32()), ("first_id", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("payload", pa.binary())]))
 
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
-            for at, texts in chunks(batch):
-                ids, ends = run(texts)
-                if end_id is not None:
-                    ids, ends = np.insert(ids, ends[1:], np.uint32(end_id)), ends + np.arange(len(ends))
-                names += doc_ids[at : at + len(texts)]
-                sizes += np.diff(ends).tolist()
-                held.append(ids)
-                if sum(map(len, held)) >= IMAGE_IDS:
+            for name, wide, own in zip(batch.column("doc_id").to_pylist(), batch.column("wide").to_pylist(), batch.column("ids"), strict=True):
+                names.append(name)
+                held.append(np.frombuffer(own.as_buffer(), f"<u{wide}").astype(np.uint32))
+                size += len(held[-1])
+                if size >= IMAGE_IDS:
                     yield close()
-        if sizes:
+        if names:
             yield close()
 
-    n = common.partitions(docs.sparkSession)
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    dealt.mapInArrow(encode, FILES).write.option("compression", "none").parquet(path)
+    encoded = rows.mapInArrow(encode, "doc_id long, tie long, part int, wide int, ids binary")
+    dealt = encoded.repartitionById(n, "part").sortWithinPartitions("doc_id", "tie")
+    dealt.select("doc_id", "wide", "ids").mapInArrow(write, FILES).write.option("compression", "none").parquet(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -171,7 +198,7 @@ def token_files(docs: DataFrame, tokenizer: str | None = None, path: str | None
     """Write all documents as id files and read them back.
 
     Null or empty text: the end id alone. Null doc_id: kept, first in order. Equal doc_ids keep all rows, next to each
-    other, by a hash of the text. Other columns are ignored. No documents: no files' rows, an empty result.
+    other, by a hash of the text; many rows of one doc_id are dealt among several files by it. Other columns are ignored. No documents: no files' rows, an empty result.
     """
     path = path or f"{common.scratch(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
     write_files(docs, path, tokenizer or tokenizer_path("word_bpe_49k.json"))
