@@ -28,23 +28,25 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     """Give each (source, source_size) its target.
 
     Sources in code point order, null last, take the weights in turn and share `share` of all sizes; targets stop at
-    `most` times the source's size and the excess is shared again by weight, until none is above. Each round is one
-    small aggregate; only two numbers reach the driver. Sources are numbered across partitions, not in one task.
+    `most` times the source's size and the excess is shared again by weight, until none is above. That is one level for
+    all: a source is full if the level passes `most` times its size over its weight. In the order of that quotient, the
+    full ones come first, so that prefix sums give the level that each place would have; the first place that bears its
+    own level has the right one. Sources are ordered across partitions, not in one task; one number reaches the driver.
     """
     order = [F.col("source").isNull(), F.col("source")]
     rows = sources.select("source", "source_size", order[0].alias("_null"))
     rows = common.with_prefix(rows, [F.col("_null"), F.col("source")], F.lit(1).cast("long"), "sources")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_index") % len(weights) + 1).cast("int"))
-    rows = common.materialize(rows.select("source", F.col("source_size").cast("long"), weight.alias("weight")), "source-weights")
-    total = rows.agg(F.sum("source_size")).first()[0] or 0
-    level, left = 0.0, None
-    while True:
-        full = F.col("weight") * level >= most * F.col("source_size") if left is not None else F.lit(False)
-        held, open_ = rows.agg(F.sum(F.when(full, most * F.col("source_size"))), F.sum(F.when(~full, F.col("weight")))).first()
-        if not open_ or left == open_:
-            break
-        left, level = open_, (share * total - (held or 0.0)) / open_
-    return rows.withColumn("target", F.least(F.col("weight") * level, most * F.col("source_size").cast("double")))
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("_index") % len(weights) + 1).cast("int"))
+    rows = rows.select("source", F.col("source_size").cast("long").alias("source_size"), F.col("_null"), weight.alias("weight"))
+    rows = rows.withColumn("stop", most * F.col("source_size") / F.col("weight"))
+    place = [F.col("stop"), F.col("_null"), F.col("source")]
+    # twice in one order: sums of sizes and of weights before each source
+    heavy = common.with_prefix(rows, place, F.col("weight"), "source-weights").withColumnsRenamed({"_before": "lighter", "_total": "weights"}).drop("_size", "_index")
+    heavy = common.with_prefix(heavy, place, F.col("source_size"), "source-levels")
+    level = (share * F.col("_total") - most * F.col("_before")) / (F.col("weights") - F.col("lighter"))
+    first = heavy.where(level <= F.col("stop")).agg(F.min_by(level, F.struct("stop", "_null", "source"))).first()[0]
+    least = most * F.col("source_size").cast("double")
+    return heavy.select("source", "source_size", (F.least(F.col("weight") * F.lit(first), least) if first is not None else least).alias("target"))
 
 
 def mix(docs: DataFrame, seed: str = SEED, **kw) -> DataFrame:
@@ -70,8 +72,11 @@ def mixed_sizes(docs: DataFrame, **kw) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
-    """The mix itself: every document as many times as it is taken, with its own columns."""
-    columns = docs.columns
-    rows = docs.withColumn("size", words(F.col("text"))).select(F.struct(*columns).alias("_doc"), "doc_id", "source", "size")
+    """The mix itself: every document as many times as it is taken, with its own columns, whatever their names.
+
+    Null text: size 0, and taken like other documents of its source. Nulls, repeated rows and empty tables: as in mix().
+    """
+    whole = F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_doc")
+    rows = docs.select(whole, "doc_id", "source", words(F.col("text")).alias("size"))
     taken = mix(rows, **kw).withColumn("_copy", F.explode(F.expr("array_repeat(0, copies)")))
     return taken.select("_doc.*")
