@@ -16,9 +16,11 @@ BROADCAST_ROWS = 100_000
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder shared by the cluster; a temporary one only where none is configured (tests)."""
+    """The folder shared by the cluster. Where none is configured, local mode gets a temporary one; a cluster must have one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         found = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -173,12 +173,10 @@ def hot_links(fps: DataFrame) -> DataFrame:
     Each fingerprint therefore emits its 2,081 words within two bits, and marks the 65 within one. A word has at most
     2,081 distinct fingerprints; if one of them is within one bit of it, all of them link to that one.
     """
-    bits = F.sequence(F.lit(0), F.lit(63))
-    pairs = F.flatten(F.transform(bits, lambda i: F.transform(F.sequence(F.lit(0), i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    # i = j is one flipped bit
-    flips = F.transform(pairs, lambda p: F.struct((F.when(p.i == p.j, F.call_function("shiftleft", F.lit(1).cast("long"), p.i)).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), p.i).bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), p.j)))).alias("mask"), (p.i == p.j).alias("one")))
-    masks = fps.sparkSession.range(1).select(F.explode(F.concat(F.array(F.struct(F.lit(0).cast("long").alias("mask"), F.lit(True).alias("one"))), flips)).alias("m")).select("m.*")  # 2,081 rows
-    words = fps.join(F.broadcast(masks)).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("word"), "node", "one")
+    one = [1 << i for i in range(64)]
+    masks = [0, *one, *(x | y for i, x in enumerate(one) for y in one[:i])]  # the first 65 flip one bit at most
+    listed = F.array(*[F.lit(x - (1 << 64) if x >> 63 else x) for x in masks])
+    words = fps.select("node", "fp", F.posexplode(listed).alias("at", "mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("word"), "node", (F.col("at") <= 64).alias("one"))
     near = words.groupBy("word").agg(F.min(F.when(F.col("one"), F.col("node"))).alias("a"), F.collect_set("node").alias("all")).where("a is not null and size(all) > 1")
     return near.select("a", F.explode("all").alias("b")).where("a <> b").distinct()
 
