@@ -14,7 +14,8 @@ ODD = [
 def odd(spark):
     rows = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string").repartition(3)
     # names that operators use inside
-    return rows.withColumns({"size": F.lit("x"), "row": F.lit(1), "run": F.lit(2), "part": F.lit(0), "rate": F.lit(0.0), "_t": F.lit(1), "base": F.lit(1)})
+    names = ["size", "row", "run", "part", "rate", "_t", "base", "fp", "node", "_size", "_part", "_text", "_doc", "_own", "_lang", "_key", "copies", "component", "kept", "stratum", "score", "key", "target", "index", "word.s"]
+    return rows.withColumns({x: F.lit(f"mine {x}") for x in names})
 
 
 @pytest.fixture(scope="session")

@@ -48,7 +48,7 @@ def test_quality_counts(docs, texts, odd):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == base_counts(r["text"])
 
 
-@pytest.mark.parametrize("n,k", [(100, 0), (100, 3), (5000, 20), (5000, 90), (100000, 1500)])
+@pytest.mark.parametrize("n,k", [(1, 0), (100, 0), (100, 1), (100, 3), (700, 9), (700, 14), (5000, 20), (5000, 90), (100000, 1500), (1000000, 19700)])
 def test_binomial_tail(spark, n, k):
     from pyspark.sql import functions as F
 
@@ -80,6 +80,84 @@ def test_quality_rules(docs, odd, nothing, spark, sf_dir):
     assert rows(quality.quality_rules(nothing, labels)) == []
 
 
+def planted_quality():
+    """Two languages in which each rule gets a cutoff, and one with too few labels."""
+    import random
+
+    draw, docs, labels = random.Random(8), [], []
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+
+    def add(lang, good, symbols=0, lines=0, repeats=0):
+        body = [word() for _ in range(60)]
+        body[:symbols] = ["##$" for _ in range(symbols)]
+        for k in range(repeats):
+            body += ["one", "two", "three"]
+        text = " ".join(body[:30]) + "\n" + " ".join(body[30:]) + "\nsame line" * lines
+        docs.append((len(docs), text, lang))
+        labels.append((len(docs) - 1, int(good)))
+
+    for lang, n in (("en", 1100), ("fr", 900), (None, 60)):
+        for i in range(n):
+            add(lang, True, symbols=i % 400 == 0, lines=2 if i % 300 == 1 else 0, repeats=4 if i % 350 == 2 else 0)
+        for i in range(90):
+            add(lang, False, symbols=20 if i % 3 == 0 else 0, lines=14 if i % 3 == 1 else 0, repeats=12 if i % 3 == 2 else 0)
+    labels += [(0, 1), (1, 1), (10**6, 0), (None, 1), (5, None)]
+    docs.append((1, "## " * 60, "en"))  # a doc_id of two rows
+    return docs, labels
+
+
+def brute_cutoffs(held):
+    """The strictest passing and useful cutoff of each (stratum, rule) from (stratum, good, {rule: value})."""
+    strata = {h[0] for h in held}
+    out = {}
+    for s in strata:
+        good, bad = ([h[2] for h in held if h[0] == s and h[1] == g] for g in (True, False))
+        for rule, grid in quality.GRIDS.items():
+            n, p = len(good), quality.ALPHA / len(quality.GRIDS)
+            for c in grid:
+                k, k_bad = (sum(v[rule] > c for v in x) for x in (good, bad))
+                tail = math.fsum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) if k <= n * p else 1
+                if tail > quality.DELTA / (len(strata) * len(quality.GRIDS)):
+                    break
+                if bad and k_bad * (n + 1) >= quality.LIFT * (k + 1) * len(bad):
+                    out[s, rule] = c
+    return out
+
+
+def test_quality_verdicts(spark):
+    docs, labels = planted_quality()
+    got = rows(quality.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")))
+    good = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            good[i] = good.get(i, False) or q == 1
+    held, want = [], []
+    for i, text, lang in docs:
+        n_words, chars, symbols, dup, repeat = base_counts(text)
+        n_lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+        values = {"symbol_share": symbols / max(chars, 1), "dup_line_share": dup / max(n_lines, 1), "repeat_share": repeat / max(n_words, 1)}
+        failed = n_words < 50 or 2 * repeat > n_words
+        if not failed and i in good:
+            held.append((lang, good[i], values))
+        want.append((i, lang, failed, values, n_words))
+    cut = brute_cutoffs(held)
+    assert {s for s, _ in cut} == {"en", "fr"} and len(cut) == 6
+    verdict = Counter((i, n, failed, not failed and not any(v > cut.get((lang, r), 9) for r, v in values.items())) for i, lang, failed, values, n in want)
+    assert Counter((r["doc_id"], r["n_words"], r["base_failed"], r["kept"]) for r in got) == verdict
+    assert sum(v for (_, _, failed, kept), v in verdict.items() if not failed and not kept) > 150
+
+
+def test_quality_of_many_languages(spark):
+    """Every stratum has its own cutoff, however many there are, and one that rejects good documents has none."""
+    from pyspark.sql import functions as F
+
+    n = 1700
+    held = spark.range(100 * n).select((F.col("id") % 100).cast("string").alias("stratum"), (F.floor(F.col("id") / 100) % 10 > 0).alias("good"))
+    held = held.select("stratum", "good", F.when(~F.col("good") | ((F.col("stratum") == "7") & (F.rand(1) < 0.1)), 0.4).otherwise(0.0).alias("symbol_share"), F.lit(0.0).alias("dup_line_share"), F.lit(0.0).alias("repeat_share"))
+    got = {r["stratum"]: r["cutoff"] for r in rows(quality.cutoffs(held)) if r["rule"] == "symbol_share"}
+    assert got == {str(i): None if i == 7 else 0.03 for i in range(100)}
+
+
 # 2: sharding
 
 
@@ -134,6 +212,7 @@ def test_exact_dedup(docs, texts, odd, nothing, runs):
 
 # 4: personal data
 
+# base rules as the plain patterns
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -182,22 +261,55 @@ def test_redaction(spark):
     assert {r["doc_id"]: r["redacted"] for r in rows(pii.redact(df))} == {1: "é mail [email] now [ip]", 2: ""}
 
 
-def test_trees_as_columns(spark):
-    """The column expression equals the model, and a format the base rules miss is found."""
-    text = lambda i: f"w {i} call +1 ({200 + i % 700}) 555-{1000 + i % 9000} ok" if i % 2 else f"n {i} at {i * 7919 % 10**9:09d}1234567 end"
-    df = spark.createDataFrame([(i, text(i)) for i in range(3000)] + [(9999, "please call 1 (415) 555-2671 now")], "doc_id long, text string")
+def planted_personal(n, seed):
+    """Documents with base spans, and for each of some further ones a planted form and whether it is personal data."""
+    import random
+
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice("aeinorst") for _ in range(draw.randint(2, 9)))
+    some = lambda: " ".join(word() for _ in range(draw.randint(4, 20)))
+    num = lambda k: "".join(draw.choice("0123456789") for _ in range(k))
+
+    def card():
+        d = "4" + num(14)
+        total = sum(sum(divmod(int(x) * (2 - i % 2), 10)) for i, x in enumerate(d[::-1]))
+        return d + str(-total % 10)
+
+    docs, planted = [], {}
+    for i in range(n):
+        a, b, c, m, o = num(3), num(3), num(4), f"{word()}.{word()}", [str(draw.randint(0, 255)) for _ in range(4)]
+        d = card()
+        base = [f"+1 ({a}) {b}-{c}", f"{m}@mail.{word()}.com", ".".join(o), d][i % 4]
+        docs.append((i, f"{some()} {base} {some()}"))
+        true = [f"1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{m} (at) mail.{word()}.com", f"{m}[at]mail[dot]com", "[.]".join(o), f"{d[:4]}.{d[4:8]}.{d[8:12]}.{d[12:]}", f'token = "{num(8)}{hashlib.md5(m.encode()).hexdigest()}"']
+        wrong = str((int(d[-1]) + 1) % 10)
+        false = [num(11), f"{num(4)}-0{num(1)}-1{num(1)}", f"{d[:4]}.{d[4:8]}.{d[8:12]}.{d[12:15]}{wrong}", f"version {num(1)}.{num(1)}", f"commit {hashlib.md5(m.encode()).hexdigest()}", f"{word()} (at) {num(2)}.{num(2)}", "[.]".join(["777", *o[1:]])]
+        planted[n + i] = ((text := draw.choice(true)), True) if i % 2 else ((text := draw.choice(false)), False)
+        docs.append((n + i, f"{some()} {text} {some()}"))
+    return docs, planted
+
+
+def test_trees_find_what_base_rules_miss(spark):
+    """The column expression equals the model; planted forms are found and look-alikes left alone."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
     from pyspark.sql import functions as F
 
-    base = df.withColumns({k: pii.base_spans(F.col("text"), k) for k in pii.KINDS}).withColumn("base", F.concat(*pii.KINDS))
-    model, least = pii.fit(base.select("text", "base"), 3001)
-    cand = base.select(F.explode(pii.candidates(F.col("text"), F.col("base"))).alias("c")).select("c.*")
+    docs, planted = planted_personal(1600, 3)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    base = df.withColumns({k: pii.base_spans(F.col("text"), k) for k in pii.BASE}).withColumn("base", F.concat(*pii.BASE))
+    model, least = pii.fit(base.select("doc_id", "text", "base"), len(docs))
+    cand = pii.examples(base.withColumn("h", F.xxhash64("doc_id"))).sample(0.1, 1)
     both = model.transform(VectorAssembler(inputCols=list(pii.FEATURES), outputCol="features").transform(cand)).select(vector_to_array("probability")[1].alias("a"), pii.probability(model, F.col).alias("b"))
-    assert both.where("abs(a - b) > 1e-9").count() == 0
-    assert least[3] <= 1
-    got = {r["doc_id"]: r for r in rows(pii.personal_data(df))}
-    assert got[9999]["n_phone"] == 0 and got[9999]["spans"] == "phone:12:28"
+    assert both.count() > 200 and both.where("abs(a - b) > 1e-9").count() == 0
+    assert all(x <= 1 for x in least.values())
+    text, true, false = dict(docs), Counter(), Counter()
+    for r in rows(pii.personal_data(df)):
+        check_personal(r, text[r["doc_id"]])
+        if r["doc_id"] in planted:
+            (true if planted[r["doc_id"]][1] else false)[r["n_spans"] > 0] += 1
+    assert true[True] / sum(true.values()) > 0.95, true
+    assert false[False] / sum(false.values()) > 0.98, false
 
 
 # 5: token ids
@@ -239,6 +351,19 @@ def test_token_files(docs, texts, odd, nothing):
     assert rows(tokenids.token_files(nothing)) == []
 
 
+def test_token_files_of_one_id(spark, docs, tmp_path):
+    """Rows of one doc_id, or without any, are dealt among several files and keep one order."""
+    from pyspark.sql import functions as F
+
+    df = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).when(F.col("doc_id") % 3 == 1, F.lit(5).cast("long")))
+    tokenids.write_files(df, str(tmp_path / "ids"), WORD_BPE)
+    files = rows(spark.read.parquet(str(tmp_path / "ids")).groupBy("part").sum("n_docs"))
+    assert len(files) == 8 and max(r["sum(n_docs)"] for r in files) < 0.25 * df.count()
+    got = sorted(rows(tokenids.read_files(spark, str(tmp_path / "ids"))), key=lambda r: r["start"])
+    assert [-1 if r["doc_id"] is None else r["doc_id"] for r in got] == sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got)
+    assert Counter((r["n_tokens"], r["ids_crc32"]) for r in got) == Counter((r["n_tokens"], r["ids_crc32"]) for r in rows(tokenids.token_files(docs)))
+
+
 def test_encoder_equals_library():
     import random
 
@@ -254,19 +379,76 @@ def test_encoder_equals_library():
 # 6: language
 
 
+def brute_language(labelled):
+    """Naive Bayes in plain Python from (text, lang) pairs: a function from a text to its label and score."""
+    mask = 2**32 - 1
+    memo = {}
+
+    def buckets(text):
+        c = [ord(x) for x in f" {text.lower()} "]
+        for x, y in zip(c, c[1:]):
+            yield memo.get((x, y)) or memo.setdefault((x, y), (x * 0x9E3779B1 + y * 0x85EBCA77 & mask) >> 16)
+        for x in zip(c, c[1:], c[2:]):
+            if x not in memo:
+                two = x[0] * 0x9E3779B1 + x[1] * 0x85EBCA77 & mask
+                memo[x] = ((two ^ two >> 15) * 0xC2B2AE3D + x[2] * 0x27D4EB2F & mask) >> 16
+            yield memo[x]
+
+    counts, docs = defaultdict(Counter), Counter()
+    for text, lang in labelled:
+        if text is not None and lang not in (None, "und"):
+            docs[lang] += 1
+            counts[lang].update(buckets(text))
+    size = {x: sum(counts[x].values()) + 0.1 * 2**16 for x in counts}
+
+    def score(text):
+        if not docs or not any(x.isalpha() for x in text or ""):
+            return "und", 0.0
+        own = Counter(buckets(text))
+        total = {x: math.log(docs[x] / sum(docs.values())) + sum(n * math.log((counts[x][b] + 0.1) / size[x]) for b, n in own.items()) for x in sorted(docs)}
+        best = max(total, key=total.get)
+        calm = max(1.0, sum(own.values()) / 64)
+        return best, 1 / sum(math.exp((v - total[best]) / calm) for v in total.values())
+
+    return score
+
+
 def test_language(docs, odd, nothing):
-    got = {r["doc_id"]: r for r in rows(language.identify(docs))}
-    langs = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
-    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
-    known = [(langs[i], r["lang_pred"]) for i, r in got.items() if r["held_out"] and langs[i]]
-    assert len(known) > 150 and sum(a == b for a, b in known) / len(known) > 0.98
-    assert all(0 <= r["score"] <= 1 for r in got.values())
-    got = rows(language.identify(odd))
-    assert len(got) == odd.count()
-    assert all(r["lang_pred"] == "und" for r in got if r["doc_id"] in (1, 2, 3))
+    for df in (docs, odd):
+        all_ = rows(df.select("doc_id", "text", "lang"))
+        held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+        score = brute_language([(r["text"], r["lang"]) for r in all_ if not held(r["doc_id"])])
+        want = Counter((r["doc_id"], held(r["doc_id"]), v[0], round(v[1], 3)) for r in all_ for v in [score(r["text"])])
+        got = rows(language.identify(df))
+        near = Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 3)) for r in got)
+        assert Counter({k[:3]: 0 for k in want}) == Counter({k[:3]: 0 for k in near}) and (want - near).total() <= 0.01 * len(got)
+        assert all(0 <= r["score"] <= 1 for r in got)
+        if df is docs:
+            known = [(r["lang"], score(r["text"])[0]) for r in all_ if held(r["doc_id"]) and r["lang"]]
+            assert len(known) > 150 and sum(a == b for a, b in known) / len(known) > 0.98
     assert rows(language.identify(nothing)) == []
 
 
+def test_many_languages(spark):
+    """300 labels of which the rarest have one row, `und` that teaches nothing, and two labels that tie."""
+    import random
+
+    draw, pairs = random.Random(1), []
+    for k in range(300):
+        own = ["".join(chr(0x4E00 + 20 * k + draw.randrange(20)) for _ in range(6)) for _ in range(12)]
+        pairs += [(" ".join(draw.sample(own, 8)), f"l{k:03d}") for _ in range(1 if k % 3 else 9)]
+    pairs += [("the same text", "tie2"), ("the same text", "tie1"), ("never to be learned", "und")]
+    docs = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert model.names == sorted({x for _, x in pairs} - {"und"})
+    got = {r["doc_id"]: r for r in rows(language.predict(docs, model))}
+    assert all(got[i]["lang_pred"] == ("tie1" if x == "tie2" else x) for i, (_, x) in enumerate(pairs) if x != "und")
+    score = brute_language(pairs)
+    assert all(abs(got[i]["score"] - score(t)[1]) < 1e-3 for i, (t, _) in enumerate(pairs))
+    # a bounded sample still teaches every label
+    assert language.train(docs, rows=302).names == model.names
+
+
 # 7: mixing
 
 
@@ -309,19 +491,51 @@ def test_mixing(docs, odd, nothing):
 # 8: token counts
 
 
-def test_section_tokens(docs, texts, odd, nothing):
+def brute_sections(text, rule, tokenizer):
+    """(start, end, tokens, crossing tokens) of each line, token by token."""
+    bounds = [m.span() for m in re.finditer("[^\n]*\n|[^\n]+$", text)] or [(0, 0)]
+    line = lambda at: next(k for k, (a, b) in enumerate(bounds) if a <= at < b)
+    n, crossing = Counter(), Counter()
+    lines = [k for k, (a, b) in enumerate(bounds) for _ in range(a, b)]
+    for a, b in tokenizer.encode(text, add_special_tokens=False).offsets:
+        first, last = lines[a], lines[max(a, b - 1)]
+        to = first
+        if rule == "last" or rule == "most" and b - bounds[last][0] > bounds[first][1] - a:
+            to = last
+        n[to] += 1
+        crossing[to] += first != last
+    return [(a, b, n[k], crossing[k]) for k, (a, b) in enumerate(bounds)]
+
+
+@pytest.mark.parametrize("rule", attribution.RULES)
+def test_section_tokens(docs, texts, odd, nothing, rule):
+    from tokenizers import pre_tokenizers
+
     t = Tokenizer.from_file(BYTE_BPE)
-    got = defaultdict(dict)
-    for r in rows(attribution.section_tokens(docs)):
-        got[r["doc_id"]][r["section"]] = r
-    for i in list(texts)[:150]:
-        text = texts[i]
-        e = t.encode(text, add_special_tokens=False)
-        lines = [m for m in re.finditer("[^\n]*\n|[^\n]+$", text)]
-        assert [(r["start"], r["end"]) for _, r in sorted(got[i].items())] == [m.span() for m in lines]
-        assert sum(r["n_tokens"] for r in got[i].values()) == len(e.ids) == got[i][0]["n_doc_tokens"]
-    assert {(r["doc_id"], r["section"]) for r in rows(attribution.section_tokens(odd))} >= {(1, 0), (2, 0), (3, 0), (3, 1)}
-    assert rows(attribution.section_tokens(nothing)) == []
+    t.encode_special_tokens = True
+    # offsets of whole tokens, their blanks included
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=True)
+    t.post_processor = None
+    for df in (docs, odd):
+        want = Counter()
+        for r in rows(df.select("doc_id", "text")):
+            own = brute_sections(r["text"] or "", rule, t)
+            want.update((r["doc_id"], k, *x, sum(y[2] for y in own)) for k, x in enumerate(own))
+        got = Counter((r["doc_id"], r["section"], r["start"], r["end"], r["n_tokens"], r["n_crossing"], r["n_doc_tokens"]) for r in rows(attribution.section_tokens(df, rule=rule)))
+        assert got == want
+        if df is docs and rule == "first":
+            assert sum(k[5] * v for k, v in got.items()) >= 0
+    assert rows(attribution.section_tokens(nothing, rule=rule)) == []
+
+
+def test_pieces_are_forgotten(monkeypatch):
+    """The table of pieces keeps its earlier half when full, and spans stay right."""
+    monkeypatch.setattr(attribution, "PIECES", 10)
+    monkeypatch.setattr(attribution, "_ready", {})
+    run, fresh = attribution.spanner(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
+    for k in range(40):
+        text = f"the word{k} of number{k * 7} the"
+        assert len(run(text)[0]) == len(fresh.encode(text, add_special_tokens=False).ids)
 
 
 @pytest.mark.parametrize("rule,want", [("first", [2, 0, 1]), ("last", [1, 1, 1]), ("most", [1, 1, 1])])
@@ -396,7 +610,14 @@ def test_near_duplicates(docs, texts, odd, nothing):
     fp = {i: brute_fingerprint(t) for i, t in texts.items()}
     want = brute_components(fp)
     assert {i: (r["fingerprint"], r["component_id"]) for i, r in got.items()} == {i: (f"{fp[i]:016x}", want[i]) for i in fp}
-    assert len(rows(simhash.near_duplicates(odd))) == odd.count()
+    given = rows(odd.select("doc_id", "text"))
+    prints = {fold(r["text"]): brute_fingerprint(r["text"]) for r in given}
+    part, least = brute_components({f: f for f in prints.values()}), defaultdict(list)
+    for r in given:
+        least[part[prints[fold(r["text"])]]].append(r["doc_id"])
+    first = {k: min((i for i in v if i is not None), default=None) for k, v in least.items()}
+    want = Counter((r["doc_id"], f"{prints[fold(r['text'])]:016x}", first[part[prints[fold(r["text"])]]]) for r in given)
+    assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in rows(simhash.near_duplicates(odd))) == want
     assert rows(simhash.near_duplicates(nothing)) == []
 
 
@@ -491,3 +712,30 @@ def test_plan(seed):
             assert offset == at
             at += size
         assert at <= 100 and sum(3 * s > 100 for _, s in own) <= 2
+
+
+# all
+
+
+def test_very_long_text(spark, sf_dir):
+    """A text of several MB beside short ones goes whole through every numbered operator."""
+    import random
+
+    draw = random.Random(2)
+    vocabulary = ["".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(2, 9))) for _ in range(5000)]
+    long = "\n".join(" ".join(draw.choice(vocabulary) for _ in range(40)) for _ in range(15000))
+    assert len(long) > 3_000_000
+    df = spark.createDataFrame([(1, long, "en", "a"), (2, "short", "en", "b"), (3, None, None, None)], "doc_id long, text string, lang string, source string")
+    counts = {r["doc_id"]: r for r in rows(quality.features(df, "doc_id"))}
+    assert counts[1]["n_words"] == 600_000 and counts[1]["n_repeat_words"] == base_counts(long)[4]
+    assert {r["doc_id"]: r["size"] for r in rows(sharding.shard(df))} == {1: len(long) + 8, 2: 13, 3: 8}
+    assert {r["doc_id"]: r["text_sha256"] for r in rows(dedup.exact_dedup(df))}[1] == hashlib.sha256(long.encode()).hexdigest()
+    assert {r["doc_id"]: r["n_spans"] for r in rows(pii.personal_data(df))} == {1: 0, 2: 0, 3: 0}
+    n = {i: len(x) for i, x in zip((1, 2, 3), brute_ids([long, "short", None]))}
+    assert {r["doc_id"]: r["n_tokens"] for r in rows(tokenids.token_files(df))} == n
+    assert {r["doc_id"]: r["lang_pred"] for r in rows(language.predict(df, language.train(df)))} == {1: "en", 2: "en", 3: "und"}
+    assert {r["doc_id"]: r["size"] for r in rows(mixing.mixed_sizes(df))} == {1: 600_000, 2: 1, 3: 0}
+    assert sum(r["n_tokens"] for r in rows(attribution.section_tokens(df)) if r["doc_id"] == 1) == len(Tokenizer.from_file(BYTE_BPE).encode(long, add_special_tokens=False).ids)
+    assert {r["doc_id"]: r["fingerprint"] for r in rows(simhash.near_duplicates(df))}[1] == f"{brute_fingerprint(long):016x}"
+    packed = rows(packing.pack(df))
+    assert sum(r["length"] for r in packed) == sum(n.values())

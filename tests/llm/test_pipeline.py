@@ -1,83 +1,158 @@
-"""The pipeline's stages against brute force, each on its own input."""
+"""The pipeline's stages against brute force, each on its own input, on clean and on odd rows."""
 
-import zlib
+import hashlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from tests.llm.test_operators import WORD, brute_components, brute_fingerprint, fold
+import pytest
+from pyspark.sql import functions as F
 
+from quillon.llm import language, similar
+from tests.llm.test_operators import WORD, brute_ids, brute_language, brute_targets, fold
 
-def test_stages(spark, docs, sf_dir):
-    rows, seen = docs, {}
+
+def brute_near(rows):
+    """One (doc_id, folded text) per component of all pairs of texts with a Jaccard similarity of 0.8."""
+    sets, at, least = {}, defaultdict(list), {}
+    for r in rows:
+        text = fold(r["text"])
+        words = WORD.findall(text)
+        sets[text] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {()}
+        rank = (r["doc_id"] is None, r["doc_id"] or 0, hashlib.sha256(text.encode()).hexdigest())
+        least[text] = min(least.get(text, rank), rank)
+    parent = {t: t for t in sets}
+
+    def root(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for t in sorted(sets):
+        for u, both in Counter(u for x in sets[t] for u in at[x]).items():
+            if both >= 0.8 * (len(sets[t]) + len(sets[u]) - both):
+                parent[root(t)] = root(u)
+        for x in sets[t]:
+            at[x].append(t)
+    first = {}
+    for t in sets:
+        first[root(t)] = min(first.get(root(t), least[t]), least[t])
+    return Counter((None if none else i, sha) for none, i, sha in first.values())
+
+
+def kept_rows(got):
+    return Counter((r["doc_id"], hashlib.sha256(fold(r["text"]).encode()).hexdigest()) for r in got)
+
+
+def check_stage(name, before, got):
+    """The rows that a stage gave against its whole input."""
+    if name == "language":
+        labelled = [(r["text"], r["lang"]) for r in before if not language_held(r["doc_id"])]
+        score = brute_language(labelled)
+        want = [r for r in before if (v := score(r["text"]))[0] != "und" and v[1] >= 0.5]
+        assert kept_rows(got) == kept_rows(want)
+    if name == "exact dedup":
+        best = {}
+        for r in before:
+            best.setdefault(fold(r["text"]), []).append(r["doc_id"])
+        want = Counter((max((i for i in ids if i is not None), default=None), hashlib.sha256(t.encode()).hexdigest()) for t, ids in best.items())
+        assert kept_rows(got) == want
+    if name == "near dedup":
+        assert kept_rows(got) == brute_near(before)
+    if name == "mixing":
+        size = lambda r: len(WORD.findall(r["text"] or ""))
+        sizes = Counter()
+        for r in before:
+            sizes[r["source"]] += size(r)
+        rate = {s: t / sizes[s] if sizes[s] else 0 for s, t in brute_targets(sizes).items()}
+        want = Counter()
+        for r in before:
+            chance = int(hashlib.md5(f"mix-1|{'null' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:13], 16) / 16**13
+            whole = int(rate[r["source"]])
+            want[(r["doc_id"], r["text"], r["source"])] += whole + (chance < rate[r["source"]] - whole)
+        assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == +want
+    if name == "packing":
+        ids = brute_ids([r["text"] for r in before])
+        want = Counter((r["doc_id"], p, s, min(4096, len(x) - s)) for r, x in zip(before, ids) for p, s in enumerate(range(0, len(x), 4096)))
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"]) for r in got) == want
+        by = defaultdict(list)
+        for r in got:
+            by[r["sequence_id"]].append((r["offset"], r["length"]))
+        for own in by.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= 4096
+
+
+def language_held(doc_id):
+    import zlib
+
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+@pytest.mark.parametrize("what", ["docs", "odd", "no_ids", "nothing"])
+def test_stages(spark, request, sf_dir, what):
+    """Every stage on what the stage before it kept; on odd rows also every stage on all rows."""
+    first = request.getfixturevalue(what)
+    rows = first
     for name, stage in corpus_pipeline.STAGES:
-        before = [r.asDict() for r in rows.collect()] if name != "language" else None
-        out = stage(spark, rows, sf_dir).cache()
-        got = [r.asDict() for r in out.collect()]
-        seen[name] = got
-        if name != "packing":
-            assert out.columns == docs.columns
-        if name == "language":
-            # every document of the test tables has letters
-            assert len(got) >= 0.99 * docs.count()
-        if name == "exact dedup":
-            best = {}
-            for r in before:
-                best[fold(r["text"])] = max(best.get(fold(r["text"]), -1), r["doc_id"])
-            assert sorted(r["doc_id"] for r in got) == sorted(best.values())
-        if name == "near dedup":
-            want = brute_components({r["doc_id"]: brute_fingerprint(r["text"]) for r in before})
-            assert sorted(r["doc_id"] for r in got) == sorted(set(want.values()))
-        if name == "mixing":
-            n = Counter(r["doc_id"] for r in got)
-            assert max(n.values()) <= 2 and set(n) <= {r["doc_id"] for r in before}
-        if name == "packing":
-            pieces = defaultdict(int)
-            for r in got:
-                pieces[r["sequence_id"]] += r["length"]
-            assert max(pieces.values()) <= 4096
-            assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter(r["doc_id"] for r in before)
-        rows = out
-
-
-def test_odd_rows(spark, odd, nothing, sf_dir):
-    for df in (odd, nothing):
-        rows = df
-        for _, stage in corpus_pipeline.STAGES:
-            rows = stage(spark, rows, sf_dir)
-        assert rows.count() >= 0
-
-
-def test_near_dedup_equals_brute_jaccard(spark, docs, sf_dir):
-    """What stays is the smallest doc_id of each component of all pairs with a Jaccard similarity of 0.8."""
-    sets, at = {}, defaultdict(list)
-    for r in docs.select("doc_id", "text").collect():
-        words = WORD.findall(fold(r["text"]))
-        sets[r["doc_id"]] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-    parent = {i: i for i in sets}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in sorted(sets):
-        for j, both in Counter(j for x in sets[i] for j in at[x]).items():
-            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
-        for x in sets[i]:
-            at[x].append(i)
-    got = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
-    assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == sorted({root(i) for i in sets})
-
-
-def test_near_dedup_without_ids(spark, sf_dir):
-    """Unrelated texts without a doc_id stay, and so do two texts of one doc_id."""
-    rows = [(None, "a b c d"), (None, "e f g h"), (4, "some text here"), (4, "other words there"), (5, "i j k l")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
-    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(rows)
-
-
-def test_crc_of_ids_is_unsigned():
-    assert zlib.crc32(b"\xff" * 9) >= 0
+        for source in [rows] if what == "docs" else [rows, first]:
+            before = [r.asDict() for r in source.collect()]
+            out = stage(spark, source, sf_dir).cache()
+            got = [r.asDict() for r in out.collect()]
+            check_stage(name, before, got)
+            if name != "packing":
+                # the user's columns, whatever their names, come back as they were
+                assert out.columns == first.columns
+                extra = [c for c in first.columns if c not in ("doc_id", "text", "lang", "source")]
+                was = {tuple(r[c] for c in extra) for r in before}
+                assert all(tuple(r[c] for c in extra) in was for r in got)
+            if source is rows:
+                after = out
+        rows = after
+
+
+@pytest.fixture(scope="module")
+def no_ids(spark):
+    """Unrelated texts without a doc_id, texts that share one, near copies with and without an id."""
+    x, y = ([f"{p}{i}" for i in range(60)] for p in "xy")
+    near = lambda w, k: " ".join([*w[:k], "other", *w[k + 1 :]])
+    rows = [(None, " ".join(x), "en"), (1, near(x, 0), "en"), (7, near(x, 59), "en"), (7, " ".join(y), "fr"), (None, near(y, 0), "fr"), (None, "p q r s", "en"), (None, "e f g h", None), (4, "some text here", "en"), (4, "other words there", "fr"), (4, "other words there", "fr")]
+    return spark.createDataFrame([(*r, "s", "mine") for r in rows], "doc_id long, text string, lang string, source string, size string").repartition(2)
+
+
+@pytest.mark.parametrize("texts,shingles", [(2000, 1_000_000), (2, 100), (5, 40)])
+def test_chunks_of_blocks(spark, monkeypatch, texts, shingles):
+    """A block that is dealt into chunks gives the same components as one that is not."""
+    monkeypatch.setattr(similar, "BLOCK_TEXTS", texts)
+    monkeypatch.setattr(similar, "BLOCK_SHINGLES", shingles)
+    import random
+
+    draw, rows = random.Random(4), []
+    base = [f"w{i}" for i in range(60)]
+    for i in range(120):
+        words = list(base)
+        for _ in range(draw.randint(0, 5)):
+            words[draw.randrange(60)] = f"n{draw.randint(0, 30)}"
+        rows.append({"doc_id": i, "text": " ".join(words)})
+    docs = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
+    assert kept_rows(r.asDict() for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == brute_near(rows)
+
+
+def test_run_equals_stages(spark, sf_dir):
+    """run() gives the pieces of what the stages keep, in as few sequences as the packing of them."""
+    got = corpus_pipeline.run(spark, sf_dir)
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, rows, sf_dir)
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert got.select(key).exceptAll(rows.select(key)).count() == rows.select(key).exceptAll(got.select(key)).count() == 0
+    assert got.select(F.countDistinct("sequence_id")).first() == rows.select(F.countDistinct("sequence_id")).first()
+
+
+def test_languages_need_a_teacher(spark, sf_dir):
+    """Without any lang nothing can be judged, and nothing is rejected."""
+    docs = spark.createDataFrame([(1, "one two", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert language.train(docs).names == []
+    assert corpus_pipeline.identify_language(spark, docs, sf_dir).count() == 2
