@@ -130,17 +130,15 @@ def encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", most: int = 8_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Runs of a batch's texts (null: empty) of about `most` bytes, each with its first row."""
-    texts = batch.column(column).to_pylist()
-    at, held, size = 0, [], 0
-    for text in texts:
-        held.append(text or "")
-        size += len(held[-1])
-        if size >= most:
-            yield at, held
-            at, held, size = at + len(held), [], 0
-    if held:
-        yield at, held
+    """Runs of a batch's texts (null: empty) of about `most` bytes, each with its first row; only one is held at a time."""
+    texts = batch.column(column)
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        until = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="left")) + 1)
+        yield at, [x or "" for x in texts.slice(at, until - at).to_pylist()]
+        at = until
+    pa.default_memory_pool().release_unused()  # workers live on, with other work
 
 
 def tokenizer_path(name: str) -> str:

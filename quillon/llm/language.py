@@ -110,15 +110,15 @@ def scorer(model: Model):  # noqa: ANN201
     return sparse
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of docs with lang_pred and score; `und` and 0 where text is null or has no letter.
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The kept columns of docs with lang_pred and score of column `text`; `und` and 0 where it is null or has no letter.
 
     The score is the posterior of the label with evidence beyond SHARP n-grams averaged, so that it stays below 1 for
     mixed texts; of equal labels the first by code point wins. Whole texts are scored, in batches, against the
     broadcast model, whose size the training sample bounds.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*keep, "text")
+    kept = docs.select(*keep, *[x for x in (text,) if x not in keep])
     fields = [f for f in kept.schema.fields if f.name in keep]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,13 +127,13 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
         for batch in batches:
             labels: list[str] = []
             scores: list[float] = []
-            for _, texts in chunks(batch):
-                for text in texts:
-                    if not known.names or not any(x.isalpha() for x in text):
+            for _, texts in chunks(batch, text):
+                for one in texts:
+                    if not known.names or not any(x.isalpha() for x in one):
                         labels.append(UNKNOWN)
                         scores.append(0.0)
                         continue
-                    at = grams(text)
+                    at = grams(one)
                     total = likely(at) + known.prior
                     best = int(total.argmax())
                     labels.append(known.names[best])
