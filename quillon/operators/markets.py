@@ -40,12 +40,26 @@ def spread_benchmark(tier: Column) -> Column:
     return F.when(tier == "macro", 0.07).when(tier == "electoral", 0.10).otherwise(0.14)
 
 
-def market_quality(horizon: float | None = None) -> Column:
-    """Weight in 0..1 of a market from age, liquidity, tier, expiry, horizon gap, spread and longshot odds.
+#: What flags of a market do to its weight; fixed values.
+FLAGS = {"spike": 0.5, "transitory": 0.7, "stable": 1.1, "fast": 0.8, "jump": 0.7, "ambiguous": 0.6}
 
-    Columns: age_days, volume, tier, days_to_expiry, spread, probability; optional flags spike, transitory, stable,
-    fast, jump, ambiguous are taken as false here.
+
+def flag_factor(flags: dict[str, Column]) -> Column:
+    """The product of the factors of all set flags; a spike hides a transitory move, and both hide a stable path."""
+    on = {k: F.coalesce(flags[k], F.lit(False)) if k in flags else F.lit(False) for k in FLAGS}
+    on["stable"] = on["stable"] & ~on["spike"] & ~on["transitory"]
+    on["transitory"] = on["transitory"] & ~on["spike"]
+    return reduce(lambda a, k: a * F.when(on[k], FLAGS[k]).otherwise(1.0), FLAGS, F.lit(1.0))
+
+
+def market_quality(horizon: float | None = None, **flags: Column) -> Column:
+    """Weight in 0..1 of a market from age, liquidity, tier, expiry, horizon gap, spread, longshot odds and flags.
+
+    Columns: age_days, volume, tier, days_to_expiry, spread, probability. Flags (spike, transitory, stable, fast, jump,
+    ambiguous) are boolean columns; those not given, and nulls, count as not set.
     """
+    if unknown := set(flags) - set(FLAGS):
+        raise ValueError(f"no such flags: {sorted(unknown)}")
     age = F.least(F.lit(1.0), F.coalesce("age_days", F.lit(21.0)) / 21)
     raw = F.least(F.lit(1.0), F.log10(c("volume") + 1) / 6)
     liquidity = raw * depth_decay(c("days_to_expiry"))
@@ -54,8 +68,8 @@ def market_quality(horizon: float | None = None) -> Column:
     s, a, q = spread, age, liquidity
     micro = F.when(c("spread").isNull(), 0.60 * a + 0.40 * q).otherwise(F.least(0.60 * s + 0.25 * a + 0.15 * q, s))
     longshot = F.when((c("probability") < 0.07) | (c("probability") > 0.93), 1 - 0.45 * (1 - micro)).otherwise(1.0)
-    gap = F.lit(1.0) if horizon is None else F.greatest(F.lit(0.5), 1 - 0.25 * F.abs(c("days_to_expiry") - horizon) / F.greatest(F.lit(horizon), c("days_to_expiry")))
-    return clamp(age * liquidity * tier_factor(c("tier")) * expiry_boost(c("days_to_expiry")) * gap * spread * longshot, 0, 1)
+    gap = F.lit(1.0) if horizon is None else F.greatest(F.lit(0.5), 1 - 0.25 * F.abs(c("days_to_expiry") - horizon))
+    return clamp(age * liquidity * tier_factor(c("tier")) * expiry_boost(c("days_to_expiry")) * gap * spread * longshot * flag_factor(flags), 0, 1)
 
 
 def conditional_return() -> Column:

@@ -264,3 +264,22 @@ def arm_deltas(scores: DataFrame, arm: str, baseline: str, *metrics: str, keys:
     rest = scores.where(c(arm) != baseline)
     met = rest.join(base, list(keys)) if keys else rest.join(F.broadcast(base))  # one baseline row
     return met.select(arm, *keys, *[(c(m) - c(f"_{m}")).alias(f"d_{m}") for m in metrics])
+
+
+def bucket_report(steps: DataFrame, bucket: Column, labels: tuple[str, ...]) -> DataFrame:
+    """(bucket, n, fraction, accuracy, brier, coverage, edge) of each label, also of those without steps; others are `unknown`."""
+    known = steps.withColumn("bucket", F.when(bucket.isin(*labels), bucket).otherwise("unknown"))
+    found = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(hit()).alias("accuracy"), brier().alias("brier"), F.avg(covered()).alias("coverage"), F.avg(edge()).alias("edge"))
+    every = steps.sparkSession.createDataFrame([(x,) for x in dict.fromkeys([*labels, "unknown"])], "bucket string")
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # as many rows as labels
+    out = every.join(found.hint("merge"), "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = out.withColumn("fraction", F.when(total > 0, c("n") / total).otherwise(0.0))
+    return out.select("bucket", "n", "fraction", "accuracy", "brier", "coverage", "edge")
+
+
+def band(x: Column, cuts: tuple[float, ...], labels: tuple[str, ...]) -> Column:
+    """The label of the first cut that x is below, else the last one; null: null."""
+    out = F.when(x < cuts[0], labels[0])
+    for cut, label in zip(cuts[1:], labels[1:-1], strict=True):
+        out = out.when(x < cut, label)
+    return F.when(x.isNotNull(), out.otherwise(labels[-1]))

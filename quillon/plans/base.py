@@ -18,10 +18,11 @@ VIEWS = {
     "v_steps": """SELECT ticker, horizon, t, predicted_prob, predicted_return, actual_return, CASE WHEN actual_return > 0 THEN 1 ELSE 0 END AS y, realized_price,
         cur * (1 + predicted_return - 2 * tax) AS ci_lower, cur * (1 + predicted_return + 2 * tax) AS ci_upper, confidence,
         CASE WHEN predicted_return > 0.025 THEN 'BUY' WHEN predicted_return < -0.025 THEN 'SELL' ELSE 'HOLD' END AS recommendation,
-        CASE regime WHEN 'A' THEN 'bull' WHEN 'N' THEN 'bear' ELSE 'sideways' END AS regime FROM (
+        CASE regime WHEN 'A' THEN 'bull' WHEN 'N' THEN 'bear' ELSE 'sideways' END AS regime,
+        tax * 3 AS divergence, CASE WHEN tax > 0 THEN tax * 3 > 0.1D END AS structural_break, 0.9D + discount * 2 AS entropy_scale FROM (
         SELECT l_linestatus AS ticker, l_linenumber AS horizon, row_number() OVER (PARTITION BY l_linestatus, l_linenumber ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS t,
         (l_partkey % 101) / 100.0D AS predicted_prob, l_discount - 0.05D AS predicted_return, (l_quantity - 25) / 250.0D AS actual_return, l_extendedprice AS realized_price,
-        l_extendedprice / (1 + (l_quantity - 25) / 250.0D) AS cur, l_tax AS tax, (l_suppkey % 11) / 10.0D AS confidence, l_returnflag AS regime FROM {lineitem})""",
+        l_extendedprice / (1 + (l_quantity - 25) / 250.0D) AS cur, l_tax AS tax, l_discount AS discount, (l_suppkey % 11) / 10.0D AS confidence, l_returnflag AS regime FROM {lineitem})""",
     "v_snapshots": "SELECT event_id, user_id AS market_id, ts AS captured_at, least(value / 500.0D, 1.0D) AS probability, value * 1000.0D AS volume24h, event_type || '?' AS question FROM {events}",
     "v_markets": """SELECT p_partkey AS market_id, p_brand AS asset, p_size / 51.0D AS probability, CAST(p_size AS DOUBLE) AS age_days, 0.06D AS delta_yes, -0.04D AS delta_no, p_retailprice * 10 AS volume,
         CASE p_partkey % 3 WHEN 0 THEN 'macro' WHEN 1 THEN 'electoral' ELSE 'other' END AS tier, CAST(p_partkey % 120 AS DOUBLE) AS days_to_expiry, (p_partkey % 12) / 100.0D AS spread FROM {part}""",

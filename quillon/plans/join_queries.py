@@ -113,10 +113,8 @@ query("top_12_dedup_levels", "v_markets", sql="SELECT asset, price, market_id FR
     lambda m: J.latest_n(m.withColumn("price", F.floor(c("volume") / 500)).withColumn("k", F.struct("asset", "price")), "k", 1, F.when(c("tier") == "macro", 3).when(c("tier") == "electoral", 2).otherwise(1).desc(), c("days_to_expiry").asc_nulls_last(), F.desc("probability"), c("market_id")).select("asset", "price", "market_id"))
 query("top_14_union_with_tag", "documents", "pages", sql="SELECT 'document' AS tag, doc_id AS id, lang, NULL AS url FROM documents UNION ALL SELECT 'page', page_id, NULL, url FROM pages")(lambda d, p: d.select(F.lit("document").alias("tag"), c("doc_id").alias("id"), "lang").unionByName(p.select(F.lit("page").alias("tag"), c("page_id").alias("id"), "url"), allowMissingColumns=True))
 query("flt_01_screen", "part", sql="SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size >= 10 AND p_retailprice BETWEEN 950 AND 1050 AND p_brand = 'Brand#7'")(lambda p: J.screen(p, [("p_size", "gte", 10), ("p_retailprice", "between", (950, 1050)), ("p_brand", "eq", "Brand#7")]).select("p_partkey", "p_size", "p_retailprice"))
-query("flt_02_markets_open_at", "orders", sql="SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1997-01-01' AND o_orderdate + INTERVAL 90 DAY > TIMESTAMP '1997-01-01' AND o_orderstatus <> 'F'")(lambda o: o.where("o_orderdate <= timestamp '1997-01-01' and o_orderdate + interval 90 days > timestamp '1997-01-01' and o_orderstatus <> 'F'").select("o_orderkey"))
 query("flt_03_filter_to_horizon", "v_markets", sql="""WITH x AS (SELECT asset, market_id, abs(days_to_expiry - 14) <= 7 AS near, row_number() OVER (PARTITION BY asset ORDER BY abs(days_to_expiry - 14), volume DESC, market_id) AS r FROM {v_markets} WHERE days_to_expiry < 3 OR market_id % 2 = 0),
     y AS (SELECT *, bool_or(near) OVER (PARTITION BY asset) AS has FROM x) SELECT asset, market_id FROM y WHERE CASE WHEN has THEN near ELSE r <= 8 END""")(lambda m: J.filter_to_horizon(m.where("days_to_expiry < 3 or market_id % 2 = 0").withColumn("days_to_end", c("days_to_expiry")), 14).select("asset", "market_id"))
 query("flt_04_resolution_aligned", "v_markets", sql="SELECT market_id, (abs(days_to_expiry - 14) <= greatest(1.5, 0.35 * 14))::INT AS aligned FROM {v_markets}")(lambda m: m.select("market_id", (F.abs(c("days_to_expiry") - 14) <= max(1.5, 0.35 * 14)).alias("aligned")))
 query("flt_07_jump_event_filter", "v_markets", sql="SELECT market_id, greatest(1, ceil(days_to_expiry))::INT AS days FROM {v_markets} WHERE probability > 0 AND probability < 1 AND volume >= 5000 AND age_days >= 2 AND days_to_expiry <= 30 AND days_to_expiry >= 1")(lambda m: m.where("probability > 0 and probability < 1 and volume >= 5000 and age_days >= 2 and days_to_expiry <= 30 and days_to_expiry >= 1").select("market_id", F.greatest(F.lit(1), F.ceil("days_to_expiry")).cast("int").alias("days")))
 query("flt_09_find_keyword", "documents", sql="SELECT doc_id, substr(text, greatest(1, instr(lower(text), 'tion') - 100), 200) AS excerpt FROM documents WHERE contains(lower(text), 'tion')")(lambda d: d.where(F.contains(F.lower("text"), F.lit("tion"))).select("doc_id", F.substring("text", F.greatest(F.lit(1), F.instr(F.lower("text"), "tion") - 100), F.lit(200)).alias("excerpt")))
-query("flt_11_suspicious_text", "documents", sql=r"SELECT doc_id, regexp_matches(text, '(?i)token\s*=')::INT AS secret, regexp_matches(text, '[!]{2}')::INT AS shout, regexp_matches(text, '[#$%&*]{3}')::INT AS junk FROM documents WHERE regexp_matches(text, '(?i)token\s*=|[!]{2}|[#$%&*]{3}')")(lambda d: d.select("doc_id", c("text").rlike(r"(?i)token\s*=").alias("secret"), c("text").rlike("[!]{2}").alias("shout"), c("text").rlike("[#$%&*]{3}").alias("junk")).where("secret or shout or junk"))

@@ -59,32 +59,8 @@ _round_trip("src_20_eval_questions", "conversations",
     lambda v, p: v.select(F.concat_ws("-", "conv_id", "turn").alias("k"), F.replace("text", F.lit("\\"), F.lit("/")).alias("q")).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(p),
     lambda s, p: R.read_eval_questions(s, p, "k string, q string"),
     "SELECT conv_id || '-' || turn AS k, replace(text, '\\', '/') AS q FROM conversations")
-query("src_10_parse_price_payload", "v_prices", sql="SELECT series, d::VARCHAR AS day, round(close, 4) AS close FROM {v_prices}")(
-    lambda p: p.groupBy("series").agg(F.to_json(F.struct(F.collect_list(F.struct(c("d").cast("string").alias("time"), F.round("close", 4).alias("close"))).alias("prices"))).alias("j")).select("series", F.explode(F.from_json("j", "struct<prices:array<struct<time:string,close:double>>>").prices).alias("x")).where("x.close > 0").select("series", c("x.time").alias("day"), "x.close"))
-query("src_15_parse_consensus_payload", "v_markets", sql="SELECT market_id, round(greatest(0, least(1, probability * 1.2)), 8) AS p, 0 AS stars FROM {v_markets}")(
-    lambda m: m.select("market_id", F.to_json(F.struct(F.array(F.struct(F.lit("No").alias("name"), (1 - c("probability") * 1.2).alias("p")), F.struct(F.lit("YES").alias("name"), (c("probability") * 1.2).alias("p"))).alias("options"))).alias("j")).select("market_id", F.from_json("j", "struct<options:array<struct<name:string,p:double>>,stars:int>").alias("x")).select("market_id", M.clamp(F.coalesce(F.get(F.filter("x.options", lambda o: F.lower(o["name"]).startswith("yes")), F.lit(0)).p, F.get(F.filter("x.options", lambda o: o.p.isNotNull()), F.lit(0)).p), 0, 1).alias("p"), F.coalesce("x.stars", F.lit(0)).alias("stars")))
-query("flt_05_question_matches", "documents", "benchmark", sql=r"WITH q AS (SELECT item_id, [w FOR w IN list_distinct(regexp_split_to_array(lower(left(text, 40)), '[^a-z]+')) IF len(w) >= 6] AS ws FROM benchmark WHERE item_id < 5) SELECT doc_id, item_id FROM documents CROSS JOIN q WHERE len(ws) = 0 OR len([w FOR w IN ws IF contains(lower(text), w)]) > 0")(
-    lambda d, b: d.join(F.broadcast(b.where("item_id < 5").select("item_id", F.filter(F.array_distinct(F.split(F.lower(F.left("text", F.lit(40))), "[^a-z]+")), lambda w: F.length(w) >= 6).alias("ws")))).where((F.size("ws") == 0) | F.exists("ws", lambda w: F.contains(F.lower("text"), w))).select("doc_id", "item_id"))  # a stated set of five queries
-query("flt_06_drop_trivial_levels", "v_ladder", sql="SELECT asset, price FROM {v_ladder} WHERE NOT (price < 1000 AND probability > 0.95) AND NOT (price > 1000 AND probability < 0.05)")(lambda x: x.where(~((c("price") < 1000) & (c("probability") > 0.95)) & ~((c("price") > 1000) & (c("probability") < 0.05))).select("asset", "price"))
 query("flt_12_drop_fields_deep", "orders", sql="SELECT o_orderkey, o_custkey AS k FROM orders")(lambda o: J.drop_fields_deep(o.select("o_orderkey", F.struct(c("o_custkey").alias("k"), c("o_orderstatus").alias("url")).alias("s")), {"url"}).select("o_orderkey", "s.k"))
-query("top_13_distinct_files", "documents", sql="SELECT DISTINCT source FROM documents")(lambda d: d.select("source").distinct())
-query("agg_18_fixed_buckets", "v_steps", sql="SELECT b.bucket, count(s.t) AS n, round(avg((predicted_prob - y) ** 2), 8) AS brier FROM (VALUES ('BUY'), ('SELL'), ('HOLD'), ('WAIT')) b(bucket) LEFT JOIN {v_steps} s ON recommendation = bucket GROUP BY 1")(
-    lambda s: F.broadcast(s.sparkSession.createDataFrame([(x,) for x in ("BUY", "SELL", "HOLD", "WAIT")], "bucket string")).join(s.groupBy(c("recommendation").alias("bucket")).agg(F.count(F.lit(1)).alias("k"), A.brier().alias("brier")), "bucket", "left").select("bucket", F.coalesce("k", F.lit(0)).alias("n"), "brier"))
-for _n, _x, _cuts in (("agg_26_by_structural_break", "t % 3", ((1, "false"), (2, "true"))), ("agg_27_by_divergence", "(t % 30) / 100.0D", ((0.05, "<.05"), (0.10, ".05-.10"), (0.20, ".10-.20"))), ("agg_28_by_consensus", "confidence", ((0.4, "low"), (0.7, "medium"))), ("agg_30_by_entropy_scale", "0.9D + (t % 20) / 100.0D", ((0.999, "narrow"), (1.001, "flat")))):
-    _last = {"agg_26_by_structural_break": "unknown", "agg_27_by_divergence": ">=.20", "agg_28_by_consensus": "high", "agg_30_by_entropy_scale": "wide"}[_n]
-    _case = "CASE " + " ".join(f"WHEN {_x} < {k}D THEN '{v}'" for k, v in _cuts) + f" ELSE '{_last}' END"
-    query(_n, "v_steps", sql="SELECT " + _case.replace("D THEN", "::DOUBLE THEN").replace("0.0D", "0.0::DOUBLE").replace("0.9D", "0.9::DOUBLE") + " AS bucket, count(*) AS n, round(avg((predicted_prob - y) ** 2), 8) AS brier FROM {v_steps} GROUP BY 1")(lambda s, k=_case: s.groupBy(F.expr(k).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), A.brier().alias("brier")))
-query("agg_56_source_confidence", "documents", sql="WITH x AS (SELECT lang, count(*) AS n, count(DISTINCT source) AS s FROM documents GROUP BY 1) SELECT lang, CASE WHEN n >= 200 AND s >= 3 THEN 'high' WHEN n >= 50 THEN 'medium' ELSE 'low' END AS level FROM x")(lambda d: d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("s")).select("lang", F.when((c("n") >= 200) & (c("s") >= 3), "high").when(c("n") >= 50, "medium").otherwise("low").alias("level")))
 query("agg_57_duplicate_terms", "documents", sql=r"WITH w AS (SELECT DISTINCT source, unnest(regexp_extract_all(text, '\b[A-Z]{4,7}\b')) AS w FROM documents) SELECT w AS term, count(*) AS sources FROM w GROUP BY 1 HAVING count(*) >= 2")(lambda d: d.select("source", F.explode(F.regexp_extract_all("text", F.lit(r"(?-U)(?<![A-Za-z0-9_])[A-Z]{4,7}(?![A-Za-z0-9_])"), F.lit(0))).alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("sources")).where("sources >= 2"))
-query("mkt_22_transitory_flag", "v_snapshots", sql="WITH x AS (SELECT event_id, probability AS p, lag(probability, 1) OVER w AS a, lag(probability, 2) OVER w AS b FROM {v_snapshots} WINDOW w AS (PARTITION BY market_id ORDER BY captured_at, event_id)) SELECT event_id, coalesce(abs(a - b) > 0.1 AND abs(p - b) < abs(a - b) AND (abs(a - b) - abs(p - b)) / abs(a - b) > 0.5, false)::INT AS transitory FROM x")(
-    lambda s: (lambda x: x.select("event_id", F.coalesce((F.abs(c("a") - c("b")) > 0.1) & (F.abs(c("p") - c("b")) < F.abs(c("a") - c("b"))) & ((F.abs(c("a") - c("b")) - F.abs(c("p") - c("b"))) / F.abs(c("a") - c("b")) > 0.5), F.lit(False)).alias("transitory")))(s.select("event_id", c("probability").alias("p"), *[F.lag("probability", k).over(M.Window.partitionBy("market_id").orderBy("captured_at", "event_id")).alias(n) for k, n in ((1, "a"), (2, "b"))])))
-query("mkt_27_jump_direction", "documents", sql="SELECT doc_id, CASE WHEN u AND w THEN 'unknown' WHEN u THEN 'up' WHEN w THEN 'down' ELSE 'unknown' END AS direction FROM (SELECT doc_id, regexp_matches(lower(text), 'heit|rise|gain') AS u, regexp_matches(lower(text), 'worthless|fall|drop') AS w FROM documents)")(lambda d: d.select("doc_id", F.lower("text").rlike("heit|rise|gain").alias("u"), F.lower("text").rlike("worthless|fall|drop").alias("w")).select("doc_id", F.when(c("u") & c("w"), "unknown").when(c("u"), "up").when(c("w"), "down").otherwise("unknown").alias("direction")))
-query("txt_05_expand_query", "benchmark")(
-    lambda b: b.select("item_id", F.array_join(F.transform(F.slice(F.array_distinct(T.tokenize(F.left("text", F.lit(20)))), 1, 3), lambda t: F.when(t == "the", "(the OR der)").when(t == "of", "(of OR von)").otherwise(t)), " AND ").alias("q")))
-query("txt_11_live_rows", "events", sql="SELECT event_id FROM events WHERE event_type = 'purchase' OR (event_type = 'error' AND ts >= TIMESTAMP '2024-01-24') OR (event_type NOT IN ('purchase', 'error') AND ts >= TIMESTAMP '2024-01-10')")(lambda e: e.where(F.when(c("event_type") == "purchase", True).when(c("event_type") == "error", c("ts") >= F.lit("2024-01-24").cast("timestamp")).otherwise(c("ts") >= F.lit("2024-01-10").cast("timestamp"))).select("event_id"))
-query("txt_19_split_sections", "documents", sql="SELECT doc_id, CASE WHEN instr(text, chr(10)) > 0 THEN left(text, instr(text, chr(10)) - 1) ELSE text END AS remarks, CASE WHEN instr(text, chr(10)) > 0 THEN length(text) - instr(text, chr(10)) ELSE 0 END AS rest FROM documents")(lambda d: d.select("doc_id", F.instr("text", "\n").cast("int").alias("i"), "text").select("doc_id", F.when(c("i") > 0, F.left("text", c("i") - 1)).otherwise(c("text")).alias("remarks"), F.when(c("i") > 0, F.length("text") - c("i")).otherwise(0).cast("long").alias("rest")))
-query("txt_20_qa_highlights", "conversations", sql="SELECT conv_id, turn, list_transform(string_split(text, chr(10))[1:3], lambda x: left(x, 60))[1] AS first FROM conversations WHERE role = 'assistant'")(lambda v: v.where("role = 'assistant'").select("conv_id", "turn", F.get(F.transform(F.slice(F.split("text", "\n"), 1, 3), lambda x: F.left(x, F.lit(60))), F.lit(0)).alias("first")))
-query("txt_22_classify_events", "documents", sql="SELECT doc_id, CASE WHEN contains(lower(text), 'the') AND lang = 'en' THEN 'both' WHEN contains(lower(text), 'the') THEN 'found' ELSE coalesce(lang, 'none') END AS class FROM documents")(lambda d: d.select("doc_id", F.when(F.contains(F.lower("text"), F.lit("the")) & (c("lang") == "en"), "both").when(F.contains(F.lower("text"), F.lit("the")), "found").otherwise(F.coalesce("lang", F.lit("none"))).alias("class")))
 query("udf_01_user_metric", "v_steps")(lambda s: A.bootstrap(s, {"edge": lambda w: F.sum(w * A.edge()) / F.sum(w)}, replicates=50))
 query("udf_02_user_policy", "v_steps", sql="SELECT ticker, round(avg((confidence * 0.9::DOUBLE >= 0.3)::INT::DOUBLE), 8) AS coverage FROM {v_steps} GROUP BY 1")(lambda s: s.withColumn("k", (lambda x: x * 0.9)(c("confidence"))).groupBy("ticker").agg(F.avg((c("k") >= 0.3).cast("double")).alias("coverage")))
 query("udf_04_user_projection", "v_snapshots", sql="WITH m AS (SELECT market_id, abs(sqrt(probability) - lag(sqrt(probability)) OVER (PARTITION BY market_id ORDER BY captured_at, event_id)) AS move, epoch_us(captured_at) - max(epoch_us(captured_at)) OVER (PARTITION BY market_id) AS x FROM {v_snapshots}) SELECT market_id, round(coalesce(max(move), 0), 8) AS jump FROM m WHERE x >= -24 * 3600000000 GROUP BY 1")(lambda s: M.max_jump(s, 24, F.sqrt))

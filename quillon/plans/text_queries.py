@@ -10,46 +10,10 @@ from quillon.plans.base import query
 c = F.col
 
 
-def _blank(d):  # noqa: ANN001, ANN202
-    return d.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
-
-
-query("txt_01_chunk_text", "documents")(lambda d: T.chunk_text(_blank(d)))
 query("txt_02_content_hash", "documents", sql="SELECT doc_id, sha256(text) AS hash FROM documents")(lambda d: d.select("doc_id", T.content_hash(c("text")).alias("hash")))
 query("txt_03_snippet", "documents", sql=r"SELECT doc_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 700) AS snippet, ceil(length(text) / 3.5)::BIGINT AS tokens FROM documents")(lambda d: d.select("doc_id", T.snippet(c("text")).alias("snippet"), T.estimate_tokens(c("text")).alias("tokens")))
 query("txt_04_extract_tickers", "documents")(lambda d: d.select("doc_id", F.array_join(T.extract_tickers(c("text")), ",").alias("tickers")))
-_TOK = r"[t FOR t IN regexp_split_to_array(lower(text), '[^\pL\pN]+') IF t <> '']"
-_BM = rf"""d AS (SELECT doc_id, {_TOK} AS t FROM documents), q AS (SELECT item_id AS query_id, list_distinct({_TOK})[1:2] AS t FROM (SELECT item_id, left(text, 12) AS text FROM benchmark)), qt AS (SELECT query_id, unnest(t) AS term, len(t) AS needed FROM q),
-    p AS (SELECT doc_id, len(t) AS size, unnest(t) AS term FROM d), tf AS (SELECT doc_id, size, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n, avg(len(t)) AS m FROM d),
-    s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / m)))::DOUBLE AS bm25 FROM qt JOIN tf USING (term) JOIN df USING (term) CROSS JOIN n GROUP BY query_id, doc_id, needed HAVING count(*) = needed),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id) AS rank FROM s), bm AS (SELECT query_id, doc_id, bm25, CASE WHEN max(bm25) OVER w > min(bm25) OVER w THEN (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) ELSE 1 END::DOUBLE AS score, rank FROM r WHERE rank <= 20 WINDOW w AS (PARTITION BY query_id))"""
-
-
-def _bm(d, b):  # noqa: ANN001, ANN202
-    q = b.select(c("item_id").alias("query_id"), F.array_join(F.slice(F.array_distinct(T.tokenize(F.left("text", F.lit(12)))), 1, 2), " ").alias("text"))
-    return T.bm25(d, q)
-
-
-def _duck_first_two() -> str:
-    # the distinct terms of a query keep their order, which list_distinct does not promise
-    return _BM.replace(f"list_distinct({_TOK})[1:2]", f"(SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest({_TOK}) AS x, generate_subscripts({_TOK}, 1) AS i) GROUP BY x ORDER BY i LIMIT 2))")
-
-
-query("txt_06_bm25_search", "documents", "benchmark", sql=f"WITH {_duck_first_two()} SELECT query_id, doc_id, round(bm25, 6) AS bm25, round(score, 6) AS score, rank FROM bm WHERE rank <= 10")(lambda d, b: _bm(d, b).withColumns({"bm25": F.round("bm25", 6), "score": F.round("score", 6)}))
-_VEC = "vs AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings v CROSS JOIN embeddings q WHERE q.vec_id % 50 = 0), vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM vs)"
-
-
-def _vec(e):  # noqa: ANN001, ANN202
-    return T.vector_search(e, e.where("vec_id % 50 = 0").select(c("vec_id").alias("query_id"), c("embedding").alias("query")))
-
-
-query("txt_07_vector_search", "embeddings", sql=f"WITH {_VEC} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM vr WHERE rank <= 10")(lambda e: _vec(e).withColumn("score", F.round("score", 6)))
-query("txt_08_hybrid_search", "documents", "benchmark", "embeddings", sql=f"""WITH {_duck_first_two()}, {_VEC}, h AS (SELECT coalesce(k.query_id, v.query_id) AS query_id, coalesce(k.doc_id, v.vec_id) AS id, k.score AS ks, v.score AS vs FROM (SELECT query_id * 50 AS query_id, doc_id, score FROM bm WHERE rank <= 10) k FULL JOIN (SELECT * FROM vr WHERE rank <= 10) v ON k.query_id = v.query_id AND k.doc_id = v.vec_id),
-    g AS (SELECT query_id, id, CASE WHEN count(ks) OVER w > 0 AND count(vs) OVER w > 0 THEN 0.3::DOUBLE * coalesce(ks, 0) + 0.7::DOUBLE * coalesce(vs, 0) ELSE coalesce(ks, 0) + coalesce(vs, 0) END AS score FROM h WINDOW w AS (PARTITION BY query_id)), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM g)
-    SELECT query_id, id, round(score, 6) AS score, rank FROM z WHERE rank <= 10""")(
-    lambda d, b, e: T.hybrid(_bm(d, b).select((c("query_id") * 50).alias("query_id"), c("doc_id").alias("id"), "score"), _vec(e).select("query_id", c("vec_id").alias("id"), "score")).withColumn("score", F.round("score", 6)))
 query("txt_09_temporal_decay", "events", sql="SELECT event_id, round(value * exp(-ln(2::DOUBLE) * date_diff('day', ts::DATE, DATE '2024-02-01') / 30), 6) AS score FROM events")(lambda e: e.select("event_id", F.round(T.temporal_decay(c("value"), F.datediff(F.lit("2024-02-01").cast("date"), F.to_date("ts")).cast("double")), 6).alias("score")))
-query("txt_10_mmr_rerank", "documents", "benchmark")(lambda d, b: T.mmr(_bm(d, b).join(d.select("doc_id", T.tokenize(c("text")).alias("tokens")), "doc_id").select("query_id", c("doc_id").alias("id"), "score", "tokens")))
 query("txt_12_recall", "events", sql="SELECT user_id, event_id FROM events WHERE lower(event_type) = 'click' AND ts >= TIMESTAMP '2024-01-10' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")(
     lambda e: e.where("lower(event_type) = 'click' and ts >= timestamp '2024-01-10'").withColumn("rn", F.row_number().over(T.Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).where("rn <= 5").select("user_id", "event_id"))
 query("txt_14_latest_routing", "events", sql="SELECT user_id, max_by(event_type, (ts, event_id)) AS routing FROM events WHERE event_type <> 'error' GROUP BY 1")(lambda e: e.where("event_type <> 'error'").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("routing")))
@@ -57,7 +21,6 @@ query("txt_15_missing_embeddings", "documents", "embeddings", sql="SELECT doc_id
 query("txt_16_html_to_text", "pages", sql=r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<style\b[^>]*>.*?</style>|<script\b[^>]*>.*?</script>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS h FROM pages""")(lambda p: p.select("page_id", F.md5(T.html_to_text(c("html"))).alias("h")))
 query("txt_17_html_title", "pages", sql="SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages")(lambda p: p.select("page_id", T.html_title(c("html")).alias("title")))
 query("txt_17_html_to_markdown", "pages")(lambda p: p.select("page_id", F.md5(T.html_to_markdown(c("html"))).alias("h"), F.length(T.html_to_markdown(c("html"))).alias("n")))
-query("txt_18_guidance_phrases", "documents")(lambda d: d.select("doc_id", F.explode(T.guidance_phrases(c("text"))).alias("sentence")))
 query("txt_21_lexicon_sentiment", "documents", sql=r"""WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\pL]+') AS w FROM documents), n AS (SELECT doc_id, len([x FOR x IN w IF x IN ('the', 'and', 'of')]) AS g, len([x FOR x IN w IF x IN ('worthless', 'pathetic', 'in')]) AS b FROM w)
     SELECT doc_id, round(CASE WHEN g + b > 0 THEN (g - b) / (g + b) ELSE 0 END::DOUBLE, 8) AS sentiment FROM n""")(lambda d: d.select("doc_id", T.lexicon_sentiment(c("text"), ("the", "and", "of"), ("worthless", "pathetic", "in")).alias("sentiment")))
 query("txt_23_parse_compact_date", "events", sql="SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events")(lambda e: e.select("event_id", F.date_format(T.parse_compact_date(F.date_format("ts", "yyyyMMddHHmmss")), "yyyy-MM-dd HH:mm:ss").alias("at")))

@@ -166,10 +166,14 @@ def incremental_index(batch: DataFrame, index_path: str) -> None:
 
 
 def adaptive_conformal(steps: DataFrame, target: float = 0.9, rate: float = 0.05, multiplier: float = 1.5, cooloff: int = 0) -> DataFrame:
-    """Final radius and coverage with a break mode: after a flag or a volatility shock the rate rises for `cooloff` rows.
+    """Final radius, applied radius and coverage with a break mode: after a flag or a shock the rate rises for `cooloff` rows.
+
+    In break mode the applied radius is the radius times the root of the multiplier (never less than the radius itself).
 
     A shock is realised volatility at or above `multiplier` times its moving average (until one exists, the residual's).
     """
+    wide = max(1.0, multiplier**0.5)
+
     def step(a: Column, x: Column) -> Column:
         baseline = F.coalesce(a.vol, a.res)
         hit = x.is_break | F.coalesce((x.rv > 0) & (x.rv >= baseline * multiplier), F.lit(False))
@@ -179,11 +183,11 @@ def adaptive_conformal(steps: DataFrame, target: float = 0.9, rate: float = 0.05
         cool = F.when(hit, F.lit(cooloff)).when(a.cool > 0, a.cool - 1).otherwise(a.cool)
         res = F.when(a.res.isNull(), x.residual).otherwise(0.95 * a.res + 0.05 * x.residual)
         vol = F.when(x.rv <= 0, a.vol).when(a.vol.isNull(), x.rv).otherwise(0.9 * a.vol + 0.1 * x.rv)
-        return F.struct(q.alias("q"), cool.alias("cool"), res.alias("res"), vol.alias("vol"), (a.hit + 1 - miss).alias("hit"), (a.broken + broken.cast("int")).alias("broken"), (a.n + 1.0).alias("n"))
+        return F.struct(q.alias("q"), cool.alias("cool"), res.alias("res"), vol.alias("vol"), (a.hit + 1 - miss).alias("hit"), (a.broken + broken.cast("int")).alias("broken"), broken.alias("mode"), (a.n + 1.0).alias("n"))
 
     none = F.lit(None).cast("double")
-    zero = F.struct(F.lit(0.1).alias("q"), F.lit(0).alias("cool"), none.alias("res"), none.alias("vol"), F.lit(0.0).alias("hit"), F.lit(0).alias("broken"), F.lit(0.0).alias("n"))
-    out = ordered_fold(steps, ["ticker", "horizon"], ["t"], ["residual", "rv", "is_break"], zero, step, lambda a: F.struct(a.q.alias("radius"), (a.hit / a.n).alias("coverage"), a.broken.alias("breaks")))
+    zero = F.struct(F.lit(0.1).alias("q"), F.lit(0).alias("cool"), none.alias("res"), none.alias("vol"), F.lit(0.0).alias("hit"), F.lit(0).alias("broken"), F.lit(False).alias("mode"), F.lit(0.0).alias("n"))
+    out = ordered_fold(steps, ["ticker", "horizon"], ["t"], ["residual", "rv", "is_break"], zero, step, lambda a: F.struct(a.q.alias("radius"), (a.q * F.when(a.mode, wide).otherwise(1.0)).alias("applied"), (a.hit / a.n).alias("coverage"), a.broken.alias("breaks")))
     return out.select("ticker", "horizon", "state.*")
 
 

@@ -122,10 +122,34 @@ def test_price_levels_and_tickers(spark):
 
 
 def test_chunks_respect_the_budget(spark):
-    text = "\n\n".join(["a" * 30, "b" * 30, "c" * 200, "d"])
+    text = "\n\n".join(["a" * 30, "b" * 30, "c" * 80 + ". " + "e" * 100, "d"])
     df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
-    got = [(x["doc_id"], x["chunk"], x["content"]) for x in T.chunk_text(df, 20).orderBy("doc_id", "chunk").collect()]
-    assert got == [(1, 0, "a" * 30 + "\n\n" + "b" * 30), (1, 1, "c" * 200), (1, 2, "d")]
+    got = lambda *x: [tuple(r)[:3] + tuple(r)[4:] for r in T.chunk_text(df, *x).orderBy("doc_id", "chunk").collect()]
+    assert got(30) == [(1, 0, "a" * 30 + "\n\n" + "b" * 30, 1, 3), (1, 1, "c" * 80 + ".", 5, 5), (1, 2, "e" * 100 + "\n\nd", 6, 7)]
+    # the last paragraph of a chunk opens the next one where it fits the overlap
+    assert got(20, 10)[:2] == [(1, 0, "a" * 30 + "\n\n" + "b" * 30, 1, 3), (1, 1, "b" * 30, 3, 3)]
+    assert all(len(x[2]) <= 70 for x in got(20, 10))
+
+
+def test_vector_blocks_equal_one_block(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    q = e.where("vec_id % 5 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    key = lambda df: sorted((r["query_id"], r["vec_id"], r["rank"]) for r in df.collect())
+    assert key(T.vector_search(e, q, 3, block=7)) == key(T.vector_search(e, q, 3))
+
+
+def test_hybrid_scores(spark):
+    kw = spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.5)], "query_id int, id int, score double")
+    ve = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.01), (2, 9, 0.5)], "query_id int, id int, score double")
+    more = spark.createDataFrame([(1, 1)], "query_id int, id int")
+    got = {(r["query_id"], r["id"]): r["score"] for r in T.hybrid(kw, ve, 5, min_score=0.05, boosted=more).collect()}
+    assert got == pytest.approx({(1, 1): 0.55, (1, 2): 0.78, (2, 9): 0.5})
+
+
+def test_market_quality_flags(spark):
+    row = spark.createDataFrame([(30.0, 1e6, "macro", 10.0, 0.01, 0.5)], "age_days double, volume double, tier string, days_to_expiry double, spread double, probability double")
+    got = row.select(M.market_quality().alias("q"), M.market_quality(spike=F.lit(True), transitory=F.lit(True), stable=F.lit(True)).alias("s"), M.market_quality(stable=F.lit(True), fast=F.lit(None).cast("boolean")).alias("t"), M.market_quality(9.0).alias("h")).first()
+    assert (got["s"] / got["q"], got["t"] / got["q"], got["h"] / got["q"]) == pytest.approx((0.5, 1.1, 0.75))
 
 
 def test_mmr_prefers_novelty(spark):
