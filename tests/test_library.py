@@ -16,6 +16,7 @@ from quillon.operators import scoring as A
 from quillon.operators import series as S
 from quillon.operators import text as T
 from quillon.sources import readers as R
+from quillon.streaming import folds as Y
 from quillon.streaming import stateful as Z
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -199,3 +200,38 @@ def test_incremental_index(spark, tmp_path):
     for _ in range(2):
         Z.incremental_index(df, str(tmp_path / "index"))
     assert spark.read.parquet(str(tmp_path / "index")).count() == 2
+
+
+STEPS = "ticker string, horizon int, t int, residual double, rv double, is_break boolean, p double, y double"
+
+
+def _steps(n):
+    return [(k, 1, t, 0.01 * ((7 * t) % 31), 0.02 * ((5 * t) % 13), t % 29 == 0, (t % 10) / 10 + 0.05, float(t % 3 == 0)) for k in ("a", "b") for t in range(n)]
+
+
+@pytest.mark.parametrize("table,stream,fold", [(Y.conformal_pid, Y.conformal_pid_stream, Y.pid_fold()), (Y.online_brier_calibrator, Y.online_brier_stream, Y.brier_fold()), (Y.adaptive_conformal, Y.adaptive_conformal_stream, Y.break_fold())])
+def test_folds_stream_equals_table(spark, tmp_path, table, stream, fold):
+    rows = _steps(200)
+    df = spark.createDataFrame(rows, STEPS)
+    whole = {x["ticker"]: tuple(x) for x in table(df).collect()}
+    names = STEPS.replace(",", "").split()[::2]
+    for k in ("a", "b"):
+        state = fold.zero
+        for r in (x for x in rows if x[0] == k):
+            state = fold.step(state, *[float(r[names.index(v)]) for v in fold.values])
+        assert whole[k][2:] == pytest.approx(fold.finish(state))
+    for part in (0, 1):  # two triggers: the state of the first is carried on
+        df.where(f"t div 100 = {part}").coalesce(1).write.parquet(str(tmp_path / "in" / f"p={part}"))
+        source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in" / "*"))
+        stream(source).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(
+            lambda d, i: d.write.mode("overwrite").parquet(str(tmp_path / "out"))).start().awaitTermination()
+    assert {x["ticker"]: tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).collect()} == whole
+
+
+def test_folds_of_odd_rows(spark):
+    rows = [(None, None, 1, 0.2, None, None, 0.5, None), (None, None, 2, 0.0, 0.1, True, 0.5, 1.0), ("a", 1, 1, None, 0.1, True, None, 1.0), ("b", 2, 1, 0.3, 0.1, False, 0.7, 0.0), ("b", 2, 1, 0.3, 0.1, False, 0.7, 0.0)]
+    df = spark.createDataFrame(rows, STEPS).withColumn("_key", F.lit("mine"))
+    found = {(x["ticker"], x["horizon"]): x for x in Y.adaptive_conformal(df, cooloff=2).collect()}
+    assert set(found) == {(None, None), ("b", 2)} and found[(None, None)]["coverage"] == 0.5 and found[(None, None)]["breaks"] == 1
+    assert {(x["ticker"], x["horizon"]) for x in Y.online_brier_calibrator(df).collect()} == {(None, None), ("b", 2)}
+    assert Y.conformal_pid(df.where("t > 9")).count() == 0
