@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import joins as J
+
 c = F.col
 HORIZONS = (1, 2, 3)
 #: Gates by horizon: labelled, traded, abstain rate, Brier score; fixed values of the readiness rule.
@@ -15,16 +17,12 @@ def label_markets(markets: DataFrame, prices: DataFrame) -> DataFrame:
     """Outcome of each market (key, market_id, captured, target, level, high_level, semantics) from its price path.
 
     terminal: settled at or above the level; barrier: touched it; range: settled between the two. A market whose
-    target lies after the last price is not labelled (null).
+    target lies after the last price is not labelled (null); one whose key has no price has no row.
     """
-    met = markets.join(prices, "key")
-    after = c("at") >= c("target")
-    inside = c("at").between(c("captured"), c("target"))
-    sums = met.groupBy("market_id", "semantics", "level", "high_level", "target").agg(
-        F.min_by(F.when(after, c("price")), F.when(after, F.struct("at", "price"))).alias("settled"),
-        F.max(F.when(inside, c("price"))).alias("high"),
-        F.max("at").alias("last"),
-    )
+    settled = J.settlement(markets, prices, "key")
+    path = J.path_in_window(markets, prices, "key").select("key", "captured", "target", "high")
+    last = prices.groupBy("key").agg(F.max("at").alias("last"))
+    sums = markets.join(settled.hint("shuffle_merge"), ["key", "target"]).join(path.hint("shuffle_merge"), ["key", "captured", "target"], "left").join(last.hint("shuffle_merge"), "key")
     hit = F.when(c("semantics") == "terminal", c("settled") >= c("level")).when(c("semantics") == "barrier", c("high") >= c("level")).when(c("semantics") == "range", c("settled").between(c("level"), c("high_level")))
     return sums.select("market_id", "semantics", (c("last") >= c("target")).alias("ready"), F.when(c("last") >= c("target"), F.when(hit, "yes").when(~hit, "no")).alias("outcome"))
 

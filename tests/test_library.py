@@ -235,3 +235,49 @@ def test_folds_of_odd_rows(spark):
     assert set(found) == {(None, None), ("b", 2)} and found[(None, None)]["coverage"] == 0.5 and found[(None, None)]["breaks"] == 1
     assert {(x["ticker"], x["horizon"]) for x in Y.online_brier_calibrator(df).collect()} == {(None, None), ("b", 2)}
     assert Y.conformal_pid(df.where("t > 9")).count() == 0
+
+
+def test_settlement_and_path_of_a_hot_key(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    draw, start = random.Random(3), datetime(2024, 1, 1)
+    when = lambda: start + timedelta(minutes=draw.randrange(400 * 24 * 12) * 5)
+    prices = [("hot", when(), float(draw.randrange(90))) for _ in range(2000)] + [("few", start, 5.0), ("few", start, 3.0)] + [("gap", start, 1.0), ("gap", start + timedelta(days=300), 2.0)]
+    prices += prices[:20] + [(None, start, 1.0), ("hot", None, 1.0), ("hot", start, None)]
+    wants = [("hot", *sorted((when(), when()))) for _ in range(300)] + [("hot", x[1], x[1]) for x in prices[:5]]
+    wants += [("few", start, start), ("few", start, start + timedelta(days=1)), ("gap", start + timedelta(days=1), start + timedelta(days=100)), ("none", start, start), ("hot", start, None), (None, start, start)]
+    p, w = spark.createDataFrame(prices, "k string, at timestamp, price double"), spark.createDataFrame(wants + wants[:3], "k string, captured timestamp, target timestamp")
+    good = [x for x in prices if None not in x]
+    settled, path = {}, {}
+    for k, a, z in wants:
+        own = [x for x in good if x[0] == k]
+        if z and own:
+            after = [x for x in own if x[1] >= z]
+            settled[k, z] = min(after, key=lambda x: x[1:])[2] if after else max(own, key=lambda x: x[1:])[2]
+            inside = [x[2] for x in own if a <= x[1] <= z]
+            if inside:
+                path[k, a, z] = (min(inside), max(inside), len(inside))
+    got = J.settlement(w, p, "k").collect()
+    assert len(got) == len(settled) and {(x["k"], x["target"]): x["settled"] for x in got} == settled
+    got = J.path_in_window(w, p.where("price is not null"), "k").collect()
+    assert len(got) == len(path) and {(x["k"], x["captured"], x["target"]): (x["low"], x["high"], x["points"]) for x in got} == path
+    plan = J.path_in_window(w, p, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and J.settlement(w.limit(0), p, "k").count() == 0 and J.settlement(w, p.limit(0), "k").count() == 0
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.8, 1.0])
+def test_best_fuzzy_match_equals_brute_force(spark, least):
+    import random
+
+    draw = random.Random(5)
+    some = lambda: sorted({f"w{min(draw.randrange(40), draw.randrange(40))}" for _ in range(draw.randrange(7))})
+    a, b = [(i, some()) for i in range(80)] + [(90, None)], [(i, some(), i % 5) for i in range(90)] + [(91, None, 1)]
+    want = {}
+    for i, x in a:
+        scored = [(len({*x} & {*y}) / len({*x} | {*y}), s, m) for m, y, s in b if x and y]
+        found = [(j + s / 1000, -m, j) for j, s, m in scored if j >= least]
+        if found:
+            want[i] = max(found)
+    got = J.best_fuzzy_match(spark.createDataFrame(a, "id int, tokens array<string>"), spark.createDataFrame(b, "match_id int, tokens array<string>, stars int"), least).collect()
+    assert {x["id"]: (pytest.approx(x["score"]), -x["match_id"], pytest.approx(x["jaccard"])) for x in got} == want and len(got) == len(want)
