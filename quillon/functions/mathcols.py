@@ -8,6 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# fixed values: the published coefficients
+ERF = (0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429))
+PROBIT = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01),
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00),
+)
+
+
 def clamp(x: Column, low: float | Column, high: float | Column) -> Column:
     low, high = (v if isinstance(v, Column) else F.lit(float(v)) for v in (low, high))
     return F.greatest(low, F.least(high, x))
@@ -15,8 +25,7 @@ def clamp(x: Column, low: float | Column, high: float | Column) -> Column:
 
 def erf(x: Column) -> Column:
     """Error function by Abramowitz and Stegun 7.1.26 (error below 1.5e-7)."""
-    # fixed values: the published coefficients
-    p, a = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+    p, a = ERF
     t = 1 / (1 + p * F.abs(x))
     poly = F.lit(a[4])
     for c in (a[3], a[2], a[1], a[0]):
@@ -34,11 +43,7 @@ def normal_pdf(x: Column) -> Column:
 
 def probit(p: Column) -> Column:
     """Inverse normal CDF by Acklam's rational approximation; p is clamped to (0, 1)."""
-    # fixed values: the published coefficients
-    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
-    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+    a, b, c, d = PROBIT
     p = clamp(p, 1e-12, 1 - 1e-12)
 
     def poly(cs: tuple[float, ...], x: Column, last: float | None = None) -> Column:

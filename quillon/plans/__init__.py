@@ -1,4 +1,5 @@
 """Queries over the test tables, with their SQL."""
 
 from quillon.plans import anchor_queries, finished_queries, forecast_queries, join_queries, market_queries, more_queries, online_queries, scoring_queries, series_queries, stream_queries, text_queries  # noqa: F401
+from quillon.plans import closed_forms  # noqa: F401, E402, I001  (after the queries whose SQL it adds)
 from quillon.plans.base import ORACLES, QUERIES  # noqa: F401

@@ -47,7 +47,7 @@ query("ser_51_walk_forward_replay", "v_prices", "v_snapshots", sql=None)(
     lambda p, s: W.walk_forward(p).join(F.broadcast(s.groupBy().agg(F.avg("probability").alias("market_p"))), how="cross").select("ticker", "t", "predicted_prob", (0.7 * c("predicted_prob") + 0.3 * c("market_p")).alias("blended"), "y"))
 query("ser_58_base_rate_floor", "v_steps", sql="SELECT ticker, horizon, t, round(greatest(0.35, 0.5 - greatest(0.05, least(0.10, 0.05 + (predicted_prob - 0.5) * 0.2))), 8) AS floor FROM {v_steps}")(lambda s: s.select("ticker", "horizon", "t", W.base_rate_floor(c("predicted_prob"), F.lit(0.5), F.lit(False))[1].alias("floor")))
 query("ser_60_soft_regime", "v_prices", sql=f"WITH {_S}, {_MIX}, e AS (SELECT series, least(1, -(bull * ln(bull) + bear * ln(bear) + sideways * ln(sideways)) / ln(3)) AS e FROM mx) SELECT series, round(e::DOUBLE, 8) AS entropy, round(greatest(0.65, 1 - 0.35 * e)::DOUBLE, 8) AS confidence, round((1 + 0.35 * e)::DOUBLE, 8) AS ci_scale FROM e")(lambda p: W.soft_regime(W.start_state_mixture(_states(p))))
-query("str_07_rolling_entropy_z", "v_prices")(lambda p: S.entropy_z(p))
+query("str_07_rolling_entropy_z", "v_prices", sql=ORACLES["ser_28_entropy_z"])(lambda p: S.entropy_z(p).withColumn("z", F.round("z", 6)).withColumn("scale", F.greatest(F.lit(0.7), F.least(F.lit(1.4), 1 + 0.15 * c("z")))))
 query("udf_03_user_evaluator", "v_steps", sql="SELECT horizon, count(*) FILTER (confidence >= 0.5) AS sure FROM {v_steps} GROUP BY 1")(lambda s: s.transform(lambda x: x.groupBy("horizon").agg(F.count_if(c("confidence") >= 0.5).alias("sure"))))
 query("udf_05_history_provider", "v_prices", "v_prices_short", sql="SELECT 'orders' AS provider, count(*) AS n FROM {v_prices} UNION ALL SELECT 'events', count(*) FROM {v_prices_short}")(lambda a, b: a.agg(F.lit("orders").alias("provider"), F.count(F.lit(1)).alias("n")).unionByName(b.agg(F.lit("events").alias("provider"), F.count(F.lit(1)).alias("n"))))
 

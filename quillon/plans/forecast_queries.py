@@ -42,8 +42,8 @@ query("ser_50_walk_forward", "v_prices", sql=f"WITH {_WF} SELECT ticker, t, roun
 query("ser_50_walk_forward_report", "v_prices", sql=f"WITH {_WF} SELECT ticker, count(*) AS steps, round(avg((up - (ar > 0)::INT) ** 2), 6) AS brier, round(avg((future BETWEEN lo AND hi)::INT::DOUBLE), 6) AS coverage FROM wf GROUP BY 1")(lambda p: A.report(W.walk_forward(p), "ticker", metrics={"steps": F.count(F.lit(1)), "brier": F.round(A.brier(), 6), "coverage": F.round(F.avg(A.covered()), 6)}))
 query("ser_53_scenario_buckets", "v_prices")(lambda p: W.scenario_buckets(_params(p)))
 query("ser_55_action_signal", "v_prices")(lambda p: W.action_signal(_params(p)))
-query("ser_56_survival_grid", "v_prices")(lambda p: W.survival_grid(_params(p)))
-query("ser_56_student_grid", "v_prices")(lambda p: W.survival_grid(_params(p), nu=4))
+query("ser_56_survival_grid", "v_prices")(lambda p: W.survival_grid(_params(p)).select("series", "i", F.log("level").alias("log_level"), "survival"))
+query("ser_56_student_grid", "v_prices")(lambda p: W.survival_grid(_params(p), nu=4).select("series", "i", F.log("level").alias("log_level"), "survival"))
 query("ser_57_shrink_to_base_rate", "v_steps", sql="SELECT ticker, horizon, t, round(greatest(0.15, least(0.55, 0.45 - 0.07 * confidence - 0.1))::DOUBLE * 0.5 + (1 - greatest(0.15, least(0.55, 0.45 - 0.07 * confidence - 0.1))::DOUBLE) * predicted_prob, 8) AS p FROM {v_steps}")(lambda s: s.select("ticker", "horizon", "t", W.shrink_to_base_rate(c("predicted_prob"), F.lit(0.5), c("confidence"), F.lit(0.1)).alias("p")))
 query("ser_59_prediction_confidence", "v_steps", sql="""SELECT ticker, horizon, t, round(greatest(0, least(1, (0.6 * abs(predicted_prob - 0.5) + 0.15 * 2 / 3 + 0.10 + 0.15 * least(1, (t % 30) / 20.0) + 0.10 * confidence + CASE WHEN sign(predicted_prob - 0.5) = sign(0.1) THEN 0.20 * 0.2 ELSE -0.08 * 0.2 END) * CASE WHEN t % 7 = 0 THEN 0.6 ELSE 1 END))::DOUBLE, 6) AS conf FROM {v_steps}""")(
     lambda s: s.select("ticker", "horizon", "t", F.round(W.prediction_confidence(c("predicted_prob"), F.lit(2.0), c("t") % 30, c("confidence"), F.lit(0.6), c("t") % 7 == 0), 6).alias("conf")))
