@@ -17,6 +17,8 @@ c = F.col
 def cluster_segments(rows: DataFrame, features: list[str], key: str, k: int = 3, iterations: int = 10) -> DataFrame:
     """Lloyd's rounds from seeds at evenly spaced ranks of the second feature: (key, cluster, distance, membership).
 
+    Ranks come from a percentile sketch (exact up to 10,000 rows), each seed is the row nearest to one, equally near
+    rows by a hash of the seed's number and the key; so no row order is ever made over all rows.
     Centres (k rows) are literals of the next round's expression, so a round is one aggregation; the membership is a
     softmax of negative squared distances over their mean.
     """
@@ -24,10 +26,11 @@ def cluster_segments(rows: DataFrame, features: list[str], key: str, k: int = 3,
     if not n:
         return rows.select(key, F.lit(0).alias("cluster"), F.lit(0.0).alias("distance"), F.lit(0.0).alias("membership"))
     k = max(1, min(k, n))
-    at = [int(i * (n - 1) / max(1, k - 1) + 0.5) for i in range(k)]
-    place = F.row_number().over(Window.orderBy(features[min(1, len(features) - 1)], key)) - 1
-    seeds = {r["_i"]: r for r in rows.withColumn("_i", place).where(c("_i").isin(*at)).collect()}  # k rows
-    centres = [[float(seeds[i][f]) for f in features] for i in at]
+    by = features[min(1, len(features) - 1)]
+    ranks = rows.agg(F.percentile_approx(by, [i / max(1, k - 1) for i in range(k)], 10_000).alias("at")).first()["at"]  # k values
+    nearest = [F.min_by(F.struct(*features), F.struct(F.abs(c(by) - v), F.xxhash64(F.lit(i), key), key)).alias(f"_{i}") for i, v in enumerate(ranks)]
+    seeds = rows.agg(*nearest).first()  # k rows
+    centres = [[float(seeds[i][f]) for f in features] for i in range(k)]
 
     def distances() -> Column:
         one = lambda m: sum((F.pow(c(f) - float(v), 2) for f, v in zip(features[1:], m[1:], strict=True)), F.pow(c(features[0]) - float(m[0]), 2))
@@ -47,7 +50,10 @@ def cluster_segments(rows: DataFrame, features: list[str], key: str, k: int = 3,
 
 
 def cross_asset_bias(returns: DataFrame, target: str, peers: list[str], horizon: int = 5, penalty: float = 0.01) -> DataFrame:
-    """Lasso of the target's next-`horizon` sum on its peers' returns; the prediction of the latest complete date over the horizon."""
+    """Lasso of the target's next-`horizon` sum on its peers' returns; the prediction of the latest complete date over the horizon.
+
+    Rows are summed by date first; the ordered window then sees one row a date, so its one task is bounded by the calendar.
+    """
     wide = returns.groupBy("d").agg(*[F.max(F.when(c("series") == s, c("r"))).alias(f"x{i}") for i, s in enumerate([target, *peers])])
     ahead = Window.orderBy("d").rowsBetween(1, horizon)
     rows = wide.na.drop().withColumns({"y": F.sum("x0").over(ahead), "k": F.count("x0").over(ahead)})

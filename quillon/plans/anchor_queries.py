@@ -63,12 +63,28 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["str_08_incremental_index"] = lambda spark, sf_dir: tidy(_index(spark, sf_dir))
 ORACLES["str_08_incremental_index"] = "SELECT sha256(text) AS hash, 1 AS n FROM documents GROUP BY 1"
-_round_trip("src_05_raw_captures", "v_snapshots",
-    lambda s, p: s.select(F.col("market_id").cast("string").alias("marketId"), "question", "probability", "volume24h", F.date_format("captured_at", "yyyy-MM-dd HH:mm:ss").alias("capturedAt")).write.json(p),
-    lambda s, p: R.read_snapshots(s, p, "7")[0].select("marketId", "probability"),
-    "SELECT market_id::VARCHAR AS \"marketId\", round(probability, 8) AS probability FROM {v_snapshots} WHERE market_id = 7")
+
+def _write_captures(s, p):  # noqa: ANN001, ANN202
+    """Two logs: every market's snapshots in captures of one day, and its events as transfers; odd markets in the wrong form."""
+    day = F.date_format("captured_at", "yyyy-MM-dd")
+    market = F.struct(F.when(c("event_id") % 17 > 0, c("market_id").cast("string")).otherwise(" ").alias("marketId"), "question", "probability", "volume24h")
+    by_day = s.groupBy("market_id", day.alias("day"))
+    by_day.agg(F.collect_list(market).alias("candidates")).select(F.concat("day", F.lit("T00:00:00Z")).alias("capturedAt"), c("market_id").cast("string").alias("ticker"), F.lit(7).alias("horizonDays"), F.array().cast("array<string>").alias("querySet"), F.array().cast("array<string>").alias("selectedMarketIds"), "candidates").write.json(f"{p}/markets")
+    moved = F.struct(F.concat(F.lit("0x"), "event_id").alias("hash"), F.when(c("event_id") % 19 > 0, F.concat(day, F.lit("T00:00:00Z"))).otherwise("soon").alias("timestamp"), c("volume24h").alias("valueUsd"))
+    by_day.agg(F.collect_list(moved).alias("transactions")).select(F.concat("day", F.lit("T00:00:00Z")).alias("capturedAt"), c("market_id").cast("string").alias("ticker"), F.lit("chain").alias("source"), *[F.lit("2024-05-01T00:00:00Z").alias(x) for x in ("observationWindowStart", "observationWindowEnd")], "transactions").write.json(f"{p}/whales")
+
+
+def _read_captures(spark, p):  # noqa: ANN001, ANN202
+    markets = R.read_raw_markets(spark, f"{p}/markets")[0].select(F.lit("market").alias("kind"), "ticker", F.left("capturedAt", F.lit(10)).alias("day"), F.size("candidates").alias("n"), F.aggregate("candidates", F.lit(0.0), lambda a, m: a + m.probability).alias("total"))
+    whales = R.read_raw_whales(spark, f"{p}/whales")[0].select(F.lit("whale").alias("kind"), "ticker", F.left("capturedAt", F.lit(10)).alias("day"), F.size("transactions").alias("n"), F.aggregate("transactions", F.lit(0.0), lambda a, t: a + t.valueUsd).alias("total"))
+    return markets.unionByName(whales).withColumn("total", F.round("total", 6))
+
+
+_round_trip("src_05_raw_captures", "v_snapshots", _write_captures, _read_captures,
+    """WITH g AS (SELECT market_id::VARCHAR AS ticker, strftime(captured_at, '%Y-%m-%d') AS day, count(*)::INT AS n, sum(probability) AS p, sum(volume24h) AS v, bool_and(event_id % 17 > 0 AND volume24h >= 0) AS market, bool_and(event_id % 19 > 0) AS whale FROM {v_snapshots} GROUP BY ALL)
+    SELECT 'market' AS kind, ticker, day, n, round(p, 6) AS total FROM g WHERE market UNION ALL SELECT 'whale', ticker, day, n, round(v, 6) FROM g WHERE whale""")
 _round_trip("src_19_filing_feed", "pages",
-    lambda g, p: g.select((c("page_id") % 8).alias("k"), F.concat(F.lit("<entry><title>page "), "page_id", F.lit('</title><updated>2024-05-01T00:00:00Z</updated><link href="/p/'), "page_id", F.lit('"/></entry>')).alias("e")).groupBy("k").agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list("e"), ""), F.lit("</feed>")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(p),
+    lambda g, p: g.select(F.expr("page_id div 100").alias("k"), F.concat(F.lit("<entry><title>page "), "page_id", F.lit('</title><updated>2024-05-01T00:00:00Z</updated><link href="/p/'), "page_id", F.lit('"/></entry>')).alias("e")).groupBy("k").agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list("e"), ""), F.lit("</feed>")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(p),
     lambda s, p: R.parse_filing_feed(s, p),
     "SELECT '/p/' || page_id AS url, '2024-05-01' AS date, 'page ' || page_id AS title FROM pages")
 query("mkt_45_promote_gate", "v_steps", sql="SELECT ticker, (avg((predicted_prob - y) ** 2) < 0.35)::INT AS passes FROM {v_steps} GROUP BY 1")(lambda s: s.groupBy("ticker").agg((F.avg(F.pow(c("predicted_prob") - c("y"), 2)) < 0.35).alias("passes")))

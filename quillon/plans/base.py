@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,14 @@ VIEWS = {
 }
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session without one gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view or a table of the folder; timestamps carry the session's time zone (UTC)."""
     if name not in VIEWS:

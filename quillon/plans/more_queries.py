@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from quillon.operators import joins as J
 from quillon.operators import markets as M
 from quillon.operators import scoring as A
 from quillon.operators import text as T
-from quillon.plans.base import ORACLES, QUERIES, duck, query, tidy, view
+from quillon.plans.base import ORACLES, QUERIES, duck, query, tidy, view, shared_folder
 from quillon.registry import run, tool
 from quillon.sources import readers as R
 
@@ -20,8 +19,7 @@ c = F.col
 
 
 def _path(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-sources-", dir="/tmp")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _round_trip(name: str, table: str, write, read, sql: str) -> None:  # noqa: ANN001
@@ -44,9 +42,9 @@ _round_trip("src_04_read_bundles", "v_markets",
     lambda s, p: R.read_bundles(s, p)[0].select("ticker", F.explode("polymarket.selectedMarkets").alias("m")).select("ticker", "m.marketId", "m.probability"),
     "SELECT asset AS ticker, market_id::VARCHAR AS \"marketId\", round(probability, 8) AS probability FROM {v_markets} WHERE asset <> 'Brand#3'")
 _round_trip("src_06_explode_dated_markets", "v_markets",
-    lambda m, p: m.groupBy((c("market_id") % 5).cast("string").alias("date")).agg(F.collect_list(F.struct(c("asset").alias("question"), "probability", "volume")).alias("markets")).write.json(p),
+    lambda m, p: m.groupBy(F.expr("market_id div 100").cast("string").alias("date")).agg(F.collect_list(F.struct(c("asset").alias("question"), "probability", "volume")).alias("markets")).write.json(p),
     lambda s, p: s.read.schema("date string, markets array<struct<question:string,probability:double,volume:double>>").json(p).select("date", F.explode("markets").alias("m")).select("date", "m.question", "m.probability"),
-    "SELECT (market_id % 5)::VARCHAR AS date, asset AS question, round(probability, 8) AS probability FROM {v_markets}")
+    "SELECT (market_id // 100)::VARCHAR AS date, asset AS question, round(probability, 8) AS probability FROM {v_markets}")
 _round_trip("src_12_ledger", "orders",
     lambda o, p: R.append_ledger(o.select("o_orderkey", F.struct("o_custkey", "o_orderstatus").alias("detail")), p),
     lambda s, p: R.read_ledger(s, p, "o_orderkey long, detail string", {"detail": "struct<o_custkey:bigint,o_orderstatus:string>"}).select("o_orderkey", "detail.o_custkey", "detail.o_orderstatus"),

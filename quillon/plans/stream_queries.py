@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.plans.base import ORACLES, QUERIES, duck, query, tidy
+from quillon.plans.base import ORACLES, QUERIES, duck, query, shared_folder, tidy
 from quillon.sources import readers as R
 from quillon.streaming import stateful as S
 
@@ -54,8 +53,7 @@ query("str_11_latest_price_state", "events", sql="SELECT user_id, max_by(value,
 
 def _drained(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:  # noqa: ANN001
     """Run a stream over the events table to its end and read what it wrote from the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-", dir="/tmp")
-    out = os.path.join(shared, f"stream-{uuid.uuid4().hex}")
+    out = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
     source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(sf_dir, pathGlobFilter="events.parquet")
     events = source.select(*[c(x).cast("timestamp").alias(x) if t == "timestamp_ntz" else c(x) for x, t in source.dtypes])
     run = build(events).writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True)

@@ -11,6 +11,9 @@ SNAPSHOT = "marketId string, question string, probability double, volume24h doub
 MARKET = "struct<marketId:string,assetId:string,question:string,probability:double,volume24h:double,endDate:string,semantics:string,extractedPriceLevels:array<double>>"
 BUNDLE = f"capturedAt string, ticker string, horizonDays int, currentPrice double, polymarket struct<selectedMarketIds:array<string>,selectedMarkets:array<{MARKET}>>, warnings array<string>, labels struct<forecast:struct<realizedPrice:double,realizedReturn:double,actualBinary:int,labeledAt:string>,semantic:array<struct<marketId:string,semantics:string,outcome:string,labeledAt:string>>>"
 
+RAW_MARKETS = "capturedAt string, ticker string, horizonDays int, currentPrice double, querySet array<string>, selectedMarketIds array<string>, candidates array<struct<marketId:string,assetId:string,question:string,probability:double,volume24h:double,createdAt:string,endDate:string>>, warnings array<string>"
+RAW_WHALES = "capturedAt string, ticker string, source string, observationWindowStart string, observationWindowEnd string, transactions array<struct<hash:string,timestamp:string,symbol:string,valueUsd:double,fromOwner:string,toOwner:string>>, warnings array<string>"
+
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
@@ -45,9 +48,42 @@ def project_snapshot(markets: DataFrame, captured_at: str) -> DataFrame:
 
 
 def read_bundles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    raw = _json(spark, path, BUNDLE)
-    good = c("_bad").isNull() & c("ticker").isNotNull() & (c("horizonDays") > 0) & F.try_to_timestamp("capturedAt").isNotNull()
-    return raw.where(F.coalesce(good, F.lit(False))).drop("_bad"), raw.where(~F.coalesce(good, F.lit(False)))
+    return _split(_json(spark, path, BUNDLE), c("ticker").isNotNull(), c("horizonDays") > 0, _time("capturedAt"))
+
+
+def _told(x: Column | str) -> Column:
+    return F.trim(x) != ""
+
+
+def _split(raw: DataFrame, *rules: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that meet all rules and were whole JSON, the others with their text where it was broken); null counts as not met."""
+    good = c("_bad").isNull()
+    for rule in rules:
+        good = good & rule
+    good = F.coalesce(good, F.lit(False))
+    return raw.where(good).drop("_bad"), raw.where(~good)
+
+
+def _time(x: Column | str) -> Column:
+    return F.try_to_timestamp(x).isNotNull()
+
+
+def read_raw_markets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Raw market captures: (good lines, quarantined lines). One bad candidate makes the whole line bad; a null price is good."""
+    def fits(m: Column) -> Column:
+        dated = (m.createdAt.isNull() | _time(m.createdAt)) & (m.endDate.isNull() | _time(m.endDate))
+        return F.coalesce(_told(m.marketId) & m.question.isNotNull() & m.probability.between(0, 1) & (m.volume24h >= 0) & dated, F.lit(False))
+
+    price = c("currentPrice").isNull() | (c("currentPrice") > 0)
+    lists = c("querySet").isNotNull() & c("selectedMarketIds").isNotNull()
+    return _split(_json(spark, path, RAW_MARKETS), _time("capturedAt"), _told("ticker"), c("horizonDays") >= 1, price, lists, F.forall("candidates", fits))
+
+
+def read_raw_whales(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Raw captures of large transfers: (good lines, quarantined lines). One transfer without hash or time makes the line bad."""
+    fits = lambda t: F.coalesce(_told(t.hash) & _time(t.timestamp), F.lit(False))
+    window = _time("observationWindowStart") & _time("observationWindowEnd")
+    return _split(_json(spark, path, RAW_WHALES), _time("capturedAt"), _told("ticker"), _told("source"), window, F.forall("transactions", fits))
 
 
 def explode_dated_markets(spark: SparkSession, path: str) -> DataFrame:
