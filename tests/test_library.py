@@ -281,3 +281,18 @@ def test_best_fuzzy_match_equals_brute_force(spark, least):
             want[i] = max(found)
     got = J.best_fuzzy_match(spark.createDataFrame(a, "id int, tokens array<string>"), spark.createDataFrame(b, "match_id int, tokens array<string>, stars int"), least).collect()
     assert {x["id"]: (pytest.approx(x["score"]), -x["match_id"], pytest.approx(x["jaccard"])) for x in got} == want and len(got) == len(want)
+
+
+def test_raw_captures_quarantine(spark, tmp_path):
+    good = '{"capturedAt":"2024-01-01T00:00:00Z","ticker":"A","horizonDays":7,"currentPrice":null,"querySet":[],"selectedMarketIds":["m"],"candidates":[{"marketId":"m","question":"q","probability":0.5,"volume24h":1}]}'
+    bad = [good.replace('"A"', '" "'), good.replace("0.5", "1.5"), good.replace(":7", ":0"), good.replace('"querySet":[],', ""), good.replace("null", "-1"), good[:-1], good.replace('"candidates"', '"others"'), good.replace('"marketId":"m",', "")]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "x.json").write_text("\n".join([good, *bad, ""]))
+    rows, rest = R.read_raw_markets(spark, str(tmp_path / "m"))
+    assert rows.count() == 1 and len(rest.collect()) == len(bad) and "_bad" not in rows.columns
+    whale = '{"capturedAt":"2024-01-01T00:00:00Z","ticker":"A","source":"s","observationWindowStart":"2024-01-01T00:00:00Z","observationWindowEnd":"2024-01-02T00:00:00Z","transactions":[{"hash":"h","timestamp":"2024-01-01T05:00:00Z","valueUsd":2}]}'
+    broken = [whale.replace('"h"', '""'), whale.replace("2024-01-01T05:00:00Z", "soon"), whale.replace('"s"', "null"), "{"]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "x.json").write_text("\n".join([whale, *broken]))
+    rows, rest = R.read_raw_whales(spark, str(tmp_path / "w"))
+    assert rows.first()["transactions"][0]["valueUsd"] == 2 and rows.count() == 1 and len(rest.collect()) == len(broken)
