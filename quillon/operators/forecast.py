@@ -72,18 +72,6 @@ def action_signal(params: DataFrame, buy: float = 0.55, sell: float = 0.55) -> D
     return params.select("series", up.alias("up"), down.alias("down"), (F.exp(c("mu") + c("sigma") * c("sigma") / 2) - 1).alias("expected"), F.when(up >= buy, "BUY").when(down >= sell, "SELL").otherwise("HOLD").alias("action"))
 
 
-def shrink_to_base_rate(p: Column, centre: Column, consensus: Column, data: Column) -> Column:
-    kappa = clamp(0.45 - 0.07 * consensus - data, 0.15, 0.55)
-    return kappa * centre + (1 - kappa) * p
-
-
-def prediction_confidence(p: Column, consensus: Column, run: Column, agreement: Column, base_rate: Column, is_break: Column) -> Column:
-    """Weighted blend of decisiveness, consensus, convergence, stability, momentum and base rate, damped after a break."""
-    align = F.when(F.signum(p - 0.5) == F.signum(base_rate - 0.5), 0.20 * 2 * F.abs(base_rate - 0.5)).otherwise(-0.08 * 2 * F.abs(base_rate - 0.5))
-    raw = 0.30 * 2 * F.abs(p - 0.5) + 0.15 * consensus / 3 + 0.10 + 0.15 * F.least(F.lit(1.0), run / 20) + 0.10 * agreement + align
-    return clamp(raw * F.when(is_break, 0.6).otherwise(1.0), 0, 1)
-
-
 def walk_forward(prices: DataFrame, horizon: int = 5, warmup: int = 120, stride: int = 10) -> DataFrame:
     """A step table: at every stride-th row t the last `warmup` returns give an up-rate and a normal interval, met by the price at t + horizon.
 

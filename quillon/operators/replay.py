@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.mathcols import clamp, half_up
 from quillon.operators import joins as J
 
 c = F.col
@@ -43,8 +44,36 @@ def implied_probability(richness: Column) -> Column:
     return F.when(richness == "rich", 0.78).when(richness == "thin", 0.68).otherwise(0.58)
 
 
-def trade_score(edge: Column, flat: Column, is_break: Column, leverage: Column) -> Column:
-    return edge - 0.2 * flat - F.when(is_break, 0.15).otherwise(0.0) - 0.05 * F.greatest(leverage - 1, F.lit(0.0))
+#: Fixed values of the trade score: weight of a market's meaning, and what whales, flat outlooks, breaks and leverage cost.
+MEANING, MEANING_OTHER = {"terminal": 1.0, "barrier_touch": 0.4, "path_dependent": 0.4, "ambiguous": 0.5}, 0.7
+WHALE, FLAT, BREAK, LEVER = 0.0025, 0.006, 0.0025, 0.00035
+
+
+def trade_scores(rows: DataFrame, *keys: str) -> DataFrame:
+    """Long and short score of every row: (keys, direction, edge_pct, score, leverage_pnl_pct, risk_reward).
+
+    Rows: model_return, model_weight, market_return, market_weight, semantics, flat, is_break, whale (long, short or
+    neutral), whale_confidence, leverage, price, low, high. A side's edge is its signed weighted return, the market's
+    by what its question means, more or less by the whales; a flat outlook above 0.55, a break and leverage from 5
+    on cost score. Risk and reward: the edge, 0.004 at least, over the way to the interval's bound against the side
+    (no bound: 1.5 times the edge, 0.006 at least); null without a price. Null returns, weights, flags and whales count as none.
+    """
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    sides = rows.withColumn("direction", F.explode(F.array(F.lit("long"), F.lit("short"))))
+    long = c("direction") == "long"
+    meaning = F.coalesce(*[F.when(c("semantics") == k, v) for k, v in MEANING.items()], F.lit(MEANING_OTHER))
+    whale = F.when(F.coalesce("whale", F.lit("neutral")) == "neutral", 0.0).when(c("whale") == c("direction"), WHALE).otherwise(-WHALE) * zero(c("whale_confidence"))
+    total = zero(c("model_return")) * zero(c("model_weight")) + zero(c("market_return")) * zero(c("market_weight")) * meaning
+    edge = F.when(long, total).otherwise(-total) + whale
+    lever = F.coalesce(c("leverage"), F.lit(1.0))
+    cost = FLAT * clamp(zero(c("flat")) - 0.55, 0.0, 0.4) + F.when(F.coalesce("is_break", F.lit(False)), BREAK).otherwise(0.0) + F.when(lever >= 5, LEVER * (lever - 4)).otherwise(0.0)
+    move = F.greatest(F.abs(c("edge")), F.lit(0.004))
+    bound = F.when(long & (c("low") != 0), F.try_divide(c("price") - c("low"), "price")).when(~long & (c("high") != 0), F.try_divide(c("high") - c("price"), "price"))
+    against = F.coalesce(F.greatest(F.when(bound.isNotNull(), F.lit(0.001)), bound), F.greatest(F.lit(0.006), 1.5 * move))
+    return sides.withColumn("edge", edge).select(
+        *keys, "direction", half_up(100 * c("edge"), 3).alias("edge_pct"), half_up(c("edge") - cost, 5).alias("score"), half_up(100 * c("edge") * lever, 2).alias("leverage_pnl_pct"),
+        F.when(c("price") > 0, half_up(move / against, 2)).alias("risk_reward"),
+    )
 
 
 def replay_slices(rows: DataFrame, slices: dict[str, Column]) -> DataFrame:

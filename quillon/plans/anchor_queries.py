@@ -14,6 +14,7 @@ from quillon.plans.base import ORACLES, QUERIES, query, tidy, view
 from quillon.plans.forecast_queries import _MIX
 from quillon.plans.more_queries import _path, _round_trip
 from quillon.plans.series_queries import _S, _STATES, _STEP2, _matrix, _states
+from quillon.sources import chunk_index as I
 from quillon.sources import readers as R
 from quillon.streaming import stateful as Z
 
@@ -64,6 +65,21 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["str_08_incremental_index"] = lambda spark, sf_dir: tidy(_index(spark, sf_dir))
 ORACLES["str_08_incremental_index"] = "SELECT sha256(text) AS hash, 1 AS n FROM documents GROUP BY 1"
 
+
+def _index_in_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three syncs: drafts of even documents and files that vanish later, then the documents, then no change."""
+    path, docs = _path(spark, "index-in-step"), view(spark, sf_dir, "documents").select("doc_id", "text")
+    drafts = docs.select("doc_id", F.when(c("doc_id") % 2 == 0, F.concat("text", F.lit(" draft"))).otherwise(c("text")).alias("text"))
+    for state in (drafts.union(docs.select(-1 - c("doc_id"), "text")), docs, docs):
+        I.sync_index(state, path)
+    live = I.read_index(spark, path).groupBy(c("doc_id").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    return I.listed_files(spark, path).join(live.hint("merge"), "file", "left").select("file", "hash", "made", c("n").isNotNull().alias("indexed"))
+
+
+QUERIES["str_08_index_in_step"] = lambda spark, sf_dir: tidy(_index_in_step(spark, sf_dir))
+ORACLES["str_08_index_in_step"] = "SELECT doc_id AS file, sha256(coalesce(text, '')) AS hash, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS made, (coalesce(text, '') <> '')::INT AS indexed FROM documents"
+
+
 def _write_captures(s, p):  # noqa: ANN001, ANN202
     """Two logs: every market's snapshots in captures of one day, and its events as transfers; odd markets in the wrong form."""
     day = F.date_format("captured_at", "yyyy-MM-dd")

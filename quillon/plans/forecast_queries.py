@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.operators import confidence as K
 from quillon.operators import forecast as W
 from quillon.operators import replay as P
 from quillon.operators import scoring as A
@@ -44,9 +45,31 @@ query("ser_53_scenario_buckets", "v_prices")(lambda p: W.scenario_buckets(_param
 query("ser_55_action_signal", "v_prices")(lambda p: W.action_signal(_params(p)))
 query("ser_56_survival_grid", "v_prices")(lambda p: W.survival_grid(_params(p)).select("series", "i", F.log("level").alias("log_level"), "survival"))
 query("ser_56_student_grid", "v_prices")(lambda p: W.survival_grid(_params(p), nu=4).select("series", "i", F.log("level").alias("log_level"), "survival"))
-query("ser_57_shrink_to_base_rate", "v_steps", sql="SELECT ticker, horizon, t, round(greatest(0.15, least(0.55, 0.45 - 0.07 * confidence - 0.1))::DOUBLE * 0.5 + (1 - greatest(0.15, least(0.55, 0.45 - 0.07 * confidence - 0.1))::DOUBLE) * predicted_prob, 8) AS p FROM {v_steps}")(lambda s: s.select("ticker", "horizon", "t", W.shrink_to_base_rate(c("predicted_prob"), F.lit(0.5), c("confidence"), F.lit(0.1)).alias("p")))
-query("ser_59_prediction_confidence", "v_steps", sql="""SELECT ticker, horizon, t, round(greatest(0, least(1, (0.6 * abs(predicted_prob - 0.5) + 0.15 * 2 / 3 + 0.10 + 0.15 * least(1, (t % 30) / 20.0) + 0.10 * confidence + CASE WHEN sign(predicted_prob - 0.5) = sign(0.1) THEN 0.20 * 0.2 ELSE -0.08 * 0.2 END) * CASE WHEN t % 7 = 0 THEN 0.6 ELSE 1 END))::DOUBLE, 6) AS conf FROM {v_steps}""")(
-    lambda s: s.select("ticker", "horizon", "t", F.round(W.prediction_confidence(c("predicted_prob"), F.lit(2.0), c("t") % 30, c("confidence"), F.lit(0.6), c("t") % 7 == 0), 6).alias("conf")))
+query("ser_57_shrink_to_base_rate", "v_steps", sql="""WITH k AS (SELECT *, greatest(0.15, least(0.55, 1.1::DOUBLE * (0.45 - 0.07 * (t % 4) - CASE WHEN t > 60 THEN least(0.08, 0.04 * log2(t / 60.0)) ELSE 0 END - CASE WHEN t % 3 = 0 THEN 0.03 ELSE 0 END)
+    + CASE WHEN regime = 'bull' AND t % 5 = 0 THEN 0.10 WHEN regime IN ('bull', 'bear') THEN -0.03 ELSE 0.03 END)) AS k FROM {v_steps}) SELECT ticker, horizon, t, round(k * greatest(0.25, least(0.80, confidence)) + (1 - k) * predicted_prob, 8) AS p FROM k""")(
+    lambda s: s.select("ticker", "horizon", "t", K.shrink_to_base_rate(c("predicted_prob"), c("confidence"), c("t") % 4, c("t"), c("t") % 3 == 0, c("regime"), (c("regime") == "bull") & (c("t") % 5 == 0), scale=1.1).alias("p")))
+def _confidence(**kw):  # noqa: ANN003, ANN202
+    t = c("t")
+    asset = F.get(F.array(*map(F.lit, ("etf", "crypto", "commodity", "equity"))), (c("horizon") % 4).cast("int"))
+    return K.prediction_confidence(
+        c("predicted_prob"), t % 4, t % 30, c("confidence"), converged=t % 3 == 0, calibrated=c("predicted_prob"), base_rate=c("confidence"), is_break=c("structural_break"), divergence=c("divergence"), regime=c("regime"),
+        asset=asset, volatility=c("divergence") / 5, entropy=(c("entropy_scale") - 0.5) * 0.73105857, anchors=t % 4, horizon=t % 28, r2=F.when(t % 5 > 0, (t % 12 - 8) / 100.0), **kw)
+
+
+_TRUST = """CASE WHEN is_break THEN {broken} ELSE 1 END * CASE asset WHEN 'crypto' THEN {crypto} WHEN 'commodity' THEN 0.85 WHEN 'etf' THEN 1.1 ELSE 1 END * {calm} * greatest(0.65, 1 - 0.35 * entropy)"""
+_MILD = "CASE WHEN short AND helped THEN CASE WHEN r2 IS NULL THEN 0.85 WHEN r2 >= -0.05 THEN 0.8 ELSE 0.6 END ELSE 0.6 END"
+_CALM = "CASE WHEN vol > 0.02 THEN greatest(0.7, 1 - 5 * (vol - 0.02)) ELSE 1 END"
+_LEGACY_CRYPTO = "CASE WHEN short AND helped THEN 0.85 ELSE 0.7 END"
+query("ser_59_prediction_confidence", "v_steps", sql=f"""WITH a AS (SELECT *, coalesce(structural_break, false) AS is_break, CASE horizon % 4 WHEN 0 THEN 'etf' WHEN 1 THEN 'crypto' WHEN 2 THEN 'commodity' ELSE 'equity' END AS asset, divergence / 5 AS vol, (entropy_scale - 0.5) * 0.73105857::DOUBLE AS entropy, t % 4 >= 2 AS helped, CASE WHEN t % 5 > 0 THEN (t % 12 - 8) / 100.0::DOUBLE END AS r2 FROM {{v_steps}}),
+    b AS (SELECT *, asset = 'crypto' AND t % 28 <= 14 AS short FROM a),
+    s AS (SELECT *, 0.30 * 2 * abs(predicted_prob - 0.5) + 0.15 * (t % 4) / 3 + CASE WHEN t % 3 = 0 THEN 0.10 ELSE 0 END + 0.15 * least(1, (t % 30) / 20.0) + 0.10 * confidence + CASE WHEN (predicted_prob >= 0.5) = (confidence >= 0.5) THEN 0.20 ELSE -0.08 END * 2 * abs(confidence - 0.5) + CASE WHEN short AND r2 BETWEEN -0.02 AND 0.02 THEN 0.08 ELSE 0 END AS parts FROM b)
+    SELECT ticker, horizon, t, round(greatest(0, least(1, parts * {_TRUST.format(broken=_MILD, crypto=_LEGACY_CRYPTO, calm=_CALM)}))::DOUBLE, 6) AS conf,
+    round(greatest(0, least(1, parts * {_TRUST.format(broken="CASE WHEN divergence < 0.05 THEN 1 WHEN divergence < 0.1 THEN 0.8 WHEN divergence < 0.2 THEN 0.7 ELSE 0.6 END", crypto=_LEGACY_CRYPTO, calm=_CALM)}))::DOUBLE, 6) AS conf_by_divergence,
+    round(greatest(0, least(1, (parts + CASE WHEN short THEN CASE WHEN helped THEN 0.05 ELSE 0.03 END WHEN helped THEN 0.02 ELSE 0 END) * {_TRUST.format(
+        broken=f"CASE WHEN regime = 'sideways' THEN 1 ELSE {_MILD} END",
+        crypto="CASE WHEN short THEN 1.6 * CASE WHEN helped AND r2 IS NULL THEN 0.95 WHEN helped AND r2 >= -0.05 THEN 0.92 ELSE 0.82 END ELSE 1.35 * 0.74 END",
+        calm=f"CASE WHEN short AND vol > 0.02 THEN greatest(0.85, 1 - 3 * (vol - 0.02)) ELSE {_CALM} END")}))::DOUBLE, 6) AS conf_rebalanced FROM s""")(
+    lambda s: s.select("ticker", "horizon", "t", *[F.round(_confidence(**kw), 6).alias(name) for name, kw in {"conf": {}, "conf_by_divergence": {"break_policy": "divergence_weighted"}, "conf_rebalanced": {"break_policy": "trend_penalty_only", "rebalanced": True}}.items()]))
 query("ser_62_window_offsets", "v_prices", sql="WITH x AS (SELECT series, d, row_number() OVER (PARTITION BY series ORDER BY d) AS i FROM {v_prices}), b AS (SELECT series, i AS break_i FROM x WHERE i % 400 = 0) SELECT x.series, d, x.i - break_i AS off, CASE WHEN x.i < break_i THEN 'pre' WHEN x.i - break_i < 5 THEN 'at' ELSE 'post' END AS slice FROM x JOIN b ON x.series = b.series AND x.i BETWEEN break_i - 10 AND break_i + 9")(
     lambda p: (lambda x: W.window_offsets(x, x.where("i % 400 = 0").select("series", "i")).select("series", "d", c("offset").alias("off"), "slice"))(p.select("series", "d", F.row_number().over(S._time()).alias("i"))))
 query("ser_63_cluster_dates", "orders")(lambda o: W.cluster_dates(o.select((c("o_custkey") % 50).cast("string").alias("series"), F.to_date("o_orderdate").alias("d"))))
@@ -81,7 +104,14 @@ query("mkt_38_label_bundles", "orders", sql=f"WITH {_LAB}, b AS (SELECT market_i
     lambda o: P.label_bundles(_targets(o).groupBy((c("market_id") % 300).alias("bundle_id")).agg(F.array_sort(F.collect_list("market_id")).alias("markets")), P.label_markets(_targets(o), _path(o))).select("bundle_id", "ready", F.array_join(F.transform("semantic", lambda x: F.concat_ws(":", x.market_id.cast("string"), x.outcome)), ",").alias("labels")))
 query("join_19_labels_to_markets", "orders", sql=f"WITH {_LAB} SELECT semantics, outcome, count(*) AS n FROM lb WHERE outcome IS NOT NULL GROUP BY ALL")(lambda o: P.label_markets(_targets(o), _path(o)).where("outcome in ('yes', 'no')").groupBy("semantics", "outcome").agg(F.count(F.lit(1)).alias("n")))
 query("mkt_39_bundle_features", "orders", sql="WITH n AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'P') AS n FROM orders GROUP BY 1) SELECT o_custkey, CASE WHEN n = 0 THEN 'none' WHEN n <= 2 THEN 'thin' ELSE 'rich' END AS evidence, CASE WHEN n = 0 THEN 0.58 WHEN n <= 2 THEN 0.68 ELSE 0.78 END::DOUBLE AS p FROM n")(lambda o: o.groupBy("o_custkey").agg(P.evidence(F.count_if(c("o_orderstatus") == "P")).alias("evidence")).withColumn("p", P.implied_probability(c("evidence"))))
-query("mkt_40_trade_score", "v_steps", sql="SELECT ticker, horizon, t, round(0.5 + predicted_return - 0.2 * confidence - CASE WHEN t % 7 = 0 THEN 0.15 ELSE 0 END - 0.05 * greatest(t % 3 - 1, 0), 8) AS score FROM {v_steps}")(lambda s: s.select("ticker", "horizon", "t", P.trade_score(0.5 + c("predicted_return"), c("confidence"), c("t") % 7 == 0, (c("t") % 3).cast("double")).alias("score")))
+query("mkt_40_trade_score", "v_steps", sql="""WITH s AS (SELECT *, unnest(['long', 'short']) AS direction, CASE t % 3 WHEN 0 THEN 'long' WHEN 1 THEN 'short' ELSE 'neutral' END AS whale, (t % 10)::DOUBLE AS lever FROM {v_steps}),
+    w AS (SELECT *, predicted_return * 0.6::DOUBLE + actual_return * 0.4::DOUBLE * CASE t % 4 WHEN 0 THEN 1 WHEN 1 THEN 0.4 WHEN 2 THEN 0.5 ELSE 0.7 END::DOUBLE AS total, CASE WHEN whale = 'neutral' THEN 0 WHEN whale = direction THEN 0.0025 ELSE -0.0025 END::DOUBLE * confidence AS boost FROM s),
+    e AS (SELECT *, CASE WHEN direction = 'long' THEN total ELSE -total END + boost AS edge, 0.006::DOUBLE * greatest(0, least(0.4::DOUBLE, predicted_prob - 0.55::DOUBLE)) + CASE WHEN structural_break THEN 0.0025 ELSE 0 END::DOUBLE + CASE WHEN lever >= 5 THEN 0.00035::DOUBLE * (lever - 4) ELSE 0 END AS cost,
+        greatest(0.001, CASE WHEN direction = 'long' THEN (realized_price - ci_lower) / realized_price ELSE (ci_upper - realized_price) / realized_price END) AS against FROM w)
+    SELECT ticker, horizon, t, direction, floor(100::DOUBLE * edge * 1000 + 0.5) / 1000 AS edge_pct, floor((edge - cost) * 100000 + 0.5) / 100000 AS score, floor(100::DOUBLE * edge * lever * 100 + 0.5) / 100 AS leverage_pnl_pct, floor(greatest(abs(edge), 0.004) / against * 100 + 0.5) / 100 AS risk_reward FROM e""")(
+    lambda s: P.trade_scores(s.select(
+        "ticker", "horizon", "t", c("predicted_return").alias("model_return"), F.lit(0.6).alias("model_weight"), c("actual_return").alias("market_return"), F.lit(0.4).alias("market_weight"), F.get(F.array(*map(F.lit, ("terminal", "path_dependent", "ambiguous", "range"))), (c("t") % 4).cast("int")).alias("semantics"), c("predicted_prob").alias("flat"), c("structural_break").alias("is_break"),
+        F.get(F.array(*map(F.lit, ("long", "short", "neutral"))), (c("t") % 3).cast("int")).alias("whale"), c("confidence").alias("whale_confidence"), (c("t") % 10).cast("double").alias("leverage"), c("realized_price").alias("price"), c("ci_lower").alias("low"), c("ci_upper").alias("high")), "ticker", "horizon", "t"))
 
 
 def _replay(s):  # noqa: ANN001, ANN202

@@ -10,11 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import mathcols as X
+from quillon.operators import confidence as K
 from quillon.operators import joins as J
 from quillon.operators import markets as M
 from quillon.operators import scoring as A
 from quillon.operators import series as S
 from quillon.operators import text as T
+from quillon.sources import chunk_index as I
 from quillon.sources import readers as R
 from quillon.streaming import folds as Y
 from quillon.streaming import stateful as Z
@@ -202,6 +204,37 @@ def test_incremental_index(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "index")).count() == 2
 
 
+def test_chunk_index_in_step(spark, tmp_path):
+    index, kind = str(tmp_path / "index"), "doc_id long, text string"
+    text = {1: "one\n\ntwo", 2: "", 3: None, 4: "gone"}
+    frame = lambda d: spark.createDataFrame(list(d.items()), kind)
+    chunks = lambda: sorted((x["doc_id"], x["content"]) for x in I.read_index(spark, index).collect())
+    made = lambda: {x["file"]: x["made"] for x in I.listed_files(spark, index).collect()}
+    assert chunks() == []
+    assert I.sync_index(frame(text), index) == 1
+    assert chunks() == [(1, "one\n\ntwo"), (4, "gone")]
+    later = {1: "one\n\ntwo", 2: "now", 3: None}
+    # a run cut off before its list was written leaves chunks that do not count, and is repeated
+    frame({1: "stray"}).write.parquet(f"{index}/files/gen=2/_temporary/x")
+    I.sync_index(frame(later).union(spark.createDataFrame([(None, "no file")], kind)), index)
+    assert chunks() == [(1, "one\n\ntwo"), (2, "now")] and made() == {1: 1, 2: 2, 3: 1}
+    I.sync_index(frame(later), index, force=True)
+    assert chunks() == [(1, "one\n\ntwo"), (2, "now")] and set(made().values()) == {3}
+    I.sync_index(frame({}), index)
+    assert chunks() == [] and made() == {}
+
+
+def test_confidence_and_shrinkage_of_nulls(spark):
+    none = F.lit(None).cast("double")
+    row = spark.range(1).select(
+        K.shrink_to_base_rate(F.lit(0.9)).alias("plain"), K.shrink_to_base_rate(F.lit(0.9), none, none, none).alias("nulls"),
+        K.prediction_confidence(F.lit(1.0), F.lit(3), F.lit(40)).alias("few"), K.prediction_confidence(F.lit(1.0), F.lit(3), F.lit(40), none, calibrated=none, base_rate=none, asset=F.lit(None).cast("string"), volatility=none, entropy=none, r2=none).alias("none"),
+        K.prediction_confidence(F.lit(1.0), F.lit(3), F.lit(40), is_break=F.lit(True), regime=F.lit("sideways"), break_policy="trend_penalty_only").alias("spared"),
+    ).first()
+    assert row["plain"] == row["nulls"] == pytest.approx(0.45 * 0.5 + 0.55 * 0.9)
+    assert row["few"] == row["none"] == row["spared"] == pytest.approx(0.6)
+
+
 STEPS = "ticker string, horizon int, t int, residual double, rv double, is_break boolean, p double, y double"
 
 
