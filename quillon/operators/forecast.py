@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.mathcols import clamp, normal_cdf, student_cdf
+from quillon.operators import joins as J
 from quillon.operators import series as S
 
 c = F.col
@@ -93,12 +94,43 @@ def walk_forward(prices: DataFrame, horizon: int = 5, warmup: int = 120, stride:
     half = 1.645 * c("s") * horizon**0.5
     predicted = F.exp(c("m") * horizon) - 1
     return met.select(
-        c("series").alias("ticker"), F.lit(horizon).alias("horizon"), c("step").alias("t"), F.coalesce("up", F.lit(0.5)).alias("predicted_prob"), predicted.alias("predicted_return"), (c("future") / c("close") - 1).alias("actual_return"),
+        c("series").alias("ticker"), "d", F.lit(horizon).alias("horizon"), c("step").alias("t"), F.coalesce("up", F.lit(0.5)).alias("predicted_prob"), predicted.alias("predicted_return"), (c("future") / c("close") - 1).alias("actual_return"),
         (c("future") > c("close")).cast("int").alias("y"), c("future").alias("realized_price"), (c("close") * F.exp(c("m") * horizon - half)).alias("ci_lower"), (c("close") * F.exp(c("m") * horizon + half)).alias("ci_upper"),
         F.least(F.lit(1.0), 2 * F.abs(F.coalesce("up", F.lit(0.5)) - 0.5)).alias("confidence"), F.when(predicted > 0.005, "BUY").when(predicted < -0.005, "SELL").otherwise("HOLD").alias("recommendation"), F.lit(None).cast("string").alias("regime"),
     )
 
 
+def live_average(dates: DataFrame, snapshots: DataFrame, max_age: int = 7) -> DataFrame:
+    """(key, d) to the mean probability of the markets live on that day and their number: (key, d, market_p, markets).
+
+    Snapshots: key, market, at, probability, closes (null: never). A market counts with its latest capture up to the
+    day, while that is less than `max_age` days old and the market has not closed before the day. Each capture is
+    therefore a span of days; spans add to running sums, so a key costs one row a day of the calendar, whatever the
+    number of its markets. Equal capture times: the largest probability counts. Days without a live market: null and 0.
+    """
+    once = snapshots.groupBy("key", "market", "at").agg(F.max("probability").alias("p"), F.max("closes").alias("closes")).withColumn("day", F.to_date("at"))
+    following = F.to_date(F.lead("at").over(Window.partitionBy("key", "market").orderBy("at")))
+    spans = once.withColumn("until", F.least(following, F.date_add("day", max_age), F.date_add("closes", 1))).where("until > day")
+    ends = F.array(F.struct(c("day").alias("d"), c("p"), F.lit(1).alias("n")), F.struct(c("until").alias("d"), (-c("p")).alias("p"), F.lit(-1).alias("n")))
+    daily = spans.select("key", F.explode(ends).alias("e")).groupBy("key", "e.d").agg(F.sum("e.p").alias("p"), F.sum("e.n").alias("n"), F.lit(False).alias("asked"))
+    asked = dates.select("key", "d", F.lit(0.0).alias("p"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked")).distinct()
+    so_far = Window.partitionBy("key").orderBy("d").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = daily.unionByName(asked).withColumns({"p": F.sum("p").over(so_far), "n": F.sum("n").over(so_far)}).where("asked")
+    return sums.select("key", "d", F.when(c("n") > 0, c("p") / c("n")).alias("market_p"), c("n").alias("markets"))
+
+
+def walk_forward_replay(prices: DataFrame, snapshots: DataFrame, weight: float = 0.3, shock: float = 0.08, max_age: int = 7, **kw) -> DataFrame:
+    """Walk-forward steps with the replayed markets of each step's date: those live then, shocks between captures left out.
+
+    `blended` takes the markets with `weight`; where no market is live it is the model's probability.
+    """
+    steady = J.quality_filter(snapshots, "key", "market", "closes", at="at", value="probability", shock=shock)
+    steps = walk_forward(prices, **kw)
+    live = live_average(steps.select(c("ticker").alias("key"), "d"), steady, max_age)
+    met = steps.join(live.withColumnRenamed("key", "ticker").hint("merge"), ["ticker", "d"], "left")
+    return met.withColumn("blended", F.coalesce((1 - weight) * c("predicted_prob") + weight * c("market_p"), "predicted_prob"))
+
+
 def cluster_dates(days: DataFrame, gap: int = 15, max_span: int = 60) -> DataFrame:
     """Clusters of dates by series: a gap above `gap` days, or a span above `max_span`, opens a new one.
 

@@ -44,8 +44,16 @@ query("ser_15_reversal_probability", "v_prices", sql="SELECT series, round(CASE
 query("ser_36_excess_oos_r2", "v_prices")(lambda p: L.excess_oos_r2(S.simple_returns(p)))
 query("ser_47_cluster_segments", "v_prices")(lambda p: L.cluster_segments(S.segment_windows(S.simple_returns(p)).groupBy("series", "w").agg(F.avg("r").alias("f0"), F.stddev_pop("r").alias("f1"), F.max("r").alias("f2")).withColumn("k", F.concat_ws("/", "series", "w")), ["f0", "f1", "f2"], "k"))
 query("ser_48_cross_asset_bias", "v_prices")(lambda p: L.cross_asset_bias(S.simple_returns(p), "1-URGENT", ["2-HIGH", "3-MEDIUM", "5-LOW"]))
-query("ser_51_walk_forward_replay", "v_prices", "v_snapshots", sql=None)(
-    lambda p, s: W.walk_forward(p).join(F.broadcast(s.groupBy().agg(F.avg("probability").alias("market_p"))), how="cross").select("ticker", "t", "predicted_prob", (0.7 * c("predicted_prob") + 0.3 * c("market_p")).alias("blended"), "y"))
+query("ser_51_walk_forward_replay", "v_prices_short", "v_snapshots", sql="""WITH x AS (SELECT series, d, close, row_number() OVER w - 1 AS i, lead(close, 2) OVER w AS future FROM {v_prices_short} WINDOW w AS (PARTITION BY series ORDER BY d)),
+    st AS (SELECT series, d, i AS step, future > close AS y FROM x WHERE i >= 10 AND (i - 10) % 3 = 0 AND future IS NOT NULL),
+    up AS (SELECT st.series, st.d, step, any_value(y)::INT AS y, avg((x.future > x.close)::INT::DOUBLE) FILTER (x.i + 2 <= st.step) AS up FROM st JOIN x ON x.series = st.series AND x.i > st.step - 10 AND x.i <= st.step GROUP BY ALL),
+    o AS (SELECT market_id AS key, question AS market, captured_at AS cap, max(probability) AS p FROM {v_snapshots} GROUP BY ALL),
+    q AS (SELECT *, DATE '2024-01-01' + ((key * 7 + length(market)) % 30)::INT AS closes FROM o QUALIFY abs(p - lag(p) OVER (PARTITION BY key, market ORDER BY cap)) <= 0.3),
+    l AS (SELECT up.series, up.d, q.market, max_by(q.p, q.cap) AS p FROM up JOIN q ON q.key = up.series AND q.cap::DATE <= up.d AND up.d <= q.closes GROUP BY ALL HAVING max(q.cap)::DATE > up.d - 5),
+    m AS (SELECT series, d, avg(p) AS p, count(*) AS n FROM l GROUP BY ALL)
+    SELECT up.series AS ticker, d, step AS t, y, coalesce(n, 0) AS markets, round(m.p, 8) AS market_p, round(coalesce((1 - 0.31415926::DOUBLE) * up + 0.31415926::DOUBLE * m.p, up), 8) AS blended FROM up LEFT JOIN m USING (series, d)""")(
+    lambda p, s: W.walk_forward_replay(p, s.select(c("market_id").alias("key"), c("question").alias("market"), c("captured_at").alias("at"), "probability", F.date_add(F.lit("2024-01-01").cast("date"), ((c("market_id") * 7 + F.length("question")) % 30).cast("int")).alias("closes")), weight=0.31415926, shock=0.3, max_age=5, horizon=2, warmup=10, stride=3)
+    .select("ticker", "d", "t", "y", F.coalesce("markets", F.lit(0)).alias("markets"), "market_p", "blended"))
 query("ser_58_base_rate_floor", "v_steps", sql="SELECT ticker, horizon, t, round(greatest(0.35, 0.5 - greatest(0.05, least(0.10, 0.05 + (predicted_prob - 0.5) * 0.2))), 8) AS floor FROM {v_steps}")(lambda s: s.select("ticker", "horizon", "t", W.base_rate_floor(c("predicted_prob"), F.lit(0.5), F.lit(False))[1].alias("floor")))
 query("ser_60_soft_regime", "v_prices", sql=f"WITH {_S}, {_MIX}, e AS (SELECT series, least(1, -(bull * ln(bull) + bear * ln(bear) + sideways * ln(sideways)) / ln(3)) AS e FROM mx) SELECT series, round(e::DOUBLE, 8) AS entropy, round(greatest(0.65, 1 - 0.35 * e)::DOUBLE, 8) AS confidence, round((1 + 0.35 * e)::DOUBLE, 8) AS ci_scale FROM e")(lambda p: W.soft_regime(W.start_state_mixture(_states(p))))
 query("str_07_rolling_entropy_z", "v_prices", sql=ORACLES["ser_28_entropy_z"])(lambda p: S.entropy_z(p).withColumn("z", F.round("z", 6)).withColumn("scale", F.greatest(F.lit(0.7), F.least(F.lit(1.4), 1 + 0.15 * c("z")))))
