@@ -1,4 +1,4 @@
-"""The numbered queries: each applies its operator to the whole of `documents`."""
+"""The numbered queries: each applies its operator to the whole of its table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import attribution, dedup, language, mixing, packing, pii, quality, sharding, simhash, tokenids
+from quillon.llm import attribution, dedup, language, mixing, packing, pii, quality, resampling, sharding, simhash, tokenids
 from quillon.llm.common import documents
 
 
@@ -50,6 +50,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,11 +67,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_section_tokens,
         op9_golay_simhash,
         op10_best_fit_packing,
+        op11_importance_resampling,
     )
 }
 
 
-
 def _crc_table() -> list[int]:
     """The byte table of CRC-32, from its polynomial."""
     out = []
@@ -123,4 +127,18 @@ ORACLES: dict[str, str] = {
         t AS (SELECT source, source_size, least(w * level, 2.0::DOUBLE * source_size) AS target FROM s, l),
         r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + (('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE < rate - floor(rate))::BIGINT) AS taken FROM r""",
+    "op11_importance_resampling": rf"""
+        WITH k AS (SELECT {_crc_table()}::BIGINT[] AS k),
+        d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+        dw AS (SELECT rid, unnest(w) AS w FROM d),
+        v AS (SELECT w, xor(list_reduce([4294967295] || [('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(encode(w)), '..')], lambda a, x: xor(a >> 8, k[(xor(a, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT w FROM dw UNION SELECT w FROM b) CROSS JOIN k),
+        s AS (SELECT bucket, count(*) AS s FROM dw JOIN v USING (w) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM b JOIN v USING (w) GROUP BY 1),
+        a AS (SELECT (SELECT count(*) FROM dw) AS alls, (SELECT count(*) FROM b) AS allt),
+        g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (alls + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (allt + 10000)::DOUBLE)))::BIGINT AS gain FROM (SELECT DISTINCT bucket FROM v) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket) CROSS JOIN a),
+        m AS (SELECT rid, sum(gain)::BIGINT AS total, count(*) AS n FROM dw JOIN v USING (w) JOIN g USING (bucket) GROUP BY 1),
+        c AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (rid)),
+        e AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM c),
+        r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS r, 10 * count(*) OVER (PARTITION BY n_features >= 20) // 100 AS drawn FROM e)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= drawn THEN r END AS rank FROM r""",
 }
