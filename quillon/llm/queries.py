@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import attribution, dedup, language, mixing, packing, pii, quality, resampling, sharding, simhash, tokenids
+from quillon.llm import attribution, dedup, language, mixing, packing, pii, quality, resampling, sharding, simhash, tokenids, warc
 from quillon.llm.common import documents
 
 
@@ -54,6 +54,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_golay_simhash,
         op10_best_fit_packing,
         op11_importance_resampling,
+        op13_warc_packages,
     )
 }
 
@@ -141,4 +146,8 @@ ORACLES: dict[str, str] = {
         e AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM c),
         r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS r, 10 * count(*) OVER (PARTITION BY n_features >= 20) // 100 AS drawn FROM e)
         SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= drawn THEN r END AS rank FROM r""",
+    "op13_warc_packages": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        q AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS r, first(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS f FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes < 100 OR r = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN payload_bytes >= 100 AND r > 1 THEN f END AS refers_to FROM q""",
 }
