@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import attribution, dedup, language, mixing, packing, pii, quality, resampling, sharding, simhash, tokenids, warc
+from quillon.llm import attribution, conversations, dedup, language, mixing, packing, pii, quality, resampling, sharding, simhash, tokenids, warc
 from quillon.llm.common import documents
 
 
@@ -54,6 +54,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_golay_simhash,
         op10_best_fit_packing,
         op11_importance_resampling,
+        op12_conversation_repair,
         op13_warc_packages,
     )
 }
@@ -91,6 +96,22 @@ _GRID = ", ".join(f"('{r}', {i}, {v}::DOUBLE)" for r, g in quality.GRIDS.items()
 _RULES = list(quality.GRIDS)
 _P = quality.ALPHA / len(_RULES)
 
+def _edits(state: int) -> str:
+    """SQL: the cheapest edits from a state with a row to come, before any insertion; suffixes (cost, audit, rows) of later places are e, s, u, a."""
+    name, after, role = "esua"[state], "esua"[conversations.AFTER[state]], conversations.NAMES[conversations.AFTER[state]]
+    here = {"e": "CASE WHEN ini = 's' THEN s WHEN ini = 'u' THEN u END", "s": "CASE WHEN ini = 'u' THEN u END", "u": "CASE WHEN ini = 'a' THEN a END", "a": "CASE WHEN ini = 'u' THEN u END"}[name]
+    put = lambda way, letter, cost, item: f"CASE WHEN ({way}) IS NOT NULL THEN {{'c': ({way}).c + {cost}, 'a': '{letter}' || ({way}).a, 'm': {item} || ({way}).m}} END"
+    stays = [f"CASE WHEN fault <> 'must' THEN {put(here, 'K', 'stays', '[role || chr(58) || text]')} END", f"CASE WHEN fault <> 'must' THEN {put(after, 'R', '1 + stays', f'[{chr(39)}{role}:{chr(39)} || text]')} END"]
+    return f"list_sort([x FOR x IN [{put(name, 'D', 2, '[]::VARCHAR[]')}, {', '.join(stays)}] IF x IS NOT NULL])[1]"
+
+
+def _inserted(state: int, p: str) -> str:
+    """SQL: the same with at most one more insertion before; p: prefix of what it leads to."""
+    after = conversations.AFTER[state]
+    a, role = "esua"[after], conversations.NAMES[after]
+    return f"list_sort([b{'esua'[state]}, {{'c': {p}{a}.c + 5, 'a': 'I' || {p}{a}.a, 'm': ['{role}:'] || {p}{a}.m}}])[1]"
+
+
 ORACLES: dict[str, str] = {
     "op1_risk_controlled_rules": rf"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
@@ -146,6 +167,22 @@ ORACLES: dict[str, str] = {
         e AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM c),
         r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS r, 10 * count(*) OVER (PARTITION BY n_features >= 20) // 100 AS drawn FROM e)
         SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= drawn THEN r END AS rank FROM r""",
+    "op12_conversation_repair": rf"""
+        WITH RECURSIVE k AS (SELECT {_crc_table()}::BIGINT[] AS k),
+        c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+        h AS (SELECT *, xor(list_reduce([4294967295] || [('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(encode(name)), '..')], lambda a, x: xor(a >> 8, k[(xor(a, x) & 255) + 1])), 4294967295) % 20 AS code FROM c CROSS JOIN k),
+        d AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM h, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last, left(role, 1) AS ini FROM d),
+        f AS (SELECT *, last = '' AS is_blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM o),
+        g AS (SELECT *, CASE WHEN is_blank OR again THEN 'must' WHEN last IN ('.', '!', '?') THEN 'none' ELSE 'cut' END AS fault, CASE WHEN last IN ('.', '!', '?') THEN 0 ELSE 5 END AS stays,
+            i > 1 AND lag(ini) OVER w || ini NOT IN ('su', 'ua', 'au') AS bad FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+        r AS (SELECT conv_id, n + 1 AS i, {{'c': 0, 'a': '', 'm': []::VARCHAR[]}} AS e, {{'c': 10, 'a': 'II', 'm': ['user:', 'assistant:']}} AS s, {{'c': 5, 'a': 'I', 'm': ['assistant:']}} AS u, {{'c': 0, 'a': '', 'm': []::VARCHAR[]}} AS a FROM g WHERE i = n
+            UNION ALL SELECT conv_id, i, {", ".join(_inserted(x, "i") + f" AS {'esua'[x]}" for x in range(4))} FROM (
+            SELECT *, {", ".join(_inserted(x, "b") + f" AS i{'esua'[x]}" for x in range(4))} FROM (
+            SELECT g.conv_id, g.i, {", ".join(_edits(x) + f" AS b{'esua'[x]}" for x in range(4))} FROM r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.i = r.i - 1))),
+        t AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (is_blank) AS blank, count(*) FILTER (NOT is_blank AND again) AS duplicate, count(*) FILTER (fault = 'cut') AS truncated, count(*) FILTER (bad) AS illegal FROM g GROUP BY 1)
+        SELECT x.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.c, 0)::BIGINT AS cost, coalesce(e.a, '') AS audit,
+            sha256(coalesce(array_to_string(e.m, chr(10)), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) x LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM x.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND r.i = 1""",
     "op13_warc_packages": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         q AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS r, first(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS f FROM p)
