@@ -49,34 +49,61 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return heavy.select("source", "source_size", (F.least(F.col("weight") * F.lit(first), least) if first is not None else least).alias("target"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Add `_k`, the number from 0 of each row among those with its doc_id, source and `_digest` of the text.
+
+    Such rows can stand for each other. Only rows of classes that hold several are moved: they are put in one order over
+    all partitions, so that a class of a third of all rows is numbered in many tasks.
+    """
+    key = ["doc_id", "source", "_digest"]
+    alike = docs.groupBy(*key).agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    alike = common.materialize(alike, "repeated").withColumnsRenamed({x: f"_r{x}" for x in key})
+    if alike.isEmpty():
+        return docs.withColumn("_k", F.lit(0).cast("long"))
+    same = lambda prefix: F.col("doc_id").eqNullSafe(F.col(f"{prefix}doc_id")) & F.col("source").eqNullSafe(F.col(f"{prefix}source")) & (F.col("_digest") == F.col(f"{prefix}_digest"))
+    met = docs.join(alike.hint("merge"), same("_r"), "left").drop(*[f"_r{x}" for x in key])
+    many = met.where("_m is not null").withColumn("_at", F.monotonically_increasing_id())
+    many = common.with_prefix(many, [F.col("_digest"), F.col("doc_id"), F.col("source"), F.col("_at")], F.lit(1).cast("long"), "repeats")
+    first = many.groupBy(*[F.col(x).alias(f"_f{x}") for x in key]).agg(F.min("_index").alias("_first"))
+    placed = many.join(first.hint("merge"), same("_f")).withColumn("_k", F.col("_index") - F.col("_first"))
+    names = [F.col(f"`{x}`") for x in docs.columns]
+    return placed.select(*names, "_k").unionByName(met.where("_m is null").select(*names, F.lit(0).cast("long").alias("_k")))
+
+
 def mix(docs: DataFrame, seed: str = SEED, **kw) -> DataFrame:
-    """Add size, source_size, target and copies to every row of docs (columns doc_id, size, source).
+    """Add size, source_size, target and copies to every row of docs (columns doc_id, size, source, _digest).
 
-    A document is taken floor(rate) times, and once more if a number from the hash of the seed and its doc_id is below
-    the rest of the rate, where rate = target / source_size. Reruns agree. Null source: a source of its own, the last.
-    A source of size 0 has rate 0. Rows with one doc_id take the same number. No documents: an empty result.
+    A document is taken floor(rate) times, and once more if a number from the hash of the seed, its doc_id, the digest
+    of its text and its number among equal rows is below the rest of the rate, where rate = target / source_size. So
+    rows without a doc_id, with the same one, or repeated draw each for themselves, and a source comes near its target
+    whatever its ids. Reruns agree. Null source: a source of its own, the last. A source of size 0 has rate 0. No
+    documents: an empty result.
     """
     sources = common.materialize(docs.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
     n = sources.count()
     found = targets(sources, **kw).select(F.col("source").alias("_s"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    out = common.lookup(docs, found, F.col("source").eqNullSafe(F.col("_s")), n)
-    chance = unit(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    return out.drop("_s").withColumn("copies", (F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")).cast("int"))
+    out = common.lookup(numbered(docs), found, F.col("source").eqNullSafe(F.col("_s")), n)
+    chance = unit(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_digest"), F.col("_k").cast("string"))
+    return out.withColumn("copies", (F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")).cast("int")).drop("_s", "_k")
+
+
+def _sized(docs: DataFrame, *columns: Column) -> DataFrame:
+    return docs.select(*columns, "doc_id", "source", words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_digest"))
 
 
 def mixed_sizes(docs: DataFrame, **kw) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    sized = common.materialize(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
+    sized = common.materialize(_sized(docs), "sizes")
     return mix(sized, **kw).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with its own columns, whatever their names.
 
-    Null text: size 0, and taken like other documents of its source. Nulls, repeated rows and empty tables: as in mix().
+    Null text: size 0, and taken like other documents of its source. Rows with one doc_id, or none, and repeated rows
+    are taken each by a draw of its own, so they do not move a source off its target. Empty tables: as in mix().
     """
     whole = F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_doc")
-    rows = docs.select(whole, "doc_id", "source", words(F.col("text")).alias("size"))
-    taken = mix(rows, **kw).withColumn("_copy", F.explode(F.expr("array_repeat(0, copies)")))
+    taken = mix(_sized(docs, whole), **kw).withColumn("_copy", F.explode(F.expr("array_repeat(0, copies)")))
     return taken.select("_doc.*")

@@ -145,14 +145,15 @@ ORACLES: dict[str, str] = {
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g USING (t)""",
     "op7_mixture": r"""
-        WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+        WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS digest,
+              row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) - 1 AS k FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w FROM d GROUP BY source),
         o AS (SELECT *, 2.0::DOUBLE * source_size / w AS stop, sum(2.0::DOUBLE * source_size) OVER a - 2.0::DOUBLE * source_size AS held, sum(w) OVER () - (sum(w) OVER a - w) AS open, sum(source_size) OVER () AS total
               FROM s WINDOW a AS (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
         l AS (SELECT (1.5::DOUBLE * total - held) / open AS level FROM o WHERE (1.5::DOUBLE * total - held) / open <= stop ORDER BY stop, source NULLS LAST LIMIT 1),
         t AS (SELECT source, source_size, least(w * level, 2.0::DOUBLE * source_size) AS target FROM s, l),
-        r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + (('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE < rate - floor(rate))::BIGINT) AS taken FROM r""",
+        r AS (SELECT d.doc_id, d.size, d.digest, d.k, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + (('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null') || '|' || digest || '|' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE < rate - floor(rate))::BIGINT) AS taken FROM r""",
     "op11_importance_resampling": rf"""
         WITH k AS (SELECT {_crc_table()}::BIGINT[] AS k),
         d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -465,6 +465,11 @@ def brute_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
         full |= over
 
 
+def draw(doc_id, text, k=0):
+    name = "null" if doc_id is None else doc_id
+    return int(hashlib.md5(f"mix-1|{name}|{hashlib.md5((text or '').encode()).hexdigest()}|{k}".encode()).hexdigest()[:13], 16) / 16**13
+
+
 def test_mixing(docs, odd, nothing):
     source = {r["doc_id"]: r for r in docs.select("doc_id", "source", "text").collect()}
     sizes = Counter()
@@ -480,7 +485,7 @@ def test_mixing(docs, odd, nothing):
         assert r["size"] == len(WORD.findall(source[r["doc_id"]]["text"] or "")) and r["source_size"] == sizes[s]
         assert r["target"] == pytest.approx(targets[s]) and r["taken"] <= 2 * r["size"]
         rate = targets[s] / sizes[s]
-        chance = int(hashlib.md5(f"mix-1|{r['doc_id']}".encode()).hexdigest()[:13], 16) / 16**13
+        chance = draw(r["doc_id"], source[r["doc_id"]]["text"])
         assert r["taken"] == r["size"] * (int(rate) + (chance < rate - int(rate)))
         taken[s] += r["taken"]
     assert sum(taken.values()) == pytest.approx(1.5 * sum(sizes.values()), rel=0.05)
@@ -488,6 +493,30 @@ def test_mixing(docs, odd, nothing):
     assert rows(mixing.mixed_sizes(nothing)) == []
 
 
+def test_mixing_without_ids(spark):
+    """Sources without doc_ids, with one hot doc_id, and of equal rows: each within 2 % of its target, by draws that brute force repeats."""
+    made = [(None if i % 3 else 7, f"{'w ' * (1 + i % 5)}{i if i % 3 < 2 else ''}", "abc"[i % 3]) for i in range(30_000)]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(5)
+    got = rows(mixing.mixed_sizes(df))
+    taken, target, want, number = Counter(), {}, Counter(), Counter()
+    sizes = Counter()
+    for doc_id, text, source in made:
+        sizes[source] += len(text.split())
+    targets = brute_targets(sizes)
+    for r in got:
+        source = next(s for s in sizes if sizes[s] == r["source_size"] and targets[s] == pytest.approx(r["target"]))
+        taken[source] += r["taken"]
+        target[source] = r["target"]
+    assert all(taken[s] == pytest.approx(target[s], rel=0.02) for s in sizes)
+    for doc_id, text, source in made:
+        rate, k = targets[source] / sizes[source], number[doc_id, text, source]
+        number[doc_id, text, source] += 1
+        size = len(text.split())
+        want[doc_id, size, size * (int(rate) + (draw(doc_id, text, k) < rate - int(rate)))] += 1
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in got) == want
+    assert len(rows(mixing.mixed_documents(df))) == sum(n * t // s for (_, s, t), n in want.items())
+
+
 # 8: token counts
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import language, similar
-from tests.llm.test_operators import WORD, brute_ids, brute_language, brute_targets, fold
+from tests.llm.test_operators import WORD, brute_ids, brute_language, brute_targets, draw, fold
 
 
 def brute_near(rows):
@@ -64,9 +64,11 @@ def check_stage(name, before, got):
         for r in before:
             sizes[r["source"]] += size(r)
         rate = {s: t / sizes[s] if sizes[s] else 0 for s, t in brute_targets(sizes).items()}
-        want = Counter()
+        want, number = Counter(), Counter()
         for r in before:
-            chance = int(hashlib.md5(f"mix-1|{'null' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:13], 16) / 16**13
+            own = (r["doc_id"], r["text"] or "", r["source"])
+            chance = draw(r["doc_id"], r["text"], number[own])
+            number[own] += 1
             whole = int(rate[r["source"]])
             want[(r["doc_id"], r["text"], r["source"])] += whole + (chance < rate[r["source"]] - whole)
         assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == +want
