@@ -29,8 +29,8 @@ _BM = rf"""d AS (SELECT doc_id, lang, {_TOK} AS t FROM documents), q AS (SELECT
 
 
 def _bm_sql(k: int) -> str:
-    score = "CASE WHEN max(bm25) OVER w > min(bm25) OVER w THEN (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) ELSE 1 END::DOUBLE"
-    return f"{_BM} bm AS (SELECT * FROM (SELECT query_id, doc_id, bm25, {score} AS score, rank FROM r WHERE rank <= {max(2 * k, 20)} WINDOW w AS (PARTITION BY query_id)) WHERE rank <= {k})"
+    score = "CASE WHEN max(own) OVER w > min(own) OVER w THEN (own - min(own) OVER w) / (max(own) OVER w - min(own) OVER w) ELSE 1 END::DOUBLE"
+    return f"{_BM} bm AS (SELECT * FROM (SELECT query_id, doc_id, bm25, {score} AS score, rank FROM (SELECT *, round(bm25, 9) AS own FROM r) WHERE rank <= {max(2 * k, 20)} WINDOW w AS (PARTITION BY query_id)) WHERE rank <= {k})"
 
 
 def _bm(d: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:

@@ -329,3 +329,15 @@ def test_raw_captures_quarantine(spark, tmp_path):
     (tmp_path / "w" / "x.json").write_text("\n".join([whale, *broken]))
     rows, rest = R.read_raw_whales(spark, str(tmp_path / "w"))
     assert rows.first()["transactions"][0]["valueUsd"] == 2 and rows.count() == 1 and len(rest.collect()) == len(broken)
+
+
+def test_bm25_of_equal_candidates_in_any_order(spark):
+    """Two documents with the same words in another order: equal sums, whatever the order of their terms, so equal scores."""
+    words = [f"w{i}" for i in range(60)]
+    docs = [(1, " ".join(words)), (2, " ".join(reversed(words))), *((10 + i, f"w{i} w{(i * 7) % 60} filler") for i in range(60))]
+    asked = spark.createDataFrame([(0, " ".join(words))], "query_id long, text string")
+    seen = set()
+    for parts in (1, 3, 8):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        seen.add(tuple((r["doc_id"], r["score"], r["rank"]) for r in sorted(T.bm25(df, asked).collect(), key=lambda r: r["rank"])))
+    assert seen == {((1, 1.0, 1), (2, 1.0, 2))}
