@@ -158,3 +158,15 @@ def test_languages_need_a_teacher(spark, sf_dir):
     docs = spark.createDataFrame([(1, "one two", None), (2, None, None)], "doc_id long, text string, lang string")
     assert language.train(docs).names == []
     assert corpus_pipeline.identify_language(spark, docs, sf_dir).count() == 2
+
+
+def test_copies_that_differ_in_case(spark, sf_dir):
+    """Rows of one doc_id whose texts differ in case only: the same one stays, however the rows are dealt."""
+    made = [(1, "ABC def ghi", "en", "a"), (1, "abc def ghi", "en", "b"), (1, "abc DEF ghi", "en", "c"), (None, "x Y", "en", "a"), (None, "X y", None, None)] * 40
+    kept = set()
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(made, "doc_id long, text string, lang string, source string").repartition(parts)
+        got = sorted((tuple(r) for r in corpus_pipeline.drop_copies(spark, df, sf_dir).collect()), key=str)
+        assert len(got) == 2
+        kept.add(tuple(got))
+    assert len(kept) == 1
