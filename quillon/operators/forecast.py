@@ -175,14 +175,6 @@ def wacc(rows: DataFrame, sector_beta: DataFrame) -> DataFrame:
     return met.select("id", ke.alias("cost_of_equity"), (ev * ke + (1 - ev) * c("kd") * (1 - c("tax"))).alias("wacc"))
 
 
-def segment_moments(windows: DataFrame) -> DataFrame:
-    """Normal-equation sums of r on (1, lag 1, lag 2, lag 3) for every (series, w): one aggregation, solved later."""
-    time = Window.partitionBy("series", "w").orderBy("d")
-    rows = windows.withColumns({f"x{k}": F.lag("r", k).over(time) for k in (1, 2, 3)}).where("x3 is not null").withColumn("x0", F.lit(1.0))
-    xs = ["x0", "x1", "x2", "x3"]
-    return rows.groupBy("series", "w").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c(a) * c(b)).alias(f"s_{a}{b}") for i, a in enumerate(xs) for b in xs[i:]], *[F.sum(c(a) * c("r")).alias(f"s_{a}y") for a in xs])
-
-
 def reversal_probability(z_forecast: DataFrame, market_p: Column | None = None) -> DataFrame:
     """Mass of easing by state (LOW from MODERATE; LOW or MODERATE from higher), blended .4 / .6 with .95 of a market's p."""
     eased = F.when(c("state") == "LOW", 0.0).when(c("state") == "MODERATE", c("LOW")).otherwise(c("LOW") + c("MODERATE"))

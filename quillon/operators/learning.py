@@ -1,10 +1,10 @@
-"""Iterative operators: segment clusters, sparse regression across assets, two-pass calibration, out-of-sample tests."""
+"""Iterative operators: sparse regression across assets, two-pass calibration, out-of-sample tests."""
 
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.mathcols import logit, sigmoid
@@ -14,41 +14,6 @@ from quillon.operators import series as S
 c = F.col
 
 
-def cluster_segments(rows: DataFrame, features: list[str], key: str, k: int = 3, iterations: int = 10) -> DataFrame:
-    """Lloyd's rounds from seeds at evenly spaced ranks of the second feature: (key, cluster, distance, membership).
-
-    Ranks come from a percentile sketch (exact up to 10,000 rows), each seed is the row nearest to one, equally near
-    rows by a hash of the seed's number and the key; so no row order is ever made over all rows.
-    Centres (k rows) are literals of the next round's expression, so a round is one aggregation; the membership is a
-    softmax of negative squared distances over their mean.
-    """
-    n = rows.count()
-    if not n:
-        return rows.select(key, F.lit(0).alias("cluster"), F.lit(0.0).alias("distance"), F.lit(0.0).alias("membership"))
-    k = max(1, min(k, n))
-    by = features[min(1, len(features) - 1)]
-    ranks = rows.agg(F.percentile_approx(by, [i / max(1, k - 1) for i in range(k)], 10_000).alias("at")).first()["at"]  # k values
-    nearest = [F.min_by(F.struct(*features), F.struct(F.abs(c(by) - v), F.xxhash64(F.lit(i), key), key)).alias(f"_{i}") for i, v in enumerate(ranks)]
-    seeds = rows.agg(*nearest).first()  # k rows
-    centres = [[float(seeds[i][f]) for f in features] for i in range(k)]
-
-    def distances() -> Column:
-        one = lambda m: sum((F.pow(c(f) - float(v), 2) for f, v in zip(features[1:], m[1:], strict=True)), F.pow(c(features[0]) - float(m[0]), 2))
-        return F.array(*[one(m) for m in centres])
-
-    def assigned() -> DataFrame:
-        d = rows.withColumn("_d", distances())
-        return d.withColumn("cluster", (F.array_position("_d", F.array_min("_d")) - 1).cast("int"))
-
-    for _ in range(iterations):
-        found = {r["cluster"]: r for r in assigned().groupBy("cluster").agg(*[F.avg(f).alias(f) for f in features]).collect()}
-        centres = [[float(found[i][f]) for f in features] if i in found else m for i, m in enumerate(centres)]
-    out = assigned()
-    heat = F.greatest(F.lit(1e-6), F.aggregate("_d", F.lit(0.0), lambda a, x: a + x) / k)
-    part = lambda x: F.exp(-x / heat)
-    return out.select(key, "cluster", F.sqrt(F.array_min("_d")).alias("distance"), (part(F.array_min("_d")) / F.aggregate(F.transform("_d", part), F.lit(0.0), lambda a, x: a + x)).alias("membership"))
-
-
 def cross_asset_bias(returns: DataFrame, target: str, peers: list[str], horizon: int = 5, penalty: float = 0.01) -> DataFrame:
     """Lasso of the target's next-`horizon` sum on its peers' returns; the prediction of the latest complete date over the horizon.
 

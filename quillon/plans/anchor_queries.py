@@ -42,7 +42,6 @@ query("agg_12_tail_weighted_mixture_crps", "v_ladder")(
 query("ser_15_reversal_probability", "v_prices", sql="SELECT series, round(CASE WHEN z < 0.5 THEN 0 WHEN z < 1.5 THEN 0.4 ELSE 0.75 END * 0.4 + 0.6 * 0.95 * 0.3, 8) AS p FROM (SELECT series, round(max(close) / 200000, 6) AS z FROM {v_prices} GROUP BY 1)")(
     lambda p: W.reversal_probability(p.groupBy("series").agg(S.regime_of_pressure(F.round(F.max("close") / 200000, 6)).alias("state")).withColumns({"LOW": F.lit(0.4), "MODERATE": F.lit(0.35)}), F.lit(0.3)))
 query("ser_36_excess_oos_r2", "v_prices")(lambda p: L.excess_oos_r2(S.simple_returns(p)))
-query("ser_47_cluster_segments", "v_prices")(lambda p: L.cluster_segments(S.segment_windows(S.simple_returns(p)).groupBy("series", "w").agg(F.avg("r").alias("f0"), F.stddev_pop("r").alias("f1"), F.max("r").alias("f2")).withColumn("k", F.concat_ws("/", "series", "w")), ["f0", "f1", "f2"], "k"))
 query("ser_48_cross_asset_bias", "v_prices")(lambda p: L.cross_asset_bias(S.simple_returns(p), "1-URGENT", ["2-HIGH", "3-MEDIUM", "5-LOW"]))
 query("ser_51_walk_forward_replay", "v_prices_short", "v_snapshots", sql="""WITH x AS (SELECT series, d, close, row_number() OVER w - 1 AS i, lead(close, 2) OVER w AS future FROM {v_prices_short} WINDOW w AS (PARTITION BY series ORDER BY d)),
     st AS (SELECT series, d, i AS step, future > close AS y FROM x WHERE i >= 10 AND (i - 10) % 3 = 0 AND future IS NOT NULL),
@@ -58,7 +57,6 @@ query("ser_58_base_rate_floor", "v_steps", sql="SELECT ticker, horizon, t, round
 query("ser_60_soft_regime", "v_prices", sql=f"WITH {_S}, {_MIX}, e AS (SELECT series, least(1, -(bull * ln(bull) + bear * ln(bear) + sideways * ln(sideways)) / ln(3)) AS e FROM mx) SELECT series, round(e::DOUBLE, 8) AS entropy, round(greatest(0.65, 1 - 0.35 * e)::DOUBLE, 8) AS confidence, round((1 + 0.35 * e)::DOUBLE, 8) AS ci_scale FROM e")(lambda p: W.soft_regime(W.start_state_mixture(_states(p))))
 query("str_07_rolling_entropy_z", "v_prices", sql=ORACLES["ser_28_entropy_z"])(lambda p: S.entropy_z(p).withColumn("z", F.round("z", 6)).withColumn("scale", F.greatest(F.lit(0.7), F.least(F.lit(1.4), 1 + 0.15 * c("z")))))
 query("udf_03_user_evaluator", "v_steps", sql="SELECT horizon, count(*) FILTER (confidence >= 0.5) AS sure FROM {v_steps} GROUP BY 1")(lambda s: s.transform(lambda x: x.groupBy("horizon").agg(F.count_if(c("confidence") >= 0.5).alias("sure"))))
-query("udf_05_history_provider", "v_prices", "v_prices_short", sql="SELECT 'orders' AS provider, count(*) AS n FROM {v_prices} UNION ALL SELECT 'events', count(*) FROM {v_prices_short}")(lambda a, b: a.agg(F.lit("orders").alias("provider"), F.count(F.lit(1)).alias("n")).unionByName(b.agg(F.lit("events").alias("provider"), F.count(F.lit(1)).alias("n"))))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:

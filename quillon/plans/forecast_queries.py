@@ -82,8 +82,6 @@ query("ser_67_wacc_breakdown", "customer", sql="SELECT c_custkey AS id, round(0.
 _CW = "(VALUES ('1-URGENT', 'a', 0.3::DOUBLE), ('2-HIGH', 'a', 0.2::DOUBLE), ('3-MEDIUM', 'b', 0.4::DOUBLE), ('5-LOW', 'b', 0.1::DOUBLE)) w(component, grp, weight)"
 query("ser_13_composite_index", "v_prices", sql=f"""WITH m AS (SELECT d, component, grp, weight, close / 100000 AS z FROM {{v_prices}} JOIN {_CW} ON series = component), g AS (SELECT grp, sum(weight) AS gw FROM {_CW} GROUP BY 1), s AS (SELECT d, z, weight / sum(weight) OVER (PARTITION BY d, m.grp) * gw AS x FROM m JOIN g USING (grp)) SELECT d, round(sum(z * x) / sum(x), 4) AS index, count(*) AS components FROM s GROUP BY 1""")(
     lambda p: W.composite_index(p.select("d", c("series").alias("component"), (c("close") / 100000).alias("z")), p.sparkSession.createDataFrame([("1-URGENT", "a", 0.3), ("2-HIGH", "a", 0.2), ("3-MEDIUM", "b", 0.4), ("5-LOW", "b", 0.1)], "component string, grp string, weight double")).withColumn("index", F.round("index", 4)))
-query("ser_46_segment_moments", "v_prices", sql=f"WITH {_R}, x AS (SELECT *, (row_number() OVER (PARTITION BY series ORDER BY d) - 1) // 48 AS w FROM r), l AS (SELECT *, lag(r) OVER q AS x1, lag(r, 3) OVER q AS x3 FROM x WINDOW q AS (PARTITION BY series, w ORDER BY d)) SELECT series, w, count(*) AS n, round(sum(x1 * x3), 8) AS s13, round(sum(x1 * r), 8) AS s1y FROM l WHERE x3 IS NOT NULL GROUP BY ALL")(
-    lambda p: W.segment_moments(simple_returns(p).withColumn("w", F.floor((F.row_number().over(S._time()) - 1) / 48))).select("series", "w", "n", c("s_x1x3").alias("s13"), c("s_x1y").alias("s1y")))
 
 
 def _targets(o):  # noqa: ANN001, ANN202
