@@ -129,7 +129,7 @@ def encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     return _ready.setdefault(path, encode)
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", most: int = 8_000_000) -> Iterator[tuple[int, list[str]]]:
+def chunks(batch: pa.RecordBatch, column: str = "text", most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of a batch's texts (null: empty) of about `most` bytes, each with its first row; only one is held at a time."""
     texts = batch.column(column)
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
