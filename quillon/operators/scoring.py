@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.mathcols import normal_cdf, normal_pdf
+from quillon.operators.ranks import exact_ranks, key_ranks
 
 c = F.col
 
@@ -29,7 +30,7 @@ def hit(hold: float = 0.03) -> Column:
 
 
 def actual_class(hold: float = 0.03) -> Column:
-    return F.when(c("actual_return") >= hold, "BUY").when(c("actual_return") <= -hold, "SELL").otherwise("HOLD")
+    return F.when(c("actual_return") > hold, "BUY").when(c("actual_return") < -hold, "SELL").otherwise("HOLD")
 
 
 def edge() -> Column:
@@ -138,31 +139,96 @@ def buckets() -> dict[str, Column]:
     }
 
 
-def bucket_metrics(total: Column) -> dict[str, Column]:
-    return {"n": F.count(F.lit(1)), "fraction": F.count(F.lit(1)) / total, "accuracy": F.avg(hit()), "brier": brier(), "coverage": F.avg(covered()), "mean_edge": F.avg(edge())}
+def balanced(hold: float = 0.03) -> Column:
+    """Mean over the observed actual classes of the share of right recommendations, as one aggregate."""
+    recalls = [F.avg(F.when(actual_class(hold) == k, (c("recommendation") == k).cast("double"))) for k in ("BUY", "HOLD", "SELL")]
+    seen = F.array_compact(F.array(*recalls))
+    return F.when(F.size(seen) > 0, F.aggregate(seen, F.lit(0.0), lambda a, x: a + x) / F.size(seen)).otherwise(0.0)
 
 
-def failure_decomposition(steps: DataFrame, labels: dict[str, Column] | None = None) -> DataFrame:
-    """(dimension, bucket, metrics): all slices in one aggregation, by grouping sets over the label columns.
+def bucket_metrics(hold: float = 0.03) -> dict[str, Column]:
+    return {"n": F.count(F.lit(1)), "accuracy": F.avg(hit(hold)), "balanced_accuracy": balanced(hold), "brier": brier(), "coverage": F.avg(covered()), "mean_edge": F.avg(edge())}
 
-    Partial sums per label come before the shuffle, so a step is never copied across the network once per slice.
+
+UNKNOWN = "unknown"
+
+
+def volatility_bounds(steps: DataFrame) -> tuple[float, float]:
+    """The absolute returns at places floor((n - 1) / 3) and floor(2 (n - 1) / 3), by counting."""
+    rows = steps.select(F.abs("actual_return").alias("m")).where("m is not null")
+    n = rows.count()
+    return tuple(exact_ranks(rows, "m", [(n - 1) // 3, 2 * (n - 1) // 3])) if n else (0.0, 0.0)
+
+
+def slices(bounds: tuple[float, float], hold: float = 0.03) -> dict[str, tuple[Column, tuple[str, ...]]]:
+    """Every slice of the whole decomposition: its label, and the labels that are shown even without steps.
+
+    Beyond a step's own columns: anchor_quality, validation_metric, structural_break and divergence with those of the
+    original run, which win (original_break, original_divergence), hmm_converged, consensus, entropy_scale. The labels
+    are fixed values.
     """
-    labels = labels or buckets()
-    rows = steps.select("*", *[x.alias(f"_{k}") for k, x in labels.items()])
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), c(f"_{k}").alias("bucket")) for k in labels])).alias("b")
-    n = rows.agg(F.count(F.lit(1)).alias("total"))
-    out = rows.select("*", pairs).groupBy("b.dimension", "b.bucket").agg(*[m.alias(k) for k, m in bucket_metrics(F.lit(1.0)).items() if k != "fraction"])
-    return out.join(F.broadcast(n)).select("dimension", "bucket", "n", (c("n") / c("total")).alias("fraction"), "accuracy", "brier", "coverage", "mean_edge")  # one row
+    conf, r, p, move = c("confidence"), c("actual_return"), c("predicted_prob"), F.abs(c("actual_return"))
+    told = lambda x: F.coalesce(x.cast("string"), F.lit(UNKNOWN))
+    among = lambda x, labels: F.when(x.isin(*labels), x).otherwise(UNKNOWN)
+    broken, apart = F.coalesce("original_break", "structural_break"), F.coalesce("original_divergence", "divergence")
+    anchor, metric, flags = ("good", "sparse", "none", UNKNOWN), ("daily_return", "horizon_return", UNKNOWN), ("true", "false", UNKNOWN)
+    confidence = ("[0.00, 0.20)", "[0.20, 0.40)", "[0.40, 0.60)", "[0.60, 0.80)", "[0.80, 1.00]")
+    size, far = ("<2%", "2–5%", "5–10%", "≥10%"), ("<0.05", "0.05–0.10", "0.10–0.20", "≥0.20")
+    up = ("<0.45", "0.45–0.50", "0.50–0.55", ">0.55")
+    scale = F.coalesce("entropy_scale", F.lit(1.0))
+    return {
+        "regime": (F.coalesce("regime", F.lit(UNKNOWN)), ()),
+        "volatility": (F.when(move <= bounds[0], "low").when(move <= bounds[1], "medium").otherwise("high"), ("low", "medium", "high")),
+        "moveMagnitude": (band(move, (0.02, 0.05, 0.10), size), size),
+        "moveDirection": (F.when(r > hold, "up").when(r < -hold, "down").otherwise("flat"), ("up", "down", "flat")),
+        "confidence": (F.when(conf.between(0, 1), band(conf, (0.2, 0.4, 0.6, 0.8), confidence)).otherwise(UNKNOWN), confidence),
+        "anchorQuality": (among(c("anchor_quality"), anchor), anchor),
+        "recommendation": (c("recommendation"), ("BUY", "HOLD", "SELL")),
+        "trendVsChop": (F.when(F.coalesce("regime", F.lit("")) == "", UNKNOWN).when(c("regime") == "sideways", "chop").otherwise("trending"), ("trending", "chop", UNKNOWN)),
+        "validationMetric": (among(c("validation_metric"), metric), metric),
+        "structuralBreak": (told(broken), flags),
+        "divergence": (F.coalesce(band(apart, (0.05, 0.10, 0.20), far), F.lit(UNKNOWN)), (*far, UNKNOWN)),
+        "hmmConverged": (told(c("hmm_converged")), flags),
+        "ensembleConsensus": (F.coalesce(band(c("consensus"), (0.4, 0.7), ("low", "medium", "high")), F.lit(UNKNOWN)), ("low", "medium", "high", UNKNOWN)),
+        "pUpBand": (F.when((p >= 0) & (p < 1), band(p, (0.45, 0.50, 0.55), up)).otherwise(UNKNOWN), up),
+        "entropyCiScale": (F.when(scale < 0.999, "tightened").when(scale > 1.001, "widened").otherwise("neutral"), ("tightened", "neutral", "widened")),
+    }
+
+
+def failure_decomposition(steps: DataFrame, labels: dict[str, Column] | None = None, hold: float = 0.03) -> DataFrame:
+    """(dimension, bucket, n, fraction, accuracy, balanced_accuracy, brier, coverage, mean_edge) by grouping sets over label columns.
+
+    Without labels: all slices(), also their shown labels without steps, as zeros. Partial sums per set come before the
+    shuffle, so a step is never copied across the network once per slice. Null labels are `unknown`.
+    """
+    shown: dict[str, tuple[str, ...]] = {}
+    if labels is None:
+        every = slices(volatility_bounds(steps), hold)
+        labels, shown = {k: x for k, (x, _) in every.items()}, {k: names for k, (_, names) in every.items()}
+    metrics = bucket_metrics(hold)
+    rows = steps.select("*", *[F.coalesce(x, F.lit(UNKNOWN)).alias(f"_{k}") for k, x in labels.items()])
+    columns = [c(f"_{k}") for k in labels]
+    sets = rows.groupingSets([[x] for x in columns], *columns).agg(*[m.alias(f"m_{k}") for k, m in metrics.items()], *[F.grouping(f"_{k}").alias(f"g_{k}") for k in labels])
+    of = F.coalesce(*[F.when(c(f"g_{k}") == 0, F.struct(F.lit(k).alias("dimension"), c(f"_{k}").alias("bucket"))) for k in labels])
+    found = sets.select(of.alias("of"), *[c(f"m_{k}").alias(k) for k in metrics]).select("of.*", *metrics)
+    total = steps.agg(F.count(F.lit(1)).alias("total"))  # one row
+    found = found.join(F.broadcast(total)).withColumn("fraction", c("n") / c("total")).drop("total")
+    blank = [(k, x, 0, *[0.0] * 6) for k, names in shown.items() for x in names]
+    names = ["dimension", "bucket", "n", "fraction", "accuracy", "balanced_accuracy", "brier", "coverage", "mean_edge"]
+    if blank:
+        zeros = steps.sparkSession.createDataFrame(blank, ", ".join(f"{x} {'string' if i < 2 else 'long' if i == 2 else 'double'}" for i, x in enumerate(names)))
+        found = found.select(*names).unionByName(zeros).groupBy("dimension", "bucket").agg(F.max_by(F.struct(*names[2:]), "n").alias("m")).select("dimension", "bucket", "m.*")
+    return found.select(*names)
 
 
 def by_volatility(steps: DataFrame) -> DataFrame:
-    """Terciles of absolute returns: the bounds are the values at place floor((n - 1) / 3) and floor(2 (n - 1) / 3), upper inclusive."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("ticker"))
-    i = F.row_number().over(Window.partitionBy("ticker").orderBy(F.abs("actual_return"), "horizon", "t")) - 1
-    rows = steps.withColumns({"n": n, "i": i, "m": F.abs("actual_return")})
-    bound = lambda k: F.max(F.when(c("i") == F.floor(k * (c("n") - 1) / 3), c("m")))
-    cuts = rows.groupBy("ticker").agg(bound(1).alias("low"), bound(2).alias("high"))
-    met = rows.join(cuts, "ticker").withColumn("bucket", F.when(c("m") <= c("low"), "low").when(c("m") <= c("high"), "medium").otherwise("high"))
+    """Terciles of absolute returns: the bounds are the values at place floor((n - 1) / 3) and floor(2 (n - 1) / 3), upper inclusive.
+
+    Bounds are found by counting, so a ticker of any size is sorted in no task.
+    """
+    rows = steps.withColumn("m", F.abs("actual_return"))
+    cuts = key_ranks(rows, ("ticker",), "m", {"low": F.floor((c("n") - 1) / 3), "high": F.floor(2 * (c("n") - 1) / 3)}).withColumnRenamed("ticker", "_t")
+    met = rows.join(cuts.hint("merge"), c("ticker").eqNullSafe(c("_t"))).withColumn("bucket", F.when(c("m") <= c("low"), "low").when(c("m") <= c("high"), "medium").otherwise("high"))
     return met.groupBy("ticker", "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(hit()).alias("accuracy"), brier().alias("brier"))
 
 
@@ -244,7 +310,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def rank_failure_buckets(steps: DataFrame, top: int = 10) -> DataFrame:
     """Weak buckets first, the weakest of each dimension, against the overall metrics."""
     overall = steps.agg(F.avg(hit()).alias("a0"), brier().alias("b0"), F.avg(edge()).alias("e0"))
-    rows = failure_decomposition(steps).where("n >= 5").join(F.broadcast(overall))  # one row
+    rows = failure_decomposition(steps, buckets()).where("n >= 5").join(F.broadcast(overall))  # one row
     weak = (0.5 * (c("a0") - c("accuracy")) + 0.3 * (c("brier") - c("b0")) + 0.2 * (c("e0") - c("mean_edge"))) * (0.5 + 0.5 * F.sqrt("fraction"))
     low, high = wilson(c("accuracy") * c("n"), c("n"))
     ranked = rows.withColumn("weakness", weak).withColumn("i", F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("weakness"), "bucket"))).where("i = 1")
@@ -267,14 +333,14 @@ def arm_deltas(scores: DataFrame, arm: str, baseline: str, *metrics: str, keys:
 
 
 def bucket_report(steps: DataFrame, bucket: Column, labels: tuple[str, ...]) -> DataFrame:
-    """(bucket, n, fraction, accuracy, brier, coverage, edge) of each label, also of those without steps; others are `unknown`."""
+    """(bucket, n, fraction, accuracy, balanced, brier, coverage, edge) of each label, also of those without steps; others are `unknown`."""
     known = steps.withColumn("bucket", F.when(bucket.isin(*labels), bucket).otherwise("unknown"))
-    found = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(hit()).alias("accuracy"), brier().alias("brier"), F.avg(covered()).alias("coverage"), F.avg(edge()).alias("edge"))
+    found = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(hit()).alias("accuracy"), balanced().alias("balanced"), brier().alias("brier"), F.avg(covered()).alias("coverage"), F.avg(edge()).alias("edge"))
     every = steps.sparkSession.createDataFrame([(x,) for x in dict.fromkeys([*labels, "unknown"])], "bucket string")
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # as many rows as labels
     out = every.join(found.hint("merge"), "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     out = out.withColumn("fraction", F.when(total > 0, c("n") / total).otherwise(0.0))
-    return out.select("bucket", "n", "fraction", "accuracy", "brier", "coverage", "edge")
+    return out.select("bucket", "n", "fraction", "accuracy", "balanced", "brier", "coverage", "edge")
 
 
 def band(x: Column, cuts: tuple[float, ...], labels: tuple[str, ...]) -> Column:

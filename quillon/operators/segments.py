@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.ranks import exact_ranks
+
 c = F.col
 #: Regressors of a return: one, its three last ones, their mean, the size of the last; fixed by the definition.
 REGRESSORS = ("one", "lag1", "lag2", "lag3", "mean3", "size1")
@@ -65,42 +67,6 @@ def segment_coefficients(windows: DataFrame, ridge: float = 1e-6, least: int = 1
     return sums.mapInArrow(solve, shape)
 
 
-def exact_ranks(rows: DataFrame, by: str, places: list[int], step: int = 4096) -> list[float]:
-    """The values of `by` at the given 0-based places of its order, exact at any size and without an order over all rows.
-
-    Each round counts the rows in `step` equal parts of every range that still holds a wanted place, and goes on with
-    the part it lies in, until a part's values are equal, or so few that they can be listed.
-    """
-    found: dict[int, float] = {}
-    first = rows.agg(F.min(by).alias("low"), F.max(by).alias("high")).first()
-    ranges = {place: (first["low"], first["high"], place) for place in places}  # least, greatest, place within
-    while ranges:
-        wanted = sorted({(a, b) for a, b, _ in ranges.values()})
-        cells = []
-        for i, (low, high) in enumerate(wanted):
-            width = (high - low) / step
-            part = F.least(F.floor((c(by) - low) / width), F.lit(step - 1)).cast("int") if width > 0 else F.lit(0)
-            cells.append(F.when(c(by).between(low, high), F.struct(F.lit(i).alias("i"), part.alias("part"))))
-        counted = rows.select(F.explode(F.array_compact(F.array(*cells))).alias("cell"), by).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(by).alias("low"), F.max(by).alias("high"))
-        parts: dict[int, list] = {}
-        for r in counted.collect():  # `step` rows a range
-            parts.setdefault(r["cell"]["i"], []).append((r["cell"]["part"], r["n"], r["low"], r["high"]))
-        later = {}
-        for place, (low, high, within) in ranges.items():
-            for _, n, a, b in sorted(parts[wanted.index((low, high))]):
-                if within < n:
-                    break
-                within -= n
-            if a == b:
-                found[place] = a
-            elif n <= step:
-                found[place] = sorted(r[0] for r in rows.where(c(by).between(a, b)).select(by).collect())[within]
-            else:
-                later[place] = (a, b, within)
-        ranges = later
-    return [found[place] for place in places]
-
-
 def cluster_segments(rows: DataFrame, features: tuple[str, ...] = FEATURES, key: tuple[str, ...] = ("series", "w"), k: int = 3, iterations: int = 10) -> DataFrame:
     """(key, cluster, distance, membership): Lloyd's rounds on whole vectors, seeded at even ranks of the second feature.
 

@@ -20,7 +20,10 @@ VIEWS = {
         cur * (1 + predicted_return - 2 * tax) AS ci_lower, cur * (1 + predicted_return + 2 * tax) AS ci_upper, confidence,
         CASE WHEN predicted_return > 0.025 THEN 'BUY' WHEN predicted_return < -0.025 THEN 'SELL' ELSE 'HOLD' END AS recommendation,
         CASE regime WHEN 'A' THEN 'bull' WHEN 'N' THEN 'bear' ELSE 'sideways' END AS regime,
-        tax * 3 AS divergence, CASE WHEN tax > 0 THEN tax * 3 > 0.1D END AS structural_break, 0.9D + discount * 2 AS entropy_scale FROM (
+        tax * 3 AS divergence, CASE WHEN tax > 0 THEN tax * 3 > 0.1D END AS structural_break, 0.9D + discount * 2 AS entropy_scale,
+        CASE WHEN discount > 0.07D THEN tax > 0.03D END AS original_break, CASE WHEN discount > 0.07D THEN tax * 4 END AS original_divergence, CASE WHEN tax > 0.01D THEN discount < 0.05D END AS hmm_converged,
+        CASE WHEN discount > 0.02D THEN confidence END AS consensus, CASE WHEN confidence > 0.6D THEN 'good' WHEN confidence > 0.3D THEN 'sparse' WHEN confidence > 0.1D THEN 'none' WHEN tax > 0.05D THEN 'odd' END AS anchor_quality,
+        CASE WHEN horizon < 4 THEN 'daily_return' WHEN horizon < 7 THEN 'horizon_return' END AS validation_metric FROM (
         SELECT l_linestatus AS ticker, l_linenumber AS horizon, row_number() OVER (PARTITION BY l_linestatus, l_linenumber ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS t,
         (l_partkey % 101) / 100.0D AS predicted_prob, l_discount - 0.05D AS predicted_return, (l_quantity - 25) / 250.0D AS actual_return, l_extendedprice AS realized_price,
         l_extendedprice / (1 + (l_quantity - 25) / 250.0D) AS cur, l_tax AS tax, l_discount AS discount, (l_suppkey % 11) / 10.0D AS confidence, l_returnflag AS regime FROM {lineitem})""",

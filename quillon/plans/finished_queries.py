@@ -10,6 +10,7 @@ from quillon.operators import markets as M
 from quillon.operators import scoring as A
 from quillon.operators import text as T
 from quillon.plans.base import query
+from quillon.plans.scoring_queries import _BALANCED
 
 c = F.col
 
@@ -151,7 +152,7 @@ _BUCKETS = {
 for _name, (_labels, _column, _case) in _BUCKETS.items():
     query(_name, "v_steps", sql=f"""WITH s AS (SELECT *, coalesce({_case}, 'unknown') AS bucket FROM {{v_steps}}), l AS (SELECT unnest([{_list((*_labels, "unknown"))}]) AS bucket)
         SELECT l.bucket, count(s.t) AS n, count(s.t) / sum(count(s.t)) OVER ()::DOUBLE AS fraction,
-            avg(CASE recommendation WHEN 'BUY' THEN actual_return > 0 WHEN 'SELL' THEN actual_return < 0 ELSE abs(actual_return) < 0.03 END::INT) FILTER (s.t IS NOT NULL) AS accuracy, avg((predicted_prob - y) ** 2) AS brier,
+            avg(CASE recommendation WHEN 'BUY' THEN actual_return > 0 WHEN 'SELL' THEN actual_return < 0 ELSE abs(actual_return) < 0.03 END::INT) FILTER (s.t IS NOT NULL) AS accuracy, CASE WHEN count(s.t) > 0 THEN {_BALANCED} END AS balanced, avg((predicted_prob - y) ** 2) AS brier,
             avg((realized_price BETWEEN ci_lower AND ci_upper)::INT) AS coverage, avg(CASE recommendation WHEN 'BUY' THEN actual_return WHEN 'SELL' THEN -actual_return ELSE -abs(actual_return) END) AS edge
         FROM l LEFT JOIN s USING (bucket) GROUP BY 1""".replace("count(s.t) / sum(count(s.t)) OVER ()::DOUBLE AS fraction", "round(count(s.t) / sum(count(s.t)) OVER ()::DOUBLE, 8) AS fraction"))(
         lambda s, column=_column, labels=_labels: A.bucket_report(s, column(), labels))

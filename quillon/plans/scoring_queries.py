@@ -49,14 +49,60 @@ _LABELS = {
 }
 
 
-def _bucket_sql(dims: list[str]) -> str:
-    return "fd AS (" + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {_LABELS[d]} AS bucket, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM {{v_steps}}) AS fraction, avg({_HIT}) AS accuracy, {_BRIER} AS brier, {_COV} AS coverage, avg({_EDGE}) AS mean_edge FROM {{v_steps}} GROUP BY ALL" for d in dims) + ")"
+_CLASSES = ("BUY", "actual_return > 0.03"), ("HOLD", "abs(actual_return) <= 0.03"), ("SELL", "actual_return < -0.03")
+_BALANCED = f"coalesce(list_avg([x FOR x IN [{', '.join(f'avg((recommendation = {chr(39)}{k}{chr(39)})::INT::DOUBLE) FILTER ({x})' for k, x in _CLASSES)}] IF x IS NOT NULL]), 0)"
 
 
-_SHOW = "SELECT dimension, bucket, n, round(fraction, 8) AS fraction, round(accuracy, 8) AS accuracy, round(brier, 8) AS brier, round(coverage, 8) AS coverage, round(mean_edge, 8) AS mean_edge FROM fd"
+def _bucket_sql(dims: list[str], labels: dict[str, str] | None = None) -> str:
+    labels = labels or _LABELS
+    return "fd AS (" + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {labels[d]} AS bucket, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM {{v_steps}}) AS fraction, avg({_HIT}) AS accuracy, {_BALANCED} AS balanced_accuracy, {_BRIER} AS brier, {_COV} AS coverage, avg({_EDGE}) AS mean_edge FROM {{v_steps}} GROUP BY ALL" for d in dims) + ")"
+
+
+_SHOW = "SELECT dimension, bucket, n, round(fraction, 8) AS fraction, round(accuracy, 8) AS accuracy, round(balanced_accuracy, 8) AS balanced_accuracy, round(brier, 8) AS brier, round(coverage, 8) AS coverage, round(mean_edge, 8) AS mean_edge FROM fd"
 for _name, _dim in (("agg_19_by_confidence", "confidence"), ("agg_21_by_move_magnitude", "move_magnitude"), ("agg_22_by_move_direction", "move_direction"), ("agg_23_by_recommendation", "recommendation"), ("agg_24_by_regime", "regime"), ("agg_25_by_trend_vs_chop", "trend_vs_chop"), ("agg_29_by_p_up_band", "p_up_band")):
     query(_name, "v_steps", sql=f"WITH {_bucket_sql([_dim])} {_SHOW}")(lambda s, d=_dim: A.failure_decomposition(s, {d: A.buckets()[d]}))
-query("agg_31_failure_decomposition", "v_steps", sql=f"WITH {_bucket_sql(list(_LABELS))} {_SHOW}")(A.failure_decomposition)
+query("agg_31_failure_decomposition", "v_steps", sql=f"WITH {_bucket_sql(list(_LABELS))} {_SHOW}")(lambda s: A.failure_decomposition(s, A.buckets()))
+
+
+def _slices_sql() -> dict[str, tuple[str, list[str]]]:
+    """Label and shown labels of all fifteen slices; `cuts` holds the bounds of volatility."""
+    known = lambda x, labels: f"CASE WHEN {x} IN ({', '.join(repr(y) for y in labels)}) THEN {x} ELSE 'unknown' END"
+    flag = lambda x: f"CASE WHEN {x} THEN 'true' WHEN NOT {x} THEN 'false' ELSE 'unknown' END"
+    m, far, flags = "abs(actual_return)", "coalesce(original_divergence, divergence)", ["true", "false", "unknown"]
+    return {
+        "regime": ("coalesce(regime, 'unknown')", []),
+        "volatility": (f"CASE WHEN {m} <= (SELECT low FROM cuts) THEN 'low' WHEN {m} <= (SELECT high FROM cuts) THEN 'medium' ELSE 'high' END", ["low", "medium", "high"]),
+        "moveMagnitude": (f"CASE WHEN {m} < 0.02 THEN '<2%' WHEN {m} < 0.05 THEN '2–5%' WHEN {m} < 0.1 THEN '5–10%' ELSE '≥10%' END", ["<2%", "2–5%", "5–10%", "≥10%"]),
+        "moveDirection": (_LABELS["move_direction"], ["up", "down", "flat"]),
+        "confidence": ("CASE WHEN confidence < 0.2 THEN '[0.00, 0.20)' WHEN confidence < 0.4 THEN '[0.20, 0.40)' WHEN confidence < 0.6 THEN '[0.40, 0.60)' WHEN confidence < 0.8 THEN '[0.60, 0.80)' ELSE '[0.80, 1.00]' END", ["[0.00, 0.20)", "[0.20, 0.40)", "[0.40, 0.60)", "[0.60, 0.80)", "[0.80, 1.00]"]),
+        "anchorQuality": (known("anchor_quality", ["good", "sparse", "none"]), ["good", "sparse", "none", "unknown"]),
+        "recommendation": ("recommendation", ["BUY", "HOLD", "SELL"]),
+        "trendVsChop": ("CASE WHEN regime IS NULL THEN 'unknown' WHEN regime = 'sideways' THEN 'chop' ELSE 'trending' END", ["trending", "chop", "unknown"]),
+        "validationMetric": (known("validation_metric", ["daily_return", "horizon_return"]), ["daily_return", "horizon_return", "unknown"]),
+        "structuralBreak": (flag("coalesce(original_break, structural_break)"), flags),
+        "divergence": (f"CASE WHEN {far} < 0.05 THEN '<0.05' WHEN {far} < 0.1 THEN '0.05–0.10' WHEN {far} < 0.2 THEN '0.10–0.20' WHEN {far} IS NULL THEN 'unknown' ELSE '≥0.20' END", ["<0.05", "0.05–0.10", "0.10–0.20", "≥0.20", "unknown"]),
+        "hmmConverged": (flag("hmm_converged"), flags),
+        "ensembleConsensus": ("CASE WHEN consensus < 0.4 THEN 'low' WHEN consensus < 0.7 THEN 'medium' WHEN consensus IS NULL THEN 'unknown' ELSE 'high' END", ["low", "medium", "high", "unknown"]),
+        "pUpBand": ("CASE WHEN predicted_prob < 0.45 THEN '<0.45' WHEN predicted_prob < 0.5 THEN '0.45–0.50' WHEN predicted_prob < 0.55 THEN '0.50–0.55' WHEN predicted_prob < 1 THEN '>0.55' ELSE 'unknown' END", ["<0.45", "0.45–0.50", "0.50–0.55", ">0.55"]),
+        "entropyCiScale": ("CASE WHEN coalesce(entropy_scale, 1) < 0.999 THEN 'tightened' WHEN coalesce(entropy_scale, 1) > 1.001 THEN 'widened' ELSE 'neutral' END", ["tightened", "neutral", "widened"]),
+    }
+
+
+_SLICES = _slices_sql()
+_SLICE_LABELS = {k: x for k, (x, _) in _SLICES.items()}
+
+
+def _all_slices_sql() -> str:
+    shown = ", ".join(f"('{k}', '{x}')" for k, (_, names) in _SLICES.items() for x in names)
+    values = ", ".join(f"round(coalesce({x}, 0), 8)::DOUBLE AS {x}" for x in ("fraction", "accuracy", "balanced_accuracy", "brier", "coverage", "mean_edge"))
+    return f"""WITH o AS (SELECT abs(actual_return) AS m, row_number() OVER (ORDER BY abs(actual_return)) - 1 AS i, count(*) OVER () AS n FROM {{v_steps}}), cuts AS (SELECT max(m) FILTER (i = (n - 1) // 3) AS low, max(m) FILTER (i = 2 * (n - 1) // 3) AS high FROM o),
+        {_bucket_sql(list(_SLICES), _SLICE_LABELS)}, l(dimension, bucket) AS (VALUES {shown})
+        SELECT dimension, bucket, coalesce(n, 0) AS n, {values} FROM fd FULL JOIN l USING (dimension, bucket)"""
+
+
+query("agg_31_all_slices", "v_steps", sql=_all_slices_sql())(A.failure_decomposition)
+for _name, _dim in (("agg_26_original_break", "structuralBreak"), ("agg_26_by_hmm_converged", "hmmConverged")):
+    query(_name, "v_steps", sql=f"WITH {_bucket_sql([_dim], _SLICE_LABELS)} {_SHOW}")(lambda s, d=_dim: A.failure_decomposition(s, {d: A.slices((0.0, 0.0))[d][0]}))
 query("agg_32_selective_accuracy", "v_steps", sql=f"SELECT ticker, round(avg({_HIT}) FILTER (confidence >= 0.3), 8) AS accuracy, round(avg((confidence >= 0.3)::INT::DOUBLE), 8) AS coverage, count(*) FILTER (confidence >= 0.3) AS selected, count(*) AS total FROM {{v_steps}} GROUP BY 1")(lambda s: A.selective(s, 0.3, A.hit(), "ticker"))
 query("agg_33_risk_coverage", "v_steps", sql=f"SELECT ticker, k.threshold::DOUBLE AS threshold, round(coalesce(avg({_HIT}) FILTER (confidence >= k.threshold::DOUBLE), 0), 8) AS accuracy, round(avg((confidence >= k.threshold::DOUBLE)::INT::DOUBLE), 8) AS coverage, count(*) FILTER (confidence >= k.threshold::DOUBLE) AS selected, count(*) AS total FROM {{v_steps}} CROSS JOIN (SELECT unnest([0.0, 0.2, 0.3, 0.4, 0.5]) AS threshold) k GROUP BY ALL")(A.risk_coverage)
 query("agg_34_return_correlation", "v_steps", sql="SELECT ticker, horizon, round(corr(predicted_return, actual_return), 8) AS return_corr FROM {v_steps} GROUP BY ALL")(lambda s: A.report(s, "ticker", "horizon", metrics={"return_corr": A.report_metrics()["return_corr"]}))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions import table_functions as L
 from quillon.operators import postings as P
+from quillon.operators import ranks as K
+from quillon.operators import scoring as A
 from quillon.operators import segments as G
 from quillon.operators import series as S
 from quillon.operators import text as T
@@ -164,7 +166,7 @@ def test_exact_ranks(spark, step):
     values = [rng.choice([1e-9, 1e9, -5.0, 0.0]) * rng.random() for _ in range(3000)] + [7.0] * 5000 + [-0.0, 1e300, -1e300]
     df = spark.createDataFrame([(x,) for x in values], "v double")
     order, places = sorted(values), [0, 1, 100, 1499, 3000, 5000, 8001, 8002]
-    assert G.exact_ranks(df, "v", places, step) == [order[i] for i in places]
+    assert K.exact_ranks(df, "v", places, step) == [order[i] for i in places]
 
 
 # histories
