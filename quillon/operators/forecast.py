@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions.mathcols import clamp, normal_cdf, student_cdf
 from quillon.operators import joins as J
 from quillon.operators import series as S
+from quillon.operators.scratch import written
 
 c = F.col
 
@@ -134,21 +135,33 @@ def walk_forward_replay(prices: DataFrame, snapshots: DataFrame, weight: float =
 def cluster_dates(days: DataFrame, gap: int = 15, max_span: int = 60) -> DataFrame:
     """Clusters of dates by series: a gap above `gap` days, or a span above `max_span`, opens a new one.
 
-    The gap rule is a window; the span rule is an ordered fold inside each gap cluster, whose length is bounded by its days.
+    Every date points to the first date that a cluster which starts with it cannot hold: one after a gap, or beyond the
+    span. Clusters start where the pointers lead from a series' first date, found by doubling: each round joins the
+    starts known so far with pointers of 2^k steps, and the pointers with themselves, so a chain of n clusters takes
+    log2 n rounds of equi-joins, and no cluster's dates are gathered. A date belongs to the last start before it. Null
+    series are one series; null dates are left out.
     """
-    time = Window.partitionBy("series").orderBy("d")
-    fresh = F.coalesce((F.datediff("d", F.lag("d").over(time)) > gap).cast("int"), F.lit(0))
-    rows = days.select("series", "d").distinct().withColumn("fresh", fresh).withColumn("g", F.sum("fresh").over(time))
-    grouped = rows.groupBy("series", "g").agg(F.array_sort(F.collect_list("d")).alias("ds"))
-    zero = F.array().cast("array<struct<a:date,b:date,n:int>>")
-
-    def step(out: Column, d: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        joins = (F.size(out) > 0) & (F.datediff(d, last.a) <= max_span)
-        grown = F.array_append(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.struct(last.a.alias("a"), d.alias("b"), (last.n + 1).alias("n")))
-        return F.when(joins, grown).otherwise(F.array_append(out, F.struct(d.alias("a"), d.alias("b"), F.lit(1).alias("n"))))
-
-    return grouped.select("series", F.explode(F.aggregate("ds", zero, step)).alias("x")).select("series", c("x.a").alias("start"), c("x.b").alias("end"), c("x.n").alias("days"))
+    time = Window.partitionBy("series").orderBy("day")
+    rows = days.where("d is not null").select("series", F.unix_date("d").alias("day")).distinct()
+    back = Window.partitionBy("series").orderBy((-c("day")).alias("back"))  # from the last date, so that a frame only grows
+    ahead = F.min("day").over(back.rangeBetween(Window.unboundedPreceding, -max_span - 1))
+    jump = F.min(F.when(c("fresh"), c("day"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"fresh": F.coalesce(c("day") - F.lag("day").over(time) > gap, F.lit(True)), "far": ahead})
+    to = written(rows.withColumn("to", F.least(jump, "far")).select("series", "day", "to"), "next-starts")
+    starts = to.groupBy("series").agg(F.min("day").alias("day"))
+    links = to.where("to is not null")
+    while True:
+        step = links.select(c("series").alias("_s"), c("day").alias("_d"), "to")
+        same = c("series").eqNullSafe(c("_s"))
+        more = starts.join(step.hint("merge"), same & (c("day") == c("_d"))).select("series", c("to").alias("day"))
+        starts = written(starts.union(more).distinct(), "starts")
+        further = links.select("series", "day", c("to").alias("at")).join(step.hint("merge"), same & (c("at") == c("_d"))).select("series", "day", "to")
+        links = written(further, "next-starts")
+        if links.isEmpty():
+            break
+    both = to.select("series", "day", F.lit(None).cast("int").alias("start")).union(starts.select("series", "day", c("day").alias("start")))
+    met = both.groupBy("series", "day").agg(F.max("start").alias("start")).withColumn("start", F.last("start", ignorenulls=True).over(time))
+    return met.groupBy("series", "start").agg(F.max("day").alias("end"), F.count(F.lit(1)).cast("int").alias("days")).select("series", F.date_from_unix_date("start").alias("start"), F.date_from_unix_date("end").alias("end"), "days")
 
 
 def window_offsets(steps: DataFrame, breaks: DataFrame, before: int = 10, after: int = 5) -> DataFrame:

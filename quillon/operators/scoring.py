@@ -279,28 +279,6 @@ def baseline_guard(steps: DataFrame, slack: float = 0.02) -> DataFrame:
     return own.join(best, ["ticker", "horizon"]).withColumn("passes", c("accuracy") - c("baseline_accuracy") >= -slack)
 
 
-def bootstrap(steps: DataFrame, metrics: dict[str, Callable[[Column], Column]], replicates: int = 200, seed: int = 7, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
-    """Interval of each metric by the Poisson bootstrap: row i weighs Poisson(1) in replicate b, drawn from a hash.
-
-    metrics map names to aggregates of a weight column. Rows meet their replicates before the shuffle and leave only
-    partial sums per (key, replicate). Reruns agree; equality with other generators is statistical.
-    """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "replicate", "ticker", "horizon", "t"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    bounds, term, total = [], 0.36787944117144233, 0.0
-    for k in range(1, 9):
-        total += term
-        term /= k
-        bounds.append(total)
-    weight = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= u)).cast("double")
-    rows = steps.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
-    each = rows.groupBy(*keys, "replicate").agg(*[m(c("w")).alias(k) for k, m in metrics.items()])
-    long = each.select(*keys, "replicate", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), c(k).alias("value")) for k in metrics])).alias("m")).select(*keys, "replicate", "m.*")
-    w = Window.partitionBy(*keys, "metric")
-    ranked = long.withColumns({"i": F.row_number().over(w.orderBy("value", "replicate")) - 1, "n": F.count(F.lit(1)).over(w)})
-    at = lambda q, name: F.max(F.when(c("i") == F.floor(q * c("n")), c("value"))).alias(name)
-    return ranked.groupBy(*keys, "metric").agg(at(0.025, "low"), at(0.5, "mid"), at(0.975, "high"))
-
-
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     p, zz = k / n, z * z
     mid, half = (p + zz / (2 * n)) / (1 + zz / n), z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)

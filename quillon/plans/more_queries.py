@@ -59,8 +59,6 @@ _round_trip("src_20_eval_questions", "conversations",
     "SELECT conv_id || '-' || turn AS k, replace(text, '\\', '/') AS q FROM conversations")
 query("flt_12_drop_fields_deep", "orders", sql="SELECT o_orderkey, o_custkey AS k FROM orders")(lambda o: J.drop_fields_deep(o.select("o_orderkey", F.struct(c("o_custkey").alias("k"), c("o_orderstatus").alias("url")).alias("s")), {"url"}).select("o_orderkey", "s.k"))
 query("agg_57_duplicate_terms", "documents", sql=r"WITH w AS (SELECT DISTINCT source, unnest(regexp_extract_all(text, '\b[A-Z]{4,7}\b')) AS w FROM documents) SELECT w AS term, count(*) AS sources FROM w GROUP BY 1 HAVING count(*) >= 2")(lambda d: d.select("source", F.explode(F.regexp_extract_all("text", F.lit(r"(?-U)(?<![A-Za-z0-9_])[A-Z]{4,7}(?![A-Za-z0-9_])"), F.lit(0))).alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("sources")).where("sources >= 2"))
-query("udf_01_user_metric", "v_steps")(lambda s: A.bootstrap(s, {"edge": lambda w: F.sum(w * A.edge()) / F.sum(w)}, replicates=50))
-query("udf_02_user_policy", "v_steps", sql="SELECT ticker, round(avg((confidence * 0.9::DOUBLE >= 0.3)::INT::DOUBLE), 8) AS coverage FROM {v_steps} GROUP BY 1")(lambda s: s.withColumn("k", (lambda x: x * 0.9)(c("confidence"))).groupBy("ticker").agg(F.avg((c("k") >= 0.3).cast("double")).alias("coverage")))
 query("udf_04_user_projection", "v_snapshots", sql="WITH m AS (SELECT market_id, abs(sqrt(probability) - lag(sqrt(probability)) OVER (PARTITION BY market_id ORDER BY captured_at, event_id)) AS move, epoch_us(captured_at) - max(epoch_us(captured_at)) OVER (PARTITION BY market_id) AS x FROM {v_snapshots}) SELECT market_id, round(coalesce(max(move), 0), 8) AS jump FROM m WHERE x >= -24 * 3600000000 GROUP BY 1")(lambda s: M.max_jump(s, 24, F.sqrt))
 
 

@@ -111,8 +111,6 @@ query("agg_36_gof_pass_rate", "v_steps", sql="SELECT ticker, round(avg(CASE WHEN
 _WIDE = ("steps", "brier", "accuracy", "mean_edge", "coverage", "sharpness", "return_corr", "p_up_accuracy", "mae")
 query("agg_37_backtest_report", "v_steps", sql=f"""SELECT ticker, horizon, count(*) AS steps, round({_BRIER}, 8) AS brier, round(avg({_HIT}), 8) AS accuracy, round(avg({_EDGE}), 8) AS mean_edge, round({_COV}, 8) AS coverage, round(avg((ci_upper - ci_lower) / realized_price), 8) AS sharpness,
     round(corr(predicted_return, actual_return), 8) AS return_corr, round(avg(((predicted_prob >= 0.5)::INT = y)::INT::DOUBLE), 8) AS p_up_accuracy, round(avg(abs(predicted_return - actual_return)), 8) AS mae FROM {{v_steps}} GROUP BY ALL""")(lambda s: A.report(s, "ticker", "horizon", metrics={k: A.report_metrics()[k] for k in _WIDE}))
-_weighted = {"brier": lambda w: F.sum(w * F.pow(c("predicted_prob") - c("y"), 2)) / F.sum(w), "accuracy": lambda w: F.sum(w * A.hit()) / F.sum(w), "coverage": lambda w: F.sum(w * A.covered()) / F.sum(w)}
-query("agg_38_bootstrap", "v_steps")(lambda s: A.bootstrap(s, _weighted))
 _BUY, _SELL = (0.0, 0.01, 0.02, 0.025, 0.03, 0.04, 0.05), (-0.01, -0.02, -0.025, -0.03, -0.04)
 query("agg_39_threshold_grid", "v_steps", sql=f"""WITH g AS (SELECT b, s, row_number() OVER () AS place FROM (SELECT unnest({list(_BUY)}::DOUBLE[]) AS b) CROSS JOIN (SELECT unnest({list(_SELL)}::DOUBLE[]) AS s)),
     a AS (SELECT b, s, avg((CASE WHEN predicted_return > b THEN actual_return > 0 WHEN predicted_return < s THEN actual_return < 0 ELSE abs(actual_return) < 0.03 END)::INT::DOUBLE) AS accuracy FROM {{v_steps}} CROSS JOIN g GROUP BY ALL)

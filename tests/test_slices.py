@@ -58,3 +58,48 @@ def test_all_slices(spark):
     # labels without steps are shown, odd labels are unknown
     assert got["anchorQuality", "sparse"]["n"] == 0 and got["anchorQuality", "unknown"]["n"] == sum(r[13] != "good" for r in rows)
     assert len(A.failure_decomposition(df.where("false")).collect()) == sum(len(x) for _, x in A.slices((0, 0)).values())
+
+
+def test_date_clusters_of_a_long_chain(spark):
+    """100,000 dates of one series, few of another: as an ordered fold makes them, and the plan gathers no dates."""
+    import datetime as dt
+
+    from quillon.operators import forecast as W
+
+    rng = random.Random(4)
+    day, rows = dt.date(1, 1, 1), []
+    for _ in range(100_000):
+        day += dt.timedelta(days=rng.choice([1, 1, 2, 7, 16, 30]))
+        if day > dt.date(9990, 1, 1):
+            break
+        rows.append(("long", day))
+    rows += [("few", dt.date(2020, 1, 1)), ("few", dt.date(2020, 3, 1)), ("few", dt.date(2020, 3, 1)), (None, dt.date(2020, 1, 5)), (None, None)]
+    want = []
+    for name in ("long", "few", None):
+        start = last = None
+        for d in sorted({d for s, d in rows if s == name and d is not None}):
+            if start is None or (d - last).days > 15 or (d - start).days > 60:
+                want.append([name, d, d, 0])
+                start = d
+            last = d
+            want[-1][2:] = [d, want[-1][3] + 1]
+    out = W.cluster_dates(spark.createDataFrame(rows, "series string, d date").repartition(6))
+    assert sorted((list(r) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bootstrap_weights_and_intervals(spark):
+    """The vectors give what copying every row for every replicate would give; nothing is exploded."""
+    import numpy as np
+    from quillon.operators import ablation as B
+
+    rows = [("a" if i % 3 else None, 1, i, (i % 7) / 7 if i % 5 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "ticker string, horizon int, t int, v double").repartition(3)
+    got = {r["ticker"]: (r["low"], r["mid"], r["high"]) for r in B.bootstrap(df, {"v": F.col("v")}, replicates=41, seed=3).collect()}
+    for key in ("a", None):
+        own = [(B.weights(f"3|{'null' if k is None else k}|{h}|{t}", 41), v) for k, h, t, v in rows if k == key and v is not None]
+        w, v = np.stack([x for x, _ in own]), np.array([x for _, x in own])
+        values = sorted(w.T @ v / w.sum(axis=0))
+        assert got[key] == pytest.approx((values[1], values[20], values[39]))
+    drawn = np.concatenate([B.weights(f"x{i}", 200) for i in range(500)])
+    assert drawn.mean() == pytest.approx(1, abs=0.02) and drawn.var() == pytest.approx(1, abs=0.03)
