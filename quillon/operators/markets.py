@@ -52,6 +52,22 @@ def flag_factor(flags: dict[str, Column]) -> Column:
     return reduce(lambda a, k: a * F.when(on[k], FLAGS[k]).otherwise(1.0), FLAGS, F.lit(1.0))
 
 
+#: The most that odds near 0 or 1 take off a market's quality, where they begin, and the loss from which a warning is given; fixed values.
+LONGSHOT_LOSS, LONGSHOT, LONGSHOT_WARNED = 0.45, 0.07, 0.08
+
+
+def microstructure() -> Column:
+    """How well a market of extreme odds is made, 0..1: by spread (its own score is the ceiling), age and liquidity; without spread by the last two."""
+    age = F.least(F.lit(1.0), F.coalesce("age_days", F.lit(21.0)) / 21)
+    raw = F.least(F.lit(1.0), F.log10(c("volume") + 1) / 6)
+    spread = F.greatest(F.lit(0.0), 1 - c("spread") / spread_benchmark(c("tier")))
+    return F.when(c("spread").isNull(), 0.60 * age + 0.40 * raw).otherwise(F.least(0.60 * spread + 0.25 * age + 0.15 * raw, spread))
+
+
+def longshot() -> Column:
+    return (c("probability") < LONGSHOT) | (c("probability") > 1 - LONGSHOT)
+
+
 def market_quality(horizon: float | None = None, **flags: Column) -> Column:
     """Weight in 0..1 of a market from age, liquidity, tier, expiry, horizon gap, spread, longshot odds and flags.
 
@@ -77,9 +93,33 @@ def conditional_return() -> Column:
     return p * c("delta_yes") + (1 - p) * c("delta_no")
 
 
-def market_signal(markets: DataFrame, *keys: str) -> DataFrame:
-    """Quality-weighted conditional return of every asset; null without weight."""
-    rows = markets.withColumns({"q": market_quality(), "r": conditional_return()})
+#: Warnings by flag, with what the flag takes off; fixed values.
+WARNED = {"spike": "has a price spike - quality discounted 50%", "transitory": "shows a transitory historical move - quality discounted 30%", "ambiguous": "has ambiguous resolution semantics - quality discounted 40%"}
+
+
+def market_warnings(markets: DataFrame, flags: dict[str, Column] | None = None, *keys: str) -> DataFrame:
+    """(keys, market_id, warning, text): a row for everything about a market (market_id, question) that lowers trust in its signal.
+
+    Warnings: yes_bias (the correction moves the probability by more than 0.1), spike, transitory, ambiguous (flags that
+    are set), longshot and favourite (extreme odds whose poor microstructure takes more than 8 % off). Rows, not lists,
+    so an asset may have any number of markets.
+    """
+    on = flags or {}
+    p, loss = c("probability"), LONGSHOT_LOSS * (1 - microstructure())
+    thin = longshot() & (loss > LONGSHOT_WARNED)
+    shown = F.format_string("%.3f", p)
+    found = {"yes_bias": (F.abs(p - yes_bias(p)) > 0.1, F.concat(F.lit("has high YES bias (raw p="), shown, F.lit(")")))}
+    found |= {k: (F.coalesce(on[k], F.lit(False)), F.lit(text)) for k, text in WARNED.items() if k in on}
+    poor = lambda name: F.concat(F.lit(f"is a {name} (p="), shown, F.lit(") with poor microstructure - quality further discounted "), F.floor(loss * 100 + 0.5).cast("string"), F.lit("%"))
+    found |= {"longshot": (thin & (p < LONGSHOT), poor("longshot")), "favourite": (thin & (p > 1 - LONGSHOT), poor("near-certain favourite"))}
+    each = F.array_compact(F.array(*[F.when(x, F.struct(F.lit(k).alias("warning"), text.alias("text"))) for k, (x, text) in found.items()]))
+    rows = markets.select(*keys, "market_id", "question", F.explode(each).alias("w"))
+    return rows.select(*keys, "market_id", "w.warning", F.concat(F.lit('Market "'), "question", F.lit('" '), "w.text").alias("text"))
+
+
+def market_signal(markets: DataFrame, *keys: str, flags: dict[str, Column] | None = None) -> DataFrame:
+    """Quality-weighted conditional return of every asset; null without weight. Flags lower (or raise) each market's quality."""
+    rows = markets.withColumns({"q": market_quality(**(flags or {})), "r": conditional_return()})
     w = F.sum("q")
     return rows.groupBy(*keys).agg(
         F.when(w > 0, F.sum(c("q") * c("r")) / w).alias("signal"),
@@ -93,10 +133,39 @@ def market_signal(markets: DataFrame, *keys: str) -> DataFrame:
 BLEND = {"market": 0.40, "sentiment": 0.20, "fundamental": 0.25, "options": 0.15, "markov": 0.20}
 
 
-def blend_signals(signals: DataFrame, *keys: str, weights: dict[str, float] | None = None) -> DataFrame:
-    """Mean of the present signals by base weight (the market's scaled by quality), normalised; equal weights if all are zero."""
+def signal_scales(horizon: float) -> dict[str, float]:
+    """The size at which each signal counts as strong; fixed values."""
+    return {"market": 0.05, "sentiment": 0.04, "fundamental": max(0.01, 0.20 * horizon / 365), "options": 0.03, "markov": 0.05}
+
+
+def adaptive_multipliers(own: dict[str, Column], horizon: float) -> dict[str, Column]:
+    """By signal: 1 + .35 (strength - .5) + .25 (agreement - .5), between .75 and 1.25.
+
+    Strength is its size against its scale; agreement is 1 where all other signals, by weight, point its way, 0 where
+    all point the other way, a half where it, or all of them, point nowhere. own: weights, 0 where a signal is missing.
+    """
+    sign = {s: F.coalesce(F.signum(s), F.lit(0.0)) for s in own}
+    scales = signal_scales(horizon)
+    out = {}
+    for s in own:
+        mass = reduce(lambda a, b: a + b, [w for k, w in own.items() if k != s], F.lit(0.0))
+        way = reduce(lambda a, b: a + b, [w * sign[k] for k, w in own.items() if k != s], F.lit(0.0))
+        agreement = F.when((sign[s] == 0) | (mass == 0), 0.5).otherwise(clamp(0.5 + 0.5 * sign[s] * clamp(way / mass, -1, 1), 0, 1))
+        strength = clamp(F.abs(F.coalesce(s, F.lit(0.0))) / scales[s], 0, 1)
+        out[s] = clamp(1 + 0.35 * (strength - 0.5) + 0.25 * (agreement - 0.5), 0.75, 1.25)
+    return out
+
+
+def blend_signals(signals: DataFrame, *keys: str, weights: dict[str, float] | None = None, adaptive: float | None = None) -> DataFrame:
+    """Mean of the present signals by base weight (the market's scaled by quality), normalised; equal weights if all are zero.
+
+    With `adaptive` (the horizon in days) weights rise for strong signals that agree with the others.
+    """
     weights = weights or BLEND
     own = {s: F.when(c(s).isNotNull(), (F.coalesce("quality", F.lit(0.0)) if s == "market" else F.lit(1.0)) * w).otherwise(0.0) for s, w in weights.items()}
+    if adaptive is not None:
+        more = adaptive_multipliers(own, adaptive)
+        own = {s: w * more[s] for s, w in own.items()}
     total = reduce(lambda a, b: a + b, own.values())
     count = reduce(lambda a, b: a + b, [c(s).isNotNull().cast("double") for s in weights])
     part = lambda s: F.coalesce(s, F.lit(0.0))

@@ -66,3 +66,38 @@ query("mkt_41_combine_log_odds", "v_markets", sql="""WITH l AS (SELECT asset, vo
 query("mkt_15_extract_price_levels", "documents")(lambda d: d.select("doc_id", F.size(M.extract_price_levels(c("text"))).alias("levels")))
 query("mkt_16_question_semantics", "documents", sql="""SELECT doc_id, CASE WHEN trim(l) = '' THEN 'ambiguous' WHEN regexp_matches(l, 'between .* and|range') THEN 'range' WHEN regexp_matches(l, 'stay|remain|all (month|year)') THEN 'path' WHEN regexp_matches(l, 'reach|touch|hit|at any time') THEN 'barrier' WHEN regexp_matches(l, 'above|below|close|end|over|under') THEN 'terminal' ELSE 'unknown' END AS semantics FROM (SELECT doc_id, lower(text) AS l FROM documents)""")(lambda d: d.select("doc_id", M.question_semantics(c("text")).alias("semantics")))
 query("mkt_42_regime_platt", "v_steps")(lambda s: M.regime_platt(s.select("regime", c("predicted_prob").alias("p"), "y")))
+
+
+# flags reach the signal, and warnings say which markets they lower
+_FLAGS = {"spike": "market_id % 5 = 0", "transitory": "market_id % 3 = 0", "stable": "market_id % 2 = 0", "fast": "market_id % 7 = 0", "jump": "market_id % 11 = 0", "ambiguous": "market_id % 13 = 0"}
+_FACTOR = "(CASE WHEN market_id % 5 = 0 THEN 0.5 WHEN market_id % 3 = 0 THEN 0.7 WHEN market_id % 2 = 0 THEN 1.1 ELSE 1 END * CASE WHEN market_id % 7 = 0 THEN 0.8 ELSE 1 END * CASE WHEN market_id % 11 = 0 THEN 0.7 ELSE 1 END * CASE WHEN market_id % 13 = 0 THEN 0.6 ELSE 1 END)::DOUBLE"
+_FLAGGED = _Q.replace("* sp * ls))", f"* sp * ls * {_FACTOR}))")
+query("mkt_07_flagged_signal", "v_markets", sql=f"WITH {_FLAGGED}, {_SIG} SELECT asset, round(signal, 8) AS signal, round(quality, 8) AS quality, markets, round(variance, 8) AS variance FROM sg")(
+    lambda m: M.market_signal(m, "asset", flags={k: F.expr(v) for k, v in _FLAGS.items()}))
+_EXTREME = "CASE market_id % 4 WHEN 0 THEN probability * 0.05D WHEN 1 THEN 1 - probability * 0.05D ELSE probability END"
+_LOSS = f"0.45::DOUBLE * (1 - least(0.6::DOUBLE * sp + 0.25::DOUBLE * least(1, age_days / 21) + 0.15::DOUBLE * least(1, log10(volume + 1) / 6), sp))"
+query("mkt_07_warnings", "v_markets", sql=f"""WITH e AS (SELECT * REPLACE ({_EXTREME.replace("0.05D", "0.05::DOUBLE")} AS probability) FROM {{v_markets}}), s AS (SELECT *, greatest(0, 1 - spread / {_BENCH})::DOUBLE AS sp FROM e), l AS (SELECT *, {_LOSS} AS loss, {_YES} AS yb FROM s),
+    w AS (SELECT *, 'spike' AS warning, 'has a price spike - quality discounted 50%' AS t FROM l WHERE market_id % 5 = 0 UNION ALL SELECT *, 'transitory', 'shows a transitory historical move - quality discounted 30%' FROM l WHERE market_id % 3 = 0
+        UNION ALL SELECT *, 'ambiguous', 'has ambiguous resolution semantics - quality discounted 40%' FROM l WHERE market_id % 13 = 0 UNION ALL SELECT *, 'yes_bias', 'has high YES bias (raw p=' || printf('%.3f', probability) || ')' FROM l WHERE abs(probability - yb) > 0.1::DOUBLE
+        UNION ALL SELECT *, CASE WHEN probability < 0.5 THEN 'longshot' ELSE 'favourite' END, CASE WHEN probability < 0.5 THEN 'is a longshot' ELSE 'is a near-certain favourite' END || ' (p=' || printf('%.3f', probability) || ') with poor microstructure - quality further discounted ' || floor(loss * 100 + 0.5)::BIGINT || '%'
+            FROM l WHERE (probability < 0.07::DOUBLE OR probability > 0.93::DOUBLE) AND loss > 0.08::DOUBLE)
+    SELECT asset, market_id, warning, 'Market "Q' || market_id || '" ' || t AS text FROM w""")(
+    lambda m: M.market_warnings(m.withColumns({"probability": F.expr(_EXTREME), "question": F.concat(F.lit("Q"), "market_id")}), {k: F.expr(v) for k, v in _FLAGS.items()}, "asset"))
+
+
+def _adaptive_sql() -> str:
+    """Multipliers of the five signals, one of which is always missing."""
+    base = {"market": "0.4::DOUBLE * quality", "sentiment": "0.2::DOUBLE", "fundamental": "0.25::DOUBLE", "markov": "0.2::DOUBLE"}
+    scale = {"market": 0.05, "sentiment": 0.04, "fundamental": 0.01, "markov": 0.05}
+    mult = []
+    for s in base:
+        mass, way = " + ".join(base[k] for k in base if k != s), " + ".join(f"{base[k]} * sign({k})" for k in base if k != s)
+        agree = f"CASE WHEN sign({s}) = 0 OR {mass} = 0 THEN 0.5 ELSE greatest(0, least(1, 0.5 + 0.5 * sign({s}) * greatest(-1, least(1, ({way}) / ({mass}))))) END"
+        mult.append(f"{base[s]} * greatest(0.75::DOUBLE, least(1.25::DOUBLE, 1 + 0.35::DOUBLE * (least(1, abs({s}) / {scale[s]}::DOUBLE) - 0.5) + 0.25::DOUBLE * ({agree} - 0.5))) AS w_{s}")
+    total = " + ".join(f"w_{s}" for s in base)
+    return f"""{_Q}, {_SIG}, ot AS (SELECT asset, avg(probability) - 0.5::DOUBLE AS sentiment, 0.01::DOUBLE AS fundamental, avg(age_days) / 1000 AS markov FROM {{v_markets}} GROUP BY 1), j AS (SELECT *, signal AS market FROM sg JOIN ot USING (asset)), am AS (SELECT *, {', '.join(mult)} FROM j)
+        SELECT asset, round(({' + '.join(f'w_{s} * {s}' for s in base)}) / ({total}), 8) AS forecast, round(w_market / ({total}), 8) AS market_weight FROM am"""
+
+
+query("mkt_08_adaptive_blend", "v_markets", sql=f"WITH {_adaptive_sql()}")(
+    lambda m: M.blend_signals(M.market_signal(m, "asset").withColumnRenamed("signal", "market").join(_other(m).hint("merge"), "asset"), "asset", adaptive=7).select("asset", "forecast", "market_weight"))

@@ -12,7 +12,15 @@ c = F.col
 
 query("txt_02_content_hash", "documents", sql="SELECT doc_id, sha256(text) AS hash FROM documents")(lambda d: d.select("doc_id", T.content_hash(c("text")).alias("hash")))
 query("txt_03_snippet", "documents", sql=r"SELECT doc_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 700) AS snippet, ceil(length(text) / 3.5)::BIGINT AS tokens FROM documents")(lambda d: d.select("doc_id", T.snippet(c("text")).alias("snippet"), T.estimate_tokens(c("text")).alias("tokens")))
-query("txt_04_extract_tickers", "documents")(lambda d: d.select("doc_id", F.array_join(T.extract_tickers(c("text")), ",").alias("tickers")))
+_STOP = ", ".join(f"'{x}'" for x in T.NOT_TICKERS)
+_TICKERS = r"list_sort(list_distinct([x FOR x IN regexp_extract_all(t, '\$([A-Z]{1,5}(?:\.[A-Z]{1,2})?)', 1) || [y FOR y IN regexp_extract_all(t, '[A-Z.]+') IF regexp_full_match(y, '[A-Z]{2,5}(\.[A-Z]{1,2})?')] IF x NOT IN (" + _STOP + ")]))"
+# texts of the table, with market talk behind every third
+_TALK = "CASE WHEN doc_id % 3 = 0 THEN text || ' $AAPL.B and $CEO beat MSFT, BUY GAAP FED; BRK.B. NOVO.CO, not U.S. nor TOOLONG or $TSLA5 ' || chr(CAST(65 + doc_id % 26 AS INT)) || 'XY' ELSE text END"
+query("txt_04_extract_tickers", "documents", sql=f"SELECT doc_id, array_to_string({_TICKERS}, ',') AS tickers FROM (SELECT doc_id, {_TALK} AS t FROM documents)")(lambda d: d.select("doc_id", F.array_join(T.extract_tickers(F.expr(_TALK)), ",").alias("tickers")))
+_FILE = "CASE event_id % 5 WHEN 0 THEN 'sessions/' || event_id || '.jsonl' WHEN 1 THEN '2024-01-' || lpad(CAST(event_id % 40 AS STRING), 2, '0') || '.md' WHEN 2 THEN 'MEMORY.md' WHEN 3 THEN 'old/2024-01-05.md' ELSE 'topic.md' END"
+query("txt_09_file_decay", "events", sql=f"""WITH f AS (SELECT event_id, value, ts, {_FILE.replace("AS STRING", "AS VARCHAR")} AS path FROM events), a AS (SELECT *, CASE WHEN path LIKE 'sessions/%' THEN ts WHEN regexp_full_match(path, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[.]md') THEN try_strptime(left(path, 10), '%Y-%m-%d') END AS made FROM f)
+    SELECT event_id, round(CASE WHEN made IS NULL THEN value ELSE value * exp(-ln(2::DOUBLE) * greatest(0, epoch_us(TIMESTAMP '2024-01-20') - epoch_us(made)) / 86400000000 / 30) END, 6) AS score FROM a""")(
+    lambda e: e.select("event_id", F.round(T.file_decay(c("value"), F.expr(_FILE), c("ts"), F.expr("timestamp '2024-01-20 00:00:00'")), 6).alias("score")))
 query("txt_09_temporal_decay", "events", sql="SELECT event_id, round(value * exp(-ln(2::DOUBLE) * date_diff('day', ts::DATE, DATE '2024-02-01') / 30), 6) AS score FROM events")(lambda e: e.select("event_id", F.round(T.temporal_decay(c("value"), F.datediff(F.lit("2024-02-01").cast("date"), F.to_date("ts")).cast("double")), 6).alias("score")))
 query("txt_12_recall", "events", sql="SELECT user_id, event_id FROM events WHERE lower(event_type) = 'click' AND ts >= TIMESTAMP '2024-01-10' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")(
     lambda e: e.where("lower(event_type) = 'click' and ts >= timestamp '2024-01-10'").withColumn("rn", F.row_number().over(T.Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).where("rn <= 5").select("user_id", "event_id"))
