@@ -15,6 +15,7 @@ c = F.col
 
 def yes_bias_u(p: Column) -> Column:
     """U-shaped bias: longshots lose 30 % easing to 5 % at .15, favourites above .5 lose .035, above .85 .025."""
+    # fixed values: the bounds and discounts of the bias
     rising = 0.70 + (p - 0.05) / 0.10 * 0.25
     shaped = F.when(p < 0.05, 0.70 * p).when(p <= 0.15, p * rising).when(p <= 0.50, p).when(p <= 0.85, p - 0.035).otherwise(p - 0.025)
     return F.when(p.isNull() | F.isnan(p) | (p <= 0), 0.001).when(p >= 1, 0.999).otherwise(clamp(shaped, 0.001, 0.999))
@@ -35,6 +36,7 @@ def relevance(q: Column, name: Column, days_off: Column) -> Column:
     """Points for a dollar price, a direction, a date word, the asset's name and a near resolution; less for paths and other subjects."""
     low = F.lower(q)
     has = lambda pattern: low.rlike(pattern)
+    # fixed values: the word patterns and their points
     points = [
         (q.rlike(r"\$[0-9,]+"), 3), (has(r"\b(above|below|less than|more than|greater than|under|over)\b"), 2), (has(r"\b(on|at)\b"), 1), (F.contains(low, F.lower(name)), 2),
         (has(r"\b(reach|hit|dip to|between|up or down|first)\b"), -3), (has(r"\b(election|sports|game|match|player|team|president|candidate)\b"), -5),
@@ -45,6 +47,7 @@ def relevance(q: Column, name: Column, days_off: Column) -> Column:
 
 def trust(kind: Column, has_volume: Column, young: Column, near: Column) -> Column:
     """Weight by asset kind (other, short_crypto, long_crypto), maturity and resolution; 0 without volume."""
+    # fixed values: weights by kind, maturity and nearness
     table = {("other", 0, 0): 1.0, ("other", 0, 1): 1.0, ("other", 1, 0): 0.75, ("other", 1, 1): 0.75, ("long_crypto", 0, 1): 0.9, ("long_crypto", 0, 0): 0.35, ("long_crypto", 1, 1): 0.45, ("long_crypto", 1, 0): 0.2, ("short_crypto", 0, 1): 0.9, ("short_crypto", 0, 0): 0.7, ("short_crypto", 1, 1): 0.7, ("short_crypto", 1, 0): 0.35}
     key = F.concat_ws("/", kind, young.cast("int").cast("string"), near.cast("int").cast("string"))
     found = F.element_at(F.create_map(*[F.lit(x) for k, w in table.items() for x in (f"{k[0]}/{k[1]}/{k[2]}", w)]), key)
@@ -76,7 +79,7 @@ def nudge_row(matrix: DataFrame, current: DataFrame, target: DataFrame, horizon:
     strength = min(0.5 * quality / 100, 0.5)
     now = S.n_step_distribution(matrix, current, horizon)
     long = lambda df, name: df.select("series", F.explode(F.array(*[F.struct(F.lit(s).alias("state_to"), c(s).alias(name)) for s in S.STATES])).alias("x")).select("series", "x.*")
-    rows = matrix.join(current.withColumnRenamed("state", "here"), "series", "left").join(long(now, "have"), ["series", "state_to"], "left").join(long(target, "want"), ["series", "state_to"], "left")
+    rows = matrix.join(current.withColumnRenamed("state", "here"), "series", "left").join(long(now, "have").hint("merge"), ["series", "state_to"], "left").join(long(target, "want").hint("merge"), ["series", "state_to"], "left")
     own = c("state_from") == c("here")
     moved = F.greatest(F.lit(0.0), c("p") + F.when(own, strength * (c("want") - c("have"))).otherwise(0.0))
     rows = rows.withColumn("m", F.coalesce(moved, c("p")))
@@ -86,7 +89,7 @@ def nudge_row(matrix: DataFrame, current: DataFrame, target: DataFrame, horizon:
 def freeze_selection(markets: DataFrame, selected: DataFrame) -> DataFrame:
     """Candidate markets whose id is in the bundle's selected ids, nested by bundle in id order."""
     ids = selected.select("bundle_id", F.explode("ids").alias("market_id")).distinct()
-    met = ids.join(markets, "market_id")
+    met = ids.join(markets.hint("merge"), "market_id")
     return met.groupBy("bundle_id").agg(F.array_sort(F.collect_list(F.struct("market_id", "probability"))).alias("markets"), F.count(F.lit(1)).alias("n"))
 
 
@@ -103,7 +106,7 @@ def mixture_crps(steps: DataFrame, ladder: DataFrame, *keys: str, default_sigma:
     between = c("a.cdf") + (c("b.cdf") - c("a.cdf")) * (c("price") - c("a.price")) / (c("b.price") - c("a.price"))
     # outside the ladder the end probabilities hold
     full = F.coalesce("cdf", F.when(c("a").isNull(), c("b.cdf")).when(c("b").isNull(), c("a.cdf")).otherwise(between))
-    rows = rows.select(*keys, "price", full.alias("f")).join(steps.select(*keys, "y"), list(keys))
+    rows = rows.select(*keys, "price", full.alias("f")).join(steps.select(*keys, "y").hint("merge"), list(keys))
     gap = F.pow(c("f") - (c("price") >= c("y")).cast("int"), 2)
     w = Window.partitionBy(*keys).orderBy("price")
     rows = rows.withColumns({"g": gap, "g1": F.lead(gap).over(w), "x1": F.lead("price").over(w)})

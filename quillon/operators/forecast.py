@@ -25,7 +25,7 @@ def start_state_mixture(states: DataFrame, last: int = 10, alpha: float = 0.5) -
 def horizon_drift_vol(weights: DataFrame, stats: DataFrame, h: int, momentum: float = 0.0) -> DataFrame:
     """mu_n = h (sum w mu + momentum); sigma_n = sqrt(h) sqrt(sum w s^2 + variance of the means)."""
     long = weights.select("series", F.explode(F.array(*[F.struct(F.lit(s).alias("state"), c(s).alias("w")) for s in S.STATES])).alias("x")).select("series", "x.*")
-    met = long.join(stats, ["series", "state"])
+    met = long.join(stats.hint("merge"), ["series", "state"])
     sums = met.groupBy("series").agg(F.sum(c("w") * c("mean")).alias("m"), F.sum(c("w") * c("mean") * c("mean")).alias("mm"), F.sum(c("w") * c("sd") * c("sd")).alias("ss"))
     return sums.select("series", (h * (c("m") + momentum)).alias("mu"), (h**0.5 * F.sqrt(c("ss") + F.greatest(c("mm") - c("m") * c("m"), F.lit(0.0)))).alias("sigma"))
 
@@ -38,7 +38,7 @@ def sentiment_adjust(matrix: DataFrame, sentiment: float, alpha: float = 0.07) -
 
 
 def blend_matrices(a: DataFrame, b: DataFrame, weight: Column) -> DataFrame:
-    met = a.join(b.withColumnRenamed("p", "q"), ["series", "state_from", "state_to"])
+    met = a.join(b.withColumnRenamed("p", "q").hint("merge"), ["series", "state_from", "state_to"])
     return met.select("series", "state_from", "state_to", (weight * c("p") + (1 - weight) * c("q")).alias("p"))
 
 
@@ -46,7 +46,7 @@ def garch_scales(returns: DataFrame, horizon: int = 10, low: float = 0.33, calm:
     """sigma_k over the sample deviation, between `low` and a ceiling that depends on the last 20 rows' deviation."""
     back = F.row_number().over(Window.partitionBy("series").orderBy(F.desc("d")))
     sd = returns.withColumn("back", back).groupBy("series").agg(F.stddev_samp("r").alias("sd"), F.stddev_samp(F.when(c("back") <= 20, c("r"))).alias("recent"))
-    met = S.garch(returns, horizon).join(sd, "series")
+    met = S.garch(returns, horizon).join(sd.hint("merge"), "series")
     ceiling = F.when(c("recent") > c("sd"), turbulent).otherwise(calm)
     return met.select("series", "k", F.greatest(F.lit(low), F.least(ceiling, c("sigma") / c("sd"))).alias("scale"))
 
@@ -91,7 +91,7 @@ def walk_forward(prices: DataFrame, horizon: int = 5, warmup: int = 120, stride:
     known = c("i") + horizon <= c("step")
     train = dealt.groupBy("series", "step").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.avg(F.when(known, (c("ahead") > 0).cast("double"))).alias("up"), F.count(F.lit(1)).alias("n"))
     at = rows.where("future is not null").select("series", "d", "close", "future", c("i").alias("step"))
-    met = train.join(at, ["series", "step"])
+    met = train.join(at.hint("merge"), ["series", "step"])
     half = 1.645 * c("s") * horizon**0.5
     predicted = F.exp(c("m") * horizon) - 1
     return met.select(
@@ -167,22 +167,22 @@ def cluster_dates(days: DataFrame, gap: int = 15, max_span: int = 60) -> DataFra
 def window_offsets(steps: DataFrame, breaks: DataFrame, before: int = 10, after: int = 5) -> DataFrame:
     """Rows around each break by trading-day offset: pre, at or post. Breaks are dealt to the rows they touch."""
     dealt = breaks.select("series", c("i").alias("break_i"), F.explode(F.sequence(c("i") - before, c("i") + 2 * after - 1)).alias("i"))
-    met = steps.join(dealt, ["series", "i"]).withColumn("offset", c("i") - c("break_i"))
+    met = steps.join(dealt.hint("merge"), ["series", "i"]).withColumn("offset", c("i") - c("break_i"))
     return met.withColumn("slice", F.when(c("offset") < 0, "pre").when(c("offset") < after, "at").otherwise("post"))
 
 
 def composite_index(z: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted sum of the components' z by date; the weight of a missing component goes to the others of its group, then to all."""
-    met = z.where("z is not null").join(F.broadcast(weights), "component")  # a fixed dimension
+    met = J.dimension_join(z.where("z is not null"), weights, "component", how="inner")
     group_all = weights.groupBy("grp").agg(F.sum("weight").alias("group_weight"))
-    own = met.join(F.broadcast(group_all), "grp")
+    own = J.dimension_join(met, group_all, "grp", how="inner")
     scaled = own.withColumn("w", c("weight") / F.sum("weight").over(Window.partitionBy("d", "grp")) * c("group_weight"))
     return scaled.groupBy("d").agg((F.sum(c("z") * c("w")) / F.sum("w")).alias("index"), F.count(F.lit(1)).alias("components"))
 
 
 def wacc(rows: DataFrame, sector_beta: DataFrame) -> DataFrame:
     """Cost of equity (CAPM) and blended cost of capital by row; a missing beta is the sector's, else 1."""
-    met = rows.join(F.broadcast(sector_beta), "sector", "left")  # a fixed dimension
+    met = J.dimension_join(rows, sector_beta, "sector")
     beta = F.coalesce("beta", "sector_beta", F.lit(1.0))
     ke, ev = c("rf") + beta * c("erp"), 1 / (1 + c("de"))
     return met.select("id", ke.alias("cost_of_equity"), (ev * ke + (1 - ev) * c("kd") * (1 - c("tax"))).alias("wacc"))
@@ -211,7 +211,7 @@ def soft_regime(mixture: DataFrame) -> DataFrame:
 
 def blend_mixtures(a: DataFrame, b: DataFrame, weight: float) -> DataFrame:
     w = min(1.0, max(0.0, weight))
-    met = a.join(b.select("series", *[c(s).alias(f"_{s}") for s in S.STATES]), "series")
+    met = a.join(b.select("series", *[c(s).alias(f"_{s}") for s in S.STATES]).hint("merge"), "series")
     mixed = {s: (1 - w) * c(s) + w * c(f"_{s}") for s in S.STATES}
     total = mixed["bull"] + mixed["bear"] + mixed["sideways"]
     return met.select("series", *[F.when(total > 0, m / total).otherwise(c(s)).alias(s) for s, m in mixed.items()])

@@ -39,7 +39,7 @@ def two_pass_platt(rows: DataFrame, **kw) -> DataFrame:
     """(regime, a, b, a2, b2): a second fit on the first one's output, kept where both exist."""
     first = M.regime_platt(rows, **kw)
     second = M.regime_platt(apply_platt(rows, first), **kw)
-    return first.join(second.select("regime", c("a").alias("a2"), c("b").alias("b2")), "regime")
+    return first.join(second.select("regime", c("a").alias("a2"), c("b").alias("b2")).hint("merge"), "regime")
 
 
 def excess_oos_r2(returns: DataFrame, tail: int = 20) -> DataFrame:
@@ -52,14 +52,14 @@ def excess_oos_r2(returns: DataFrame, tail: int = 20) -> DataFrame:
     train = rows.where(c("back") > tail).select("series", "d", "r")
     states = S.regime_series(train)
     m, stats = S.transition_matrix(states), S.regime_stats(states)
-    expected = m.join(stats.withColumnRenamed("state", "state_to"), ["series", "state_to"]).groupBy("series", "state_from").agg(F.sum(c("p") * c("mean")).alias("predicted"))
+    expected = m.join(stats.withColumnRenamed("state", "state_to").hint("merge"), ["series", "state_to"]).groupBy("series", "state_from").agg(F.sum(c("p") * c("mean")).alias("predicted"))
     t = S.adaptive_threshold(train)
     time = w.orderBy("d")
-    every = rows.select("series", "d", "r", "back").withColumn("before", F.lag("r").over(time)).join(t, "series")
+    every = rows.select("series", "d", "r", "back").withColumn("before", F.lag("r").over(time)).join(t.hint("merge"), "series")
     state = F.when(c("before") > c("threshold"), "bull").when(c("before") < -c("threshold"), "bear").otherwise("sideways")
-    met = every.where(c("back") <= tail).withColumn("state_from", state).join(expected, ["series", "state_from"])
+    met = every.where(c("back") <= tail).withColumn("state_from", state).join(expected.hint("merge"), ["series", "state_from"])
     base = train.groupBy("series").agg(F.avg("r").alias("mean_r"))
-    met = met.join(base, "series")
+    met = met.join(base.hint("merge"), "series")
     model = S.oos_r2(met.select("series", c("r").alias("actual"), "predicted"), "series").withColumnRenamed("r2", "model_r2")
     naive = S.oos_r2(met.select("series", c("r").alias("actual"), c("mean_r").alias("predicted")), "series").withColumnRenamed("r2", "naive_r2")
-    return model.join(naive, "series").select("series", "model_r2", "naive_r2", (c("model_r2") - c("naive_r2")).alias("excess"))
+    return model.join(naive.hint("merge"), "series").select("series", "model_r2", "naive_r2", (c("model_r2") - c("naive_r2")).alias("excess"))

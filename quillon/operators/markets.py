@@ -187,7 +187,7 @@ def grade(score: Column) -> Column:
 def asset_forecast(markets: DataFrame, other: DataFrame | None = None, horizon: float = 14) -> DataFrame:
     """Signal, blend, interval and grade of every asset: one aggregation and projections."""
     rows = market_signal(markets, "asset").withColumnRenamed("signal", "market")
-    rows = rows.join(other, "asset", "left") if other is not None else rows
+    rows = rows.join(other.hint("merge"), "asset", "left") if other is not None else rows
     for s in BLEND:
         if s not in rows.columns:
             rows = rows.withColumn(s, F.lit(None).cast("double"))

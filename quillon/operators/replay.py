@@ -31,9 +31,9 @@ def label_markets(markets: DataFrame, prices: DataFrame) -> DataFrame:
 def label_bundles(bundles: DataFrame, labels: DataFrame) -> DataFrame:
     """Bundles (bundle_id, markets array) with their markets' outcomes nested again; unready bundles pass through."""
     long = bundles.select("bundle_id", F.posexplode("markets").alias("pos", "market_id"))
-    met = long.join(labels, "market_id", "left")
+    met = long.join(labels.hint("merge"), "market_id", "left")
     nested = met.groupBy("bundle_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "market_id", "outcome"))), lambda x: F.struct(x.market_id.alias("market_id"), x.outcome.alias("outcome"))).alias("semantic"), F.bool_and(F.coalesce("ready", F.lit(False))).alias("ready"))
-    return bundles.join(nested, "bundle_id", "left").withColumn("semantic", F.when(c("ready"), c("semantic")))
+    return bundles.join(nested.hint("merge"), "bundle_id", "left").withColumn("semantic", F.when(c("ready"), c("semantic")))
 
 
 def evidence(n: Column) -> Column:
@@ -89,7 +89,7 @@ def replay_slices(rows: DataFrame, slices: dict[str, Column]) -> DataFrame:
 def compare_gate(scores: DataFrame, candidate: str, baseline: str, tolerance: float = 0.02) -> DataFrame:
     """Whether a candidate's accuracy, Brier score and abstain rate hold against the baseline, with reasons."""
     a, b = scores.where(c("evaluator") == candidate), scores.where(c("evaluator") == baseline).select("horizon", *[c(x).alias(f"b_{x}") for x in ("accuracy", "brier", "abstain_rate")])
-    met = a.join(b, "horizon")
+    met = a.join(b.hint("merge"), "horizon")
     reasons = F.array_compact(F.array(F.when(c("accuracy") < c("b_accuracy") - tolerance, "accuracy"), F.when(c("brier") > c("b_brier") + tolerance, "brier"), F.when(c("abstain_rate") > c("b_abstain_rate") + tolerance, "abstain")))
     return met.select("horizon", (F.size(reasons) == 0).alias("passes"), F.array_join(reasons, ",").alias("reasons"))
 
@@ -100,7 +100,7 @@ def horizon_benchmark(rows: DataFrame, horizons: tuple[int, ...] = HORIZONS, *ke
     found = rows.groupBy("horizon", *keys).agg(F.count(F.lit(1)).alias("n"), F.count("y").alias("labelled"), F.count_if(traded).alias("traded"), F.avg(F.when(traded, c("right").cast("double"))).alias("accuracy"), F.avg(F.pow(c("p") - c("y"), 2)).alias("brier"), F.avg((~traded).cast("double")).alias("abstain_rate"))
     every = rows.select(*keys).distinct() if keys else rows.sparkSession.range(1)
     grid = every.select(*keys, F.explode(F.array(*map(F.lit, horizons))).alias("horizon"))
-    return grid.join(found, ["horizon", *keys], "left").select("horizon", *keys, *[F.coalesce(x, F.lit(0)).alias(x) for x in ("n", "labelled", "traded")], "accuracy", "brier", "abstain_rate")
+    return grid.join(found.hint("merge"), ["horizon", *keys], "left").select("horizon", *keys, *[F.coalesce(x, F.lit(0)).alias(x) for x in ("n", "labelled", "traded")], "accuracy", "brier", "abstain_rate")
 
 
 def readiness_gate(bench: DataFrame, gates: dict[int, tuple[float, ...]] = GATES) -> DataFrame:
@@ -113,7 +113,7 @@ def readiness_gate(bench: DataFrame, gates: dict[int, tuple[float, ...]] = GATES
 def rank_variants(catalog: DataFrame, ledger: DataFrame) -> DataFrame:
     """Variants by kept - regressed + a quarter of their share of attempts, with a health class; untried ones included."""
     found = ledger.groupBy("variant").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(c("decision") == "keep").alias("kept"), F.count_if(c("decision") == "regress").alias("regressed"))
-    rows = catalog.join(found, "variant", "left").select("variant", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("attempts", "kept", "regressed")])
+    rows = catalog.join(found.hint("merge"), "variant", "left").select("variant", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("attempts", "kept", "regressed")])
     total = F.greatest(F.sum("attempts").over(Window.partitionBy()), F.lit(1))
     score = c("kept") - c("regressed") + 0.25 * c("attempts") / total
     health = F.when(c("attempts") == 0, "untried").when(c("kept") > c("regressed"), "healthy").when(c("kept") == c("regressed"), "mixed").otherwise("failing")

@@ -117,7 +117,7 @@ def accuracy_coherence(steps: DataFrame, weight: float = 1.0) -> DataFrame:
     error = steps.groupBy("ticker").agg(F.avg(F.pow(c("predicted_return") - c("actual_return"), 2)).alias("error"))
     target = steps.groupBy("ticker", (c("t") + c("horizon")).alias("target")).agg(F.var_pop(centre()).alias("v"), F.max_by("realized_price", F.struct("t", "horizon")).alias("price"), F.count(F.lit(1)).alias("n"))
     spread = target.where("n >= 2").groupBy("ticker").agg(F.avg(c("v") / F.pow("price", 2)).alias("spread"))
-    out = error.join(spread, "ticker", "left")
+    out = error.join(spread.hint("merge"), "ticker", "left")
     return out.select("ticker", "error", F.coalesce("spread", F.lit(0.0)).alias("incoherence"), (c("error") + weight * F.coalesce("spread", F.lit(0.0))).alias("score"))
 
 
@@ -238,7 +238,7 @@ def risk_coverage(steps: DataFrame, thresholds: tuple[float, ...] = (0.0, 0.2, 0
     total = steps.groupBy("ticker").agg(F.count(F.lit(1)).alias("total"))
     every = total.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     found = rows.groupBy("ticker", "threshold").agg(F.avg(hit()).alias("a"), F.count(F.lit(1)).alias("k"))
-    out = every.join(found, ["ticker", "threshold"], "left")
+    out = every.join(found.hint("merge"), ["ticker", "threshold"], "left")
     n = F.coalesce("k", F.lit(0))
     return out.select("ticker", "threshold", F.coalesce("a", F.lit(0.0)).alias("accuracy"), (n / c("total")).alias("coverage"), n.alias("selected"), "total")
 
@@ -276,7 +276,7 @@ def naive_baselines(steps: DataFrame) -> DataFrame:
 def baseline_guard(steps: DataFrame, slack: float = 0.02) -> DataFrame:
     best = naive_baselines(steps).groupBy("ticker", "horizon").agg(F.max("accuracy").alias("baseline_accuracy"))
     own = report(steps, "ticker", "horizon", metrics={"accuracy": F.avg(hit())})
-    return own.join(best, ["ticker", "horizon"]).withColumn("passes", c("accuracy") - c("baseline_accuracy") >= -slack)
+    return own.join(best.hint("merge"), ["ticker", "horizon"]).withColumn("passes", c("accuracy") - c("baseline_accuracy") >= -slack)
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -306,7 +306,7 @@ def arm_deltas(scores: DataFrame, arm: str, baseline: str, *metrics: str, keys:
     """Metric differences of each arm against the baseline arm."""
     base = scores.where(c(arm) == baseline).select(*keys, *[c(m).alias(f"_{m}") for m in metrics])
     rest = scores.where(c(arm) != baseline)
-    met = rest.join(base, list(keys)) if keys else rest.join(F.broadcast(base))  # one baseline row
+    met = rest.join(base.hint("merge"), list(keys)) if keys else rest.join(F.broadcast(base))  # one baseline row
     return met.select(arm, *keys, *[(c(m) - c(f"_{m}")).alias(f"d_{m}") for m in metrics])
 
 

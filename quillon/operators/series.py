@@ -58,7 +58,7 @@ def max_drawdown(prices: DataFrame) -> DataFrame:
 def correlation_matrix(returns: DataFrame) -> DataFrame:
     """Pearson correlation of every pair of series over common dates; 1 on the diagonal, 0 without variance."""
     a, b = returns.select(F.col("series").alias("a"), "d", F.col("r").alias("x")), returns.select(F.col("series").alias("b"), "d", F.col("r").alias("y"))
-    found = a.join(b, "d").groupBy("a", "b").agg(F.corr("x", "y").alias("c"))
+    found = a.join(b.hint("merge"), "d").groupBy("a", "b").agg(F.corr("x", "y").alias("c"))
     c = F.when(F.col("a") == F.col("b"), 1.0).when(F.col("c").isNull() | F.isnan("c"), 0.0).otherwise(clamp(F.col("c"), -1, 1))
     return found.select("a", "b", c.alias("corr"))
 
@@ -72,7 +72,7 @@ def risk_report(prices: DataFrame, rf: float = 0.05) -> DataFrame:
     """Volatility, Sharpe ratio, value at risk, shortfall and drawdown of each series."""
     r = simple_returns(prices)
     head = r.groupBy("series").agg(F.count(F.lit(1)).alias("n"), volatility(F.col("r")).alias("vol"), sharpe(F.col("r"), rf).alias("sharpe"))
-    return head.join(tail_risk(r), "series").join(max_drawdown(prices), "series")
+    return head.join(tail_risk(r).hint("merge"), "series").join(max_drawdown(prices).hint("merge"), "series")
 
 
 def compounded_drawdown(returns: DataFrame, key: str = "series") -> DataFrame:
@@ -126,14 +126,14 @@ def adaptive_threshold(returns: DataFrame, share: float = 0.5, least: float = 0.
 def regime_series(returns: DataFrame) -> DataFrame:
     t = adaptive_threshold(returns)
     state = F.when(F.col("r") > F.col("threshold"), "bull").when(F.col("r") < -F.col("threshold"), "bear").otherwise("sideways")
-    return returns.join(t, "series").select("series", "d", "r", state.alias("state"))
+    return returns.join(t.hint("merge"), "series").select("series", "d", "r", state.alias("state"))
 
 
 def _with_all_states(df: DataFrame, *keys: str) -> DataFrame:
     """Nine (from, to) cells for each key."""
     every = F.array(*map(F.lit, STATES))
     cells = df.select(*keys).distinct().withColumn("state_from", F.explode(every)).withColumn("state_to", F.explode(every))
-    return cells.join(df, [*keys, "state_from", "state_to"], "left")
+    return cells.join(df.hint("merge"), [*keys, "state_from", "state_to"], "left")
 
 
 def transition_matrix(states: DataFrame, decay: float = 1.0, min_obs: int = 30) -> DataFrame:
@@ -168,7 +168,7 @@ def _step(v: Column, p: Column) -> Column:
 def n_step_distribution(matrix: DataFrame, current: DataFrame, n: int) -> DataFrame:
     """Distribution over states n steps after the current one: a row of the n-th power, exactly."""
     start = F.transform(F.array(*map(F.lit, STATES)), lambda s: (s == F.col("state")).cast("double"))
-    rows = wide_matrix(matrix).join(current, "series")
+    rows = wide_matrix(matrix).join(current.hint("merge"), "series")
     out = F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda v, _: _step(v, F.col("p")))
     return rows.withColumn("v", out).select("series", *[F.get("v", i).alias(s) for i, s in enumerate(STATES)])
 
@@ -204,7 +204,7 @@ def mixing_weight(matrix: DataFrame, horizon: int) -> DataFrame:
 def state_counts(states: DataFrame, sparse_below: int = 5) -> DataFrame:
     """Observations of every state, absent ones included, and whether they are sparse."""
     every = states.select("series").distinct().withColumn("state", F.explode(F.array(*map(F.lit, STATES))))
-    found = every.join(states.groupBy("series", "state").agg(F.count(F.lit(1)).alias("c")), ["series", "state"], "left")
+    found = every.join(states.groupBy("series", "state").agg(F.count(F.lit(1)).alias("c")).hint("merge"), ["series", "state"], "left")
     n = F.coalesce("c", F.lit(0))
     return found.select("series", "state", n.alias("n"), (n < sparse_below).alias("sparse"))
 
@@ -227,7 +227,7 @@ def regime_stats(states: DataFrame, least: int = 5, cap: float = 0.004) -> DataF
     """Winsorised mean (capped) and population deviation per state; defaults for states with fewer rows."""
     means = {"bull": 0.001, "bear": -0.001, "sideways": 0.0}
     found = winsorize(states, "r", "series", "state").groupBy("series", "state").agg(F.count(F.lit(1)).alias("c"), F.avg("r").alias("m"), F.stddev_pop("r").alias("s"))
-    every = states.select("series").distinct().withColumn("state", F.explode(F.array(*map(F.lit, STATES)))).join(found, ["series", "state"], "left")
+    every = states.select("series").distinct().withColumn("state", F.explode(F.array(*map(F.lit, STATES)))).join(found.hint("merge"), ["series", "state"], "left")
     few = F.coalesce("c", F.lit(0)) < least
     default = F.coalesce(*[F.when(F.col("state") == s, v) for s, v in means.items()])
     return every.select("series", "state", F.when(few, default).otherwise(clamp(F.col("m"), -cap, cap)).alias("mean"), F.when(few, 0.01).otherwise(F.col("s")).alias("sd"))
@@ -239,7 +239,7 @@ def regime_up_rates(states: DataFrame, horizon: int = 5) -> DataFrame:
     rows = states.withColumns({"s": F.sum(F.log1p("r")).over(ahead), "k": F.count("r").over(ahead)}).where(F.col("k") == horizon)
     rates = rows.groupBy("series", "state").agg(F.avg((F.col("s") > 0).cast("double")).alias("u"))
     every = states.select("series").distinct().withColumn("state", F.explode(F.array(*map(F.lit, STATES))))
-    return every.join(rates, ["series", "state"], "left").select("series", "state", F.coalesce("u", F.lit(0.5)).alias("up_rate"))
+    return every.join(rates.hint("merge"), ["series", "state"], "left").select("series", "state", F.coalesce("u", F.lit(0.5)).alias("up_rate"))
 
 
 def structural_break(states: DataFrame, threshold: float = 0.05, least: int = 36) -> DataFrame:
@@ -248,7 +248,7 @@ def structural_break(states: DataFrame, threshold: float = 0.05, least: int = 36
     halves = states.withColumns({"n": n, "i": i}).where(F.col("n") >= least)
     first = transition_matrix(halves.where("i <= floor(n / 2)").select("series", "d", "state"), min_obs=1).withColumnRenamed("p", "a")
     second = transition_matrix(halves.where("i > floor(n / 2)").select("series", "d", "state"), min_obs=1).withColumnRenamed("p", "b")
-    met = first.join(second, ["series", "state_from", "state_to"])
+    met = first.join(second.hint("merge"), ["series", "state_from", "state_to"])
     return met.groupBy("series").agg(F.sum(F.pow(F.col("a") - F.col("b"), 2)).alias("divergence")).withColumn("is_break", F.col("divergence") > threshold)
 
 
@@ -256,7 +256,7 @@ def transition_gof(states: DataFrame, matrix: DataFrame) -> DataFrame:
     """Chi-square of observed transitions against the matrix (rows of 5 or more, cells with 1 or more expected), with a Wilson-Hilferty p."""
     moves = states.select("series", F.lag("state").over(_time()).alias("state_from"), F.col("state").alias("state_to")).where("state_from is not null")
     seen = moves.groupBy("series", "state_from", "state_to").agg(F.count(F.lit(1)).alias("o"))
-    cells = matrix.join(seen, ["series", "state_from", "state_to"], "left").withColumn("o", F.coalesce("o", F.lit(0)))
+    cells = matrix.join(seen.hint("merge"), ["series", "state_from", "state_to"], "left").withColumn("o", F.coalesce("o", F.lit(0)))
     cells = cells.withColumn("row", F.sum("o").over(Window.partitionBy("series", "state_from"))).withColumn("e", F.col("row") * F.col("p")).where("row >= 5 and e >= 1")
     rows = cells.groupBy("series", "state_from").agg(F.sum(F.pow(F.col("o") - F.col("e"), 2) / F.col("e")).alias("chi"), (F.count(F.lit(1)) - 1).alias("df"))
     out = rows.groupBy("series").agg(F.sum("chi").alias("chi2"), F.sum("df").alias("df"))
@@ -321,7 +321,7 @@ def drift_trim(returns: DataFrame, least: int = 60, **kw) -> DataFrame:
     """Rows after the detected change point, at least `least` of them."""
     points = drift_points(returns, **kw)
     n, back = F.count(F.lit(1)).over(_all()), F.row_number().over(_all().orderBy(F.desc("d")))
-    rows = returns.withColumns({"n": n, "back": back}).join(points, "series", "left")
+    rows = returns.withColumns({"n": n, "back": back}).join(points.hint("merge"), "series", "left")
     keep = F.when(F.col("split").isNull(), F.col("n")).otherwise(F.greatest(F.lit(least), F.col("n") - F.col("split")))
     return rows.where(F.col("back") <= keep).select("series", "d", "r")
 

@@ -104,8 +104,8 @@ def resolve_series_key(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """Each wanted key as it is known: itself, else with -USD added or taken off."""
     stem = F.regexp_replace("key", "-USD$", "")
     tries = wanted.select("key", F.posexplode(F.array(c("key"), F.when(c("key").endswith("-USD"), stem).otherwise(F.concat("key", F.lit("-USD"))))).alias("rank", "series"))
-    met = tries.join(known.select("series").distinct(), "series")
-    return wanted.join(met.groupBy("key").agg(F.min_by("series", "rank").alias("series")), "key", "left")
+    met = tries.join(known.select("series").distinct().hint("merge"), "series")
+    return wanted.join(met.groupBy("key").agg(F.min_by("series", "rank").alias("series")).hint("merge"), "key", "left")
 
 
 def read_csv_series(spark: SparkSession, path: str) -> DataFrame:
@@ -120,7 +120,7 @@ def latest_value(series: DataFrame, *keys: str) -> DataFrame:
 def prefer_source(tagged: DataFrame, least: int = 10) -> DataFrame:
     """Per ticker the rows of the first source (by priority) with at least `least` closes."""
     counts = tagged.groupBy("ticker", "priority").agg(F.count("close").alias("n")).where(c("n") >= least).groupBy("ticker").agg(F.min("priority").alias("priority"))
-    return tagged.join(counts, ["ticker", "priority"], "left_semi")
+    return tagged.join(counts.hint("merge"), ["ticker", "priority"], "left_semi")
 
 
 def parse_outcome_arrays(df: DataFrame) -> DataFrame:
