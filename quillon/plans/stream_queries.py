@@ -42,7 +42,7 @@ query("src_17_parse_tick_payload", "events", sql="SELECT user_id AS market_id, f
     lambda e: R.parse_tick_payload(e.groupBy(c("user_id").alias("market_id")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.unix_seconds("ts").alias("t"), (c("value") / 500).alias("p"))).alias("history"))).alias("payload"))))
 query("src_18_parse_outcome_arrays", "v_markets", sql="SELECT market_id, round(probability, 8) AS yes FROM {v_markets}")(
     lambda m: R.parse_outcome_arrays(m.select("market_id", F.lit('["No", "Yes"]').alias("outcomes"), F.to_json(F.array((1 - c("probability")).cast("string"), c("probability").cast("string"))).alias("prices"))).select("market_id", "yes"))
-query("flt_08_sample_rows", "orders")(lambda o: R.sample_rows(o, 500, "o_orderkey").select("o_orderkey"))
+query("flt_08_sample_rows", "orders", sql="SELECT o_orderkey FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 500")(lambda o: R.sample_rows(o, 500, "o_orderkey").select("o_orderkey"))
 query("str_05_score_conformal", "v_steps", sql="""WITH x AS (SELECT ticker, horizon, t, list(abs(actual_return - predicted_return) * 10) OVER (PARTITION BY ticker, horizon ORDER BY t ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS b FROM {v_steps}) SELECT ticker, horizon, t, round(greatest(1, coalesce(list_sort(b)[greatest(ceil(len(b) * 0.9), 1)::INT], 1))::DOUBLE, 8) AS factor FROM x""")(lambda s: S.score_conformal(s.withColumn("score", F.abs(c("actual_return") - c("predicted_return")) * 10)))
 query("str_02_adwin", "v_prices")(lambda p: S.adwin_batch(p.select("series", "d", F.log("close").alias("x"))))
 _DAY = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL"
@@ -74,3 +74,26 @@ _stream_query("str_01_stream_snapshots", lambda e: S.stream_snapshots(_raw(e)),
     f"WITH x AS ({_RAW}) SELECT market_id AS \"marketId\", round(probability, 8) AS probability, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM x WHERE market_id <> '' AND probability <= 1 AND volume24h >= 0 AND NOT bad_end")
 _stream_query("str_09_stream_stats", lambda e: S.windowed_event_stats(e, watermark="1 hour"), "complete", lambda d: d.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean", 6).alias("mean")), _DAY)
 _stream_query("str_11_stream_latest_price", S.latest_price_state, "complete", lambda d: d, "SELECT user_id, max_by(value, (ts, event_id)) AS price FROM events GROUP BY 1")
+
+
+def _positions(customers: DataFrame) -> DataFrame:
+    return customers.where("c_custkey % 2 = 0").select(c("c_custkey").cast("long").alias("user_id"), (c("c_custkey") % 7 + 1).cast("double").alias("quantity"))
+
+
+def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of ticks against the positions, in update mode: the last update of every day and user."""
+    out = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
+    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(sf_dir, pathGlobFilter="events.parquet")
+    events = source.select(*[c(x).cast("timestamp").alias(x) if t == "timestamp_ntz" else c(x) for x, t in source.dtypes])
+    rows = S.valued_positions(events, _positions(spark.read.parquet(f"{sf_dir}/customer.parquet")))
+    run = rows.writeStream.outputMode("update").option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
+    run.foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/batch={i}-{uuid.uuid4().hex}")).start().awaitTermination()
+    last = spark.read.option("recursiveFileLookup", "true").parquet(out).groupBy("day", "user_id").agg(F.max_by(F.struct("price", "value", "ticks"), "batch").alias("x"))
+    return last.select("day", "user_id", "x.*")
+
+
+_VALUED = """SELECT ts::DATE AS day, user_id, max_by(value, (ts, event_id)) AS price, max_by(value, (ts, event_id)) * (user_id % 7 + 1) AS value, count(*) AS ticks
+    FROM events JOIN customer ON c_custkey = user_id AND c_custkey % 2 = 0 GROUP BY ts::DATE, user_id"""
+query("str_11_valued_positions", "events", "customer", sql=_VALUED)(lambda e, k: S.valued_positions(e, _positions(k)))
+QUERIES["str_11_stream_positions"] = lambda spark, sf_dir: tidy(_updates(spark, sf_dir))
+ORACLES["str_11_stream_positions"] = duck(_VALUED)

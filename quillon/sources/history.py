@@ -13,6 +13,7 @@ import csv
 import datetime as dt
 import importlib
 import io
+import threading
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+_registering = threading.Lock()
 SCHEMA = "series string, d date, close double"
 
 
@@ -155,7 +157,8 @@ class PriceHistory(DataSource):
 
 def read_history(spark: SparkSession, name: str, **options: str) -> DataFrame:
     """Histories of a provider; filters on series and d reach it."""
-    spark.dataSource.register(PriceHistory)
+    with _registering:  # registering is replacing, which must not happen twice at once
+        spark.dataSource.register(PriceHistory)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("price_history").options(provider=name, **options).load()
 

@@ -174,5 +174,5 @@ def read_eval_questions(spark: SparkSession, path: str, schema: str) -> DataFram
 
 
 def sample_rows(df: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
-    """n rows without replacement, the same on every run: the smallest hashes of seed and keys."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    """n rows without replacement, the same on every run: the smallest md5 of seed and keys, which any SQL engine can draw too."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), *keys)), *keys).limit(n)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from quillon.operators.joins import dimension_join
 from quillon.sources.readers import clean_snapshots
 
 c = F.col
@@ -32,6 +33,20 @@ def latest_price_state(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("price"))
 
 
+def valued_positions(ticks: DataFrame, positions: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """Every position (user_id, quantity) at the last price of each day: day, user_id, price, value, ticks; a stream or a table.
+
+    On a stream the ticks (user_id, ts, event_id, value) meet the positions as a static table, whose size is counted
+    before it may be broadcast; ticks of users without a position are dropped before they reach the state. In update
+    mode each trigger gives the days that changed. A tick later than the watermark of its day is lost, as documented:
+    its day's state is gone by then.
+    """
+    rows = ticks.withWatermark("ts", watermark) if ticks.isStreaming else ticks
+    met = dimension_join(rows.select("user_id", "ts", "event_id", "value"), positions.select("user_id", "quantity"), "user_id", how="inner")
+    days = met.groupBy(F.window("ts", "1 day").alias("w"), "user_id").agg(F.max_by(F.struct("value", "quantity"), F.struct("ts", "event_id")).alias("last"), F.count(F.lit(1)).alias("ticks"))
+    return days.select(F.to_date("w.start").alias("day"), "user_id", c("last.value").alias("price"), (c("last.value") * c("last.quantity")).alias("value"), "ticks")
+
+
 def score_conformal(steps: DataFrame, window: int = 50, level: float = 0.9) -> DataFrame:
     """max(1, upper quantile of the last `window` scores before a step)."""
     before = F.array_sort(F.collect_list("score").over(Window.partitionBy("ticker", "horizon").orderBy("t").rowsBetween(-window, -1)))
