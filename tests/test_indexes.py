@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from quillon.functions import table_functions as L
 from quillon.operators import postings as P
 from quillon.operators import ranks as K
-from quillon.operators import scoring as A
 from quillon.operators import segments as G
 from quillon.operators import series as S
 from quillon.operators import text as T
