@@ -76,6 +76,19 @@ def student_cdf(t: Column, nu: int) -> Column:
     raise ValueError("closed form only for 3, 4 and 5 degrees of freedom")
 
 
+def student_quantile(p: Column, nu: int) -> Column:
+    """Inverse of student_cdf between -50 and 50, by halving; exact to 1e-13 of that range."""
+    start = F.struct(F.lit(-50.0).alias("low"), F.lit(50.0).alias("high"))
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = (state["low"] + state["high"]) / 2
+        below = student_cdf(middle, nu) < p
+        return F.struct(F.when(below, middle).otherwise(state["low"]).alias("low"), F.when(below, state["high"]).otherwise(middle).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(50)), start, halve, lambda state: (state["low"] + state["high"]) / 2)
+    return F.when(p.isNotNull(), found)
+
+
 def logit(p: Column, eps: float = 1e-6) -> Column:
     p = clamp(p, eps, 1 - eps)
     return F.log(p / (1 - p))

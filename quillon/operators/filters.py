@@ -100,3 +100,25 @@ def parse_consensus_payload(payload: Column) -> Column:
 
 def distinct_files(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(column).distinct()
+
+
+def recent_rows(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The n newest rows: the limit is the feature, and Spark takes the first n of each partition before it merges them."""
+    return rows.orderBy(*order).limit(n)
+
+
+def rows_by_hash(rows: DataFrame, column: str, hashes: DataFrame) -> DataFrame:
+    """Rows whose hash is among the given ones (hash); repeated and null hashes find nothing more."""
+    wanted = hashes.select(c("hash").alias(column)).where(c(column).isNotNull()).distinct()
+    return rows.join(wanted.hint("merge"), column, "left_semi")
+
+
+def resolution_aligned(days: Column, horizon: float) -> Column:
+    """Whether a market resolves near the horizon: within 1.5 days or 35 % of it."""
+    return F.abs(days - horizon) <= max(1.5, 0.35 * horizon)
+
+
+def jump_events(markets: DataFrame) -> DataFrame:
+    """(market_id, days): undecided markets of some volume and age that resolve within one to 30 days, in whole days."""
+    kept = (c("probability") > 0) & (c("probability") < 1) & (c("volume") >= 5000) & (c("age_days") >= 2) & c("days_to_expiry").between(1, 30)
+    return markets.where(kept).select("market_id", F.greatest(F.lit(1), F.ceil("days_to_expiry")).cast("int").alias("days"))

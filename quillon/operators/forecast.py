@@ -215,3 +215,17 @@ def blend_mixtures(a: DataFrame, b: DataFrame, weight: float) -> DataFrame:
     mixed = {s: (1 - w) * c(s) + w * c(f"_{s}") for s in S.STATES}
     total = mixed["bull"] + mixed["bear"] + mixed["sideways"]
     return met.select("series", *[F.when(total > 0, m / total).otherwise(c(s)).alias(s) for s, m in mixed.items()])
+
+
+def put_call_ratio(options: DataFrame, *keys: str) -> DataFrame:
+    """Volume of puts over volume of calls (keys, kind, volume); null without calls."""
+    of = lambda kind: F.sum(F.when(c("kind") == kind, c("volume")).otherwise(0))
+    return options.groupBy(*keys).agg(F.try_divide(of("put"), of("call")).alias("ratio"))
+
+
+def portfolio_totals(positions: DataFrame, prices: DataFrame, key: str) -> DataFrame:
+    """Invested, worth now, gain and return in percent of each key's positions (key, series, cost) at the latest price of their series; others are left out."""
+    now = prices.groupBy("series").agg(F.max_by("close", "d").alias("price"))
+    sums = J.dimension_join(positions, now, "series", how="inner").groupBy(key).agg(F.sum("cost").alias("invested"), F.sum("price").alias("now"))
+    gain = c("now") - c("invested")
+    return sums.select(key, F.round("invested", 2).alias("invested"), F.round("now", 2).alias("now"), F.round(gain, 2).alias("pnl"), F.round(F.try_divide(gain, c("invested")) * 100, 6).alias("return_pct"))

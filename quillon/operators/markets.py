@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillon.functions.mathcols import clamp, logit, normal_cdf, probit, sigmoid
+from quillon.operators.joins import dimension_join, latest_n
 
 c = F.col
 
@@ -298,6 +299,42 @@ def max_jump(snapshots: DataFrame, hours: int = 24, project: Callable[[Column],
     return rows.where(F.unix_micros("newest") - F.unix_micros("captured_at") <= hours * 3_600_000_000).groupBy("market_id").agg(F.coalesce(F.max("move"), F.lit(0.0)).alias("jump"))
 
 
+def median_recent_move(snapshots: DataFrame, hours: int = 48) -> DataFrame:
+    """Median absolute change between neighbouring snapshots of each market within so many hours of its newest one."""
+    w = Window.partitionBy("market_id")
+    rows = snapshots.withColumns({"move": F.abs(c("probability") - F.lag("probability").over(w.orderBy("captured_at", "event_id"))), "_newest": F.max("captured_at").over(w)})
+    return rows.where(F.unix_micros("_newest") - F.unix_micros("captured_at") <= hours * 3_600_000_000).groupBy("market_id").agg(F.percentile("move", 0.5).alias("move"))
+
+
+#: Gap between platforms that is flagged, points of quality it costs, and how much it widens sigma.
+PLATFORM_GAP, GAP_COST, GAP_SIGMA = 0.10, 8, 1.08
+
+
+def cross_platform(evidence: DataFrame, key: str) -> DataFrame:
+    """What other platforms' consensus does to a forecast: (key, basis, applied, quality_delta, sigma_scale, worst, gap).
+
+    evidence: key, source, kind, gap (of probabilities, null: 0). A consensus further off than .10 costs quality and
+    widens sigma, worst named by source (of equal gaps the first by name); a near one is agreement; none, no row's fault, is `none`.
+    """
+    gap = F.coalesce(c("gap"), F.lit(0.0))
+    told = c("kind") == "consensus"
+    sums = evidence.groupBy(key).agg(F.count_if(told).alias("_n"), F.min(F.when(told, F.struct((-gap).alias("g"), "source"))).alias("_w"))
+    off = F.coalesce(-c("_w.g") > PLATFORM_GAP, F.lit(False))
+    return sums.select(key, F.when(off, "divergence").when(c("_n") > 0, "agreement").otherwise("none").alias("basis"), off.alias("applied"), F.when(off, -GAP_COST).otherwise(0).alias("quality_delta"),
+        F.when(off, GAP_SIGMA).otherwise(1.0).alias("sigma_scale"), F.when(off, c("_w.source")).alias("worst"), F.when(off, -c("_w.g")).alias("gap"))
+
+
+def unusual_volume(contracts: DataFrame, side: str, ident: str, factor: float = 3, n: int = 5) -> DataFrame:
+    """The n largest volumes of each side that are positive and above `factor` times the side's mean (null volumes count as 0)."""
+    volume = F.coalesce(c("volume"), F.lit(0))
+    means = contracts.groupBy(side).agg(F.avg(volume).alias("_mean"))
+    return latest_n(dimension_join(contracts, means, side).where((volume > 0) & (volume > factor * c("_mean"))), side, n, F.desc("volume"), c(ident)).drop("_mean")
+
+
+def top_by_open_interest(contracts: DataFrame, side: str, ident: str, n: int = 10) -> DataFrame:
+    return latest_n(contracts, side, n, F.desc_nulls_last("open_interest"), c(ident))
+
+
 def daily_hazard(p: Column, days: Column) -> Column:
     return F.least(-F.log(1 - clamp(p, 0, 0.999999)) / days, F.lit(0.95))
 

@@ -74,9 +74,9 @@ query("ser_62_window_offsets", "v_prices", sql="WITH x AS (SELECT series, d, row
     lambda p: (lambda x: W.window_offsets(x, x.where("i % 400 = 0").select("series", "i")).select("series", "d", c("offset").alias("off"), "slice"))(p.select("series", "d", F.row_number().over(S._time()).alias("i"))))
 query("ser_63_cluster_dates", "orders")(lambda o: W.cluster_dates(o.select((c("o_custkey") % 50).cast("string").alias("series"), F.to_date("o_orderdate").alias("d"))))
 query("ser_64_yield_spread", "v_prices", sql="SELECT d, round(max(CASE WHEN series = '1-URGENT' THEN close END) - max(CASE WHEN series = '2-HIGH' THEN close END), 4) AS spread FROM {v_prices} WHERE series IN ('1-URGENT', '2-HIGH') GROUP BY 1")(lambda p: p.where("series in ('1-URGENT', '2-HIGH')").groupBy("d").agg(F.round(F.max(F.when(c("series") == "1-URGENT", c("close"))) - F.max(F.when(c("series") == "2-HIGH", c("close"))), 4).alias("spread")))
-query("ser_65_put_call_ratio", "part", sql="SELECT p_brand, round(sum(CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE 0 END) / nullif(sum(CASE WHEN p_partkey % 2 = 1 THEN p_size ELSE 0 END), 0), 8) AS ratio FROM part GROUP BY 1")(lambda p: p.groupBy("p_brand").agg(F.try_divide(F.sum(F.when(c("p_partkey") % 2 == 0, c("p_size")).otherwise(0)), F.sum(F.when(c("p_partkey") % 2 == 1, c("p_size")).otherwise(0))).alias("ratio")))
+query("ser_65_put_call_ratio", "part", sql="SELECT p_brand, round(sum(CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE 0 END) / nullif(sum(CASE WHEN p_partkey % 2 = 1 THEN p_size ELSE 0 END), 0), 8) AS ratio FROM part GROUP BY 1")(lambda p: W.put_call_ratio(p.select("p_brand", F.when(c("p_partkey") % 2 == 0, "put").otherwise("call").alias("kind"), c("p_size").alias("volume")), "p_brand"))
 query("ser_66_portfolio_totals", "orders", "v_prices", sql="WITH p AS (SELECT series, max_by(close, d) AS price FROM {v_prices} GROUP BY 1), t AS (SELECT o_custkey, sum(o_totalprice) AS invested, sum(price) AS now FROM orders JOIN p ON series = o_orderpriority GROUP BY 1) SELECT o_custkey, round(invested, 2) AS invested, round(now, 2) AS now, round(now - invested, 2) AS pnl, round((now - invested) / invested * 100, 6) AS return_pct FROM t")(
-    lambda o, p: o.join(F.broadcast(p.groupBy("series").agg(F.max_by("close", "d").alias("price"))), c("o_orderpriority") == c("series")).groupBy("o_custkey").agg(F.sum("o_totalprice").alias("invested"), F.sum("price").alias("now")).select("o_custkey", F.round("invested", 2).alias("invested"), F.round("now", 2).alias("now"), F.round(c("now") - c("invested"), 2).alias("pnl"), F.round((c("now") - c("invested")) / c("invested") * 100, 6).alias("return_pct")))
+    lambda o, p: W.portfolio_totals(o.select("o_custkey", c("o_orderpriority").alias("series"), c("o_totalprice").alias("cost")), p, "o_custkey"))
 query("ser_67_wacc_breakdown", "customer", sql="SELECT c_custkey AS id, round(0.04 + b * 0.05, 8) AS cost_of_equity, round(1 / (1 + de) * (0.04 + b * 0.05) + (1 - 1 / (1 + de)) * 0.06 * 0.79, 8) AS wacc FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN CASE c_mktsegment WHEN 'BUILDING' THEN 1.1 WHEN 'MACHINERY' THEN 1.3 ELSE 1.0 END ELSE (c_custkey % 20) / 10.0 END::DOUBLE AS b, (c_custkey % 7) / 5.0::DOUBLE AS de FROM customer)")(
     lambda k: W.wacc(k.select(c("c_custkey").alias("id"), c("c_mktsegment").alias("sector"), F.when(c("c_custkey") % 4 > 0, (c("c_custkey") % 20) / 10).alias("beta"), F.lit(0.04).alias("rf"), F.lit(0.05).alias("erp"), ((c("c_custkey") % 7) / 5).alias("de"), F.lit(0.06).alias("kd"), F.lit(0.21).alias("tax")), k.sparkSession.createDataFrame([("BUILDING", 1.1), ("MACHINERY", 1.3)], "sector string, sector_beta double")))
 _CW = "(VALUES ('1-URGENT', 'a', 0.3::DOUBLE), ('2-HIGH', 'a', 0.2::DOUBLE), ('3-MEDIUM', 'b', 0.4::DOUBLE), ('5-LOW', 'b', 0.1::DOUBLE)) w(component, grp, weight)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.operators import filters as Y
 from quillon.operators import joins as J
 from quillon.plans.base import query
 
@@ -115,6 +116,6 @@ query("top_14_union_with_tag", "documents", "pages", sql="SELECT 'document' AS t
 query("flt_01_screen", "part", sql="SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size >= 10 AND p_retailprice BETWEEN 950 AND 1050 AND p_brand = 'Brand#7'")(lambda p: J.screen(p, [("p_size", "gte", 10), ("p_retailprice", "between", (950, 1050)), ("p_brand", "eq", "Brand#7")]).select("p_partkey", "p_size", "p_retailprice"))
 query("flt_03_filter_to_horizon", "v_markets", sql="""WITH x AS (SELECT asset, market_id, abs(days_to_expiry - 14) <= 7 AS near, row_number() OVER (PARTITION BY asset ORDER BY abs(days_to_expiry - 14), volume DESC, market_id) AS r FROM {v_markets} WHERE days_to_expiry < 3 OR market_id % 2 = 0),
     y AS (SELECT *, bool_or(near) OVER (PARTITION BY asset) AS has FROM x) SELECT asset, market_id FROM y WHERE CASE WHEN has THEN near ELSE r <= 8 END""")(lambda m: J.filter_to_horizon(m.where("days_to_expiry < 3 or market_id % 2 = 0").withColumn("days_to_end", c("days_to_expiry")), 14).select("asset", "market_id"))
-query("flt_04_resolution_aligned", "v_markets", sql="SELECT market_id, (abs(days_to_expiry - 14) <= greatest(1.5, 0.35 * 14))::INT AS aligned FROM {v_markets}")(lambda m: m.select("market_id", (F.abs(c("days_to_expiry") - 14) <= max(1.5, 0.35 * 14)).alias("aligned")))
-query("flt_07_jump_event_filter", "v_markets", sql="SELECT market_id, greatest(1, ceil(days_to_expiry))::INT AS days FROM {v_markets} WHERE probability > 0 AND probability < 1 AND volume >= 5000 AND age_days >= 2 AND days_to_expiry <= 30 AND days_to_expiry >= 1")(lambda m: m.where("probability > 0 and probability < 1 and volume >= 5000 and age_days >= 2 and days_to_expiry <= 30 and days_to_expiry >= 1").select("market_id", F.greatest(F.lit(1), F.ceil("days_to_expiry")).cast("int").alias("days")))
+query("flt_04_resolution_aligned", "v_markets", sql="SELECT market_id, (abs(days_to_expiry - 14) <= greatest(1.5, 0.35 * 14))::INT AS aligned FROM {v_markets}")(lambda m: m.select("market_id", Y.resolution_aligned(c("days_to_expiry"), 14).alias("aligned")))
+query("flt_07_jump_event_filter", "v_markets", sql="SELECT market_id, greatest(1, ceil(days_to_expiry))::INT AS days FROM {v_markets} WHERE probability > 0 AND probability < 1 AND volume >= 5000 AND age_days >= 2 AND days_to_expiry <= 30 AND days_to_expiry >= 1")(Y.jump_events)
 query("flt_09_find_keyword", "documents", sql="SELECT doc_id, substr(text, greatest(1, instr(lower(text), 'tion') - 100), 200) AS excerpt FROM documents WHERE contains(lower(text), 'tion')")(lambda d: d.where(F.contains(F.lower("text"), F.lit("tion"))).select("doc_id", F.substring("text", F.greatest(F.lit(1), F.instr(F.lower("text"), "tion") - 100), F.lit(200)).alias("excerpt")))

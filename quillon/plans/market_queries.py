@@ -51,7 +51,7 @@ query("mkt_21_spike_flag", "v_snapshots", sql="SELECT event_id, market_id, coale
 _W12 = "OVER (PARTITION BY market_id ORDER BY captured_at RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND CURRENT ROW)"
 query("mkt_23_stable_path", "v_snapshots", sql=f"SELECT event_id, market_id, (count(*) {_W12} >= 2 AND max(probability) {_W12} - min(probability) {_W12} <= 0.06::DOUBLE)::INT AS stable FROM {{v_snapshots}}")(M.stable_path)
 query("mkt_24_median_recent_move", "v_snapshots", sql="WITH m AS (SELECT market_id, captured_at, abs(probability - lag(probability) OVER (PARTITION BY market_id ORDER BY captured_at, event_id)) AS move, max(captured_at) OVER (PARTITION BY market_id) AS newest FROM {v_snapshots}) SELECT market_id, round(median(move), 8) AS move FROM m WHERE newest - captured_at <= INTERVAL 48 HOUR GROUP BY 1")(
-    lambda s: s.withColumns({"move": F.abs(c("probability") - F.lag("probability").over(M.Window.partitionBy("market_id").orderBy("captured_at", "event_id"))), "newest": F.max("captured_at").over(M.Window.partitionBy("market_id"))}).where(F.unix_micros("newest") - F.unix_micros("captured_at") <= 48 * 3_600_000_000).groupBy("market_id").agg(F.percentile("move", 0.5).alias("move")))
+    M.median_recent_move)
 query("mkt_25_price_velocity", "v_snapshots", sql="WITH m AS (SELECT market_id, probability AS y, epoch_us(captured_at) - max(epoch_us(captured_at)) OVER (PARTITION BY market_id) AS x FROM {v_snapshots}) SELECT market_id, round(regr_slope(y, x / 3.6e9), 6) AS slope, count(*) AS n FROM m WHERE x >= -96 * 3600000000 GROUP BY 1")(lambda s: M.velocity(s, 96).withColumn("slope", F.round("slope", 6)))
 query("mkt_26_max_jump", "v_snapshots", sql="WITH m AS (SELECT market_id, abs(probability - lag(probability) OVER (PARTITION BY market_id ORDER BY captured_at, event_id)) AS move, epoch_us(captured_at) - max(epoch_us(captured_at)) OVER (PARTITION BY market_id) AS x FROM {v_snapshots}) SELECT market_id, round(coalesce(max(move), 0), 8) AS jump FROM m WHERE x >= -24 * 3600000000 GROUP BY 1")(M.max_jump)
 query("mkt_26_max_logit_jump", "v_snapshots", sql="WITH l AS (SELECT *, ln(greatest(0.01, least(0.99, probability)) / (1 - greatest(0.01, least(0.99, probability))))::DOUBLE AS y FROM {v_snapshots}), m AS (SELECT market_id, abs(y - lag(y) OVER (PARTITION BY market_id ORDER BY captured_at, event_id)) AS move, epoch_us(captured_at) - max(epoch_us(captured_at)) OVER (PARTITION BY market_id) AS x FROM l) SELECT market_id, round(coalesce(max(move), 0), 8) AS jump FROM m WHERE x >= -24 * 3600000000 GROUP BY 1")(lambda s: M.max_jump(s, 24, lambda p: X.logit(p, 0.01)))

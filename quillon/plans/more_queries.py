@@ -43,7 +43,7 @@ _round_trip("src_04_read_bundles", "v_markets",
     "SELECT asset AS ticker, market_id::VARCHAR AS \"marketId\", round(probability, 8) AS probability FROM {v_markets} WHERE asset <> 'Brand#3'")
 _round_trip("src_06_explode_dated_markets", "v_markets",
     lambda m, p: m.groupBy(F.expr("market_id div 100").cast("string").alias("date")).agg(F.collect_list(F.struct(c("asset").alias("question"), "probability", "volume")).alias("markets")).write.json(p),
-    lambda s, p: s.read.schema("date string, markets array<struct<question:string,probability:double,volume:double>>").json(p).select("date", F.explode("markets").alias("m")).select("date", "m.question", "m.probability"),
+    lambda s, p: R.read_dated_markets(s, p).select("date", "question", "probability"),
     "SELECT (market_id // 100)::VARCHAR AS date, asset AS question, round(probability, 8) AS probability FROM {v_markets}")
 _round_trip("src_12_ledger", "orders",
     lambda o, p: R.append_ledger(o.select("o_orderkey", F.struct("o_custkey", "o_orderstatus").alias("detail")), p),
@@ -58,7 +58,7 @@ _round_trip("src_20_eval_questions", "conversations",
     lambda s, p: R.read_eval_questions(s, p, "k string, q string"),
     "SELECT conv_id || '-' || turn AS k, replace(text, '\\', '/') AS q FROM conversations")
 query("flt_12_drop_fields_deep", "orders", sql="SELECT o_orderkey, o_custkey AS k FROM orders")(lambda o: J.drop_fields_deep(o.select("o_orderkey", F.struct(c("o_custkey").alias("k"), c("o_orderstatus").alias("url")).alias("s")), {"url"}).select("o_orderkey", "s.k"))
-query("agg_57_duplicate_terms", "documents", sql=r"WITH w AS (SELECT DISTINCT source, unnest(regexp_extract_all(text, '\b[A-Z]{4,7}\b')) AS w FROM documents) SELECT w AS term, count(*) AS sources FROM w GROUP BY 1 HAVING count(*) >= 2")(lambda d: d.select("source", F.explode(F.regexp_extract_all("text", F.lit(r"(?-U)(?<![A-Za-z0-9_])[A-Z]{4,7}(?![A-Za-z0-9_])"), F.lit(0))).alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("sources")).where("sources >= 2"))
+query("agg_57_duplicate_terms", "documents", sql=r"WITH w AS (SELECT DISTINCT source, unnest(regexp_extract_all(text, '\b[A-Z]{4,7}\b')) AS w FROM documents) SELECT w AS term, count(*) AS sources FROM w GROUP BY 1 HAVING count(*) >= 2")(lambda d: T.duplicate_terms(d, "source"))
 query("udf_04_user_projection", "v_snapshots", sql="WITH m AS (SELECT market_id, abs(sqrt(probability) - lag(sqrt(probability)) OVER (PARTITION BY market_id ORDER BY captured_at, event_id)) AS move, epoch_us(captured_at) - max(epoch_us(captured_at)) OVER (PARTITION BY market_id) AS x FROM {v_snapshots}) SELECT market_id, round(coalesce(max(move), 0), 8) AS jump FROM m WHERE x >= -24 * 3600000000 GROUP BY 1")(lambda s: M.max_jump(s, 24, F.sqrt))
 
 

@@ -23,7 +23,7 @@ query("txt_09_file_decay", "events", sql=f"""WITH f AS (SELECT event_id, value,
     lambda e: e.select("event_id", F.round(T.file_decay(c("value"), F.expr(_FILE), c("ts"), F.expr("timestamp '2024-01-20 00:00:00'")), 6).alias("score")))
 query("txt_09_temporal_decay", "events", sql="SELECT event_id, round(value * exp(-ln(2::DOUBLE) * date_diff('day', ts::DATE, DATE '2024-02-01') / 30), 6) AS score FROM events")(lambda e: e.select("event_id", F.round(T.temporal_decay(c("value"), F.datediff(F.lit("2024-02-01").cast("date"), F.to_date("ts")).cast("double")), 6).alias("score")))
 query("txt_12_recall", "events", sql="SELECT user_id, event_id FROM events WHERE lower(event_type) = 'click' AND ts >= TIMESTAMP '2024-01-10' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")(
-    lambda e: e.where("lower(event_type) = 'click' and ts >= timestamp '2024-01-10'").withColumn("rn", F.row_number().over(T.Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).where("rn <= 5").select("user_id", "event_id"))
+    lambda e: T.recall(e, "user_id", F.expr("lower(event_type) = 'click' and ts >= timestamp '2024-01-10'"), 5, F.desc("ts"), F.desc("event_id")).select("user_id", "event_id"))
 query("txt_14_latest_routing", "events", sql="SELECT user_id, max_by(event_type, (ts, event_id)) AS routing FROM events WHERE event_type <> 'error' GROUP BY 1")(lambda e: e.where("event_type <> 'error'").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("routing")))
 query("txt_15_missing_embeddings", "documents", "embeddings", sql="SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")(lambda d, e: d.join(e.select(c("vec_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id"))
 query("txt_16_html_to_text", "pages", sql=r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<style\b[^>]*>.*?</style>|<script\b[^>]*>.*?</script>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS h FROM pages""")(lambda p: p.select("page_id", F.md5(T.html_to_text(c("html"))).alias("h")))

@@ -147,6 +147,12 @@ def parse_filing_feed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").schema(schema).option("rowTag", "entry").load(path).select(c("link._href").alias("url"), F.left("updated", F.lit(10)).alias("date"), "title")
 
 
+def read_dated_markets(spark: SparkSession, path: str) -> DataFrame:
+    """(date, question, probability, volume): one row per market of files that hold (date, markets); days without markets give none."""
+    days = spark.read.schema("date string, markets array<struct<question:string,probability:double,volume:double>>").json(path)
+    return days.select("date", F.explode("markets").alias("m")).select("date", "m.*")
+
+
 def read_ledger(spark: SparkSession, path: str, schema: str, json_columns: dict[str, str]) -> DataFrame:
     rows = spark.read.schema(schema).option("header", True).option("sep", "\t").csv(path)
     return rows.withColumns({k: F.from_json(k, v) for k, v in json_columns.items()})
