@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.plans.base import ORACLES, QUERIES, duck, query, shared_folder, tidy
 from quillon.sources import readers as R
+from quillon.streaming import rolling as O
 from quillon.streaming import stateful as S
 
 c = F.col
@@ -76,6 +78,38 @@ _stream_query("str_09_stream_stats", lambda e: S.windowed_event_stats(e, waterma
 _stream_query("str_11_stream_latest_price", S.latest_price_state, "complete", lambda d: d, "SELECT user_id, max_by(value, (ts, event_id)) AS price FROM events GROUP BY 1")
 
 
+_ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _rolling(rule: O.Rolling):  # noqa: ANN202
+    """Scores of every user's values over the drained stream, which holds list state: the session's store is set for the run."""
+
+    def go(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = spark.conf.get(_ROCKS[0], None)
+        spark.conf.set(*_ROCKS)
+        try:
+            rows = _drained(spark, sf_dir, lambda e: O.rolling_stream(e.select(c("user_id").cast("string").alias("series"), c("ts").alias("at"), c("value").alias("x")), rule), "append")
+        finally:
+            spark.conf.set(_ROCKS[0], before) if before else spark.conf.unset(_ROCKS[0])
+        return tidy(rows.select("series", F.unix_micros("at").alias("us"), F.round("score", 6).alias("score")))
+
+    return go
+
+
+def _rolling_sql(size: int, days: int, score: str) -> str:
+    # the stream's rows are those that its watermark, a day behind the newest event, has passed
+    return f"""WITH r AS (SELECT user_id::VARCHAR AS series, epoch_us(ts) AS us, min(value) AS x FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY ALL),
+    h AS (SELECT *, list({{'us': us, 'x': x}}) OVER (PARTITION BY series ORDER BY us ROWS BETWEEN {size} PRECEDING AND 1 PRECEDING) AS held, max(us) OVER () AS newest FROM r),
+    k AS (SELECT series, us, x, newest, coalesce([v.x FOR v IN held IF v.us >= us - {days * 86_400_000_000}], []) AS b FROM h)
+    SELECT series, us, round({score}, 6) AS score FROM k WHERE us // 1000 < newest // 1000 - 86400000"""
+
+
+QUERIES["str_07_stream_entropy_z"] = _rolling(O.rolling_z(60, pd.Timedelta(days=10)))
+ORACLES["str_07_stream_entropy_z"] = _rolling_sql(60, 10, "CASE WHEN len(b) < 5 OR list_stddev_pop(b) < 1e-12 THEN 0 ELSE (x - list_avg(b)) / list_stddev_pop(b) END::DOUBLE")
+QUERIES["str_05_stream_quantile"] = _rolling(O.rolling_quantile(50, pd.Timedelta(days=10)))
+ORACLES["str_05_stream_quantile"] = _rolling_sql(50, 10, "greatest(1, coalesce(list_sort(b)[greatest(ceil(len(b) * 0.9), 1)::INT], 1))::DOUBLE")
+
+
 def _positions(customers: DataFrame) -> DataFrame:
     return customers.where("c_custkey % 2 = 0").select(c("c_custkey").cast("long").alias("user_id"), (c("c_custkey") % 7 + 1).cast("double").alias("quantity"))
 
