@@ -147,30 +147,3 @@ def incremental_index(batch: DataFrame, index_path: str) -> None:
             raise
         known = None
     (new if known is None else new.join(known, "hash", "left_anti")).write.mode("append").parquet(index_path)
-
-
-class EntropyZ(StatefulProcessor):
-    """Streaming z-scores against a key's last 60 earlier values, which are its state."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("values", "v array<double>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
-        held = list(self.state.get()[0]) if self.state.exists() else []
-        for frame in rows:
-            frame, out = frame.sort_values(["d"]), []
-            for x in frame["x"]:
-                s = pd.Series(held)
-                sd = s.std(ddof=0) if len(held) >= 5 else 0.0
-                out.append((float(x) - s.mean()) / sd if sd > 1e-12 else 0.0)
-                held = (held + [float(x)])[-60:]
-            yield pd.DataFrame({"series": key[0], "d": frame["d"].to_numpy(), "z": out})
-        self.state.update((held,))
-
-    def close(self) -> None:
-        pass
-
-
-def rolling_entropy_z_stream(values: DataFrame) -> DataFrame:
-    """(series, d, x) to z, the streaming twin of series.entropy_z; needs the RocksDB state store."""
-    return values.groupBy("series").transformWithStateInPandas(EntropyZ(), "series string, d date, z double", "Append", "None")
