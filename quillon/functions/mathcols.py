@@ -23,6 +23,11 @@ def clamp(x: Column, low: float | Column, high: float | Column) -> Column:
     return F.greatest(low, F.least(high, x))
 
 
+def divided(a: Column, b: Column) -> Column:
+    """a / b as floats divide everywhere but in ANSI SQL: by zero it is infinite, or no number where a is zero too."""
+    return F.when(b != 0, F.try_divide(a, b)).when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a.isNotNull() & b.isNotNull(), float("nan"))
+
+
 def erf(x: Column) -> Column:
     """Error function by Abramowitz and Stegun 7.1.26 (error below 1.5e-7)."""
     p, a = ERF

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from quillon.functions.mathcols import clamp, normal_cdf
+from quillon.functions.mathcols import clamp, divided, normal_cdf
 
 STATES = ("bull", "bear", "sideways")
 
@@ -23,9 +23,9 @@ def _back(n: int, end: int = 0) -> WindowSpec:
 
 
 def simple_returns(prices: DataFrame) -> DataFrame:
-    """(p - previous p) / previous p; the first row of a series has none and is left out."""
+    """(p - previous p) / previous p; the first row of a series has none and is left out. After a price of zero it is infinite, from zero to zero NaN."""
     before = F.lag("close").over(_time())
-    return prices.withColumn("r", (F.col("close") - before) / before).where("r is not null").select("series", "d", "r")
+    return prices.withColumn("r", divided(F.col("close") - before, before)).where("r is not null").select("series", "d", "r")
 
 
 def log_returns(prices: DataFrame) -> DataFrame:
