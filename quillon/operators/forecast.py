@@ -78,24 +78,25 @@ def walk_forward(prices: DataFrame, horizon: int = 5, warmup: int = 120, stride:
     """A step table: at every stride-th row t the last `warmup` returns give an up-rate and a normal interval, met by the price at t + horizon.
 
     The training window is bounded, so each row serves at most warmup / stride steps: rows are dealt to their steps
-    (an explode, then one aggregation on (series, step)), no range join and no history per step.
+    (an explode, then one aggregation on (series, step)), no range join and no history per step. Up is a later price
+    above the row's own, zero or not; returns from or to a price of zero have no logarithm and train nothing, and a step
+    at a price of zero has no actual return.
     """
     time = Window.partitionBy("series").orderBy("d")
-    rows = prices.withColumns({"i": F.row_number().over(time) - 1, "r": F.log(c("close") / F.lag("close").over(time)), "future": F.lead("close", horizon).over(time), "moved": F.sum(F.lit(0)).over(time)}).drop("moved")
-    ahead = F.log(c("future") / c("close"))
-    rows = rows.withColumn("ahead", ahead)
+    rows = prices.withColumns({"i": F.row_number().over(time) - 1, "r": F.log(F.try_divide("close", F.lag("close").over(time))), "future": F.lead("close", horizon).over(time), "moved": F.sum(F.lit(0)).over(time)}).drop("moved")
+    rows = rows.withColumn("up", c("future") > c("close"))
     # step s = warmup + k * stride trains on rows s - warmup + 1 .. s, whose forward return ends by s if i + horizon <= s
     k_low = F.greatest(F.ceil((c("i") - warmup) / stride), F.lit(0))
     k_high = F.floor((c("i") - 1) / stride)
-    dealt = rows.where(k_low <= k_high).select("series", "i", "r", "ahead", F.explode(F.sequence(k_low, k_high)).alias("k")).withColumn("step", warmup + c("k") * stride)
+    dealt = rows.where(k_low <= k_high).select("series", "i", "r", "up", F.explode(F.sequence(k_low, k_high)).alias("k")).withColumn("step", warmup + c("k") * stride)
     known = c("i") + horizon <= c("step")
-    train = dealt.groupBy("series", "step").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.avg(F.when(known, (c("ahead") > 0).cast("double"))).alias("up"), F.count(F.lit(1)).alias("n"))
+    train = dealt.groupBy("series", "step").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.avg(F.when(known, c("up").cast("double"))).alias("up"), F.count(F.lit(1)).alias("n"))
     at = rows.where("future is not null").select("series", "d", "close", "future", c("i").alias("step"))
     met = train.join(at.hint("merge"), ["series", "step"])
     half = 1.645 * c("s") * horizon**0.5
     predicted = F.exp(c("m") * horizon) - 1
     return met.select(
-        c("series").alias("ticker"), "d", F.lit(horizon).alias("horizon"), c("step").alias("t"), F.coalesce("up", F.lit(0.5)).alias("predicted_prob"), predicted.alias("predicted_return"), (c("future") / c("close") - 1).alias("actual_return"),
+        c("series").alias("ticker"), "d", F.lit(horizon).alias("horizon"), c("step").alias("t"), F.coalesce("up", F.lit(0.5)).alias("predicted_prob"), predicted.alias("predicted_return"), (F.try_divide("future", "close") - 1).alias("actual_return"),
         (c("future") > c("close")).cast("int").alias("y"), c("future").alias("realized_price"), (c("close") * F.exp(c("m") * horizon - half)).alias("ci_lower"), (c("close") * F.exp(c("m") * horizon + half)).alias("ci_upper"),
         F.least(F.lit(1.0), 2 * F.abs(F.coalesce("up", F.lit(0.5)) - 0.5)).alias("confidence"), F.when(predicted > 0.005, "BUY").when(predicted < -0.005, "SELL").otherwise("HOLD").alias("recommendation"), F.lit(None).cast("string").alias("regime"),
     )
