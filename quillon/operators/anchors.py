@@ -33,13 +33,16 @@ def recalibrate(p: Column, domain: Column, days: Column) -> Column:
 
 
 def relevance(q: Column, name: Column, days_off: Column) -> Column:
-    """Points for a dollar price, a direction, a date word, the asset's name and a near resolution; less for paths and other subjects."""
+    """Points for a dollar price, a direction, a date word, the asset's name and a near resolution; less for paths and other subjects.
+
+    A word ends at anything but ASCII letters, digits and underscores, also at an accented letter, on every version of Java.
+    """
     low = F.lower(q)
-    has = lambda pattern: low.rlike(pattern)
+    has = lambda words: low.rlike(rf"(?<![0-9A-Za-z_])({words})(?![0-9A-Za-z_])")
     # fixed values: the word patterns and their points
     points = [
-        (q.rlike(r"\$[0-9,]+"), 3), (has(r"\b(above|below|less than|more than|greater than|under|over)\b"), 2), (has(r"\b(on|at)\b"), 1), (F.contains(low, F.lower(name)), 2),
-        (has(r"\b(reach|hit|dip to|between|up or down|first)\b"), -3), (has(r"\b(election|sports|game|match|player|team|president|candidate)\b"), -5),
+        (q.rlike(r"\$[0-9,]+"), 3), (has("above|below|less than|more than|greater than|under|over"), 2), (has("on|at"), 1), (F.contains(low, F.lower(name)), 2),
+        (has("reach|hit|dip to|between|up or down|first"), -3), (has("election|sports|game|match|player|team|president|candidate"), -5),
     ]
     near = F.when(days_off.isNull(), 0.0).otherwise(4 - F.least(F.lit(4.0), F.abs(days_off)))
     return reduce(lambda a, x: a + F.when(x[0], float(x[1])).otherwise(0.0), points, near)
