@@ -17,9 +17,13 @@ c = F.col
 
 
 def stream_snapshots(raw: DataFrame, watermark: str = "48 hours") -> DataFrame:
-    """The snapshot rules on a stream, repeats within the watermark dropped; late rows past it are lost, as documented."""
+    """The snapshot rules on a stream, repeats within the watermark dropped; late rows past it are lost, as documented.
+
+    A repeat is the same snapshot again, equal in every column: which of two that differ came first in a batch is left to
+    chance, so both stay.
+    """
     good, _ = clean_snapshots(raw)
-    return good.withWatermark("capturedAt", watermark).dropDuplicatesWithinWatermark(["marketId", "capturedAt"])
+    return good.withWatermark("capturedAt", watermark).dropDuplicatesWithinWatermark(good.columns)
 
 
 def windowed_event_stats(events: DataFrame, width: str = "1 day", slide: str | None = None, watermark: str | None = None) -> DataFrame:
