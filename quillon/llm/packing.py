@@ -30,7 +30,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1)
         run = encoder(tokenizer)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for at, texts in chunks(batch):
+            for at, texts in chunks(batch, most=500_000):
                 ids, ends = run(texts)
                 rows = []
                 for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
