@@ -38,9 +38,9 @@ def _flagged(s: DataFrame) -> DataFrame:
 
 
 _SHOWN = f"policy, partition, threshold, steps, selected, {', '.join(f'round({x}, 8) AS {x}' for x in _FIGURES)}"
-query("agg_46_ablation", "v_steps", sql=f"WITH {_ablation_sql({'baseline': 'confidence'} | _POLICIES)} SELECT {_SHOWN} FROM ab")(lambda s: B.policy_ablation(_flagged(s)))
+query("agg_46_ablation", "v_numbered_steps", sql=f"WITH {_ablation_sql({'baseline': 'confidence'} | _POLICIES)} SELECT {_SHOWN} FROM ab")(lambda s: B.policy_ablation(_flagged(s)))
 _DELTAS = ("mean_confidence", "brier", "accuracy", "coverage", "selective_accuracy", "selective_p_up")
-query("agg_46_deltas", "v_steps", sql=f"WITH {_ablation_sql({'baseline': 'confidence'} | _POLICIES)} SELECT a.policy, a.partition, a.threshold, {', '.join(f'round(a.{x} - b.{x}, 8) + 0.0::DOUBLE AS d_{x}' for x in _DELTAS)} FROM ab a JOIN ab b ON b.policy = 'baseline' AND a.policy <> 'baseline' AND a.partition = b.partition AND a.threshold = b.threshold")(
+query("agg_46_deltas", "v_numbered_steps", sql=f"WITH {_ablation_sql({'baseline': 'confidence'} | _POLICIES)} SELECT a.policy, a.partition, a.threshold, {', '.join(f'round(a.{x} - b.{x}, 8) + 0.0::DOUBLE AS d_{x}' for x in _DELTAS)} FROM ab a JOIN ab b ON b.policy = 'baseline' AND a.policy <> 'baseline' AND a.partition = b.partition AND a.threshold = b.threshold")(
     lambda s: B.policy_deltas(B.policy_ablation(_flagged(s))).withColumns({f"d_{x}": F.round(f"d_{x}", 8) + F.lit(0.0) for x in _DELTAS}))  # fmt: skip  (no negative zeros)
 # a policy of the user's: the confidence shrinks with the divergence, and by half where the run did not converge
 _OWN = "confidence * (1 - least(0.9::DOUBLE, 2 * coalesce(divergence, 0))) * CASE WHEN hmm_converged THEN 1 ELSE 0.5::DOUBLE END"
@@ -65,6 +65,6 @@ def _rounded(d: DataFrame) -> DataFrame:
 
 
 _METRICS = {"brier": "(predicted_prob - y) ** 2", "accuracy": f"({_HIT})::DOUBLE", "coverage": "(realized_price BETWEEN ci_lower AND ci_upper)::INT::DOUBLE"}
-query("agg_38_bootstrap", "v_steps", sql=_bootstrap_sql(_METRICS, 200))(lambda s: _rounded(B.bootstrap(s, {"brier": F.pow(c("predicted_prob") - c("y"), 2), "accuracy": A.hit(), "coverage": A.covered()})))
+query("agg_38_bootstrap", "v_numbered_steps", sql=_bootstrap_sql(_METRICS, 200))(lambda s: _rounded(B.bootstrap(s, {"brier": F.pow(c("predicted_prob") - c("y"), 2), "accuracy": A.hit(), "coverage": A.covered()})))
 # a metric of the user's: the mean edge
-query("udf_01_user_metric", "v_steps", sql=_bootstrap_sql({"edge": _EDGE}, 50))(lambda s: _rounded(B.bootstrap(s, {"edge": A.edge()}, replicates=50)))
+query("udf_01_user_metric", "v_numbered_steps", sql=_bootstrap_sql({"edge": _EDGE}, 50))(lambda s: _rounded(B.bootstrap(s, {"edge": A.edge()}, replicates=50)))

@@ -53,7 +53,7 @@ query("ser_51_walk_forward_replay", "v_prices_short", "v_snapshots", sql="""WITH
     SELECT up.series AS ticker, d, step AS t, y, coalesce(n, 0) AS markets, round(m.p, 8) AS market_p, round(coalesce((1 - 0.31415926::DOUBLE) * up + 0.31415926::DOUBLE * m.p, up), 8) AS blended FROM up LEFT JOIN m USING (series, d)""")(
     lambda p, s: W.walk_forward_replay(p, s.select(c("market_id").alias("key"), c("question").alias("market"), c("captured_at").alias("at"), "probability", F.date_add(F.lit("2024-01-01").cast("date"), ((c("market_id") * 7 + F.length("question")) % 30).cast("int")).alias("closes")), weight=0.31415926, shock=0.3, max_age=5, horizon=2, warmup=10, stride=3)
     .select("ticker", "d", "t", "y", F.coalesce("markets", F.lit(0)).alias("markets"), "market_p", "blended"))
-query("ser_58_base_rate_floor", "v_steps", sql="SELECT ticker, horizon, t, round(greatest(0.35, 0.5 - greatest(0.05, least(0.10, 0.05 + (predicted_prob - 0.5) * 0.2))), 8) AS floor FROM {v_steps}")(lambda s: s.select("ticker", "horizon", "t", W.base_rate_floor(c("predicted_prob"), F.lit(0.5), F.lit(False))[1].alias("floor")))
+query("ser_58_base_rate_floor", "v_numbered_steps", sql="SELECT ticker, horizon, t, round(greatest(0.35, 0.5 - greatest(0.05, least(0.10, 0.05 + (predicted_prob - 0.5) * 0.2))), 8) AS floor FROM {v_steps}")(lambda s: s.select("ticker", "horizon", "t", W.base_rate_floor(c("predicted_prob"), F.lit(0.5), F.lit(False))[1].alias("floor")))
 query("ser_60_soft_regime", "v_prices", sql=f"WITH {_S}, {_MIX}, e AS (SELECT series, least(1, -(bull * ln(bull) + bear * ln(bear) + sideways * ln(sideways)) / ln(3)) AS e FROM mx) SELECT series, round(e::DOUBLE, 8) AS entropy, round(greatest(0.65, 1 - 0.35 * e)::DOUBLE, 8) AS confidence, round((1 + 0.35 * e)::DOUBLE, 8) AS ci_scale FROM e")(lambda p: W.soft_regime(W.start_state_mixture(_states(p))))
 query("str_07_rolling_entropy_z", "v_prices", sql=ORACLES["ser_28_entropy_z"])(lambda p: S.entropy_z(p).withColumn("z", F.round("z", 6)).withColumn("scale", F.greatest(F.lit(0.7), F.least(F.lit(1.4), 1 + 0.15 * c("z")))))
 query("udf_03_user_evaluator", "v_steps", sql="SELECT horizon, count(*) FILTER (confidence >= 0.5) AS sure FROM {v_steps} GROUP BY 1")(lambda s: s.transform(lambda x: x.groupBy("horizon").agg(F.count_if(c("confidence") >= 0.5).alias("sure"))))

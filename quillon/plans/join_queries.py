@@ -102,7 +102,7 @@ query("top_03_last_n_per_group", "events", sql="SELECT user_id, event_id FROM ev
 query("top_04_dedup_by_key", "documents", sql="SELECT doc_id, md5(text) AS h FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1")(lambda d: J.latest_n(d.select("doc_id", F.md5("text").alias("h")), "h", 1, c("doc_id")).drop("rn"))
 query("top_05_upsert_by_hash", "documents", sql="""WITH u AS (SELECT md5(text) AS k, doc_id AS payload, doc_id AS created, doc_id AS updated, (doc_id % 2)::INT AS nw FROM documents) SELECT k, max_by(payload, (nw, updated)) AS payload, min(created) AS created, max(updated) AS updated FROM u GROUP BY 1""")(
     lambda d: J.upsert(*[d.where(c("doc_id") % 2 == i).select(F.md5("text").alias("k"), c("doc_id").alias("payload"), c("doc_id").alias("created"), c("doc_id").alias("updated")) for i in (0, 1)], "k"))
-query("top_06_max_confidence", "v_steps", sql="SELECT ticker, horizon, max_by(t, (confidence, -t)) AS t, max(confidence) AS confidence FROM {v_steps} GROUP BY ALL")(lambda s: s.groupBy("ticker", "horizon").agg(F.max_by("t", F.struct("confidence", -c("t"))).alias("t"), F.max("confidence").alias("confidence")))
+query("top_06_max_confidence", "v_numbered_steps", sql="SELECT ticker, horizon, max_by(t, (confidence, -t)) AS t, max(confidence) AS confidence FROM {v_steps} GROUP BY ALL")(lambda s: s.groupBy("ticker", "horizon").agg(F.max_by("t", F.struct("confidence", -c("t"))).alias("t"), F.max("confidence").alias("confidence")))
 query("top_07_top_domains", "pages", sql="SELECT lang, domain, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, domain) AS rn FROM (SELECT regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) AS lang, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS domain, count(*) AS n FROM pages GROUP BY ALL)) WHERE rn <= 5")(
     lambda p: J.latest_n(p.groupBy(F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]+)/", 1).alias("lang"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("domain")).agg(F.count(F.lit(1)).alias("n")), "lang", 5, F.desc("n"), c("domain")).drop("rn"))
 query("top_08_unusual_volume", "part", sql="SELECT side, p_partkey, rn FROM (SELECT side, p_partkey, row_number() OVER (PARTITION BY side ORDER BY p_size DESC, p_partkey) AS rn FROM (SELECT *, p_partkey % 2 AS side, avg(p_size) OVER (PARTITION BY p_partkey % 2) AS m FROM part) WHERE p_size > 1.5 * m) WHERE rn <= 5")(

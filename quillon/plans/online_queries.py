@@ -32,7 +32,7 @@ _PID = _reduced(
     {"q": f"greatest({_num(0.0)}, a.q + {_num(0.05)} * ({_num(1.0)} * {_E} + {_num(0.1)} * (a.i + {_E}) + {_num(0.1)} * ({_E} - a.e)))", "i": f"a.i + {_E}", "e": _E, "hit": f"a.hit + 1 - {_MISS}", "n": "a.n + 1"},
     "round(a.q, 8) AS radius, round(a.hit / a.n, 8) AS coverage",
 )
-query("str_03_conformal_pid", "v_steps", sql=_PID)(lambda s: Z.conformal_pid(s.withColumn("residual", F.abs(c("actual_return") - c("predicted_return")))))
+query("str_03_conformal_pid", "v_numbered_steps", sql=_PID)(lambda s: Z.conformal_pid(s.withColumn("residual", F.abs(c("actual_return") - c("predicted_return")))))
 
 _HELD = f"greatest({_num(1e-6)}, least({_num(1 - 1e-6)}, x.p))"
 _X = f"ln({_HELD} / (1 - {_HELD}))"
@@ -44,7 +44,7 @@ _BRIER = _reduced(
     {"bias": f"greatest({_num(-2.0)}, least({_num(2.0)}, a.bias - {_num(0.05)} * {_G}))", "slope": f"greatest({_num(0.2)}, least({_num(3.0)}, a.slope - {_num(0.05)} * {_G} * {_X}))"},
     "round(a.bias, 8) AS bias, round(a.slope, 8) AS slope",
 )
-query("str_06_online_brier", "v_steps", sql=_BRIER)(lambda s: Z.online_brier_calibrator(s.select("ticker", "horizon", "t", c("predicted_prob").alias("p"), c("y").cast("double").alias("y"))))
+query("str_06_online_brier", "v_numbered_steps", sql=_BRIER)(lambda s: Z.online_brier_calibrator(s.select("ticker", "horizon", "t", c("predicted_prob").alias("p"), c("y").cast("double").alias("y"))))
 
 _BASE = "CASE WHEN a.vol >= 0 THEN a.vol ELSE a.res END"
 _SHOCK = f"(x.brk > 0 OR (x.rv > 0 AND {_BASE} >= 0 AND x.rv >= {_BASE} * {_num(1.5)}))"
@@ -61,4 +61,4 @@ _BREAK = _reduced(
     },
     f"round(a.q, 8) AS radius, round(a.q * CASE WHEN a.mode > 0 THEN sqrt({_num(1.5)}) ELSE 1 END, 8) AS applied, round(a.hit / a.n, 8) AS coverage, a.broken::INT AS breaks",
 )
-query("str_04_adaptive_conformal", "v_steps", sql=_BREAK)(lambda s: Z.adaptive_conformal(s.select("ticker", "horizon", "t", F.abs(c("actual_return") - c("predicted_return")).alias("residual"), F.abs("actual_return").alias("rv"), (c("t") % 97 == 0).alias("is_break")), cooloff=3))
+query("str_04_adaptive_conformal", "v_numbered_steps", sql=_BREAK)(lambda s: Z.adaptive_conformal(s.select("ticker", "horizon", "t", F.abs(c("actual_return") - c("predicted_return")).alias("residual"), F.abs("actual_return").alias("rv"), (c("t") % 97 == 0).alias("is_break")), cooloff=3))

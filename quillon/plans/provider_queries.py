@@ -42,7 +42,7 @@ def udf_05_history_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _called(spark: SparkSession, sf_dir: str, function: str, steps: str, options: str) -> DataFrame:
     L.register(spark)
     name = f"steps_{uuid.uuid4().hex}"
-    view(spark, sf_dir, "v_steps").createOrReplaceTempView(name)
+    view(spark, sf_dir, "v_numbered_steps").createOrReplaceTempView(name)
     return spark.sql(f"SELECT * FROM {function}(TABLE(SELECT ticker, horizon, t, {steps} FROM {name}), {options})")
 
 
