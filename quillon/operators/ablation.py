@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from math import sin
 
 import numpy as np
 import pyarrow as pa
@@ -107,11 +108,80 @@ def policy_deltas(ablation: DataFrame, baseline: str = "baseline") -> DataFrame:
 _POISSON = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) for k in range(8)])
 
 
+_LEAST = [int(np.ceil(x * 2.0**32 - 0.5)) for x in _POISSON]  # the first number n of (n + 0.5) / 2^32 >= x
+#: RFC 1321: constants and rotations of the 64 steps, the first state.
+_SINES = [int(abs(sin(i + 1)) * 2**32) for i in range(64)]
+_TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+_STATE = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+#: Rows that are hashed at once, so that the columns stay in the processor's cache.
+_LANES = 512
+
+
+def _md5(words: np.ndarray) -> list[np.ndarray]:
+    """md5 of one-block messages, one in each column of 16 words (uint32); its four words."""
+    a, b, c, d = (np.full(words.shape[1], x, np.uint32) for x in _STATE)
+    f, g = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        part, at = divmod(i, 16)
+        if part < 2:
+            x, y, z = (b, c, d) if part == 0 else (d, b, c)
+            np.bitwise_xor(y, z, out=f)
+            np.bitwise_and(f, x, out=f)
+            np.bitwise_xor(f, z, out=f)
+        elif part == 2:
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_xor(f, d, out=f)
+        else:
+            np.invert(d, out=f)
+            np.bitwise_or(f, b, out=f)
+            np.bitwise_xor(f, c, out=f)
+        np.add(f, a, out=f)
+        np.add(f, words[(at, 5 * at + 1, 3 * at + 5, 7 * at)[part] % 16], out=f)
+        np.add(f, np.uint32(_SINES[i]), out=f)
+        turn = _TURNS[part][i % 4]
+        np.left_shift(f, np.uint32(turn), out=g)
+        np.right_shift(f, np.uint32(32 - turn), out=f)
+        np.bitwise_or(f, g, out=f)
+        np.add(f, b, out=a)  # a becomes the new b
+        a, b, c, d = d, a, b, c
+    return [x + np.uint32(y) for x, y in zip((a, b, c, d), _STATE, strict=True)]
+
+
+def drawn_weights(names: list[str], replicates: int) -> np.ndarray:
+    """Poisson(1) weights of rows (by name) in each replicate: four from the md5 of name and block, so any SQL engine can draw the same.
+
+    Names of one md5 block are hashed together, a column of words each; longer ones one by one.
+    """
+    blocks = -(-replicates // 4)
+    tails = [f"|{i}".encode() for i in range(blocks)]
+    keys = [x.encode() for x in names]
+    drawn = np.empty((len(keys), replicates), np.float64)
+    size = np.array([len(x) for x in keys], np.int64)
+    short = np.flatnonzero(size + len(tails[-1]) <= 55) if blocks else np.zeros(0, np.int64)
+    for start in range(0, len(short), _LANES):
+        at = short[start : start + _LANES]
+        n, own = np.arange(len(at)), size[at]
+        text = np.zeros((blocks, len(at), 64), np.uint8)
+        text[:] = np.array([keys[i] for i in at], "S64").view(np.uint8).reshape(len(at), 64)
+        for i, tail in enumerate(tails):
+            for k, byte in enumerate(tail + b"\x80"):
+                text[i, n, own + k] = byte
+        words = text.reshape(-1, 64).view("<u4").T.copy()
+        words[14] = (8 * (own + np.array([[len(x)] for x in tails]))).ravel()
+        numbers = np.stack([x.byteswap().reshape(blocks, len(at)) for x in _md5(words)])  # word, block, row
+        count = np.zeros(numbers.shape, np.uint8)
+        for least in _LEAST:
+            count += numbers >= np.uint32(least)
+        drawn[at] = count.transpose(2, 1, 0).reshape(len(at), -1)[:, :replicates]
+    for i in np.setdiff1d(np.arange(len(keys)), short).tolist():
+        raw = b"".join(hashlib.md5(keys[i] + x).digest() for x in tails)
+        drawn[i] = np.searchsorted(_POISSON, (np.frombuffer(raw, ">u4")[:replicates] + 0.5) / 2.0**32, side="right")
+    return drawn
+
+
 def weights(key: str, replicates: int) -> np.ndarray:
-    """Poisson(1) weights of a row in each replicate: four from the md5 of key and block, so any SQL engine can draw the same."""
-    raw = b"".join(hashlib.md5(f"{key}|{i}".encode()).digest() for i in range(-(-replicates // 4)))
-    u = (np.frombuffer(raw, ">u4")[:replicates] + 0.5) / 2.0**32
-    return np.searchsorted(_POISSON, u, side="right").astype(np.float64)
+    """The weights of one row."""
+    return drawn_weights([key], replicates)[0]
 
 
 def bootstrap(steps: DataFrame, metrics: dict[str, Column | tuple[Column, Column]], replicates: int = 200, seed: int = 7, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
@@ -134,7 +204,7 @@ def bootstrap(steps: DataFrame, metrics: dict[str, Column | tuple[Column, Column
             values = np.stack([np.nan_to_num(batch.column(x).to_numpy(zero_copy_only=False).astype(np.float64)) for x in names])
             codes = batch.column("_key").dictionary_encode()
             own = codes.indices.to_numpy()
-            drawn = np.stack([weights(x, replicates) for x in batch.column("_name").to_pylist()]) if len(batch) else np.zeros((0, replicates))
+            drawn = drawn_weights(batch.column("_name").to_pylist(), replicates)
             for i, key in enumerate(codes.dictionary.to_pylist()):
                 mine = own == i
                 held[key] = held.get(key, 0) + values[:, mine] @ drawn[mine]
