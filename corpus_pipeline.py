@@ -62,7 +62,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate component stays: one with the component's smallest doc_id, if any has a doc_id.
 
-    Documents link at a Jaccard similarity of 0.8 of their five-word shingles, verified on the whole sets. Rows without
+    Candidates are found by operator 9's method, SimHash fingerprints linked through Golay keys, and by MinHash keys where
+    fingerprints differ in more than three bits; documents link at a Jaccard similarity of 0.8 of their five-word
+    shingles, verified on the whole sets. Rows without
     a doc_id, or with the same one, are judged each by its own text; of repeated rows one stays.
     """
     rows = docs.select(F.col("doc_id").alias("_id"), _key("doc_id", F.sha2(dedup.normalized(F.col("text")), 256)).alias("_key"), "text")

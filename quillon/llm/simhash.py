@@ -44,7 +44,11 @@ def shingle_hashes(text: str, words: int = WORDS) -> list[int]:
 
 def fingerprint(text: str, words: int = WORDS) -> int:
     """64-bit SimHash of the word shingles of a whole text, repeats included; no words: 0."""
-    hashes = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits set in over half of the hashes, repeats included; none: 0."""
     if not hashes:
         return 0
     n = len(hashes)
@@ -212,6 +216,14 @@ def _are_stars(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("centre").alias("centre")).where("up + centre > 1").isEmpty()
 
 
+def golay_links(fps: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what pairs of distinct fingerprints (fp) within RADIUS connect."""
+    found = common.materialize(bucket_links(key_rows(fps.select("fp", F.col("fp").alias("node")))), "links")
+    links = found.where("not hot").select("a", "b")
+    hot = found.where("hot").select(F.col("a").alias("fp"), F.col("b").alias("node")).distinct()
+    return links if hot.isEmpty() else links.union(hot_links(hot))
+
+
 def parts(docs: DataFrame, *keep: str) -> DataFrame:
     """One row per document: doc_id, the kept columns, fp, part and component_id.
 
@@ -220,12 +232,7 @@ def parts(docs: DataFrame, *keep: str) -> DataFrame:
     """
     rows = common.materialize(fingerprints(docs, *keep), "fingerprints")
     fps = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    found = common.materialize(bucket_links(key_rows(fps.select("fp", F.col("fp").alias("node")))), "links")
-    links = found.where("not hot").select("a", "b")
-    hot = found.where("hot").select(F.col("a").alias("fp"), F.col("b").alias("node")).distinct()
-    if not hot.isEmpty():
-        links = links.union(hot_links(hot))
-    met = components(links).join(fps.withColumnRenamed("fp", "node").hint("merge"), "node")
+    met = components(golay_links(fps)).join(fps.withColumnRenamed("fp", "node").hint("merge"), "node")
     met = common.materialize(met.select(F.col("component").alias("u"), F.col("node").alias("v"), "least"), "parts")
     linked = _with_least(met, "least").select(F.col("v").alias("fp"), F.col("u").alias("part"), "m")
     joined = fps.join(linked.hint("merge"), "fp", "left").select("fp", F.coalesce("part", "fp").alias("part"), F.when(F.col("part").isNull(), F.col("least")).otherwise(F.col("m")).alias("component_id"))

@@ -1,6 +1,7 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: MinHash keys, blocks, verified links, components.
+"""Near-duplicates by SimHash and exact Jaccard similarity of word shingles: Golay keys, blocks, verified links, components.
 
-Texts that share a key are joined into blocks; the sets of a block travel to one task together, once, and are compared
+Candidates are the texts whose fingerprints Golay keys link at three bits, as in simhash; pairs of a similarity that
+three bits cannot reach come from MinHash keys besides. Texts that share a key are joined into blocks; the sets of a block travel to one task together, once, and are compared
 there with an inverted list. No pair leaves a task: it emits the links of its members to the smallest one of their part.
 A block beyond BLOCK_TEXTS or BLOCK_SHINGLES is dealt into chunks, and every two chunks meet in a task of their own.
 """
@@ -76,17 +77,28 @@ def _node(text: Column) -> Column:
 
 
 def _signatures(docs: DataFrame, keep: tuple[str, ...], words: int) -> DataFrame:
-    """The kept columns, node, the keys of the text and the number of its shingles."""
+    """The kept columns, node, the MinHash keys of the text, the number of its distinct shingles and its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in chunks(batch):
-                found = [shingles(x, words) for x in part]
+                hashes = [simhash.shingle_hashes(x, words) for x in part]
+                fps = pa.array(np.array([simhash.majority(x) for x in hashes], np.uint64).view(np.int64))
+                found = [np.unique(np.array(x, np.uint64)) for x in hashes]
+                del hashes
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([band_keys(x) for x in found])), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(x).slice(at, len(part)) for x in (*keep, "_node")], keys, pa.array([len(x) for x in found], pa.int32())], names=[*keep, "_node", "_keys", "_size"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(x).slice(at, len(part)) for x in (*keep, "_node")], keys, pa.array([len(x) for x in found], pa.int32()), fps], names=[*keep, "_node", "_keys", "_size", "_fp"])
 
     rows = docs.select(*keep, "_node", "text")
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("_keys", ArrayType(LongType())), StructField("_size", IntegerType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("_keys", ArrayType(LongType())), StructField("_size", IntegerType()), StructField("_fp", LongType())]))
+
+
+def _golay_keys(nodes: DataFrame) -> DataFrame:
+    """A key (u, _node) of every text: the component of its fingerprint over links of three bits."""
+    fps = common.materialize(nodes.select(F.col("_fp").alias("fp")).distinct(), "distinct-fingerprints")
+    found = simhash.components(simhash.golay_links(fps))
+    met = nodes.select("_node", "_fp").join(found.hint("merge"), F.col("_fp") == F.col("node"), "left")
+    return met.select(F.xxhash64(F.lit("golay"), F.coalesce("component", "_fp")).alias("u"), "_node")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -131,16 +143,17 @@ def _links(grouped: DataFrame, similarity: float) -> DataFrame:
 def parts(docs: DataFrame, *keep: str, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: the kept columns and part, which rows of one component share.
 
-    docs has the kept columns (none named part, text, _node, _keys or _size) and text. Texts (A-Z folded, null as empty)
-    link when their sets of word shingles have this Jaccard similarity; texts of fewer words have one shingle, and texts
-    without words link to each other. Candidates share a MinHash key; every link is verified on the whole sets. Copies of
-    a text are one node. No documents: an empty result.
+    docs has the kept columns (none named part, text, _node, _keys, _size or _fp) and text. Texts (A-Z folded, null as
+    empty) link when their sets of word shingles have this Jaccard similarity; texts of fewer words have one shingle, and
+    texts without words link to each other. Candidates lie in one component of SimHash fingerprints (of these shingles)
+    or share a MinHash key; every link is verified on the whole sets. Copies of a text are one node. No documents: an
+    empty result.
     """
     spark = docs.sparkSession
     texts = docs.select(*keep, dedup.normalized(F.col("text")).alias("text")).withColumn("_node", _node(F.col("text")))
     rows = common.materialize(_signatures(texts, keep, words), "signatures")
-    nodes = common.materialize(rows.groupBy("_node").agg(F.first("_keys").alias("_keys"), F.first("_size").alias("_size")), "nodes")
-    keys = nodes.select(F.explode("_keys").alias("u"), "_node")
+    nodes = common.materialize(rows.groupBy("_node").agg(F.first("_keys").alias("_keys"), F.first("_size").alias("_size"), F.first("_fp").alias("_fp")), "nodes")
+    keys = nodes.select(F.explode("_keys").alias("u"), "_node").union(_golay_keys(nodes))
     shared = keys.groupBy("u").agg(F.min("_node").alias("a"), F.max("_node").alias("most")).where("a < most").select("u", "a")
     candidates = keys.join(shared.hint("merge"), "u").where("a < _node").select("a", F.col("_node").alias("b"))
     blocks = simhash.components(candidates).withColumnRenamed("node", "_node")

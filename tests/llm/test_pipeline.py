@@ -7,7 +7,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import language, similar
+from quillon.llm import language, similar, simhash
 from tests.llm.test_operators import WORD, brute_ids, brute_language, brute_targets, draw, fold
 
 
@@ -170,3 +170,16 @@ def test_copies_that_differ_in_case(spark, sf_dir):
         assert len(got) == 2
         kept.add(tuple(got))
     assert len(kept) == 1
+
+
+def test_near_copies_are_candidates_by_golay_keys(spark, monkeypatch):
+    """Without any MinHash key, texts whose fingerprints differ in three bits at most still meet, and are verified."""
+    signatures = similar._signatures
+    monkeypatch.setattr(similar, "_signatures", lambda *a: signatures(*a).withColumn("_keys", F.expr("cast(array() as array<long>)")))
+    words = [f"w{i}" for i in range(600)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(words[::-1]), "", " . "]
+    prints = [simhash.fingerprint(x, similar.WORDS) for x in texts]
+    assert 0 < (prints[0] ^ prints[1]).bit_count() <= 3 < (prints[0] ^ prints[2]).bit_count()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    part = {r.doc_id: r.part for r in similar.parts(docs, "doc_id").collect()}
+    assert part[0] == part[1] and len({part[k] for k in (0, 2, 3, 4)}) == 4
