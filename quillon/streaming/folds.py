@@ -6,13 +6,19 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import exp, log, sqrt
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 KEYS = ("ticker", "horizon")
 KEYS_OUT = "ticker string, horizon int"
+#: Rows of a key that travel to its task as one.
+PACK = 512
 
 
 @dataclass(frozen=True)
@@ -37,29 +43,51 @@ def _complete(steps: DataFrame, fold: Fold) -> DataFrame:
     return steps.where(F.col(first).isNotNull()).select(*KEYS, "t", F.col(first).cast("double").alias(first), *rest)
 
 
+def _packed(rows: DataFrame, fold: Fold) -> DataFrame:
+    """Rows sorted by (_key, t, values) over the whole cluster, PACK of one key in a row: part and n are its place, values its bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.stack([batch.column(v).to_numpy(zero_copy_only=False) for v in fold.values], axis=1)
+            runs = pc.run_end_encode(batch.column("_key")).run_ends.to_pylist()
+            starts = [x for low, high in zip([0, *runs[:-1]], runs, strict=True) for x in range(low, high, PACK)]
+            ends = [*starts[1:], batch.num_rows]
+            at = pa.array(starts)
+            held = [values[i:j].astype("<f8").tobytes() for i, j in zip(starts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(x).take(at) for x in ("_key", *KEYS)], pa.array([part] * len(at), pa.int32()), pa.array(range(n, n + len(at)), pa.int64()), pa.array(held, pa.binary())], names=["_key", *KEYS, "part", "n", "held"])
+            n += len(at)
+
+    order = ("_key", "t", *fold.values)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("_key", *KEYS, *fold.values)
+    kinds = dict(rows.dtypes)
+    return ranged.mapInArrow(run, f"_key string, {', '.join(f'{k} {kinds[k]}' for k in KEYS)}, part int, n long, held binary")
+
+
 def fold_table(steps: DataFrame, fold: Fold) -> DataFrame:
     """Rows (ticker, horizon, t, values...) to one row for each key. Null keys are keys; equal t: by values.
 
-    A key's rows stream through its task in order and only the state is held, so keys may be of any length. The fold of
-    one key is sequential by definition.
+    Rows are sorted over the whole cluster and packed; a key's packs stream through its task in order and only the state
+    is held, so keys may be of any length. The fold of one key is sequential by definition.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state, row = None, fold.zero, None
         shape = [*KEYS, *[x.split()[0] for x in fold.out.split(", ")]]
         made = lambda: pd.DataFrame([[*row, *fold.finish(state)]], columns=shape)
         for frame in frames:
-            columns = [frame[v].tolist() for v in ("_key", *KEYS, *fold.values)]
-            for k, ticker, horizon, *values in zip(*columns, strict=True):
+            for k, ticker, horizon, held in zip(*[frame[v].tolist() for v in ("_key", *KEYS, "held")], strict=True):
                 if k != key:
                     if key is not None:
                         yield made()
                     key, state, row = k, fold.zero, [ticker, None if pd.isna(horizon) else int(horizon)]
-                state = fold.step(state, *values)
+                for values in np.frombuffer(held, "<f8").reshape(-1, len(fold.values)).tolist():
+                    state = fold.step(state, *values)
         if key is not None:
             yield made()
 
-    rows = _complete(steps, fold).withColumn("_key", F.to_json(F.struct(*KEYS)))
-    return rows.repartition("_key").sortWithinPartitions("_key", "t", *fold.values).mapInPandas(run, f"{KEYS_OUT}, {fold.out}")
+    rows = _packed(_complete(steps, fold).withColumn("_key", F.to_json(F.struct(*KEYS))), fold)
+    return rows.repartition("_key").sortWithinPartitions("_key", "part", "n").mapInPandas(run, f"{KEYS_OUT}, {fold.out}")
 
 
 class FoldProcessor(StatefulProcessor):

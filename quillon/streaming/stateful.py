@@ -51,10 +51,24 @@ def valued_positions(ticks: DataFrame, positions: DataFrame, watermark: str = "1
     return days.select(F.to_date("w.start").alias("day"), "user_id", c("last.value").alias("price"), (c("last.value") * c("last.quantity")).alias("value"), "ticks")
 
 
-def score_conformal(steps: DataFrame, window: int = 50, level: float = 0.9) -> DataFrame:
-    """max(1, upper quantile of the last `window` scores before a step)."""
-    before = F.array_sort(F.collect_list("score").over(Window.partitionBy("ticker", "horizon").orderBy("t").rowsBetween(-window, -1)))
+def score_conformal(steps: DataFrame, window: int = 50, level: float = 0.9, block: int | None = None) -> DataFrame:
+    """max(1, upper quantile of the last `window` scores before a step).
+
+    Where t numbers the steps of a key without gaps, `block` (`window` at least) deals a key to parts of that many
+    steps, each with the last `window` steps of the part before, so no task holds a whole key.
+    """
+    keys = ["ticker", "horizon"]
+    if block is not None:
+        if block < window:
+            raise ValueError("a block must hold a window")
+        own = F.floor(c("t") / block)
+        parts = F.when(c("t") % block >= block - window, F.array(own, own + 1)).otherwise(F.array(own))
+        steps, keys = steps.select("*", F.explode(parts).alias("_block")), [*keys, "_block"]
+    before = F.array_sort(F.collect_list("score").over(Window.partitionBy(*keys).orderBy("t").rowsBetween(-window, -1)))
     q = F.get(before, F.greatest(F.ceil(F.size(before) * level).cast("int") - 1, F.lit(0)))
+    if block is not None:
+        steps = steps.select("*", before.alias("_before")).where(c("_block") == F.floor(c("t") / block))
+        q = F.get("_before", F.greatest(F.ceil(F.size("_before") * level).cast("int") - 1, F.lit(0)))
     return steps.select("ticker", "horizon", "t", F.greatest(F.lit(1.0), F.coalesce(q, F.lit(1.0))).alias("factor"))
 
 
