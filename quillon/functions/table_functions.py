@@ -1,16 +1,21 @@
-"""Table functions for SQL: the online folds called by name on a TABLE argument, in each key's order, with typed options."""
+"""Table functions for SQL: the online folds called by name on a TABLE argument, in each key's order, with typed options.
+
+Spark hands a table function row by row to Python, and a key to one task. So a row may also be a pack: its value columns
+are arrays of equal length, the values of steps that follow each other, and t is the first one's. `packed_sql` makes packs.
+"""
 
 from __future__ import annotations
 
 import inspect
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
-from quillon.streaming.folds import KEYS, KEYS_OUT, Fold, break_fold, brier_fold, pid_fold
+from quillon.streaming.folds import KEYS, KEYS_OUT, PACK, Fold, break_fold, brier_fold, pid_fold
 
 #: Names in SQL and the folds behind them; arguments of a fold are arguments of its function.
 FUNCTIONS: dict[str, Callable[..., Fold]] = {"conformal_pid": pid_fold, "online_brier_calibrator": brier_fold, "adaptive_conformal": break_fold}
@@ -52,6 +57,8 @@ def fold_function(make: Callable[..., Fold]) -> type:
             fold = make(**_options(make, options))
             if missing := [x for x in (*KEYS, "t", *fold.values) if x not in table.dataType.names]:
                 raise ValueError(f"the table lacks {', '.join(missing)}")
+            if len({isinstance(table.dataType[x].dataType, ArrayType) for x in fold.values}) > 1:
+                raise ValueError(f"all of {', '.join(fold.values)} or none must be arrays")
             return AnalyzeResult(_shape(f"{KEYS_OUT}, {fold.out}"), partitionBy=[PartitioningColumn(x) for x in KEYS], orderBy=[OrderingColumn(x) for x in ("t", *fold.values)])
 
         def eval(self, table, **options) -> None:  # noqa: ANN001, ANN003
@@ -59,10 +66,20 @@ def fold_function(make: Callable[..., Fold]) -> type:
                 known = inspect.signature(make).parameters
                 self.fold = make(**{k: type(known[k].default)(v) for k, v in options.items()})
                 self.state, self.key = self.fold.zero, None
-            values = [table[v] for v in self.fold.values]
-            if values[0] is not None:
+            first, *rest = [table[v] for v in self.fold.values]
+            if first is None:
+                return
+            if not isinstance(first, list | np.ndarray):
+                first, rest = [first], [[x] for x in rest]
+            first = [None if v is None else float(v) for v in first]
+            rest = [[0.0] * len(first) if x is None else [float(v or 0) for v in x] for x in rest]
+            rows = [x for x in zip(first, *rest, strict=True) if x[0] is not None]
+            if rows:
                 self.key = [table[x] for x in KEYS]
-                self.state = self.fold.step(self.state, *[float(v or 0) for v in values])
+            state, step = self.state, self.fold.step
+            for row in rows:
+                state = step(state, *row)
+            self.state = state
 
         def terminate(self) -> Iterator[tuple]:
             if self.fold is not None and self.key is not None:
@@ -71,6 +88,19 @@ def fold_function(make: Callable[..., Fold]) -> type:
     return Folded
 
 
+def packed_sql(steps: str, values: dict[str, str], pack: int = PACK) -> str:
+    """SQL of the packs of a table or view; values: name to expression. A pack has the rows of a key whose t, a number, lies in a range of `pack`.
+
+    Packs are grouped by key and range, so they are made over the whole cluster, and only packs are sorted by key. Where
+    t numbers a key's rows, a pack has `pack` of them at most.
+    """
+    row = ", ".join(f"{x} AS {name}" for name, x in values.items())
+    arrays = ", ".join(f"transform(steps, x -> x.{name}) AS {name}" for name in values)
+    keys = ", ".join(KEYS)
+    # as plain rows: by t, then by values
+    return f"SELECT {keys}, t, {arrays} FROM (SELECT {keys}, min(t) AS t, sort_array(collect_list(struct(t, {row}))) AS steps FROM {steps} GROUP BY {keys}, floor(t / {pack}))"
+
+
 def register(spark: SparkSession, prefix: str = "") -> list[str]:
     """Make FUNCTIONS known to SQL: SELECT * FROM conformal_pid(TABLE(steps), lr => 0.1). Gives their names."""
     for name, make in FUNCTIONS.items():

@@ -39,21 +39,23 @@ def udf_05_history_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first"), F.max("d").alias("last"), F.round(F.sum("close"), 2).alias("total"))
 
 
-def _called(spark: SparkSession, sf_dir: str, function: str, steps: str, options: str) -> DataFrame:
+def _called(spark: SparkSession, sf_dir: str, function: str, options: str, packed: bool = True, **values: str) -> DataFrame:
+    """A table function over steps, or packs of them; values: a column's name to its expression."""
     L.register(spark)
     name = f"steps_{uuid.uuid4().hex}"
     view(spark, sf_dir, "v_numbered_steps").createOrReplaceTempView(name)
-    return spark.sql(f"SELECT * FROM {function}(TABLE(SELECT ticker, horizon, t, {steps} FROM {name}), {options})")
+    plain = f"SELECT ticker, horizon, t, {', '.join(f'{x} AS {k}' for k, x in values.items())} FROM {name}"
+    return spark.sql(f"SELECT * FROM {function}(TABLE({L.packed_sql(name, values) if packed else plain}), {options})")
 
 
 def udf_06_sql_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The online interval, called from SQL by name."""
-    return _called(spark, sf_dir, "conformal_pid", "abs(actual_return - predicted_return) AS residual", "target => 0.9, lr => 0.05")
+    return _called(spark, sf_dir, "conformal_pid", "target => 0.9, lr => 0.05", packed=False, residual="abs(actual_return - predicted_return)")
 
 
 def udf_06_sql_break_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The interval with a break mode, called from SQL by name."""
-    return _called(spark, sf_dir, "adaptive_conformal", "abs(actual_return - predicted_return) AS residual, abs(actual_return) AS rv, t % 97 = 0 AS is_break", "cooloff => 3")
+    return _called(spark, sf_dir, "adaptive_conformal", "cooloff => 3", residual="abs(actual_return - predicted_return)", rv="abs(actual_return)", is_break="t % 97 = 0")
 
 
 _REPORT = "SELECT ticker, count(*) AS steps, round(avg((up - (ar > 0)::INT) ** 2), 6) AS brier, round(avg((future BETWEEN lo AND hi)::INT::DOUBLE), 6) AS coverage, provider FROM wf CROSS JOIN (VALUES ('csv'), ('parquet')) p(provider) GROUP BY ALL"
