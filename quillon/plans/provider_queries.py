@@ -39,18 +39,17 @@ def udf_05_history_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first"), F.max("d").alias("last"), F.round(F.sum("close"), 2).alias("total"))
 
 
-def _called(spark: SparkSession, sf_dir: str, function: str, options: str, packed: bool = True, **values: str) -> DataFrame:
-    """A table function over steps, or packs of them; values: a column's name to its expression."""
+def _called(spark: SparkSession, sf_dir: str, function: str, options: str, **values: str) -> DataFrame:
+    """A table function over packs of steps; values: a column's name to its expression."""
     L.register(spark)
     name = f"steps_{uuid.uuid4().hex}"
     view(spark, sf_dir, "v_numbered_steps").createOrReplaceTempView(name)
-    plain = f"SELECT ticker, horizon, t, {', '.join(f'{x} AS {k}' for k, x in values.items())} FROM {name}"
-    return spark.sql(f"SELECT * FROM {function}(TABLE({L.packed_sql(name, values) if packed else plain}), {options})")
+    return spark.sql(f"SELECT * FROM {function}(TABLE({L.packed_sql(name, values)}), {options})")
 
 
 def udf_06_sql_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The online interval, called from SQL by name."""
-    return _called(spark, sf_dir, "conformal_pid", "target => 0.9, lr => 0.05", packed=False, residual="abs(actual_return - predicted_return)")
+    return _called(spark, sf_dir, "conformal_pid", "target => 0.9, lr => 0.05", residual="abs(actual_return - predicted_return)")
 
 
 def udf_06_sql_break_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
