@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -186,34 +186,37 @@ def hot_links(fps: DataFrame) -> DataFrame:
 
 
 def _with_least(edges: DataFrame, value: str = "v") -> DataFrame:
-    """Edges (u, v) with m, the smallest value of u. A hub's edges lie in SALTS parts and never meet in one task."""
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    part = salted.groupBy("u", "salt").agg(F.min(value).alias("m"))
-    low = part.groupBy("u").agg(F.min("m").alias("m"))
-    return salted.join(part.select("u", "salt").join(low.hint("merge"), "u").hint("merge"), ["u", "salt"]).drop("salt")
+    """Distinct edges (u, v) with m, the smallest value of u. A hub's edges lie in SALTS parts and never meet in one task.
+
+    Edges travel once: parts, repeats and the join all use that one exchange by (u, salt); only a row of each part goes on.
+    """
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).repartition("u", "salt")
+    low = salted.groupBy("u", "salt").agg(F.min(value).alias("m")).withColumn("m", F.min("m").over(Window.partitionBy("u")))
+    return salted.distinct().join(low.hint("merge"), ["u", "salt"]).drop("salt")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b), for every node with a link.
 
-    Alternates two rounds of star contraction until all parts are stars; every round is written out.
+    Alternates two rounds of star contraction until all parts are stars; every round is written out. A round makes one
+    edge of each edge at most; repeats go when their edges next travel.
     """
     edges = common.materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while not _are_stars(edges):
         # large star: neighbours above a node go to its smallest neighbour or itself
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         # small star: neighbours below a node, and the node, go to the smallest of them
-        met = _with_least(large)
-        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = _with_least(large).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = common.materialize(small, "edges")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")))
+    return ends.groupBy("node").agg(F.min("component").alias("component"))
 
 
 def _are_stars(edges: DataFrame) -> bool:
-    """Whether each u has one v and no v is a u."""
-    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("centre")).union(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("centre")))
-    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("centre").alias("centre")).where("up + centre > 1").isEmpty()
+    """Whether each u has one v, repeats aside, and no v is a u."""
+    ends = edges.select(F.col("u").alias("x"), "v", F.lit(0).alias("centre")).union(edges.select(F.col("v").alias("x"), F.lit(None).cast(edges.schema["v"].dataType).alias("v"), F.lit(1).alias("centre")))
+    return ends.groupBy("x").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.max("centre").alias("centre")).where("least < most or (least is not null and centre = 1)").isEmpty()
 
 
 def golay_links(fps: DataFrame) -> DataFrame:

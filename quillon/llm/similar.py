@@ -93,12 +93,13 @@ def _signatures(docs: DataFrame, keep: tuple[str, ...], words: int) -> DataFrame
     return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("_keys", ArrayType(LongType())), StructField("_size", IntegerType()), StructField("_fp", LongType())]))
 
 
-def _golay_keys(nodes: DataFrame) -> DataFrame:
-    """A key (u, _node) of every text: the component of its fingerprint over links of three bits."""
-    fps = common.materialize(nodes.select(F.col("_fp").alias("fp")).distinct(), "distinct-fingerprints")
-    found = simhash.components(simhash.golay_links(fps))
-    met = nodes.select("_node", "_fp").join(found.hint("merge"), F.col("_fp") == F.col("node"), "left")
-    return met.select(F.xxhash64(F.lit("golay"), F.coalesce("component", "_fp")).alias("u"), "_node")
+def _golay_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of texts that connect what links of their fingerprints within three bits connect; the smallest text of a fingerprint stands for it."""
+    fps = common.materialize(nodes.groupBy("_fp").agg(F.min("_node").alias("_least")), "distinct-fingerprints")
+    links = simhash.golay_links(fps.select(F.col("_fp").alias("fp")))
+    for end in ("a", "b"):
+        links = links.join(fps.hint("merge"), F.col(end) == F.col("_fp")).withColumn(end, F.col("_least")).drop("_fp", "_least")
+    return links
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -153,10 +154,10 @@ def parts(docs: DataFrame, *keep: str, words: int = WORDS, similarity: float = S
     texts = docs.select(*keep, dedup.normalized(F.col("text")).alias("text")).withColumn("_node", _node(F.col("text")))
     rows = common.materialize(_signatures(texts, keep, words), "signatures")
     nodes = common.materialize(rows.groupBy("_node").agg(F.first("_keys").alias("_keys"), F.first("_size").alias("_size"), F.first("_fp").alias("_fp")), "nodes")
-    keys = nodes.select(F.explode("_keys").alias("u"), "_node").union(_golay_keys(nodes))
+    keys = nodes.select(F.explode(F.concat("_keys", F.array(F.xxhash64(F.lit("golay"), "_fp")))).alias("u"), "_node")
     shared = keys.groupBy("u").agg(F.min("_node").alias("a"), F.max("_node").alias("most")).where("a < most").select("u", "a")
     candidates = keys.join(shared.hint("merge"), "u").where("a < _node").select("a", F.col("_node").alias("b"))
-    blocks = simhash.components(candidates).withColumnRenamed("node", "_node")
+    blocks = simhash.components(candidates.union(_golay_links(nodes))).withColumnRenamed("node", "_node")
     blocks = common.materialize(blocks.join(nodes.select("_node", "_size").hint("merge"), "_node"), "blocks")
 
     # chunks of a block, and the groups of two chunks in which a text is compared

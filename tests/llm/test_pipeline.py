@@ -1,13 +1,15 @@
 """The pipeline's stages against brute force, each on its own input, on clean and on odd rows."""
 
 import hashlib
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import language, similar, simhash
+from quillon.llm import common, language, similar, simhash
 from tests.llm.test_operators import WORD, brute_ids, brute_language, brute_targets, draw, fold
 
 
@@ -183,3 +185,32 @@ def test_near_copies_are_candidates_by_golay_keys(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     part = {r.doc_id: r.part for r in similar.parts(docs, "doc_id").collect()}
     assert part[0] == part[1] and len({part[k] for k in (0, 2, 3, 4)}) == 4
+
+
+def shuffle_files(spark):
+    """Shuffle files that now lie in the folders of a local session."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {str(x) for folder in manager.localDirs() for x in Path(folder.getPath()).glob("*/shuffle_*")}
+
+
+def test_rounds_leave_no_shuffle_files(spark):
+    """A table written between two rounds takes its shuffle files with it; the session's setting stays as it was."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(setting)
+    before = shuffle_files(spark)
+    found = common.materialize(spark.range(2000).groupBy((F.col("id") % 7).alias("k")).count(), "test-rounds")
+    for _ in range(100):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and found.count() == 7
+    assert spark.conf.get(setting) == held
+
+
+def test_components_of_repeated_links(spark):
+    """A hub, a chain and repeated links, in both directions and to a node itself, end as one row a node."""
+    hub = [(5, k) for k in range(100, 400)]
+    chain = [(k + 1, k) for k in range(1000, 1040)]
+    links = spark.createDataFrame([*hub, *hub, *[(b, a) for a, b in hub[:50]], *chain, (7, 7)], "a long, b long")
+    got = Counter((r.node, r.component) for r in simhash.components(links).collect())
+    assert got == Counter([(5, 5), *[(b, 5) for _, b in hub], *[(k, 1000) for k in range(1000, 1041)]])
