@@ -209,8 +209,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: neighbours below a node, and the node, go to the smallest of them
         small = _with_least(large).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = common.materialize(small, "edges")
-    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")))
-    return ends.groupBy("node").agg(F.min("component").alias("component"))
+    # by both columns: a join by node then deals the rows out itself, and can split a node that many rows have
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
 def _are_stars(edges: DataFrame) -> bool:
