@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Iterator, Mapping
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,41 +40,52 @@ def question_matches(text: Column, words: Column) -> Column:
     return (F.size(words) == 0) | F.exists(words, lambda w: ~w.isin(*WEAK_WORDS) & F.contains(lower, w))
 
 
-#: Longest piece of a run of letters and digits that is cut into substrings at once.
-RUN = 256
+#: Runs of letters and digits whose questions a worker keeps at once, and the longest such run.
+KEPT_RUNS, KEPT_RUN = 200_000, 64
 
 
 def matching_questions(docs: DataFrame, questions: DataFrame) -> DataFrame:
     """(doc_id, item_id): question_matches() of every row of docs (doc_id, text) with each of a stated set of questions (item_id, text).
 
-    Strong words are letters and digits of ASCII, so a word in a text lies in one of its runs of those. Every distinct run
-    of the corpus is looked up once, by an equi-join of its substrings with the distinct words; documents then meet the
-    runs that hold words, and gather the numbers of their words. Only the words and their questions, which do not grow
-    with the documents, are broadcast. Runs are cut into overlapping pieces, so none makes a long list of substrings.
+    Strong words are letters and digits of ASCII, so a word in a text lies in one of its runs of those, as one of its
+    substrings. Documents are judged where they are read, in Arrow batches: a worker looks up the substrings of a run
+    and keeps what it found for the next time. Only the words and their questions, which do not grow with the
+    documents, travel to the workers; no text, run or match is shuffled.
     """
     asked = written(questions.select("item_id", query_words(c("text")).alias("ws")), "questions")
     strong = asked.select("item_id", F.explode(F.filter("ws", lambda w: ~w.isin(*WEAK_WORDS))).alias("word"))
-    of_word = strong.groupBy("word").agg(F.collect_list("item_id").alias("ids"))
-    words = written(of_word.withColumn("no", F.row_number().over(Window.orderBy("word")) - 1), "question-words")
-    sizes = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())  # few lengths
-    most = max(sizes, default=1)
-    lists = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x.ids).alias("lists"))  # one row
-    always = asked.where(F.size("ws") == 0).agg(F.collect_list("item_id").alias("always"))  # one row
-    # a document is its id and text's digest; equal ones count together, and an empty run stands for each
-    runs = F.array_distinct(F.concat(F.array(F.lit("")), F.coalesce(F.split(F.lower("text"), "[^a-z0-9]+"), F.array().cast("array<string>"))))
-    dealt = docs.select("doc_id", F.sha2("text", 256).alias("digest"), F.explode(runs).alias("run")).where((c("run") == "") | (F.length("run") >= min(sizes, default=1)))
-    cut = F.transform(F.sequence(F.lit(1), F.length("run"), F.lit(RUN)), lambda i: F.substring("run", i, F.lit(RUN + most - 1)))
-    dealt = dealt.select("doc_id", "digest", F.explode(F.when(F.length("run") <= RUN, F.array("run")).otherwise(cut)).alias("run"))
-    within = lambda n: F.when(F.length("run") >= n, F.transform(F.sequence(F.lit(1), F.length("run") - (n - 1)), lambda i: F.substring("run", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    parts = F.flatten(F.array(*[within(n) for n in sizes])) if sizes else F.array().cast("array<string>")
-    found = dealt.select("run").distinct().where("run <> ''").select("run", F.explode(F.array_distinct(parts)).alias("word"))
-    hits = found.join(F.broadcast(words.select("word", "no")), "word").groupBy("run").agg(F.collect_list("no").alias("nos"))
-    met = dealt.join(hits.hint("merge"), "run", "left").where("run = '' or nos is not null")
-    held = met.select("doc_id", "digest", (c("run") == "").cast("long").alias("one"), F.explode_outer("nos").alias("no"))
-    rows = held.groupBy("doc_id", "digest").agg(F.sum("one").alias("n"), F.collect_set("no").alias("nos"))
-    rows = rows.join(F.broadcast(lists)).join(F.broadcast(always))
-    ids = F.array_distinct(F.concat("always", F.flatten(F.transform("nos", lambda i: F.get("lists", i)))))
-    return rows.select("doc_id", F.explode(F.array_repeat(ids, c("n").cast("int"))).alias("ids")).select("doc_id", F.explode("ids").alias("item_id"))
+    found = strong.groupBy("word").agg(F.collect_set("item_id").alias("ids")).toArrow()
+    of_word = dict(zip(found.column("word").to_pylist(), map(frozenset, found.column("ids").to_pylist()), strict=True))
+    always = frozenset(r[0] for r in asked.where((F.size("ws") == 0) & c("item_id").isNotNull()).select("item_id").collect())
+    sizes = sorted({len(w) for w in of_word})  # few lengths
+    kind, pieces = found.schema.field("ids").type, re.compile("[a-z0-9]+")
+
+    def held(run: str) -> frozenset:
+        parts = (run[i : i + n] for n in sizes for i in range(len(run) - n + 1))
+        return frozenset().union(*(of_word[p] for p in {p for p in parts if p in of_word}))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, frozenset] = {}
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                some, ids = batch.slice(at, 256), []
+                for text in some.column("text"):
+                    own = set(always)
+                    for m in pieces.finditer(text.as_py() or ""):
+                        run = m.group()
+                        if (hit := known.get(run)) is None:
+                            hit = held(run)
+                            if len(run) <= KEPT_RUN:
+                                if len(known) >= KEPT_RUNS:
+                                    known.clear()
+                                known[run] = hit
+                        if hit:
+                            own |= hit
+                    ids.append(list(own))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, kind)], names=["doc_id", "ids"])
+
+    shape = f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<{dict(questions.dtypes)['item_id']}>"
+    return docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(judge, shape).select("doc_id", F.explode("ids").alias("item_id"))
 
 
 def drop_trivial_levels(levels: DataFrame, current: Column) -> DataFrame:
